@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import documents
+
+QUERIES = {**documents.QUERIES}
+ORACLE_SQL = {**documents.ORACLE_SQL}
