@@ -75,7 +75,7 @@ def _knn_block(vectors: DataFrame, rows: list, k: int, metric: str, kind: str) -
                     norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
                     d = np.divide(d, norm, out=np.zeros_like(d), where=norm > 0)
                 d = 1.0 - d
-            d = np.round(d, 6)
+            d = np.round(d, 6) + 0.0  # no negative zero
             names = pdf["id"].to_numpy()
             by_name = np.argsort(names, kind="stable")
             best = by_name[np.argsort(d[:, by_name], axis=1, kind="stable")[:, :k]]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents
+from . import documents, reports, search
 
-QUERIES = {**documents.QUERIES}
-ORACLE_SQL = {**documents.ORACLE_SQL}
+QUERIES = {**documents.QUERIES, **search.QUERIES, **reports.QUERIES}
+ORACLE_SQL = {**documents.ORACLE_SQL, **search.ORACLE_SQL, **reports.ORACLE_SQL}
