@@ -59,7 +59,7 @@ def generic_confidence(queries: DataFrame, results: DataFrame, score: str = "sco
     ranked = results.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(score), "id")))
     agg = ranked.groupBy("query_id").agg(F.avg(F.when(F.col("_n") <= 3, F.col(score))).alias("_mean"), F.count_if(F.col(score) > 0.1).alias("_over"))
     conf = F.least(F.col("_mean") * F.least(F.lit(1.2), 1 + 0.05 * F.col("_over")), F.lit(1.0))
-    return queries.select("query_id").join(agg, "query_id", "left").select("query_id", F.coalesce(conf, F.lit(0.0)).alias("confidence"))
+    return queries.select("query_id").join(agg, "query_id", "left").select("query_id", F.when(F.col("_mean").isNull(), 0.0).otherwise(conf).alias("confidence"))
 
 
 def band(confidence: Column, threshold: float = 0.3, high: float = 0.7) -> Column:

@@ -44,7 +44,7 @@ CTE = {
     "nn": "select query_id, id, distance, row_number() over (partition by query_id order by distance, id) rank from dists",
     "v20": "select query_id, chunk_id id, distance, rank from nn join (select document_id vid, chunk_id from named where section_index = 0 and chunk_index = 0) on id = vid where rank <= 20",
     "k20": "select query_id, chunk_id id, bm25, rank from kw where rank <= 20",
-    "sides": "select query_id, id, 1 / (1 + distance) vs, least(bm25 / 15, 1.0) ks from v20 full join k20 using (query_id, id)",
+    "sides": "select query_id, id, 1 / (1 + distance) vs, case when bm25 is not null then least(bm25 / 15, 1.0) end ks from v20 full join k20 using (query_id, id)",
     "weighed": "select query_id, id, coalesce(vs, 0.0) vector_score, coalesce(ks, 0.0) keyword_score, round((0.7 * coalesce(vs, 0.0) + 0.3 * coalesce(ks, 0.0)) * case when vs is not null and ks is not null then 1.2 else 1.0 end, 6) hybrid_score, case when vs is not null and ks is not null then 'hybrid' when vs is not null then 'vector' else 'keyword' end source from sides",
     "fused": "select * from (select *, row_number() over (partition by query_id order by hybrid_score desc, id) rank from weighed) where rank <= 10",
     "results": "select f.*, n.document_id, n.content, c.file_name, c.agency from fused f join named n on f.id = n.chunk_id join corpus c using (document_id)",

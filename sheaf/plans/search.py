@@ -151,7 +151,7 @@ def g3(spark, d):
     return rounded(fusion.hybrid_confidence(questions(spark, d), best), "confidence")
 
 
-@query("g4_generic_confidence", sql("select query_id, round(coalesce(least(m * least(1.2, 1 + 0.05 * o), 1.0), 0.0), 6) confidence from questions left join (select query_id, avg(hybrid_score) filter (rank <= 3) m, count(*) filter (hybrid_score > 0.1) o from fused group by 1) using (query_id)", "questions", "fused"))
+@query("g4_generic_confidence", sql("select query_id, round(case when m is null then 0.0 else least(m * least(1.2, 1 + 0.05 * o), 1.0) end, 6) confidence from questions left join (select query_id, avg(hybrid_score) filter (rank <= 3) m, count(*) filter (hybrid_score > 0.1) o from fused group by 1) using (query_id)", "questions", "fused"))
 def g4(spark, d):
     return rounded(fusion.generic_confidence(questions(spark, d), results_of(spark, d), "hybrid_score"), "confidence")
 
