@@ -28,7 +28,7 @@ from .common import text_of
 
 #: White space as the vocabulary's patterns mean it (the property White_Space), as members of a class.
 SPACE = r"\t-\r \x85\xa0  -     　"
-CACHED = 200_000
+CACHED = 300_000
 
 
 def default_vocabulary() -> str:
@@ -59,7 +59,7 @@ class WordBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}")
         self.pieces = regex.compile(pattern)
         self.symbols = byte_symbols()
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The symbols after all merges, lowest rank first, leftmost first among equals."""
@@ -129,7 +129,7 @@ def encode_report(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
-        kept: dict[str, tuple[int, str, str]] = {"": (0, "", "")}
+        kept = bpe.seen
         for pdf in batches:
             counts, ids_hashes, decoded = [], [], []
             for text in pdf["text"]:

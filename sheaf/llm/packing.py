@@ -13,12 +13,15 @@ empty table writes no blocks.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,9 @@ MAGIC = b"TIDS"
 HEADER = struct.Struct("<4sHHQQ")  # magic, version, bits, documents, ids
 #: Ids after which a block ends; a longer document makes a longer block.
 BLOCK_IDS = 1 << 16
-CACHED = 200_000
+#: Encoded runs that a worker keeps, and bytes of text that it encodes at a time.
+CACHED, SLICE_BYTES = 600_000, 4_000_000
+BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
 #: doc_id of a null, in a block.
 NO_ID = -(1 << 63)
 
@@ -88,48 +93,91 @@ class BlockReader:
         return unpack(self.words, 0, self.n_ids, self.bits)
 
 
+class WordEncoder:
+    """The library's ids for texts. No piece crosses a space or a line end, so what stands between them is encoded once for each worker."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.kept: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids begin and end)."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        runs = coded.dictionary.to_pylist()
+        new = [r for r in runs if r not in self.kept]
+        if len(self.kept) + len(new) > CACHED:
+            self.kept.clear()
+            new = runs
+        if new:
+            found = self.model.encode(new, is_pretokenized=True, add_special_tokens=False)
+            ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
+            cuts = np.searchsorted(owner, np.arange(len(new) + 1))
+            data = ids.tobytes()
+            self.kept.update((r, data[4 * a : 4 * b]) for r, a, b in zip(new, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        parts = [self.kept[r] for r in runs]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        size = sizes[codes]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(starts[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for each worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about SLICE_BYTES of text."""
+    sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
+    lo = 0
+    while lo < batch.num_rows:
+        before = sizes[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(sizes, before + SLICE_BYTES)))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Encodes every text, appends end_id, and writes the blocks to path."""
     from tokenizers import Tokenizer
 
     bits = bits_for(Tokenizer.from_file(tokenizer).get_vocab_size())
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model = Tokenizer.from_file(tokenizer)
-        model.no_truncation()
-        model.no_padding()
-        end = struct.pack("<I", end_id)
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_encoder(tokenizer)
+        end = np.array([end_id], "<u4")
         part, block = TaskContext.get().partitionId(), 0
-        kept: dict[str, bytes] = {}
         doc_ids: list[int] = []
         parts: list[np.ndarray] = []
         n = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal doc_ids, parts, n, block
-            out = pd.DataFrame({"part": [part], "block": [block], "n_ids": [n], "n_docs": [len(parts)], "data": [build_block(doc_ids, parts, bits)]})
+            out = pa.RecordBatch.from_pydict({"part": [part], "block": [block], "n_ids": [n], "n_docs": [len(parts)], "data": [build_block(doc_ids, parts, bits)]}, schema=BLOCK_SCHEMA)
             doc_ids, parts, n, block = [], [], 0, block + 1
             return out
 
-        for pdf in batches:
-            for lo in range(0, len(pdf), 200):
-                some = pdf.iloc[lo : lo + 200]
-                # no piece crosses a space or a line end, so what stands between them is encoded once
-                runs = [t.replace("\n", " ").split(" ") for t in some["text"]]
-                new = list({r for rs in runs for r in rs}.difference(kept))
-                if len(kept) + len(new) > CACHED:
-                    kept.clear()
-                    new = list({r for rs in runs for r in rs})
-                for run, found in zip(new, model.encode_batch(new, add_special_tokens=False), strict=True):
-                    kept[run] = np.array(found.ids, "<u4").tobytes()
-                for doc_id, rs in zip(some["doc_id"], runs, strict=True):
-                    ids = np.frombuffer(b"".join(map(kept.__getitem__, rs)) + end, "<u4")
-                    doc_ids.append(int(doc_id))
-                    parts.append(ids)
-                    n += len(ids)
+        for batch in batches:
+            for some in slices(batch):
+                ids, bounds = encoder.encode(some["text"])
+                for doc_id, a, b in zip(some["doc_id"].to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                    doc_ids.append(doc_id)
+                    parts.append(np.concatenate([ids[a:b], end]))
+                    n += len(parts[-1])
                     if n >= BLOCK_IDS:
                         yield flush()
         if parts:
@@ -137,7 +185,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    packed = ordered.mapInPandas(blocks, "part int, block int, n_ids long, n_docs long, data binary")
+    packed = ordered.mapInArrow(blocks, "part int, block int, n_ids long, n_docs long, data binary")
     packed.write.option("compression", "zstd").parquet(path)
 
 
