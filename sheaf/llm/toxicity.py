@@ -26,7 +26,7 @@ from .common import checkpoint, text_of
 BITS = 20
 SIZES = (3, 4, 5, 6)
 #: Training documents, kept features, and tasks that count features, at most.
-MAX_TRAIN, MAX_FEATURES, TASKS = 12_000, 40_000, 12
+MAX_TRAIN, MAX_FEATURES, TASKS = 12_000, 8_000, 12
 
 
 def ngram_places(codes: np.ndarray) -> np.ndarray:
@@ -97,16 +97,17 @@ def ratios(train: DataFrame, max_features: int, smooth: float = 1.0) -> tuple[np
     return np.array([x["place"] for x in rows], np.int32), np.array([x["r"] for x in rows])
 
 
-def logistic(rows: list[np.ndarray], r: np.ndarray, y: np.ndarray, decay: float = 2.0, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Weights (r included) and intercept by full-batch Adam with an L2 penalty."""
+def logistic(rows: list[np.ndarray], r: np.ndarray, y: np.ndarray, decay: float = 20.0, toxic_weight: float = 2.0, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Weights (r included) and intercept by full-batch Adam with an L2 penalty; a toxic document counts toxic_weight times."""
     index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     value = r[index]
-    w, b = np.zeros(len(r)), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    sample = np.where(y > 0, toxic_weight, 1.0)
+    w, b = np.zeros(len(r)), math.log((toxic_weight * y.sum() + 1) / (len(y) - y.sum() + 1))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.bincount(owner, value * w[index], len(rows)) + b
-        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * sample
         g = (np.bincount(index, value * e[owner], len(r)) + decay * w) / len(rows)
         gb = e.mean()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
