@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import id_again, id_of, text_of
 
 #: White space as the vocabulary's patterns mean it (the property White_Space), as members of a class.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -150,4 +150,5 @@ def encode_report(docs: DataFrame, path: str | None = None) -> DataFrame:
                 decoded.append(sha256(" ".join(strings).encode("utf-8", "surrogatepass")).hexdigest())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": counts, "ids_sha256": ids_hashes, "decoded_sha256": decoded})
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInPandas(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    encoded = docs.select(id_of().alias("doc_id"), text_of().alias("text")).mapInPandas(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.withColumn("doc_id", id_again())

@@ -42,9 +42,28 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+#: Stands for a null doc_id inside the operators: it sorts first, and Python gets whole numbers only.
+NO_ID = -(1 << 63)
+
+
+def id_of(column: str | Column = "doc_id") -> Column:
+    """The id, NO_ID for null."""
+    return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("long"), F.lit(NO_ID))
+
+
+def id_again(column: str = "doc_id") -> Column:
+    """id_of undone."""
+    return F.when(F.col(column) != NO_ID, F.col(column))
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """Adds _id (doc_id) and _th, a hash of the text: equal for repeated rows only."""
-    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.xxhash64(text_of())})
+    """_id, _th and text of each row of docs: the id and a hash of the text, equal for repeated rows only."""
+    return docs.select(id_of().alias("_id"), F.xxhash64(text_of()).alias("_th"), text_of().alias("text"))
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """One column _doc with all columns of docs, so that theirs can have any name."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"))
 
 
 def in_chunks(texts: list[str]) -> Iterator[tuple[int, int]]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import constant_array, text_of
+from .common import constant_array, id_of, text_of
 
 LOW = 0x0000000100000001
 
@@ -132,7 +132,7 @@ def with_next(docs: DataFrame, columns: list[str], rows: int = 1000) -> DataFram
     hash of the text. Adds _part and _rn, which tell all rows apart, and _sentinel (0 for real rows); callers
     drop the sentinels when they no longer need them.
     """
-    keyed = docs.withColumns({"_o": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_th": F.xxhash64(text_of())})
+    keyed = docs.withColumns({"_o": id_of(), "_th": F.xxhash64(text_of())})
     starts = ranges_of(docs, rows)
     part = F.size(F.filter(constant_array(starts, "bigint"), lambda x: x <= F.col("_o")))
     dealt = keyed.withColumn("_part", part.cast("int"))

@@ -20,8 +20,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import checkpoint, hashed_words, in_chunks, mixed, shingles, text_of, with_row_key
+from .common import checkpoint, hashed_words, id_of, in_chunks, mixed, shingles, text_of, whole_rows, with_row_key
 from .graph import components
 
 #: Sets in a block; a task compares two blocks at most.
@@ -74,8 +75,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                         band_hashes.append(np.zeros(0, np.int64))
             yield pd.DataFrame({"_id": pdf["_id"], "_th": pdf["_th"], "set_key": keys, "bands": band_hashes})
 
-    rows_in = with_row_key(docs.select("doc_id", text_of().alias("text"))).select("_id", "_th", "text")
-    return rows_in.mapInPandas(sign, "_id long, _th long, set_key binary, bands array<long>")
+    return with_row_key(docs).mapInPandas(sign, "_id long, _th long, set_key binary, bands array<long>")
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
@@ -146,18 +146,18 @@ def compare_block(threshold: float):
 def near_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.9999) -> DataFrame:
     """(_id, _th, class_id, class_th, n_links) for each row of docs.
 
-    class_id and class_th are the key of the first document of the class, the smallest by id, nulls first, then
-    text hash; n_links counts the other documents at least so similar, copies included.
+    _id is the doc_id (NO_ID for null). class_id and class_th are the key of the first document of the class, the
+    smallest by id, nulls first, then text hash; n_links counts the other documents at least so similar, copies included.
     """
     bands, rows = band_plan(threshold, recall)
     signed = checkpoint(signatures(docs, shingle, bands, rows))
-    first = F.min(F.struct(F.col("_id").isNotNull().alias("s"), F.col("_id").alias("i"), F.col("_th").alias("t")))
+    first = F.min(F.struct(F.col("_id").alias("i"), F.col("_th").alias("t")))
     sets = checkpoint(signed.groupBy("set_key").agg(first.alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")))
     comps = components(candidate_edges(sets))
     sizes = comps.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
     members = comps.join(sizes, "component").join(sets.withColumnRenamed("set_key", "node"), "node")
     members = members.select(F.col("node").alias("set_key"), "component", "n_blocks", "n_copies", "first.i", "first.t")
-    texts = with_row_key(docs.select("doc_id", text_of().alias("text"))).select(F.col("_id").alias("i"), F.col("_th").alias("t"), "text")
+    texts = with_row_key(docs).select(F.col("_id").alias("i"), F.col("_th").alias("t"), "text")
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -169,7 +169,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
             yield pdf.drop(columns="text").assign(shingles=out)
 
     columns = ["set_key", "component", "n_blocks", "n_copies"]
-    chosen = texts.join(members, (texts["i"].eqNullSafe(members["i"])) & (texts["t"] == members["t"])).select(*columns, "text")
+    chosen = texts.join(members, ["i", "t"]).select(*columns, "text")
     full = chosen.mapInPandas(expand, "set_key binary, component binary, n_blocks int, n_copies long, shingles array<long>")
     own = F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int")
     spread = full.withColumn("block", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
@@ -187,10 +187,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, that are the first of their class; of rows that repeat id and text one stays."""
-    from pyspark.sql.window import Window as W
-
-    heads = near_classes(docs, **options).select("class_id", "class_th").distinct()
-    keyed = with_row_key(docs).withColumnRenamed("_id", "_jid").withColumnRenamed("_th", "_jth")
-    one = F.row_number().over(W.partitionBy("_jth", "_jid").orderBy("_jth"))
-    kept = keyed.join(heads, F.col("_jid").eqNullSafe(F.col("class_id")) & (F.col("_jth") == F.col("class_th")), "left_semi")
-    return kept.withColumn("_jn", one).where("_jn = 1").select(docs.columns)
+    heads = near_classes(docs, **options).select(F.col("class_id").alias("_hid"), F.col("class_th").alias("_hth")).distinct()
+    keyed = whole_rows(docs).withColumns({"_id": id_of("_doc.doc_id"), "_th": F.xxhash64(text_of("_doc.text"))})
+    kept = keyed.join(heads, (F.col("_id") == F.col("_hid")) & (F.col("_th") == F.col("_hth")), "left_semi")
+    one = F.row_number().over(W.partitionBy("_id", "_th").orderBy("_th"))
+    return kept.withColumn("_n", one).where("_n = 1").select("_doc.*")

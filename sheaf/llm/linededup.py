@@ -20,10 +20,10 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, with_row_key
+from .common import id_of, text_of, whole_rows, with_row_key
 
 
 def line_keys(text: str) -> Iterator[tuple[int, int, bytes]]:
@@ -52,7 +52,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 line, at, key = zip(*flat, strict=True) if flat else ((), (), ())
                 yield pd.DataFrame({"_id": part["_id"].repeat(counts).array, "_th": np.repeat(part["_th"].to_numpy(), counts), "line": np.array(line, np.int32), "at": np.array(at, np.int32), "key": list(key)})
 
-    return with_row_key(docs.select("doc_id", text_of().alias("text"))).select("_id", "_th", "text").mapInPandas(rows, "_id long, _th long, line int, at int, key binary")
+    return with_row_key(docs).mapInPandas(rows, "_id long, _th long, line int, at int, key binary")
 
 
 def longest_run(values: list[int]) -> list[int]:
@@ -76,7 +76,7 @@ def longest_run(values: list[int]) -> list[int]:
 def aligned_lines(docs: DataFrame) -> DataFrame:
     """(_id, _th, lines): for each later document the lines that are aligned with an earlier one."""
     lines = line_rows(docs)
-    order = F.struct(F.col("_id").isNotNull().alias("s"), F.col("_id").alias("i"), F.col("_th").alias("t"))
+    order = F.struct(F.col("_id").alias("i"), F.col("_th").alias("t"))
     homes = (
         lines.groupBy("key")
         .agg(F.min(F.struct(order.alias("o"), F.col("at").alias("at"))).alias("home"), F.max(order).alias("_last"))
@@ -135,12 +135,16 @@ def cut(min_words: int):
     return cut_blocks
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8, text: str = "text") -> tuple[DataFrame, Column, Column]:
-    """docs with their texts cut, all columns in place, and _lines, _words: how many were deleted. A text that loses nothing is as it was."""
-    keyed = with_row_key(docs).withColumnsRenamed({"_id": "_did", "_th": "_dth"})
-    found = aligned_lines(docs).withColumnsRenamed({"_id": "_aid", "_th": "_ath"})
-    joined = keyed.join(found, F.col("_did").eqNullSafe(F.col("_aid")) & (F.col("_dth") == F.col("_ath")), "left")
-    done = joined.withColumn("_cut", cut(min_words)(text_of(text), F.col("lines")) if "lines" not in docs.columns else cut(min_words)(text_of(text), found["lines"]))
-    out = done.withColumn("_new", F.when(F.col("_cut.lines") > 0, F.col("_cut.text")).otherwise(keyed[text]))
-    columns = [F.col("_new").alias(c) if c == text else F.length(text_of("_new")).cast("long").alias(c) if c == "n_chars" else keyed[c] for c in docs.columns]
-    return out.select(*columns, F.col("_cut.lines").alias("_lines"), F.col("_cut.words").alias("_words"))
+def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
+    """_doc with docs' columns, the text cut and n_chars (if there is one) counted anew, and _lines, _words: how many were deleted.
+
+    A text that loses nothing is as it was, null included.
+    """
+    keyed = whole_rows(docs).withColumns({"_id": id_of("_doc.doc_id"), "_th": F.xxhash64(text_of("_doc.text"))})
+    found = aligned_lines(docs).select(F.col("_id").alias("_aid"), F.col("_th").alias("_ath"), F.col("lines").alias("_aligned"))
+    joined = keyed.join(found, (F.col("_id") == F.col("_aid")) & (F.col("_th") == F.col("_ath")), "left")
+    done = joined.withColumn("_cut", F.when(F.col("_aligned").isNotNull(), cut(min_words)(text_of("_doc.text"), F.col("_aligned"))))
+    done = done.withColumns({"_lines": F.coalesce("_cut.lines", F.lit(0)).cast("long"), "_words": F.coalesce("_cut.words", F.lit(0)).cast("long")})
+    new = {"text": F.when(F.col("_lines") > 0, F.col("_cut.text")).otherwise(F.col("_doc.text")), "n_chars": F.when(F.col("_lines") > 0, F.length("_cut.text").cast("long")).otherwise(F.col("_doc.n_chars")) if "n_chars" in docs.columns else None}
+    fields = [(new[c] if new.get(c) is not None else F.col("_doc").getField(c)).alias(c) for c in docs.columns]
+    return done.select(F.struct(*fields).alias("_doc"), "_lines", "_words")

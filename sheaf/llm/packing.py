@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import scratch_path, text_of
+from .common import id_again, id_of, scratch_path, text_of
 
 MAGIC = b"TIDS"
 HEADER = struct.Struct("<4sHHQQ")  # magic, version, bits, documents, ids
@@ -36,8 +36,6 @@ BLOCK_IDS = 1 << 16
 #: Encoded runs that a worker keeps, and bytes of text that it encodes at a time.
 CACHED, SLICE_BYTES = 600_000, 4_000_000
 BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
-#: doc_id of a null, in a block.
-NO_ID = -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -183,7 +181,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
         if parts:
             yield flush()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
+    rows = docs.select(id_of().alias("doc_id"), text_of().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     packed = ordered.mapInArrow(blocks, "part int, block int, n_ids long, n_docs long, data binary")
     packed.write.option("compression", "zstd").parquet(path)
@@ -211,7 +209,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 })
 
     read = table.select("part", "block", "data").mapInPandas(documents, "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return read.join(starts, ["part", "block"]).select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return read.join(starts, ["part", "block"]).select(id_again().alias("doc_id"), (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def packed_report(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:

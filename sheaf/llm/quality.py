@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_of
+from .common import checkpoint, id_again, id_of, text_of
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -93,7 +93,7 @@ def measured(docs: DataFrame) -> DataFrame:
             found = pd.DataFrame([measures(t) for t in pdf["text"]], columns=[*COUNTS, *RULES])
             yield pd.concat([pdf[["doc_id", "lang"]].reset_index(drop=True), found], axis=1)
 
-    return docs.select(F.col("doc_id").cast("long"), "lang", text_of().alias("text")).mapInPandas(measure, MEASURED)
+    return docs.select(id_of().alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of().alias("text")).mapInPandas(measure, MEASURED).withColumn("doc_id", id_again())
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:

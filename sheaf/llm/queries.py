@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, jaccard, licenses, linededup, mixing, packing, quality, toxicity, urls
+from .common import id_again, text_of
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,12 +17,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op3(docs: DataFrame) -> DataFrame:
     found = jaccard.near_classes(docs)
-    return found.select(F.col("_id").alias("doc_id"), "class_id", "n_links")
+    return found.select(id_again("_id").alias("doc_id"), id_again("class_id").alias("class_id"), "n_links")
 
 
 def op7(docs: DataFrame) -> DataFrame:
+    left = text_of("_doc.text")
     cut = linededup.dedup_lines(docs.select("doc_id", "text"))
-    return cut.select("doc_id", F.col("_lines").cast("long").alias("lines_deleted"), F.col("_words").cast("long").alias("words_deleted"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars_left"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    return cut.select("_doc.doc_id", F.col("_lines").alias("lines_deleted"), F.col("_words").alias("words_deleted"), F.length(left).cast("long").alias("chars_left"), F.sha2(left.cast("binary"), 256).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_of
+from .common import checkpoint, text_of, whole_rows
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -174,6 +174,6 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """The rows of docs, all columns, that score below the threshold."""
     score = score_column(fit(docs, labels, **options))
-    return docs.withColumn("_tox", score(text_of())).where(F.col("_tox") < threshold).select(docs.columns)
+    return whole_rows(docs).withColumn("_score", score(text_of("_doc.text"))).where(F.col("_score") < threshold).select("_doc.*")
 
 
