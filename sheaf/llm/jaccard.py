@@ -79,12 +79,18 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
-    """(a, b): each set and the first set of each bucket that it shares; enough for the components, and no square of a bucket."""
+    """(a, b): enough edges for the components of sets that share a bucket, and no square of a bucket.
+
+    A bucket's leader is its first set. A set is linked to the least of its leaders, and that one to the others:
+    sets of one group have few pairs of leaders between them, so most of these repeat and go.
+    """
     rows = sets.select("set_key", F.explode("bands").alias("band"))
     leaders = rows.groupBy("band").agg(F.min("set_key").alias("leader"), F.max("set_key").alias("_last")).where("leader < _last")
     # a second key of the join, so that both sides are dealt again and skewed bands can be split
     again = lambda df: df.withColumn("_k", F.col("band").bitwiseXOR(F.lit(0x5DEECE66D)))
-    return again(rows).join(again(leaders.select("band", "leader")), ["band", "_k"]).where("set_key <> leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
+    led = again(rows).join(again(leaders.select("band", "leader")), ["band", "_k"]).groupBy("set_key").agg(F.collect_set("leader").alias("leaders"))
+    linked = led.select(F.array_min("leaders").alias("a"), F.explode(F.array_union("leaders", F.array("set_key"))).alias("b"))
+    return linked.where("a <> b").distinct()
 
 
 def links_within(sizes: list[int], sets: list[np.ndarray], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
