@@ -33,5 +33,5 @@ def ingest_stream(spark: SparkSession, source: str, schema: StructType, target:
 
 def log_stream(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, width: str = "1 hour", late: str = "1 hour") -> StreamingQuery:
     """Windowed figures of the search log, appended when the watermark passes a window."""
-    rows = spark.readStream.schema(schema).parquet(source).withWatermark("ts", late)
+    rows = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return log_windows(rows, width).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
