@@ -44,7 +44,7 @@ def vote_sums(hash_column: str, bits: int) -> list[Column]:
     """
     out = []
     for block in range(bits // 64):
-        h = F.col(hash_column) if block == 0 else F.xxhash64(F.col(hash_column), F.lit(block))
+        h = F.col(hash_column) if block == 0 else F.when(F.col(hash_column).isNotNull(), F.xxhash64(F.col(hash_column), F.lit(block)))
         out += [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(LOW))).alias(f"_v{block}_{i}") for i in range(32)]
     return out
 

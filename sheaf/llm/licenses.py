@@ -178,9 +178,10 @@ def license_report(docs: DataFrame, rules: list[Rule] | None = None, base: tuple
         (F.size(F.split(F.concat(F.lit(" "), text, F.lit(" ")), ANY_GAP, -1)) - 2).cast("long").alias("n_words"),
     )
     labelled = lambda ws, p, label: F.transform(phrase_starts(ws, p), lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
-    maybe = F.col("_norm").rlike("|".join(f" {p} " for p, _ in base))
+    maybe = F.col("_norm").rlike("|".join(f" {p} " for p, _ in base) if base else "(?!)")
+    none = F.array().cast("array<struct<at:int,label:string>>")
     words = F.when(maybe, F.split(F.trim("_norm"), " "))
-    places = F.when(maybe, F.element_at(F.transform(F.array(words), lambda ws: F.concat(*[labelled(ws, p, label) for p, label in base])), 1))
+    places = F.when(maybe, F.element_at(F.transform(F.array(words), lambda ws: F.concat(none, *[labelled(ws, p, label) for p, label in base])), 1))
     found = F.when(F.col("_norm").isNotNull(), detections_of(F.col("_norm"), rules))
     scanned = texts.select(
         "_row", "doc_id", "n_words",
