@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import checkpoint, text_of, whole_rows
+from .common import checkpoint, id_of, text_of, whole_rows
 
 #: A key of this many buckets spreads a source's documents, so that no task holds a whole source.
 BUCKETS = 256
@@ -143,10 +143,10 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, each row as often as the mix takes its document, which stays whole."""
     draws = mix(docs, cut=False, **options).groupBy("doc_id", "_tie", "_bucket", "_rn").agg(F.count("copy").cast("int").alias("_times"))
-    taken = draws.groupBy(F.col("doc_id").alias("_mid"), F.col("_tie").alias("_mth")).agg(F.sort_array(F.collect_list(F.struct("_rn", "_times"))).alias("_taken"))
-    keyed = whole_rows(docs).withColumn("_dth", F.xxhash64(text_of("_doc.text")))
-    joined = keyed.join(taken, F.col("_doc.doc_id").eqNullSafe(F.col("_mid")) & (F.col("_dth") == F.col("_mth")))
-    # of rows that repeat id and text each takes its own turn
-    turn = joined.withColumn("_turn", F.row_number().over(W.partitionBy("_mth", "_mid").orderBy("_mth")))
+    taken = draws.groupBy(id_of().alias("_id"), F.col("_tie").alias("_th")).agg(F.sort_array(F.collect_list(F.struct("_rn", "_times"))).alias("_taken"))
+    keyed = whole_rows(docs).withColumns({"_id": id_of("_doc.doc_id"), "_th": F.xxhash64(text_of("_doc.text"))})
+    joined = keyed.join(taken, ["_id", "_th"])
+    # of rows that repeat id and text each takes its own turn; the join has dealt the rows by the same key
+    turn = joined.withColumn("_turn", F.row_number().over(W.partitionBy("_id", "_th").orderBy("_th")))
     times = F.col("_taken")[F.col("_turn") - 1]["_times"]
     return turn.withColumn("_n", F.explode(F.sequence(F.lit(0), times))).where("_n > 0").select("_doc.*")
