@@ -34,7 +34,7 @@ HEADER = struct.Struct("<4sHHQQ")  # magic, version, bits, documents, ids
 #: Ids after which a block ends; a longer document makes a longer block.
 BLOCK_IDS = 1 << 16
 #: Encoded runs that a worker keeps, and bytes of text that it encodes at a time.
-CACHED, SLICE_BYTES = 600_000, 4_000_000
+CACHED, SLICE_BYTES = 1_200_000, 4_000_000
 BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
 
 
