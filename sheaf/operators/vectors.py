@@ -37,15 +37,18 @@ def check_dimension(vectors: DataFrame, dimension: int | None = None) -> int:
     return low
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2sq", where: dict | None = None) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2sq", where: dict | None = None, max_queries: int = 100_000) -> DataFrame:
     """query_id, id, distance, rank of the k nearest vectors, ties by id; `where` filters the vectors first.
 
     Each batch of vectors meets all questions as a matrix product and keeps k for each, so a task sends k rows
-    a question and batch at most; the final k are ranked per question.
+    a question and batch at most; the final k are ranked per question. The questions pass through the driver:
+    more than max_queries raise ValueError (ask in parts, or use knn_sql, which takes any number).
     """
     for column, value in (where or {}).items():
         vectors = vectors.where(F.col(column) == value)
-    rows = queries.select("query_id", "qvec").collect()  # the stated question set, in blocks
+    rows = queries.select("query_id", "qvec").limit(max_queries + 1).collect()  # the stated question set, in blocks
+    if len(rows) > max_queries:
+        raise ValueError(f"more than {max_queries} questions")
     kind = queries.schema["query_id"].dataType.simpleString()
     parts = [_knn_block(vectors, rows[i : i + QUERY_BLOCK], k, metric, kind) for i in range(0, len(rows), QUERY_BLOCK)]
     if not parts:

@@ -174,6 +174,9 @@ def test_dimension_is_checked(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "embedding array<float>")
     with pytest.raises(ValueError):
         vectors.check_dimension(df)
+    many = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "query_id int, qvec array<float>")
+    with pytest.raises(ValueError):
+        vectors.knn(spark.createDataFrame([("a", [1.0])], "id string, embedding array<float>"), many, max_queries=1)
 
 
 def test_reading_order_joins_rows_by_running_mean(spark):
