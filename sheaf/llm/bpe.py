@@ -6,9 +6,12 @@ last one with the end-of-word mark. Neighbours merge by rank from a priority que
 of the symbols; entries whose symbols have changed since are stale and skipped. Decoding concatenates the
 ids' vocabulary strings, between spaces, as the vocabulary has no decoder of its own.
 
+Symbols are ids while they merge, and a pair of them is one number. An entry of the queue is one number too,
+its rank and place; it is stale if the pair at its place has another rank by then.
+
 A null text counts as the empty one, which has no ids and decodes to the empty string. Text is handled
-between spaces and line ends, which no piece crosses, so a worker keeps what it has encoded; the memory
-holds so many entries at most and then starts anew.
+between spaces and line ends, which no piece crosses, so a worker keeps the runs that it has encoded, and
+the pieces, which runs share; each memory holds so many entries at most and then starts anew.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from .common import id_again, id_of, text_of
 
 #: White space as the vocabulary's patterns mean it (the property White_Space), as members of a class.
 SPACE = r"\t-\r \x85\xa0  -     　"
-CACHED = 300_000
+#: What a worker remembers at most.
+KEPT_RUNS, KEPT_PIECES = 150_000, 400_000
 
 
 def default_vocabulary() -> str:
@@ -52,54 +56,65 @@ class WordBpe:
         self.end = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {m: (i, "".join(m)) for i, m in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}")
         self.pieces = regex.compile(pattern)
-        self.symbols = byte_symbols()
+        self.unknown = max(self.vocab.values()) + 1  # no pair holds it
+        self.ranks = {self.vocab[a] * (self.unknown + 1) + self.vocab[b]: i for i, (a, b) in enumerate(merges)}
+        self.merged = [self.vocab[a + b] for a, b in merges]
+        symbols = byte_symbols()
+        self.inner = [self.vocab.get(s, self.unknown) for s in symbols]
+        self.last = [self.vocab.get(s + self.end, self.unknown) for s in symbols]
+        self.marks = {s[0] for s in self.special}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.seen: dict[str, tuple[int, str, str]] = {}
 
-    def merge(self, symbols: list[str]) -> list[str]:
+    def merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, lowest rank first, leftmost first among equals."""
-        n = len(symbols)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        alive = [True] * n
-        queue: list[tuple[int, int, int, str, str]] = []
-
-        def offer(i: int) -> None:
-            j = after[i] if i >= 0 else -1
-            if j >= 0 and (found := self.ranks.get((symbols[i], symbols[j]))):
-                heapq.heappush(queue, (found[0], i, j, symbols[i], symbols[j]))
-
-        for i in range(n - 1):
-            offer(i)
+        n, wide, rank_of, merged = len(symbols), self.unknown + 1, self.ranks.get, self.merged
+        queue = [r * n + i for i in range(n - 1) if (r := rank_of(symbols[i] * wide + symbols[i + 1])) is not None]
+        heapq.heapify(queue)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while queue:
-            _, i, j, a, b = heapq.heappop(queue)
-            if not (alive[i] and alive[j]) or after[i] != j or symbols[i] != a or symbols[j] != b:
+            rank, i = divmod(heapq.heappop(queue), n)
+            j = after[i]
+            if symbols[i] < 0 or j == n or rank_of(symbols[i] * wide + symbols[j]) != rank:
                 continue  # stale
-            symbols[i] = a + b
-            alive[j] = False
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return [s for s, there in zip(symbols, alive, strict=True) if there]
+            symbols[i], symbols[j] = merged[rank], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank_of(symbols[i] * wide + symbols[k])) is not None:
+                    heapq.heappush(queue, r * n + i)
+            h = before[i]
+            if h >= 0 and (r := rank_of(symbols[h] * wide + symbols[i])) is not None:
+                heapq.heappush(queue, r * n + h)
+        return [s for s in symbols if 0 <= s < self.unknown]
+
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
+        found = self.known.get(piece)
+        if found is None:
+            if len(self.known) >= KEPT_PIECES:
+                self.known.clear()
+            data = piece.encode("utf-8", "surrogatepass")
+            symbols = [self.inner[b] for b in data]
+            symbols[-1] = self.last[data[-1]]
+            found = self.known[piece] = tuple(self.merge(symbols))
+        return found
 
     def encode_run(self, run: str) -> tuple[int, ...]:
         """The ids of text without spaces."""
         ids: list[int] = []
-        for k, part in enumerate(self.cut.split(run)):
+        for k, part in enumerate([run] if self.marks.isdisjoint(run) else self.cut.split(run)):
             if k % 2:
                 ids.append(self.special[part])
                 continue
-            plain = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
+            plain = part if part.isascii() else unicodedata.normalize("NFC", part)
+            plain = "".join(c.lower() for c in plain) if "Σ" in plain else plain.lower()  # the one letter whose lower case depends on its place
             for piece in self.pieces.findall(plain):
-                symbols = [self.symbols[b] for b in piece.encode("utf-8", "surrogatepass")]
-                symbols[-1] += self.end
-                ids += [self.vocab[s] for s in self.merge(symbols) if s in self.vocab]
+                ids += self.encode_piece(piece)
         return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
@@ -137,7 +152,7 @@ def encode_report(docs: DataFrame, path: str | None = None) -> DataFrame:
                 for run in runs_of(text):
                     found = kept.get(run)
                     if found is None:
-                        if len(kept) >= CACHED:
+                        if len(kept) >= KEPT_RUNS:
                             kept.clear()
                         new = bpe.encode_run(run)
                         found = kept[run] = (len(new), " ".join(map(str, new)), bpe.decode(new))
