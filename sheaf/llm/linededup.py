@@ -1,12 +1,14 @@
-"""Line dedup: align documents that share lines, and delete the aligned common blocks from the later one.
+"""Line dedup: find the runs of lines that documents share, and delete them from the later one.
 
-The k-th occurrence of a line in a document is its key, so a key is unique in its document. A key that two
-documents or more have is shared; its home is the first of them (by doc_id, nulls first, then text hash).
-A later document is paired with the homes of its shared keys: each occurrence belongs to one pair, so the
-work grows with the lines however many documents share one, and frequent lines need no cap. Within a pair
-all keys are unique in both documents, so patience diff is the longest run of keys in the same order in
-both. Aligned lines that follow one another (blank lines aside) form blocks; blocks of at least `min_words`
-words are deleted from the later document.
+A block is a run of non-blank lines, of at least `min_words` words, that stands in the same order and without other
+lines between in an earlier document (by doc_id, nulls first, then text hash). Wherever it stands in either, and
+however often, the later document loses it; so the first document that holds a line keeps it.
+
+A run that reaches `min_words` words and would not without its last line, or without its first, is a window. Windows
+depend on their own lines only, so two documents that share a block share all windows in it, and these cover it: from
+the left those that end as soon as they can, from the right those that start as late as they can. A line goes if a
+window over it stands in an earlier document. There are at most two windows a line, each looked up by its hash once, so
+the work grows with the lines: no pairs of documents are formed, and frequent lines need no cap.
 
 Null and empty texts have no lines and stay. Rows that repeat both id and text are one document: neither is
 later than the other, and both lose the same lines. Lines are compared without white space at their ends.
@@ -27,7 +29,7 @@ from .common import id_of, text_of, whole_rows, with_row_key
 
 
 def line_keys(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """(line number, number among non-blank lines, key) of the non-blank lines."""
+    """(line number, number among non-blank lines, key) of the non-blank lines; only the tests' former rule asks for it."""
     seen: dict[str, int] = {}
     n = 0
     for i, line in enumerate(text.split("\n")):
@@ -39,24 +41,42 @@ def line_keys(text: str) -> Iterator[tuple[int, int, bytes]]:
             n += 1
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(_id, _th, line, at, key) for each non-blank line."""
+def window_keys(text: str, min_words: int) -> dict[bytes, list[int]]:
+    """The key of each window of the text, and the numbers of the lines in it, wherever it stands."""
+    found = [(i, line.strip()) for i, line in enumerate(text.split("\n")) if line.strip()]
+    if not found:
+        return {}
+    digests = [md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for _, x in found]
+    words = np.zeros(len(found) + 1, np.int64)
+    np.cumsum([len(x.split()) for _, x in found], out=words[1:])
+    places, least = np.arange(len(found) + 1), max(min_words, 1)
+    ends = np.searchsorted(words, words[:-1] + least, "left")
+    starts = np.searchsorted(words, words[1:] - least, "right") - 1
+    windows = {*zip(places[:-1].tolist(), ends.tolist(), strict=True), *zip(starts.tolist(), places[1:].tolist(), strict=True)}
+    out: dict[bytes, set[int]] = {}
+    for lo, hi in windows:
+        if lo >= 0 and hi <= len(found):
+            key = digests[lo] if hi - lo == 1 else md5(b"".join(digests[lo:hi]), usedforsecurity=False).digest()
+            out.setdefault(key, set()).update(found[i][0] for i in range(lo, hi))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _th, key, lines) for each different window of a document."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 part = pdf.iloc[lo : lo + 500]
-                found = [list(line_keys(t)) for t in part["text"]]
+                found = [window_keys(t, min_words) for t in part["text"]]
                 counts = [len(f) for f in found]
-                flat = [x for f in found for x in f]
-                line, at, key = zip(*flat, strict=True) if flat else ((), (), ())
-                yield pd.DataFrame({"_id": part["_id"].repeat(counts).array, "_th": np.repeat(part["_th"].to_numpy(), counts), "line": np.array(line, np.int32), "at": np.array(at, np.int32), "key": list(key)})
+                yield pd.DataFrame({"_id": part["_id"].repeat(counts).array, "_th": np.repeat(part["_th"].to_numpy(), counts), "key": [k for f in found for k in f], "lines": [x for f in found for x in f.values()]})
 
-    return with_row_key(docs).mapInPandas(rows, "_id long, _th long, line int, at int, key binary")
+    return with_row_key(docs).mapInPandas(rows, "_id long, _th long, key binary, lines array<int>")
 
 
 def longest_run(values: list[int]) -> list[int]:
-    """Places of a longest increasing run, by patience sorting; the values are distinct."""
+    """Places of a longest increasing run, by patience sorting; the values are distinct. Only the tests' former rule asks for them."""
     if all(a < b for a, b in zip(values, values[1:], strict=False)):
         return list(range(len(values)))
     tops: list[int] = []
@@ -73,30 +93,14 @@ def longest_run(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned_lines(docs: DataFrame) -> DataFrame:
-    """(_id, _th, lines): for each later document the lines that are aligned with an earlier one."""
-    lines = line_rows(docs)
+def shared_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _th, lines): for each later document the lines in blocks that an earlier one holds."""
+    windows = window_rows(docs, min_words)
     order = F.struct(F.col("_id").alias("i"), F.col("_th").alias("t"))
-    homes = (
-        lines.groupBy("key")
-        .agg(F.min(F.struct(order.alias("o"), F.col("at").alias("at"))).alias("home"), F.max(order).alias("_last"))
-        .where("home.o <> _last")
-        .select("key", F.col("home.o").alias("home"), F.col("home.at").alias("home_at"))
-    )
+    firsts = windows.groupBy("key").agg(F.min(order).alias("_first"), F.max(order).alias("_last")).where("_first <> _last").select("key", "_first")
     again = lambda df: df.withColumn("_k", F.substring("key", 1, 4))  # noqa: E731  both sides are dealt again, so a frequent line can be split
-    shared = again(lines.withColumn("_o", order)).join(again(homes), ["key", "_k"]).where("_o <> home")
-    pairs = shared.groupBy("_id", "_th", "home").agg(F.collect_list(F.struct("at", "home_at", "line")).alias("lines"))
-
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for rows in pdf["lines"]:
-                found = sorted((r["at"], r["home_at"], r["line"]) for r in rows)
-                out.append([found[i][2] for i in longest_run([f[1] for f in found])])
-            yield pd.DataFrame({"_id": pdf["_id"], "_th": pdf["_th"], "lines": out})
-
-    runs = pairs.select("_id", "_th", "lines").mapInPandas(align, "_id long, _th long, lines array<int>")
-    return runs.groupBy("_id", "_th").agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    shared = again(windows.withColumn("_o", order)).join(again(firsts), ["key", "_k"]).where("_o <> _first")
+    return shared.groupBy("_id", "_th").agg(F.flatten(F.collect_list("lines")).alias("lines"))
 
 
 def without_blocks(text: str, aligned: set[int], min_words: int) -> tuple[str, int, int]:
@@ -141,7 +145,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     A text that loses nothing is as it was, null included.
     """
     keyed = whole_rows(docs).withColumns({"_id": id_of("_doc.doc_id"), "_th": F.xxhash64(text_of("_doc.text"))})
-    found = aligned_lines(docs).select(F.col("_id").alias("_aid"), F.col("_th").alias("_ath"), F.col("lines").alias("_aligned"))
+    found = shared_lines(docs, min_words).select(F.col("_id").alias("_aid"), F.col("_th").alias("_ath"), F.col("lines").alias("_aligned"))
     joined = keyed.join(found, (F.col("_id") == F.col("_aid")) & (F.col("_th") == F.col("_ath")), "left")
     done = joined.withColumn("_cut", F.when(F.col("_aligned").isNotNull(), cut(min_words)(text_of("_doc.text"), F.col("_aligned"))))
     done = done.withColumns({"_lines": F.coalesce("_cut.lines", F.lit(0)).cast("long"), "_words": F.coalesce("_cut.words", F.lit(0)).cast("long")})

@@ -406,6 +406,44 @@ def test_line_dedup_keeps_the_first_and_the_clean(spark):
     assert found == texts | {2: f"{prose(3, 30)}\n{prose(4, 30)}"}
 
 
+def shared_run_dedup(texts, min_words=8):
+    """For every pair of documents every common run of lines, by comparing all places with all."""
+    lines = {k: [(i, x.strip()) for i, x in enumerate((t or "").split("\n")) if x.strip()] for k, t in texts.items()}
+    out = {}
+    for k in sorted(texts):
+        gone, mine = set(), lines[k]
+        for other in (lines[j] for j in sorted(texts) if j < k):
+            for a in range(len(mine)):
+                for b in range(len(other)):
+                    n = 0
+                    while a + n < len(mine) and b + n < len(other) and mine[a + n][1] == other[b + n][1]:
+                        n += 1
+                    if sum(len(x.split()) for _, x in mine[a : a + n]) >= min_words:
+                        gone.update(i for i, _ in mine[a : a + n])
+        out[k] = "\n".join(x for i, x in enumerate((texts[k] or "").split("\n")) if i not in gone)
+    return out
+
+
+def line_deduped(spark, texts):
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r["doc_id"]: r["text"] for r in linededup.dedup_lines(rows).select("_doc.*").collect()}
+
+
+def test_line_dedup_finds_moved_and_repeated_passages(spark):
+    p1, p2 = ("\n".join(prose(s + i, 20) for i in range(3)) for s in (100, 110))
+    own = [prose(s, 30) for s in range(120, 132)]
+    texts = {1: f"{own[0]}\n{p1}\n{p2}", 2: f"{own[1]}\n{p2}", 3: f"{own[2]}\n{p2}\n{own[3]}\n{p1}", 4: f"{p1}\n{own[4]}\n{p1}\n{own[5]}"}
+    assert line_deduped(spark, texts) == {1: texts[1], 2: own[1], 3: f"{own[2]}\n{own[3]}", 4: f"{own[4]}\n{own[5]}"}
+
+
+def test_line_dedup_equals_brute_force_over_shared_runs(spark):
+    rng = np.random.default_rng(5)
+    pool = [prose(200 + i, n) for i, n in enumerate([1, 1, 2, 2, 3, 4, 5, 7, 8, 12])]
+    texts = {i: "\n".join(["", *pool][j] for j in rng.integers(0, 11, rng.integers(0, 12))) for i in range(60)}
+    expected = shared_run_dedup(texts)
+    assert line_deduped(spark, texts) == expected and 10 < sum(expected[i] != texts[i] for i in texts) < 60
+
+
 def test_line_dedup_of_odd_rows(odd, nothing):
     out = linededup.dedup_lines(odd).select("_doc.*")
     assert out.columns == odd.columns and out.count() == len(odd_rows()) and linededup.dedup_lines(nothing).count() == 0
