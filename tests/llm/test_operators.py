@@ -436,6 +436,14 @@ def test_line_dedup_finds_moved_and_repeated_passages(spark):
     assert line_deduped(spark, texts) == {1: texts[1], 2: own[1], 3: f"{own[2]}\n{own[3]}", 4: f"{own[4]}\n{own[5]}"}
 
 
+def test_line_dedup_keeps_short_lines_that_no_pair_shares_as_a_block(spark):
+    short = ["Yes", "All rights reserved", "Home", "Menu", "See also", "Contact us"]
+    own = [prose(s, 30) for s in range(140, 154)]
+    texts = {i: f"{own[2 * i]}\n{line}\n{own[2 * i + 1]}" for i, line in enumerate(short)}
+    texts |= {6: "\n".join([own[12], *short]), 7: "\n".join([own[13], *reversed(short)])}
+    assert line_deduped(spark, texts) == texts
+
+
 def test_line_dedup_equals_brute_force_over_shared_runs(spark):
     rng = np.random.default_rng(5)
     pool = [prose(200 + i, n) for i, n in enumerate([1, 1, 2, 2, 3, 4, 5, 7, 8, 12])]
