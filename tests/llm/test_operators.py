@@ -510,6 +510,23 @@ def test_trust_and_distrust_follow_links(spark):
     assert [got[h] for h in "abc"] == pytest.approx(list(x), abs=1e-9)
 
 
+def test_verdicts_do_not_depend_on_the_size_of_the_table(spark):
+    link = lambda host: f'<a href="//{host}/p">'
+    chain = [(i, f"http://h{i}.test/", link(f"h{i + 1}.test" if i < 11 else "bad.net")) for i in range(12)]
+    rows = spark.createDataFrame([*chain, (12, "http://bad.net/x", "")], "page_id long, url string, html string")
+    many = spark.range(1000, 1000 + 400_000).select(F.col("id").alias("page_id"), F.lit("http://farm.net/x").alias("url"), F.lit("").alias("html"))
+    for pages in (rows, rows.union(many)):
+        found = {r["page_id"]: r for r in urls.url_report(pages).where("page_id < 13").collect()}
+        assert [found[i]["verdict"] for i in range(13)] == ["block"] * 13 and all(found[i]["distrust"] > 0 for i in range(13))
+
+
+def test_pagerank_converges(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("b", "c", 1), ("c", "a", 1)], "src string, dst string, weight long")
+    got = {r["host"]: r["score"] for r in urls.pagerank(edges, spark.createDataFrame([("a", 2.0)], "host string, seed double")).collect()}
+    m = np.array([[0, 0.5, 1], [1, 0, 0], [0, 0.5, 0]])
+    assert [got[h] for h in "abc"] == pytest.approx(list(np.linalg.solve(np.eye(3) - 0.85 * m, [0.3, 0, 0])), rel=1e-4)
+
+
 # --- 10
 
 
