@@ -3,7 +3,8 @@
 A text is normalised to its words (A-Z lower-cased; runs of digits, a-z and characters beyond ASCII) with
 one space between. A rule has a label, a keyword, a pattern over such text, and a score; the earlier rule
 has priority. A rule is tried only where the text holds its keyword, and nothing is tried where the text
-holds no keyword of any rule. A detection whose interval lies in that of a detection with higher priority
+holds no keyword of any rule. An SPDX tag gives a detection for each id of its expression that stands
+after known ids only. A detection whose interval lies in that of a detection with higher priority
 is suppressed. What contains something that was itself suppressed is contained in its suppressor as well, so
 one look at all detections of higher priority resolves the overlaps.
 
@@ -37,6 +38,8 @@ class Rule(NamedTuple):
     score: float
     #: A string that every match holds, by which whole texts are let through.
     gate: str = "licen"
+    #: Where the gate is a common string: a pattern that such texts, in lower case, must hold too.
+    shape: str = ""
 
 
 #: Label, the name in words as a pattern, its keyword, versions (as words; none: unversioned).
@@ -74,6 +77,16 @@ FAMILIES = (
     ("upl", "universal permissive licen[sc]e", "universal permissive", ("1 0",)),
     ("ecl", "educational community licen[sc]e", "educational community", ("1 0", "2 0")),
 )
+#: Label, the SPDX id without version as a pattern, and whether a version makes it clear without a notice.
+SHORT = (
+    ("agpl", "agpl", True), ("lgpl", "lgpl", True), ("gfdl", "gfdl", True), ("gpl", "gpl", True), ("apache", "apache", True), ("mpl", "mpl", True), ("epl", "epl", False), ("cddl", "cddl", True),
+    ("cpl", "cpl", False), ("eupl", "eupl", True), ("artistic", "artistic", False), ("osl", "osl", False), ("afl", "afl", False), ("ofl", "ofl", False), ("bsl", "bsl", False), ("odbl", "odbl", True),
+    ("bsd", "(?:0bsd|bsd [0-4] clause|bsd)", False), ("mit", "(?:mit|x11)(?: 0)?", False), ("isc", "isc", False), ("zlib", "zlib(?: acknowledgement)?", False), ("unlicense", "unlicense", False), ("wtfpl", "wtfpl", False),
+    ("python", "(?:python|psf)", False), ("php", "php", False), ("ruby", "ruby", False), ("postgresql", "postgresql", False), ("ms-pl", "ms pl", False), ("ms-rl", "ms rl", False), ("openssl", "openssl", False),
+    ("cecill", "cecill(?: [abc])?", True), ("upl", "upl", False), ("ecl", "ecl", False),
+)
+#: Follows a version in an SPDX id.
+SPDX_END = "(?: no invariants| invariants)?(?: only| or later)?"
 #: The parts that a Creative Commons licence's name is made of.
 CC_PARTS = (("by", "by|attribution"), ("by-sa", "by sa|attribution share ?alike"), ("by-nd", "by nd|attribution no ?deriv(?:ative)?s?(?: works)?"), ("by-nc", "by nc|attribution non ?commercial"), ("by-nc-sa", "by nc sa|attribution non ?commercial share ?alike"), ("by-nc-nd", "by nc nd|attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"))
 CC_STARTS = (("creative commons", "creative commons", "commons"), ("cc", "cc", "cc"))
@@ -103,7 +116,7 @@ NOTICES = ("licen[sc]ed under(?: the)?(?: terms of(?: the)?)?", "released under(
 def build_rules() -> list[Rule]:
     """A few hundred rules, the longest and surest first: a notice with a version, a version, texts, a notice, a name."""
     named = [(label, name, keyword, versions) for label, name, keyword, versions in FAMILIES]
-    rules = []
+    rules = spdx_rules()
     for (label, name, keyword, versions), notice in product(named, NOTICES):
         rules += [Rule(f"{label}-{v.replace(' ', '.')}", keyword, f"{notice} {name}(?: v(?:ersion)?)? v?{v}(?: or(?: any)? later(?: version)?)?", 1.0) for v in versions]
     lead = f"(?:(?:{'|'.join(NOTICES[:3])}) )?"
@@ -116,6 +129,39 @@ def build_rules() -> list[Rule]:
     for (part, words), (start, keyword, gate) in product(reversed(CC_PARTS), CC_STARTS):
         rules.append(Rule(f"cc-{part}", keyword, f"{lead}{start} (?:{words})", 0.7, gate))
     rules += [Rule(label, keyword, name, 0.7) for label, name, keyword, _ in named]
+    return rules + short_rules()
+
+
+def short_versions() -> list[tuple[str, str, bool, list[tuple[str, str]]]]:
+    """SHORT with each family's versions: the label of one and its pattern; 2 stands for 2.0 where it is not a version itself."""
+    versions = {label: v for label, _, _, v in FAMILIES}
+
+    def pattern(v: str, all_: tuple) -> str:
+        major, _, minor = v.partition(" ")
+        others = "|".join(w.partition(" ")[2] for w in all_ if w.startswith(f"{major} ") and w != v)
+        return v if minor != "0" or major in all_ else f"{major}(?: 0)?" + (f"(?! (?:{others}) )" if others else "")
+
+    return [(label, name, clear, [(f"{label}-{v.replace(' ', '.')}", pattern(v, versions[label])) for v in versions[label]]) for label, name, clear in SHORT]
+
+
+def spdx_rules() -> list[Rule]:
+    """SPDX tags: each id of an expression, after the lead and other ids of this list; versions first."""
+    names = "|".join([*(name for _, name, _ in SHORT), "cc0", "cc by(?: nc)?(?: sa| nd)?"])
+    one = f"(?:{names})(?: v?[0-9]{{1,2}})?(?: [0-9]{{1,2}})?{SPDX_END} (?:or|and) "
+    after = f"(?<= spdx licen[sc]e identifier {f'(?:{one})?' * 5})"  # Java wants a bound: ids beyond the sixth have no rule
+    rules = [Rule(label, "spdx licen", f"(?={name} v?{v}){after}{name} v?{v}{SPDX_END}", 1.0) for _, name, _, versions in short_versions() for label, v in versions]
+    return rules + [Rule(label, "spdx licen", f"(?={name} ){after}{name}", 0.9) for label, name, _ in SHORT]
+
+
+def short_rules() -> list[Rule]:
+    """Short names with a version, and BSD with its clauses; what may mean something else after a notice only."""
+    under = f"(?:(?:{'|'.join(NOTICES[:3])}) )"
+    rules = []
+    for label, name, clear, versions in short_versions():
+        for word, found in [("python", "python"), ("psf", "psf")] if label == "python" else [(name.split("(")[0], name)]:
+            shape = rf"{word}[^a-z0-9]*(?:[abc][^a-z0-9]+)?(?:v|version)?[^a-z0-9]*[0-9]"
+            rules += [Rule(full, word, f"{under}{'?' if clear else ''}{found}(?: version)? ?v? ?{v}{SPDX_END}", 0.6, word, shape) for full, v in versions]
+    rules.append(Rule("bsd", "bsd", f"{under}?bsd [0-4] clause", 0.6, "bsd", r"bsd[^a-z0-9]+[0-4][^a-z0-9]+clause"))
     return rules
 
 
@@ -161,10 +207,16 @@ def detections_of(norm: Column, rules: list[Rule]) -> Column:
 
 
 def any_keyword(text: Column, rules: list[Rule]) -> Column:
-    """Whether a text in lower case holds a gate of a rule, by the fewest strings that cover them all."""
-    words = sorted({r.gate for r in rules}, key=lambda w: (len(w), w))
-    least = [w for i, w in enumerate(words) if not any(x in w for x in words[:i])]
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in least], F.lit(False))
+    """Whether a text in lower case holds a gate of a rule and, if that has one, a shape, by the fewest strings that cover them all."""
+
+    def holds(gates: set[str]) -> Column:
+        words = sorted(gates, key=lambda w: (len(w), w))
+        least = [w for i, w in enumerate(words) if not any(x in w for x in words[:i])]
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in least], F.lit(False))
+
+    shapes = sorted({r.shape for r in rules if r.shape})
+    plain = holds({r.gate for r in rules if not r.shape})
+    return plain | (holds({r.gate for r in rules if r.shape}) & F.rlike(text, F.lit("|".join(shapes)))) if shapes else plain
 
 
 def license_report(docs: DataFrame, rules: list[Rule] | None = None, base: tuple = BASE_PHRASES) -> DataFrame:

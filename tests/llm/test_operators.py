@@ -153,6 +153,27 @@ def test_license_suppression_equals_brute_force(spark):
     assert r["n_detections"] == len(kept) and r["labels"] == ",".join(sorted({rules[p].label for p, _, _ in kept}))
 
 
+SPDX_TAGS = {
+    "AGPL-3.0-or-later": "agpl-3.0", "LGPL-2.1-only": "lgpl-2.1", "GFDL-1.3-no-invariants-or-later": "gfdl-1.3", "GPL-3.0-or-later": "gpl-3.0", "GPL-2.0+": "gpl-2.0", "Apache-2.0": "apache-2.0",
+    "MPL-2.0": "mpl-2.0", "EPL-2.0": "epl-2.0", "CDDL-1.1": "cddl-1.1", "CPL-1.0": "cpl-1.0", "EUPL-1.2": "eupl-1.2", "Artistic-2.0": "artistic-2.0", "OSL-3.0": "osl-3.0", "AFL-3.0": "afl-3.0",
+    "OFL-1.1": "ofl-1.1", "BSL-1.0": "bsl-1.0", "ODbL-1.0": "odbl-1.0", "BSD-3-Clause": "bsd", "0BSD": "bsd", "MIT": "mit", "MIT-0": "mit", "X11": "mit", "ISC": "isc", "Zlib": "zlib", "Unlicense": "unlicense",
+    "WTFPL": "wtfpl", "Python-2.0": "python-2", "PSF-2.0": "python-2", "PHP-3.01": "php-3.01", "Ruby": "ruby", "PostgreSQL": "postgresql", "MS-PL": "ms-pl", "MS-RL": "ms-rl", "OpenSSL": "openssl",
+    "CECILL-2.1": "cecill-2.1", "CECILL-B": "cecill", "UPL-1.0": "upl-1.0", "ECL-2.0": "ecl-2.0", "CC-BY-SA-4.0": "cc-by-sa-4.0", "CC0-1.0": "cc0",
+    "(MIT OR Apache-2.0)": "apache-2.0,mit", "GPL-2.0-only AND BSD-2-Clause AND ISC": "bsd,gpl-2.0,isc",
+}
+SHORT_NAMES = {
+    "It is GPLv2": "gpl-2", "GPL v3+": "gpl-3", "Apache-2.0": "apache-2.0", "uses BSD-3-Clause": "bsd", "MPLv2": "mpl-2.0", "LGPL 2.1": "lgpl-2.1", "released under the EPL-2.0": "epl-2.0",
+    "a simple example of 2 cats": "", "we won the EPL 2-0": "", "Python 2.0": "", "komm mit": "", "Apache Spark": "",
+}
+
+
+def test_spdx_tags_and_short_names(spark):
+    assert {label.split("-")[0] if label not in ("ms-pl", "ms-rl") else label for v in SPDX_TAGS.values() for label in v.split(",")} >= {f[0] for f in licenses.FAMILIES}
+    rows = [*((f"/* SPDX-License-Identifier: {k} */\nint x;", v) for k, v in SPDX_TAGS.items()), *SHORT_NAMES.items()]
+    found = by_id(licenses.license_report(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")))
+    assert {t: found[i]["labels"] for i, (t, _) in enumerate(rows)} == dict(rows)
+
+
 def test_rules_are_hundreds_and_odd_rows(odd, nothing):
     assert 200 < len(licenses.build_rules()) < 1000
     assert licenses.license_report(odd).count() == len(odd_rows()) and licenses.license_report(nothing).count() == 0
