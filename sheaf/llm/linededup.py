@@ -1,17 +1,26 @@
-"""Line dedup: find the runs of lines that documents share, and delete them from the later one.
+"""Line dedup: find overlapping documents by rare line hashes they share, align each pair, delete the common blocks.
 
 A block is a run of non-blank lines, of at least `min_words` words, that stands in the same order and without other
 lines between in an earlier document (by doc_id, nulls first, then text hash). Wherever it stands in either, and
-however often, the later document loses it; so the first document that holds a line keeps it.
+however often, the later document loses it; so the first document that holds a block keeps it.
 
-A run that reaches `min_words` words and would not without its last line, or without its first, is a window. Windows
-depend on their own lines only, so two documents that share a block share all windows in it, and these cover it: from
-the left those that end as soon as they can, from the right those that start as late as they can. A line goes if a
-window over it stands in an earlier document. There are at most two windows a line, each looked up by its hash once, so
-the work grows with the lines: no pairs of documents are formed, and frequent lines need no cap.
+Rare lines: a short line ("Yes", a brace) says nothing about where a text comes from, so a line alone is a seed only
+if it has `min_words` words; shorter ones are hashed with those that follow, or that precede, until they have. Such
+seeds depend on their own lines only. Two documents that share a block share all seeds in it, and these cover it:
+from the left those that end as soon as they can, from the right those that start as late as they can. A line
+has two seeds at most.
+
+Pairs: a seed pairs each later document that holds it with the first one that does. That is a row a seed, never
+the square of its holders, so a passage that a third of all documents share needs no cap; and every seed of every
+common block has a pair, so no block is lost, whichever documents share it.
+
+Alignment: within a pair the seeds on one diagonal (as far apart in both documents) join to blocks, and patience
+sorting takes the longest run of blocks that stand in one order in both; the others, which the diff crosses, are
+marked as moved. Both are common blocks of this pair and go; nothing is joined over different pairs.
 
 Null and empty texts have no lines and stay. Rows that repeat both id and text are one document: neither is
-later than the other, and both lose the same lines. Lines are compared without white space at their ends.
+later than the other, and both lose the same lines. Lines are compared without white space at their ends. Very long
+texts are handled line by line; a task holds the seeds of one document at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +28,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import md5
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,58 +37,57 @@ from pyspark.sql import functions as F
 
 from .common import id_of, text_of, whole_rows, with_row_key
 
+BLOCKS = "array<struct<start:int,lines:int,other_id:long,other_th:long,other_start:int,moved:boolean>>"
+
+
+class Block(NamedTuple):
+    """Lines start to start + lines of the later document (blank ones not counted), and where they stand in the other."""
 
-def line_keys(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """(line number, number among non-blank lines, key) of the non-blank lines; only the tests' former rule asks for it."""
-    seen: dict[str, int] = {}
-    n = 0
-    for i, line in enumerate(text.split("\n")):
-        line = line.strip()
-        if line:
-            k = seen.get(line, 0)
-            seen[line] = k + 1
-            yield i, n, md5(f"{k}\x00{line}".encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
-            n += 1
+    start: int
+    lines: int
+    other_start: int
+    moved: bool
 
 
-def window_keys(text: str, min_words: int) -> dict[bytes, list[int]]:
-    """The key of each window of the text, and the numbers of the lines in it, wherever it stands."""
-    found = [(i, line.strip()) for i, line in enumerate(text.split("\n")) if line.strip()]
+def seeds_of(text: str, min_words: int) -> dict[bytes, tuple[int, list[int]]]:
+    """For the key of each seed how many lines it has and where it stands, blank lines not counted."""
+    found = [line for line in map(str.strip, text.split("\n")) if line]
     if not found:
         return {}
-    digests = [md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for _, x in found]
+    digests = [md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for x in found]
     words = np.zeros(len(found) + 1, np.int64)
-    np.cumsum([len(x.split()) for _, x in found], out=words[1:])
+    np.cumsum([len(x.split()) for x in found], out=words[1:])
     places, least = np.arange(len(found) + 1), max(min_words, 1)
     ends = np.searchsorted(words, words[:-1] + least, "left")
     starts = np.searchsorted(words, words[1:] - least, "right") - 1
-    windows = {*zip(places[:-1].tolist(), ends.tolist(), strict=True), *zip(starts.tolist(), places[1:].tolist(), strict=True)}
-    out: dict[bytes, set[int]] = {}
-    for lo, hi in windows:
+    spans = {*zip(places[:-1].tolist(), ends.tolist(), strict=True), *zip(starts.tolist(), places[1:].tolist(), strict=True)}
+    out: dict[bytes, tuple[int, list[int]]] = {}
+    for lo, hi in sorted(spans):
         if lo >= 0 and hi <= len(found):
             key = digests[lo] if hi - lo == 1 else md5(b"".join(digests[lo:hi]), usedforsecurity=False).digest()
-            out.setdefault(key, set()).update(found[i][0] for i in range(lo, hi))
-    return {k: sorted(v) for k, v in out.items()}
+            out.setdefault(key, (hi - lo, []))[1].append(lo)
+    return out
 
 
-def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(_id, _th, key, lines) for each different window of a document."""
+def seed_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _th, key, lines, at) for each different seed of a document."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 part = pdf.iloc[lo : lo + 500]
-                found = [window_keys(t, min_words) for t in part["text"]]
+                found = [seeds_of(t, min_words) for t in part["text"]]
                 counts = [len(f) for f in found]
-                yield pd.DataFrame({"_id": part["_id"].repeat(counts).array, "_th": np.repeat(part["_th"].to_numpy(), counts), "key": [k for f in found for k in f], "lines": [x for f in found for x in f.values()]})
+                yield pd.DataFrame({
+                    "_id": part["_id"].repeat(counts).array, "_th": np.repeat(part["_th"].to_numpy(), counts), "key": [k for f in found for k in f],
+                    "lines": [n for f in found for n, _ in f.values()], "at": [a for f in found for _, a in f.values()],
+                })
 
-    return with_row_key(docs).mapInPandas(rows, "_id long, _th long, key binary, lines array<int>")
+    return with_row_key(docs).mapInPandas(rows, "_id long, _th long, key binary, lines int, at array<int>")
 
 
 def longest_run(values: list[int]) -> list[int]:
-    """Places of a longest increasing run, by patience sorting; the values are distinct. Only the tests' former rule asks for them."""
-    if all(a < b for a, b in zip(values, values[1:], strict=False)):
-        return list(range(len(values)))
+    """Places of a longest increasing run, by patience sorting."""
     tops: list[int] = []
     top_at: list[int] = []
     before = [-1] * len(values)
@@ -93,62 +102,81 @@ def longest_run(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(_id, _th, lines): for each later document the lines in blocks that an earlier one holds."""
-    windows = window_rows(docs, min_words)
+def align(seeds: list[tuple[int, int, int]]) -> list[Block]:
+    """The common blocks of a pair. seeds: (start, lines, start in the other document)."""
+    merged: list[list[int]] = []
+    for start, lines, other in sorted(set(seeds), key=lambda s: (s[2] - s[0], s[0], s[1])):
+        last = merged[-1] if merged else None
+        if last and other - start == last[2] - last[0] and start <= last[0] + last[1]:
+            last[1] = max(last[1], start + lines - last[0])
+        else:
+            merged.append([start, lines, other])
+    merged.sort(key=lambda b: (b[0], -b[2]))
+    in_order = set(longest_run([b[2] for b in merged]))
+    return [Block(*b, i not in in_order) for i, b in enumerate(merged)]
+
+
+def shared_blocks(docs: DataFrame, min_words: int = 8) -> DataFrame:
+    """(_id, _th, blocks): for each document that shares blocks with earlier ones all of these, pair by pair."""
+    seeds = seed_rows(docs, min_words)
     order = F.struct(F.col("_id").alias("i"), F.col("_th").alias("t"))
-    firsts = windows.groupBy("key").agg(F.min(order).alias("_first"), F.max(order).alias("_last")).where("_first <> _last").select("key", "_first")
-    again = lambda df: df.withColumn("_k", F.substring("key", 1, 4))  # noqa: E731  both sides are dealt again, so a frequent line can be split
-    shared = again(windows.withColumn("_o", order)).join(again(firsts), ["key", "_k"]).where("_o <> _first")
-    return shared.groupBy("_id", "_th").agg(F.flatten(F.collect_list("lines")).alias("lines"))
-
-
-def without_blocks(text: str, aligned: set[int], min_words: int) -> tuple[str, int, int]:
-    """The text without the runs of aligned lines that have so many words, and the lines and words deleted."""
-    lines = text.split("\n")
-    gone: set[int] = set()
-    run: list[int] = []
-    words = total = 0
-
-    def close() -> None:
-        nonlocal words, total, run
-        if words >= min_words:
-            gone.update(run)
-            total += words
-        run, words = [], 0
-
-    for i, line in enumerate(lines):
-        n = len(line.split())
-        if not n:
-            continue
-        if i in aligned:
-            run.append(i)
-            words += n
+    first = F.min(F.struct(F.col("_id").alias("i"), F.col("_th").alias("t"), F.col("at")[0].alias("at")))
+    firsts = seeds.groupBy("key").agg(first.alias("_first"), F.max(order).alias("_last")).where("_first.i <> _last.i or _first.t <> _last.t").select("key", "_first")
+    again = lambda df: df.withColumn("_k", F.substring("key", 1, 4))  # noqa: E731  both sides are dealt again, so a frequent seed can be split
+    pairs = again(seeds).join(again(firsts), ["key", "_k"]).where("_id <> _first.i or _th <> _first.t")
+    one = F.transform("at", lambda a: F.struct("_first", "lines", a.alias("start")))
+    held = pairs.groupBy("_id", "_th").agg(F.flatten(F.collect_list(one)).alias("_s"))
+    parts = {"other": lambda s: s["_first"]["i"], "other_th": lambda s: s["_first"]["t"], "other_start": lambda s: s["_first"]["at"], "lines": lambda s: s["lines"], "start": lambda s: s["start"]}
+    flat = held.select("_id", "_th", *[F.transform("_s", f).alias(name) for name, f in parts.items()])
+
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf[[*parts]].itertuples(index=False):
+                by_pair: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+                for other, th, at, lines, start in zip(*(x.tolist() for x in row), strict=True):
+                    by_pair.setdefault((other, th), []).append((start, lines, at))
+                out.append([{"start": b.start, "lines": b.lines, "other_id": o, "other_th": t, "other_start": b.other_start, "moved": b.moved} for (o, t), s in sorted(by_pair.items()) for b in align(s)])
+            yield pd.DataFrame({"_id": pdf["_id"], "_th": pdf["_th"], "blocks": out})
+
+    return flat.mapInPandas(aligned, f"_id long, _th long, blocks {BLOCKS}")
+
+
+def without_blocks(text: str, blocks: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """The text without the blocks (start, lines), and the lines and words deleted."""
+    gone = {i for start, lines in blocks for i in range(start, start + lines)}
+    kept, n, deleted, words = [], 0, 0, 0
+    for line in text.split("\n"):
+        size = len(line.split())
+        if size and n in gone:
+            deleted += 1
+            words += size
         else:
-            close()
-    close()
-    return ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone), total) if gone else (text, 0, 0)
+            kept.append(line)
+        n += size > 0
+    return "\n".join(kept), deleted, words
 
 
-def cut(min_words: int):
+def cut():
     @F.pandas_udf("text string, lines long, words long")
-    def cut_blocks(text: pd.Series, lines: pd.Series) -> pd.DataFrame:
-        found = [without_blocks(t, set(x.tolist()), min_words) if x is not None and len(x) else (t, 0, 0) for t, x in zip(text, lines, strict=True)]
+    def cut_blocks(text: pd.Series, starts: pd.Series, lines: pd.Series) -> pd.DataFrame:
+        found = [without_blocks(t, list(zip(s.tolist(), n.tolist(), strict=True))) if s is not None else (t, 0, 0) for t, s, n in zip(text, starts, lines, strict=True)]
         return pd.DataFrame(found, columns=["text", "lines", "words"])
 
     return cut_blocks
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """_doc with docs' columns, the text cut and n_chars (if there is one) counted anew, and _lines, _words: how many were deleted.
+    """_doc with docs' columns, the text cut and n_chars (if there is one) counted anew; _lines, _words: how many were deleted; _blocks (null: none).
 
     A text that loses nothing is as it was, null included.
     """
     keyed = whole_rows(docs).withColumns({"_id": id_of("_doc.doc_id"), "_th": F.xxhash64(text_of("_doc.text"))})
-    found = shared_lines(docs, min_words).select(F.col("_id").alias("_aid"), F.col("_th").alias("_ath"), F.col("lines").alias("_aligned"))
+    found = shared_blocks(docs, min_words).select(F.col("_id").alias("_aid"), F.col("_th").alias("_ath"), F.col("blocks").alias("_blocks"))
     joined = keyed.join(found, (F.col("_id") == F.col("_aid")) & (F.col("_th") == F.col("_ath")), "left")
-    done = joined.withColumn("_cut", F.when(F.col("_aligned").isNotNull(), cut(min_words)(text_of("_doc.text"), F.col("_aligned"))))
+    after = cut()(text_of("_doc.text"), F.transform("_blocks", lambda b: b["start"]), F.transform("_blocks", lambda b: b["lines"]))
+    done = joined.withColumn("_cut", F.when(F.col("_blocks").isNotNull(), after))
     done = done.withColumns({"_lines": F.coalesce("_cut.lines", F.lit(0)).cast("long"), "_words": F.coalesce("_cut.words", F.lit(0)).cast("long")})
     new = {"text": F.when(F.col("_lines") > 0, F.col("_cut.text")).otherwise(F.col("_doc.text")), "n_chars": F.when(F.col("_lines") > 0, F.length("_cut.text").cast("long")).otherwise(F.col("_doc.n_chars")) if "n_chars" in docs.columns else None}
     fields = [(new[c] if new.get(c) is not None else F.col("_doc").getField(c)).alias(c) for c in docs.columns]
-    return done.select(F.struct(*fields).alias("_doc"), "_lines", "_words")
+    return done.select(F.struct(*fields).alias("_doc"), "_lines", "_words", "_blocks")

@@ -387,35 +387,36 @@ def test_quality_of_odd_rows(odd, nothing, labels):
 # --- 7
 
 
-def py_line_dedup(texts, min_words=8):
-    """Documents in order of their keys; each occurrence of a line belongs to the first document that has as many of it."""
-    keys = sorted(texts)
-    home, out = {}, {}
-    lines = {k: list(linededup.line_keys(texts[k] or "")) for k in keys}
-    for k in keys:
-        for _, at, key in lines[k]:
-            home.setdefault(key, (k, at))
-    for k in keys:
-        pairs = collections.defaultdict(list)
-        for line, at, key in lines[k]:
-            if home[key][0] != k:
-                pairs[home[key][0]].append((at, home[key][1], line))
-        aligned = set()
-        for rows in pairs.values():
-            rows.sort()
-            best = [1] * len(rows)  # the plain quadratic longest increasing run
-            for i in range(len(rows)):
-                best[i] = 1 + max([best[j] for j in range(i) if rows[j][1] < rows[i][1]], default=0)
-            chosen = [rows[i][2] for i in linededup.longest_run([r[1] for r in rows])]
-            assert len(chosen) == max(best, default=0)
-            aligned |= set(chosen)
-        out[k] = linededup.without_blocks(texts[k] or "", aligned, min_words)[0]
+def shared_run_dedup(texts, min_words=8):
+    """For every pair of documents every common run of lines, by comparing all places of equal lines."""
+    lines = {k: [(i, x.strip()) for i, x in enumerate((t or "").split("\n")) if x.strip()] for k, t in texts.items()}
+    places = {k: collections.defaultdict(list) for k in texts}
+    for k, rows in lines.items():
+        for b, (_, x) in enumerate(rows):
+            places[k][x].append(b)
+    out = {}
+    for k in sorted(texts):
+        gone, mine = set(), lines[k]
+        for j in sorted(texts):
+            if j >= k:
+                break
+            other = lines[j]
+            for a, (_, x) in enumerate(mine):
+                for b in places[j].get(x, ()):
+                    if a and b and mine[a - 1][1] == other[b - 1][1]:
+                        continue  # inside a run that began before
+                    n = 0
+                    while a + n < len(mine) and b + n < len(other) and mine[a + n][1] == other[b + n][1]:
+                        n += 1
+                    if sum(len(y.split()) for _, y in mine[a : a + n]) >= min_words:
+                        gone.update(i for i, _ in mine[a : a + n])
+        out[k] = "\n".join(x for i, x in enumerate((texts[k] or "").split("\n")) if i not in gone)
     return out
 
 
 def test_line_dedup(spark, sf, docs):
     found = by_id(QUERIES["op7_linededup"](spark, sf))
-    expected = py_line_dedup(docs)
+    expected = shared_run_dedup(docs)
     assert {i: r["text_sha256"] for i, r in found.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in expected.items()}
     assert sum(r["lines_deleted"] for r in found.values()) > 0
 
@@ -427,24 +428,6 @@ def test_line_dedup_keeps_the_first_and_the_clean(spark):
     assert found == texts | {2: f"{prose(3, 30)}\n{prose(4, 30)}"}
 
 
-def shared_run_dedup(texts, min_words=8):
-    """For every pair of documents every common run of lines, by comparing all places with all."""
-    lines = {k: [(i, x.strip()) for i, x in enumerate((t or "").split("\n")) if x.strip()] for k, t in texts.items()}
-    out = {}
-    for k in sorted(texts):
-        gone, mine = set(), lines[k]
-        for other in (lines[j] for j in sorted(texts) if j < k):
-            for a in range(len(mine)):
-                for b in range(len(other)):
-                    n = 0
-                    while a + n < len(mine) and b + n < len(other) and mine[a + n][1] == other[b + n][1]:
-                        n += 1
-                    if sum(len(x.split()) for _, x in mine[a : a + n]) >= min_words:
-                        gone.update(i for i, _ in mine[a : a + n])
-        out[k] = "\n".join(x for i, x in enumerate((texts[k] or "").split("\n")) if i not in gone)
-    return out
-
-
 def line_deduped(spark, texts):
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     return {r["doc_id"]: r["text"] for r in linededup.dedup_lines(rows).select("_doc.*").collect()}
@@ -473,6 +456,39 @@ def test_line_dedup_equals_brute_force_over_shared_runs(spark):
     assert line_deduped(spark, texts) == expected and 10 < sum(expected[i] != texts[i] for i in texts) < 60
 
 
+def test_line_dedup_keeps_a_mosaic_of_short_lines_and_cuts_whole_blocks(spark):
+    bits = [f"tiny {i}" for i in range(8)]
+    texts = {i: f"{prose(300 + i, 30)}\n{x}\n{prose(310 + i, 30)}" for i, x in enumerate(bits)} | {8: "\n".join(bits)}
+    passage = [prose(320 + i, n) for i, n in enumerate((20, 2, 20, 3, 20))]
+    texts |= {20: "\n".join(passage), 21: "\n".join([prose(330, 20), passage[1], prose(331, 20), *passage, prose(332, 20)])}
+    found = line_deduped(spark, texts)
+    assert found == texts | {21: "\n".join([prose(330, 20), passage[1], prose(331, 20), prose(332, 20)])}
+
+
+def test_alignment_of_a_pair():
+    def longest(values):  # the plain quadratic longest increasing run
+        best = [1] * len(values)
+        for i in range(len(values)):
+            best[i] = 1 + max([best[j] for j in range(i) if values[j] < values[i]], default=0)
+        return max(best, default=0)
+
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 9, 40):
+        values = rng.permutation(n).tolist()
+        run = linededup.longest_run(values)
+        assert len(run) == longest(values) and all(a < b and values[a] < values[b] for a, b in zip(run, run[1:]))
+    blocks = linededup.align([(0, 2, 10), (1, 2, 11), (3, 1, 13), (5, 1, 20), (6, 2, 2), (0, 2, 10), (9, 1, 30)])
+    assert [tuple(b) for b in blocks] == [(0, 4, 10, False), (5, 1, 20, False), (6, 2, 2, True), (9, 1, 30, False)]
+
+
+def test_blocks_name_the_earlier_document(spark):
+    p, q = ("\n".join(prose(s + i, 12) for i in range(2)) for s in (340, 350))
+    rows = [(1, f"{prose(360, 9)}\n{p}\n\n{q}"), (2, f"{q}\n{prose(361, 9)}\n{p}")]
+    found = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("_doc.doc_id = 2").first()
+    assert found["_lines"] == 4 and sorted((b["start"], b["lines"], b["other_id"], b["other_start"]) for b in found["_blocks"]) == [(0, 2, 1, 3), (3, 2, 1, 1)]
+    assert sorted(b["moved"] for b in found["_blocks"]) == [False, True]
+
+
 def test_line_dedup_of_odd_rows(odd, nothing):
     out = linededup.dedup_lines(odd).select("_doc.*")
     assert out.columns == odd.columns and out.count() == len(odd_rows()) and linededup.dedup_lines(nothing).count() == 0

@@ -4,7 +4,7 @@ import collections
 
 import corpus_pipeline
 from sheaf.llm import mixing
-from tests.llm.test_operators import py_classes, py_line_dedup
+from tests.llm.test_operators import py_classes, shared_run_dedup
 
 
 def test_stages(spark, sf, tmp_path):
@@ -21,7 +21,7 @@ def test_stages(spark, sf, tmp_path):
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
     assert len(toxic & {r["doc_id"] for r in clean}) <= 0.3 * len(toxic) and len(clean) >= 0.8 * spark.read.parquet(f"{sf}/documents.parquet").count()
     texts = {r["doc_id"]: r["text"] for r in cut}
-    assert texts == py_line_dedup({r["doc_id"]: r["text"] for r in clean}) and all(r["n_chars"] == len(r["text"]) for r in cut)
+    assert texts == shared_run_dedup({r["doc_id"]: r["text"] for r in clean}) and all(r["n_chars"] == len(r["text"]) for r in cut)
     assert {r["doc_id"] for r in single} == {c for c, _ in py_classes(texts).values()}
     times = collections.Counter(r["doc_id"] for r in mixed)
     assert max(times.values()) <= 3 and set(times) <= {r["doc_id"] for r in single}
