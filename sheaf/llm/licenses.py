@@ -8,13 +8,17 @@ after known ids only. A detection whose interval lies in that of a detection wit
 is suppressed. What contains something that was itself suppressed is contained in its suppressor as well, so
 one look at all detections of higher priority resolves the overlaps.
 
-Null and empty texts have no words and no detections. Repeated rows keep a row each.
+Null and empty texts have no words and no detections. Repeated rows keep a row each. Two detections with one interval
+are a tie that the earlier rule wins; a rule has each interval once. A very long text is scanned whole, in its row; the
+detections that one is compared with start within the widest pattern's reach before it.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import product
+from re import _parser as parser
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -91,30 +95,231 @@ SPDX_END = "(?: no invariants| invariants)?(?: only| or later)?"
 CC_PARTS = (("by", "by|attribution"), ("by-sa", "by sa|attribution share ?alike"), ("by-nd", "by nd|attribution no ?deriv(?:ative)?s?(?: works)?"), ("by-nc", "by nc|attribution non ?commercial"), ("by-nc-sa", "by nc sa|attribution non ?commercial share ?alike"), ("by-nc-nd", "by nc nd|attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"))
 CC_STARTS = (("creative commons", "creative commons", "commons"), ("cc", "cc", "cc"))
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Sentences of licence texts and notices: label, keyword, pattern, score, gate.
+#: Sentences of licence texts, notices, exceptions and terms: label, pattern, score, and a rare word that every match holds where it has none of GATES.
 TEXTS = (
-    ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1.0, "documentation files"),
-    ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1.0, "permission"),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", 0.95, "redistribution"),
-    ("bsd-3-clause", "neither the name", "neither the names? of .{1,80}? may be used to endorse or promote products derived from this software", 1.0, "endorse"),
-    ("zlib", "this software is provided as is", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0.95, "warranty"),
-    ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain", 1.0, "unencumbered"),
-    ("gpl", "free software you can", "this program is free software you can redistribute it and or modify it", 0.95, "redistribute"),
-    ("lgpl", "free software you can", "this library is free software you can redistribute it and or modify it", 0.95, "redistribute"),
-    ("apache", "you may not use this file", "you may not use this file except in compliance with the licen[sc]e", 0.9, "compliance"),
-    ("mpl", "source code form", "this source code form is subject to the terms of the mozilla public licen[sc]e", 1.0, "mozilla"),
-    ("public-domain", "public domain", "(?:placed|released|dedicated|put) (?:in|into|to) the public domain", 0.8, "domain"),
-    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?", 0.9, "cc0"),
-    ("proprietary", "all rights reserved", "all rights reserved", 0.3, "reserved"),
-    ("proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)", 0.6, "confidential"),
-    ("copyright", "copyright", "copyright (?:c |© )?(?:19|20)[0-9]{2}", 0.2, "copyright"),
+    # permissive texts
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1.0),
+    ("mit", "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions", 0.95),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense", 0.95),
+    ("mit-0", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided", 1.0),
+    ("mit-advertising", "the end user documentation or (?:any )?advertising materials? must (?:include|display) (?:the following|an) acknowledgement", 0.9, "acknowledgement"),
+    ("x11", "except as contained in this notice the names? of .{1,80}? shall not be used in advertising or otherwise to promote the sale", 1.0, "advertising"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1.0),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and without fee )?is hereby granted", 0.95),
+    ("hpnd", "both that (?:the )?copyright notice and this permission notice appear in supporting documentation", 0.95),
+    ("ntp", "makes no representations about the suitability (?:of )?this software for any purpose", 0.9),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 0.95),
+    ("bsd-2-clause", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 0.9),
+    ("bsd-1-clause", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0.85),
+    ("bsd-3-clause", "neither the names? of .{1,80}? may be used to endorse or promote products derived from this software", 1.0),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 1.0),
+    ("bsd-4-clause-uc", "this product includes software developed by the university of california berkeley and its contributors", 1.0),
+    ("bsd-clear", "no express or implied licen[sc]es to any party s patent rights are granted by this licen[sc]e", 1.0),
+    ("bsd-patent", "no licen[sc]e or right is granted under any patent rights except as expressly set forth", 0.8),
+    ("ncsa", "to deal with the software without restriction including without limitation the rights to use copy modify", 1.0),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0.95),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", 1.0),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 1.0),
+    ("libpng", "the png reference library is supplied as is", 1.0, "png"),
+    ("libtiff", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", 1.0),
+    ("ijg", "this software is based in part on the work of the independent jpeg group", 1.0),
+    ("freetype", "portions of this software are copyright .{1,40}? the freetype project", 1.0),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[sc]e", 1.0),
+    ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 0.95),
+    ("icu", "to permit persons to whom the software is furnished to do so provided that the above copyright notice s and this permission notice appear in all copies", 0.95),
+    ("unicode", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", 1.0),
+    ("w3c", "w3c software (?:and document )?notice and licen[sc]e", 1.0),
+    ("w3c", "by obtaining using and or copying this work you (?:the )?licensee agree", 0.9),
+    ("postgresql", "in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages", 1.0, "consequential"),
+    ("python", "psf is making python available to licensee on an as is basis", 1.0),
+    ("python", "beopen(?: com)? (?:python )?open source licen[sc]e agreement", 1.0),
+    ("cnri", "cnri (?:open source )?licen[sc]e agreement", 1.0),
+    ("zpl", "zope public licen[sc]e(?: zpl)?(?: version)?", 1.0),
+    ("php", "this product includes php software freely available from", 1.0),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 1.0),
+    ("ssleay", "this product includes cryptographic software written by eric young", 1.0),
+    ("vim", "(?:the )?vim licen[sc]e", 0.9),
+    ("vim", "vim is charityware", 0.9, "charityware"),
+    ("json", "the software shall be used for good not evil", 1.0),
+    ("beerware", "the beer ?ware licen[sc]e", 1.0),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer", 1.0, "beer"),
+    ("wtfpl", "you just do what the fuck you want to", 1.0, "fuck"),
+    ("fair", "usage of the works is permitted provided that this instrument is retained with the works", 1.0),
+    ("naumen", "naumen public licen[sc]e", 1.0),
+    ("xnet", "(?:the )?x net licen[sc]e", 0.9),
+    ("tcl", "the authors hereby grant permission to use copy modify distribute and licen[sc]e this software and its documentation for any purpose", 1.0),
+    ("bzip2", "this program bzip2 (?:and )?the associated library libbzip2", 1.0, "libbzip2"),
+    ("blueoak", "blue oak model licen[sc]e", 1.0),
+    ("mulan", "mulan permissive software licen[sc]e", 1.0),
+    ("afl", "licensed under the academic free licen[sc]e version", 1.0),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 1.0),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", 1.0),
+    ("0bsd", "with or without fee is hereby granted the software is provided as is and the author disclaims all warranties", 1.0),
+    # apache
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis", 1.0),
+    ("apache-2.0", "you may obtain a copy of the licen[sc]e at (?:http s? |https? )?www apache org licenses licen[sc]e 2 0", 1.0),
+    ("apache-2.0", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[sc]e", 1.0),
+    ("apache-2.0", "licensed to the apache software foundation asf under one or more contributor licen[sc]e agreements", 1.0),
+    ("apache", "you may not use this file except in compliance with the licen[sc]e", 0.9),
+    ("apache-1.1", "this product includes software developed by the apache (?:software foundation|group)", 0.95),
+    ("apache-1.1", "products derived from this software may not be called apache nor may apache appear in their name", 1.0),
+    # copyleft texts and notices
+    ("gpl", "this program is free software you can redistribute it and or modify it", 0.95),
+    ("gpl-2.0-or-later", "gnu general public licen[sc]e as published by the free software foundation either version 2 (?:of the licen[sc]e )?or at your option any later version", 1.0),
+    ("gpl-3.0-or-later", "gnu general public licen[sc]e as published by the free software foundation either version 3 (?:of the licen[sc]e )?or at your option any later version", 1.0),
+    ("gpl-2.0-only", "gnu general public licen[sc]e version 2 (?:only )?as published by the free software foundation", 1.0),
+    ("gpl", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu", 0.9),
+    ("gpl", "you should have received a copy of the gnu general public licen[sc]e along with this (?:program|library|file|package)", 1.0),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document but changing it is not allowed", 0.9),
+    ("gpl-2.0", "the licenses for most software are designed to take away your freedom to share and change it", 1.0),
+    ("gpl-3.0", "the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works", 1.0),
+    ("gpl-1.0", "the licen[sc]e agreements of most software companies try to keep users at the mercy of those companies", 1.0),
+    ("gpl", "gnu gpl comes with absolutely no warranty", 0.7),
+    ("lgpl", "this library is free software you can redistribute it and or modify it", 0.95),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", 1.0),
+    ("lgpl-2.1-or-later", "gnu lesser general public licen[sc]e as published by the free software foundation either version 2 1", 1.0),
+    ("lgpl-3.0-or-later", "gnu lesser general public licen[sc]e as published by the free software foundation either version 3", 1.0),
+    ("lgpl-2.0", "(?:gnu )?library general public licen[sc]e as published by the free software foundation", 0.95),
+    ("lgpl-3.0", "this version of the gnu lesser general public licen[sc]e incorporates the terms and conditions of version 3", 1.0),
+    ("agpl-3.0", "remote network interaction use with the gnu general public licen[sc]e", 1.0),
+    ("agpl-3.0", "interacting with it remotely through a computer network", 0.9, "remotely"),
+    ("agpl-3.0-or-later", "gnu affero general public licen[sc]e as published by the free software foundation either version 3", 1.0),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", 1.0),
+    ("gfdl-no-invariants", "with no invariant sections no front cover texts and no back cover texts", 1.0, "invariant"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0", 1.0),
+    ("mpl", "this source code form is subject to the terms of the mozilla public licen[sc]e", 1.0),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public licen[sc]e version 1 1", 1.0),
+    ("mpl-2.0-no-copyleft", "incompatible with secondary licenses as defined by the mozilla public licen[sc]e", 1.0),
+    ("npl", "netscape public licen[sc]e", 0.9),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", 1.0),
+    ("edl", "eclipse distribution licen[sc]e", 0.9),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution licen[sc]e", 1.0),
+    ("cpl", "the accompanying program is provided under the terms of this common public licen[sc]e", 1.0),
+    ("ipl", "ibm public licen[sc]e", 0.9),
+    ("spl", "sun public licen[sc]e", 0.9),
+    ("apsl", "apple public source licen[sc]e", 0.95),
+    ("qpl", "(?:the )?q public licen[sc]e", 0.95),
+    ("rpl", "reciprocal public licen[sc]e", 0.95),
+    ("rpsl", "realnetworks public source licen[sc]e", 0.95),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code", 1.0),
+    ("osl", "licensed under the open software licen[sc]e version", 1.0),
+    ("cecill", "ce logiciel est r.gi par la licence cecill", 1.0),
+    ("cecill", "this software is governed by the cecill(?: [abc])? licen[sc]e under french law", 1.0),
+    ("eupl", "licensed under the eupl(?: version)?", 1.0),
+    ("ms-pl", "this licen[sc]e governs use of the accompanying software if you use the software you accept this licen[sc]e", 0.95),
+    ("cpal", "common public attribution licen[sc]e", 0.95),
+    ("lppl", "latex project public licen[sc]e", 1.0),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied", 1.0, "package"),
+    ("perl", "under the same terms as perl(?: itself)?", 0.95, "perl"),
+    ("ruby", "under the same terms as ruby(?: itself)?", 0.95, "ruby"),
+    # fonts, data and works
+    ("ofl", "this font software is licensed under the sil open font licen[sc]e", 1.0),
+    ("ofl", "with reserved font names?", 0.9),
+    ("bitstream-vera", "bitstream vera is a trademark of bitstream", 1.0, "bitstream"),
+    ("ubuntu-font", "ubuntu font licen[sc]e", 1.0),
+    ("arphic", "arphic public licen[sc]e", 1.0),
+    ("odbl", "this .{1,60}? (?:database )?is made available under the open database licen[sc]e", 1.0),
+    ("odc-by", "open data commons attribution licen[sc]e", 0.95),
+    ("pddl", "(?:open data commons )?public domain dedication and licen[sc]e", 0.95),
+    ("ogl-uk", "open government licen[sc]e(?: v ?[123](?: 0)?)?", 0.9),
+    ("etalab", "licence ouverte(?: open licence)?", 0.9),
+    ("cdla", "community data licen[sc]e agreement(?: permissive| sharing)?", 0.95),
+    ("cc", "this work is licensed under a creative commons .{1,80}? licen[sc]e", 0.9),
+    ("cc-by-sa", "text is available under the creative commons attribution share ?alike licen[sc]e", 1.0),
+    ("cc0", "to the extent possible under law .{1,120}? has waived all copyright and related or neighbou?ring rights", 1.0),
+    ("cc0", "(?:cc0 )?no rights reserved", 0.7),
+    ("cc0", "cc0(?: 1 0)?(?: universal)?", 0.9, "cc0"),
+    ("cc-pdm", "public domain mark(?: 1 0)?", 0.9),
+    ("cc-sampling", "creative commons sampling plus", 0.9),
+    ("fal", "free art licen[sc]e", 0.9),
+    ("gutenberg", "(?:full )?project gutenberg tm? licen[sc]e", 0.95),
+    ("gutenberg", "this ebook is for the use of anyone anywhere (?:in the united states and most other parts of the world )?at no cost", 1.0, "ebook"),
+    ("openrail", "responsible ai licen[sc]e(?: openrail m?)?", 0.9),
+    ("openrail", "creativeml open rail(?: plus)? m", 0.95, "creativeml"),
+    ("llama", "llama(?: [23](?: [0-9])?)? community licen[sc]e agreement", 0.95),
+    ("public-domain", "(?:placed|released|dedicated|put) (?:in|into|to) the public domain", 0.8),
+    ("public-domain", "this (?:file|work|code|software|image|text) is (?:hereby )?in the public domain", 0.8),
+    ("public-domain", "work of the united states government (?:and|that) is (?:therefore )?(?:in the public domain|not subject to copyright)", 0.9, "government"),
+    # exceptions
+    ("classpath-exception", "(?:gnu )?classpath exception", 0.95, "classpath"),
+    ("classpath-exception", "linking this library statically or dynamically with other modules is making a combined work", 1.0, "statically"),
+    ("gcc-exception", "gcc runtime library exception", 1.0, "gcc"),
+    ("autoconf-exception", "contains a configuration script generated by autoconf", 1.0, "autoconf"),
+    ("bison-exception", "(?:the )?bison parser skeleton", 0.9, "bison"),
+    ("openssl-exception", "link(?:ing)? (?:the code of )?(?:this program|portions of this program) with the openssl library", 0.95, "openssl"),
+    ("llvm-exception", "apache licen[sc]e v(?:ersion)? ?2 0 with llvm exceptions?", 1.0),
+    ("font-exception", "embed this font or unaltered portions of this font into the document", 1.0, "unaltered"),
+    ("linux-syscall-note", "user programs that use kernel services by normal system calls", 1.0, "kernel"),
+    ("universal-foss-exception", "universal foss exception", 1.0, "foss"),
+    # source available
+    ("sspl", "server side public licen[sc]e", 1.0),
+    ("busl", "business source licen[sc]e", 1.0),
+    ("elastic", "elastic licen[sc]e(?: 2 0| v2)?", 0.9),
+    ("commons-clause", "commons clause(?: licen[sc]e condition)?", 0.9),
+    ("polyform", "polyform (?:noncommercial|small business|shield|perimeter|strict|internal use|free trial)(?: licen[sc]e)?", 0.95, "polyform"),
+    ("confluent", "confluent community licen[sc]e", 1.0),
+    ("rsal", "redis source available licen[sc]e", 1.0),
+    ("prosperity", "prosperity public licen[sc]e", 1.0),
+    ("parity", "parity public licen[sc]e", 1.0),
+    ("hippocratic", "hippocratic licen[sc]e", 1.0),
+    ("anti-996", "anti 996 licen[sc]e", 1.0),
+    # proprietary and general notices
+    ("proprietary", "all rights reserved", 0.3),
+    ("proprietary", "alle rechte vorbehalten", 0.3, "vorbehalten"),
+    ("proprietary", "tous droits r.serv.s", 0.3, "droits"),
+    ("proprietary", "todos los derechos reservados", 0.3, "reservados"),
+    ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", 0.6, "confidential"),
+    ("proprietary", "(?:contains|constitutes?) (?:valuable )?trade secrets?", 0.5, "secret"),
+    ("proprietary", "unauthori[sz]ed copying of this (?:file|software|document|work)", 0.7, "copying"),
+    ("proprietary", "end user licen[sc]e agreement", 0.6),
+    ("proprietary", "for evaluation purposes only", 0.5, "evaluation"),
+    ("non-commercial", "for (?:personal )?non ?commercial use only", 0.6, "commercial"),
+    ("research-only", "for (?:academic |non ?commercial )?research purposes only", 0.6, "research"),
+    ("freeware", "this (?:program|software) is freeware", 0.6, "freeware"),
+    ("shareware", "this (?:program|software) is shareware", 0.6, "shareware"),
+    ("dual", "dual licen[sc]ed under", 0.5),
+    ("other", "see the file licen[sc]e for (?:details|licen[sc]e terms)", 0.4),
+    ("other", "see the file copying for (?:details|copying permission)", 0.4, "copying"),
+    ("other", "(?:ver.ffentlicht|lizenziert) unter (?:der|einer) .{1,40}? ?lizenz", 0.4, "lizenz"),
+    ("other", "(?:publi. |distribu. |diffus. )?sous licence (?:libre|publique|gnu|mit|apache)", 0.4),
+    ("other", "(?:publicado |distribuido )?bajo (?:la )?licencia (?:libre|p.blica|gnu|mit|apache)", 0.4),
+    ("copyright", "copyright (?:c |© )?(?:19|20)[0-9]{2}", 0.2),
 )
+#: Words by which whole texts are let through to the rules, the commonest among the rules first.
+GATES = ("licen", "software", "copyright", "reserved", "permission", "redistribut", "domain", "commons", "gnu", "apache", "permitted")
 #: Words that lead up to a licence's name in a notice.
 NOTICES = ("licen[sc]ed under(?: the)?(?: terms of(?: the)?)?", "released under(?: the)?(?: terms of(?: the)?)?", "(?:distributed|available|published|provided) under(?: the)?(?: terms of(?: the)?)?", "spdx licen[sc]e identifier")
 
 
+def literals(pattern: str) -> list[str]:
+    """What every match of a pattern holds: its text without groups, classes and optional characters."""
+    before = None
+    while before != pattern:
+        before, pattern = pattern, re.sub(r"\((?:\?:)?[^()]*\)[?*]?", "\0", pattern)
+    return re.sub(r"\[[^\]]*\][?*]?|\.(?:\{[^}]*\})?\??|.\?", "\0", pattern).split("\0")
+
+
+def text_rule(label: str, pattern: str, score: float, gate: str | None = None) -> Rule:
+    """The rule of a sentence: its keyword is its longest literal part, from a word's start; its gate the one given or the first of GATES that it holds."""
+    parts = literals(pattern)
+    keyword = max([parts[0], *(p.partition(" ")[2] for p in parts[1:])], key=len).strip()
+    gate = gate or next((g for g in GATES if any(g in p for p in parts)), None)
+    if gate is None:
+        raise ValueError(f"no gate for: {pattern}")
+    return Rule(label, keyword, pattern, score, gate)
+
+
+def widest(patterns: list[str]) -> int | None:
+    """The most characters that a match of one of the patterns has; None if there is no bound, or none is known."""
+    try:
+        most = max((parser.parse(p).getwidth()[1] for p in patterns), default=0)
+    except re.error:  # Java's own syntax
+        return None
+    return most if most < 1_000_000 else None
+
+
 def build_rules() -> list[Rule]:
-    """A few hundred rules, the longest and surest first: a notice with a version, a version, texts, a notice, a name."""
+    """Some hundreds of rules, the longest and surest first: a notice with a version, a version, texts, a notice, a name."""
     named = [(label, name, keyword, versions) for label, name, keyword, versions in FAMILIES]
     rules = spdx_rules()
     for (label, name, keyword, versions), notice in product(named, NOTICES):
@@ -124,7 +329,7 @@ def build_rules() -> list[Rule]:
         rules.append(Rule(f"cc-{part}-{v.replace(' ', '.')}", keyword, f"{lead}{start} (?:{words}) {v}(?: international| unported| generic)?", 0.95, gate))
     for label, name, keyword, versions in named:
         rules += [Rule(f"{label}-{v.replace(' ', '.')}", keyword, f"{name}(?: v(?:ersion)?)? v?{v}(?: or(?: any)? later(?: version)?)?", 0.95) for v in versions]
-    rules += [Rule(*text) for text in TEXTS]
+    rules += [text_rule(*text) for text in TEXTS]
     rules += [Rule(label, keyword, f"{notice} {name}", 0.9) for (label, name, keyword, _), notice in product(named, NOTICES)]
     for (part, words), (start, keyword, gate) in product(reversed(CC_PARTS), CC_STARTS):
         rules.append(Rule(f"cc-{part}", keyword, f"{lead}{start} (?:{words})", 0.7, gate))
@@ -222,7 +427,7 @@ def any_keyword(text: Column, rules: list[Rule]) -> Column:
 def license_report(docs: DataFrame, rules: list[Rule] | None = None, base: tuple = BASE_PHRASES) -> DataFrame:
     """A row for each document: counts of words and base phrases, base labels, all labels, the best score, detections kept."""
     rules = build_rules() if rules is None else rules
-    longest = 400  # characters between the starts of a detection and of one that it contains; no pattern matches more
+    longest = widest([r.pattern for r in rules])  # a detection starts at most so many characters before one that it contains
     text = text_of()
     gate = any_keyword(F.lower(text), [*rules, *[Rule(label, phrase, "", 0, phrase.split()[-1]) for phrase, label in base]])
     texts = docs.select(
@@ -244,7 +449,7 @@ def license_report(docs: DataFrame, rules: list[Rule] | None = None, base: tuple
         F.coalesce(F.array_sort(F.array_distinct(F.transform("_places", lambda p: p["label"]))), F.array().cast("array<string>")).alias("_base"), "_d.*",
     ).withColumn("n_base", F.greatest("_n", F.lit(0).cast("long")))
     # among the detections that start at most `longest` characters before, one of higher priority contains this one
-    near = W.partitionBy("_row").orderBy("start").rangeBetween(-longest, 0)
+    near = W.partitionBy("_row").orderBy("start").rangeBetween(W.unboundedPreceding if longest is None else -longest, 0)
     before = F.collect_list(F.when(F.col("start").isNotNull(), F.struct("rule", "start", "end"))).over(near)
     shadowed = F.exists("_before", lambda o: (o["rule"] < F.col("rule")) & (o["start"] <= F.col("start")) & (o["end"] >= F.col("end")))
     kept = scanned.withColumn("_before", before).withColumn("_keep", F.col("rule").isNotNull() & ~shadowed).drop("_before")
