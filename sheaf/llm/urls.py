@@ -8,12 +8,13 @@ Where no rule fits, the host does. Hosts link to the hosts of the links in their
 `//`), and a host to the nearest host above it by name (m.a.example to a.example), which stands for the links within a site that
 relative links make. Trust is personalised PageRank from the hosts of allowed pages along the edges; distrust
 is PageRank from the hosts of blocked pages against them, as who links to a bad host is suspect. Both are
-carried in units of one decided page, so what a host gets does not shrink as the table grows, and until no host's
-score changes any more; the report has them as shares of all allowed or blocked pages. A host with more distrust
-than `bias` times its trust, both as shares, and distrust of at least `least` pages, is blocked.
+carried in units of one decided page, so what a host gets neither shrinks as the table grows nor depends on hosts that it
+has no path to, and until no host's score changes any more. A host with more distrust than `bias` times its trust, and
+distrust of at least `least` pages, is blocked; a tie allows.
 
 Null urls and urls without `://` have an empty host and path, no rule, and are allowed. Null html has no links.
-Repeated rows keep a row each. Seeds count each host once for each of its pages that a rule decides.
+Repeated rows keep a row each. Seeds count each host once for each of its pages that a rule decides. A very long page is
+read whole, in its row, for its links. Among equally long rules the first in the list decides.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
 
 
 def url_report(pages: DataFrame, rules: tuple = RULES, damping: float = 0.85, rounds: int | None = None, bias: float = 1.0, least: float = 1e-6) -> DataFrame:
-    """A row for each page: page_id, host, path, rule, verdict, trust, distrust."""
+    """A row for each page: page_id, host, path, rule, verdict, and its host's trust and distrust, in pages."""
     read = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     ruled = read.withColumn("_d", decided(F.col("host"), F.col("path"), rules))
     edges = checkpoint(host_edges(read))
@@ -95,12 +96,11 @@ def url_report(pages: DataFrame, rules: tuple = RULES, damping: float = 0.85, ro
     for name, of, graph in (("trust", "good", edges), ("distrust", "bad", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))):
         seeds = votes.where(F.col(of) > 0).select("host", F.col(of).cast("double").alias("seed"))
         scored = scored.join(pagerank(graph, seeds, damping, rounds, least=least).withColumnRenamed("score", f"_{name}"), "host", "left")
-    totals = votes.agg(F.sum("good").alias("_good"), F.sum("bad").alias("_bad"))  # one row
-    share = lambda of, total: F.when(F.col(total) > 0, F.coalesce(F.col(of), F.lit(0.0)) / F.col(total)).otherwise(F.lit(0.0))
-    scored = scored.crossJoin(F.broadcast(totals)).select(F.col("host").alias("_host"), share("_trust", "_good").alias("trust"), share("_distrust", "_bad").alias("distrust"), F.coalesce("_distrust", F.lit(0.0)).alias("_pages"))
+    pages_of = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    scored = scored.select(F.col("host").alias("_host"), pages_of("_trust").alias("trust"), pages_of("_distrust").alias("distrust"))
     spread = F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int")  # a host may hold a third of all pages
     salted = scored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     joined = ruled.drop("html").withColumn("_s", spread).join(salted, (F.col("host") == F.col("_host")) & (F.col("_s") == F.col("_salt")), "left")
-    bad = (F.col("_pages") >= least) & (F.col("distrust") > bias * F.col("trust"))
+    bad = (F.col("distrust") >= least) & (F.col("distrust") > bias * F.col("trust"))
     verdict = F.coalesce(F.col("_d.verdict"), F.when(F.coalesce(bad, F.lit(False)), "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", F.col("_d.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
