@@ -9,7 +9,9 @@ the first failure and so needs no correction. Hence with probability 1 - error e
 falsely reject at most a share `risk`. A stratum with too few labels gets no cutoffs and rejects nothing.
 
 A null or empty text has no words, fails the base rules, and is not kept. A null language is a stratum of
-its own. Repeated rows keep a row each; repeated labels count once, as good only if all of them say so.
+its own. Repeated rows keep a row each, but a label counts once: rows that repeat a labelled id are one trial of the
+holdout, the first by language and measures. A document is good only if all its labels say so. A measure equal to
+a cutoff is not above it. Very long texts are measured whole, one at a time.
 """
 
 from __future__ import annotations
@@ -96,13 +98,29 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(id_of().alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of().alias("text")).mapInPandas(measure, MEASURED).withColumn("doc_id", id_again())
 
 
-def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X of n trials with chance p."""
-    if k >= n:
+def binomial_cdf(k: int, n: int, p: float, enough: float = 1.0) -> float:
+    """P(X <= k) for X of n trials with chance p; where that exceeds `enough`, some value that does.
+
+    Away from the mean the terms fall fast, so a tail is summed from its largest term on, until the terms no longer count.
+    """
+    if k >= n or p <= 0:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    if k < 0 or p >= 1:
+        return 0.0
+
+    def term(i: int) -> float:
+        return math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+
+    low = k <= n * p
+    i = k if low else k + 1
+    here, total = term(i), 0.0
+    while here > total * 1e-17 and total <= enough:
+        total += here
+        if low:
+            here, i = here * (1 - p) / p * i / (n - i + 1), i - 1
+        else:
+            here, i = here * p / (1 - p) * (n - i) / (i + 1), i + 1
+    return min(1.0, total) if low else max(0.0, 1.0 - total)
 
 
 def cutoffs(counts: list[dict], risk: float = 0.05, error: float = 0.05) -> dict[str | None, dict[str, float]]:
@@ -114,25 +132,27 @@ def cutoffs(counts: list[dict], risk: float = 0.05, error: float = 0.05) -> dict
         chosen: dict[str, float] = {}
         for rule, grid in RULES.items():
             for i, cut in enumerate(grid):
-                if row["n"] == 0 or binomial_cdf(int(row[f"{rule}_{i}"] or 0), int(row["n"]), rate) > level:
+                if row["n"] == 0 or binomial_cdf(int(row[f"{rule}_{i}"] or 0), int(row["n"]), rate, level) > level:
                     break
                 chosen[rule] = cut
         out[row["lang"]] = chosen
     return out
 
 
-def quality_report(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05, max_strata: int = 10_000) -> DataFrame:
-    """A row for each document: the counts, base_failed, kept, and the rules that reject it."""
+def quality_report(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05, broadcast_strata: int = 10_000) -> DataFrame:
+    """A row for each document: the counts, base_failed, kept, and the rules that reject it.
+
+    A row of counts for each stratum reaches the driver; up to `broadcast_strata` cutoffs are broadcast, more are joined by a shuffle.
+    """
     rows = checkpoint(measured(docs))
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q = 1").select("doc_id")
     above = [F.sum(F.when(F.col(r) > c, 1).otherwise(0)).alias(f"{r}_{i}") for r, grid in RULES.items() for i, c in enumerate(grid)]
-    counts = rows.join(good, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *above).limit(max_strata + 1).collect()
-    if len(counts) > max_strata:
-        raise ValueError(f"more than {max_strata} strata")
+    labelled = rows.join(good, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", *RULES)).alias("m")).select("m.*")
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *above).collect()
     chosen = cutoffs([r.asDict() for r in counts], risk, error)
     spark = docs.sparkSession
     table = spark.createDataFrame([(lang, *[c.get(r) for r in RULES]) for lang, c in chosen.items()], "_lang string, " + ", ".join(f"_{r} double" for r in RULES))
-    joined = rows.join(F.broadcast(table), F.col("lang").eqNullSafe(F.col("_lang")), "left")  # max_strata rows at most
+    joined = rows.join(F.broadcast(table) if len(counts) <= broadcast_strata else table, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     rejects = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"_{r}"), F.lit(r)) for r in RULES]))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return joined.select("doc_id", *COUNTS, base.alias("base_failed"), (~base & (F.size(rejects) == 0)).alias("kept"), F.array_join(rejects, ",").alias("rejected_by"))
