@@ -17,11 +17,13 @@ CHUNK_CHARS = 2_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir. Where none is set, a local session, as in tests, gets a temporary one; a cluster is an error."""
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir"):
         return sc.getConf().get("spark.checkpoint.dir")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

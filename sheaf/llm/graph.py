@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each end of the edges (a, b); the component is its smallest node.
 
     A round gives each node the smallest label among its neighbours' and its own, then the label of that
-    label. Each round is written to the checkpoint folder; only a count of changes reaches the driver.
-    Without edges the result is empty. Raises if the labels still change after `most_rounds`.
+    label, so labels only sink, and the rounds end when none does. Each round is written to the checkpoint folder; only
+    whether anything changed reaches the driver. Without edges the result is empty.
     """
     both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct())
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
-    for _ in range(most_rounds):
+    while True:
         offered = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_offer"))
         nearer = labels.join(offered, "node", "left").select("node", "component", F.least("component", "_offer").alias("_near"))
         jump = labels.select(F.col("node").alias("_near"), F.col("component").alias("_far"))
@@ -26,4 +26,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = new.drop("_changed")
         if not changed:
             return labels
-    raise RuntimeError(f"components still change after {most_rounds} rounds")
