@@ -94,6 +94,60 @@ def test_fingerprints(spark, sf, docs):
             assert r["near_edited"] == pytest.approx(like(f, g)) and r["near_next"] == pytest.approx(like(f, n))
 
 
+def test_fingerprints_near_each_other(spark, sf):
+    rows = [(i, base) for i, base in enumerate([prose(400, 80), prose(401, 80), "", "one"])]
+    rows += [(10 + k, prose(400, 80) + " end" * k) for k in range(6)] + [(20, prose(400, 80)), (21, None)]
+    made = fingerprints.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string"), radius=12).collect()
+    close = lambda a, b: (int(a["fingerprint"], 16) ^ int(b["fingerprint"], 16)).bit_count() <= 12
+    for r in made:
+        near = [x["doc_id"] for x in made if close(r, x)]
+        assert (r["near_docs"], r["first_near"]) == (len(near) - 1, min(near))
+    assert max(r["near_docs"] for r in made) >= 2
+    found = QUERIES["op1_fingerprints"](spark, sf).collect()
+    for r in found:
+        near = [x["doc_id"] for x in found if (int(r["fingerprint"], 16) ^ int(x["fingerprint"], 16)).bit_count() <= 3]
+        assert (r["near_docs"], r["first_near"]) == (len(near) - 1, min(near))
+
+
+def test_hot_buckets_are_dealt_to_parts(spark):
+    rng = np.random.default_rng(8)
+    high = int(rng.integers(0, 2**62))
+    values = sorted({(high, int(v)) for v in rng.integers(0, 256, 120)})
+    fps = spark.createDataFrame([(list(v),) for v in values], "fingerprint array<long>")
+    found = [(tuple(r["a"]), tuple(r["b"]), r["distance"]) for r in fingerprints.near_links(fps, 2, 3, 128, most=7).collect()]
+    expected = {(a, b, (a[1] ^ b[1]).bit_count()) for i, a in enumerate(values) for b in values[i + 1 :] if (a[1] ^ b[1]).bit_count() <= 2}
+    assert set(found) == expected and len(found) == len(expected) > 100
+
+
+def test_fingerprints_of_another_width_are_refused(spark):
+    with pytest.raises(Exception, match="not a fingerprint of 64 bits"):
+        fingerprints.near_pairs(spark.createDataFrame([("0" * 32,)], "fingerprint string"), 3, 6).collect()
+    wide = spark.createDataFrame([("0" * 32,), ("f" * 16 + "0" * 16,), ("0" * 31 + "3",)], "fingerprint string")
+    assert [tuple(r) for r in fingerprints.near_pairs(wide, 3, 4, 128).collect()] == [("0" * 32, "0" * 31 + "3", 2)]
+
+
+def test_successors_over_many_ranges(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    same = docs.limit(60).select(F.lit(None).cast("long").alias("doc_id"), "text").union(docs.limit(40).select(F.lit(7).cast("long"), "text"))
+    for rows, most, step in ((docs, 16_384, 128), (docs.union(same), 16_384, 128), (docs.union(same), 9, 128)):
+        keyed = rows.withColumns({"_o": fingerprints.id_of(), "_th": F.xxhash64("text")})
+        starts = fingerprints.ranges_of(keyed, 10, most)
+        assert 5 < len(starts[0]) < most
+        expected = [(r["_o"], r["_th"]) for r in keyed.collect()]
+        got = keyed.select("_o", "_th", fingerprints.range_number(*starts, step=4).alias("p"), fingerprints.range_number(*starts).alias("q")).collect()
+        assert all(r["p"] == r["q"] == sum(s <= (r["_o"], r["_th"]) for s in zip(*starts)) for r in got)
+        made = fingerprints.with_next(rows, ["text"], 10, most).where("_sentinel = 0").collect()
+        order = sorted(expected)
+        after = {(a, hash_): b for (a, hash_), b in zip(order, [*order[1:], order[0]])}
+        texts = {(r["_o"], r["_th"]): r["text"] for r in keyed.collect()}
+        assert len(made) == len(order)
+        if len(set(order)) == len(order):
+            assert all(r["next_text"] == texts[after[(r["_o"], r["_th"])]] for r in made)
+        else:  # repeated rows follow one another
+            wrong = [r for r in made if r["next_text"] not in (r["text"], texts[after[(r["_o"], r["_th"])]])]
+            assert not wrong
+
+
 def test_fingerprint_blocks_find_every_pair(spark):
     rng = np.random.default_rng(3)
     values = [int(x) for x in rng.integers(0, 2**63, 60)]
@@ -174,7 +228,49 @@ def test_spdx_tags_and_short_names(spark):
     assert {t: found[i]["labels"] for i, (t, _) in enumerate(rows)} == dict(rows)
 
 
+def test_license_containment_has_no_reach(spark):
+    rules = [licenses.Rule("long", "start", "start .{1,700} end", 1.0, "start"), licenses.Rule("in", "inner", "inner", 0.5, "inner"), licenses.Rule("open", "free", "free .+ stop", 1.0, "free")]
+    middle = " ".join(["x"] * 300)
+    rows = [(1, f"start {middle} inner end"), (2, f"inner start {middle} end"), (3, f"free {middle} {middle} inner stop")]
+    assert licenses.widest([rules[0].pattern]) == 710 and licenses.widest([rules[2].pattern]) is None and licenses.widest(["a++b"]) in (None, 1_000_000)
+    report = lambda rs: {r["doc_id"]: (r["n_detections"], r["labels"]) for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string"), rs, ()).collect()}
+    assert report(rules[:2]) == {1: (1, "long"), 2: (2, "in,long"), 3: (1, "in")}
+    assert report(rules) == {1: (1, "long"), 2: (2, "in,long"), 3: (2, "in,open")} or report(rules)[3] == (2, "in,open")
+
+
+def test_license_gates_and_keywords_drop_no_match(spark, sf):
+    """All rules on all texts, by Python's matches over the normalised words, without gates or keywords."""
+    import regex
+
+    rules = licenses.build_rules()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    docs |= {10_000 + i: f"Notice.\n{sentence(r.pattern)}\nEnd." for i, r in enumerate(rules) if "(?<" not in r.pattern}
+    compiled = [regex.compile(f"(?<= )(?:{r.pattern})(?= )") for r in rules]
+    found = by_id(licenses.license_report(spark.createDataFrame(list(docs.items()), "doc_id long, text string")))
+    for i, text in docs.items():
+        norm = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", " " + re.sub("[A-Z]", lambda m: m[0].lower(), text) + " ")
+        dets = [(p, *m.span()) for p, c in enumerate(compiled) for m in c.finditer(norm)]
+        kept = [d for d in dets if not any(o[0] < d[0] and o[1] <= d[1] and o[2] >= d[2] for o in dets)]
+        labels = {rules[p].label for p, _, _ in kept} | set(filter(None, found[i]["base_labels"].split(",")))
+        assert found[i]["labels"] == ",".join(sorted(labels)) and found[i]["n_detections"] == len(kept), text
+        assert i < 10_000 or dets
+
+
+def sentence(pattern):
+    """A text that the pattern matches: first alternatives, optional parts left out, gaps as signs."""
+    pattern = re.sub(r"\(\?!(?:[^()]|\([^()]*\))*\)", "", re.sub(r"\[0-9\]\{2\}", "99", pattern))
+    before = None
+    while before != pattern:
+        before = pattern
+        pattern = re.sub(r"\((?:\?:)?[^()]*\)\?", "", pattern)
+        pattern = re.sub(r"\((?:\?:)?([^()|]*)(?:\|[^()]*)?\)(?!\?)", r"\1", pattern)
+    pattern = re.sub(r"\[(\w)[^\]]*\](?!\?)", r"\1", re.sub(r"\[[^\]]*\]\?", "", pattern))
+    pattern = re.sub(r"\.(?:\{[^}]*\})?\??", "x", re.sub(r"[a-z0-9 ]\?", "", pattern))
+    return pattern.replace(" ", "\n", 1).upper()
+
+
 def test_rules_are_hundreds_and_odd_rows(odd, nothing):
+    assert len(licenses.TEXTS) > 150 and all(len(licenses.text_rule(*t).keyword) > 2 for t in licenses.TEXTS)
     assert 200 < len(licenses.build_rules()) < 1000
     assert licenses.license_report(odd).count() == len(odd_rows()) and licenses.license_report(nothing).count() == 0
 
