@@ -66,16 +66,16 @@ def history(log: DataFrame, n: int = 100) -> DataFrame:
 
 
 def patterns(log: DataFrame, categories: dict[str, list[str]], n: int = 100, top: int = 10) -> DataFrame:
-    """Long table (metric, name, value) over the newest n searches: total, mean confidence, frequent words, categories (the first that fits)."""
+    """Long table (metric, name, value) over the newest n searches: total, mean confidence, frequent words, categories (the first that fits, whatever the case; searches that fit none are not counted)."""
     rows = history(log, n)
     words = rows.select(F.explode(F.split(F.lower("query"), r"\s+")).alias("name")).where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("value")).orderBy(F.desc("value"), "name").limit(top)
-    kind = F.lit("other")
+    kind = F.lit(None).cast("string")
     for name, parts in reversed(list(categories.items())):
         hit = F.lit(False)
         for p in parts:
-            hit = hit | F.contains(F.col("query"), F.lit(p))
+            hit = hit | F.contains(F.lower("query"), F.lit(p))
         kind = F.when(hit, F.lit(name)).otherwise(kind)
-    kinds = rows.groupBy(kind.alias("name")).agg(F.count(F.lit(1)).alias("value"))
+    kinds = rows.where(kind.isNotNull()).groupBy(kind.alias("name")).agg(F.count(F.lit(1)).alias("value"))
     as_rows = lambda df, metric: df.select(F.lit(metric).alias("metric"), "name", F.col("value").cast("double").alias("value"))
     one = rows.agg(F.count(F.lit(1)).alias("t"), F.round(F.avg("confidence_score"), 6).alias("c"))
     return as_rows(words, "word").unionByName(as_rows(kinds, "category")).unionByName(one.select(F.lit("total").alias("metric"), F.lit("").alias("name"), F.col("t").cast("double").alias("value"))).unionByName(one.select(F.lit("mean_confidence").alias("metric"), F.lit("").alias("name"), F.col("c").alias("value")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics, chunking, layout
-from ..sources.tables import corpus, regions, search_log
-from .base import Query, sql, strip
+from ..sources.tables import PAGE_SIZE, corpus, regions, search_log
+from .base import Query, sql
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,7 +72,7 @@ CATEGORIES = {"ones": ["q1"], "twos": ["q2"], "threes": ["q3", "q4"]}
 
 
 @query("i10_patterns", sql(
-    "select 'word' metric, * from (select query as name, cast(count(*) as double) as value from h group by 1 order by 2 desc, 1 limit 10) union all select 'category', case when contains(query, 'q1') then 'ones' when contains(query, 'q2') then 'twos' when contains(query, 'q3') or contains(query, 'q4') then 'threes' else 'other' end, count(*) from h group by 2 union all select 'total', '', count(*) from h union all select 'mean_confidence', '', round(avg(confidence_score), 6) from h",
+    "select 'word' metric, * from (select query as name, cast(count(*) as double) as value from h group by 1 order by 2 desc, 1 limit 10) union all select 'category', case when contains(lower(query), 'q1') then 'ones' when contains(lower(query), 'q2') then 'twos' when contains(query, 'q3') or contains(query, 'q4') then 'threes' end kind, count(*) from h where kind is not null group by 2 union all select 'total', '', count(*) from h union all select 'mean_confidence', '', round(avg(confidence_score), 6) from h",
     "log", h="select * from log order by ts desc, id desc limit 100",
 ))
 def i10(spark, d):
@@ -121,12 +121,13 @@ def k2(spark, d):
 
 # --- layout
 
-_KEEP = "area >= 100 and x2 - x1 >= 10 and y2 - y1 >= 5 and (x2 - x1) / (y2 - y1) >= 0.1 and (x2 - x1) / (y2 - y1) <= 50 and density > 0.05 and density < 0.95"
+# pages are 600 wide and 500 high: an area over the larger of 500 and 300, and under 240,000
+_KEEP = "area > 500 and area < 240000 and (x2 - x1) / (y2 - y1) > 0.1 and (x2 - x1) / (y2 - y1) < 100 and x2 - x1 > 20 and y2 - y1 > 10 and density > 0.01 and density < 0.95"
 
 
 @query("j1_text_regions", sql(f"select * from (select document_id, page_number, elem_idx, area, row_number() over (partition by document_id, page_number order by area desc, elem_idx) area_rank from (select *, (x2 - x1) * (y2 - y1) area from regions) where {_KEEP}) where area_rank <= 15", "regions"))
 def j1(spark, d):
-    return layout.text_regions(regions(corpus(spark, d))).select("document_id", "page_number", "elem_idx", "area", "area_rank")
+    return layout.text_regions(regions(corpus(spark, d)), PAGE_SIZE[0] * PAGE_SIZE[1]).select("document_id", "page_number", "elem_idx", "area", "area_rank")
 
 
 @query("j2_merge_tokens", sql(
@@ -139,63 +140,55 @@ def j2(spark, d):
     return merged.select("document_id", "page_number", "elem_idx", F.md5("text").alias("text_md5"), F.round("ocr_confidence", 6).alias("ocr_confidence"))
 
 
-_T = strip("text_content")
-_RULES = f"case when regexp_matches({_T}, '[│┃┌┐└┘├┤|]') then 'table' when length({_T}) < 100 and regexp_matches({_T}, '^(?:\\d+\\.\\s|제\\s*\\d+\\s*[장절]|[A-Z][^.]{{0,40}}$)') then 'title' when length({_T}) < 100 and regexp_matches({_T}, '^(?:\\d+\\.\\d+|[가-하]\\.\\s|\\(\\d+\\))') then 'subtitle' when regexp_matches({_T}, '^(?:[-•○●*]\\s|\\d+\\)\\s)') then 'list' when density > 0.3 then 'paragraph' else 'text' end"
-_LABELLED = f"select *, case rule when 'table' then 0.9 when 'title' then 0.85 when 'subtitle' then 0.8 when 'list' then 0.8 when 'paragraph' then 0.7 else 0.6 end rc from (select *, {_RULES} as rule from regions)"
+def labelled(spark, d):
+    label, conf = layout.rule_label(*[F.col(c) for c in ("text_content", "density", "n_lines", "h_lines", "v_lines")])
+    return regions(corpus(spark, d)).withColumns({"label": label, "label_conf": conf})
 
 
-def labelled(spark, d):
-    rows = regions(corpus(spark, d))
-    label, conf = layout.rule_label(F.col("text_content"), F.col("density"))
-    return rows.withColumns({"label": label, "label_conf": conf})
+_SURE = "case rule when 'table' then 0.9 when 'title' then 0.85 when 'subtitle' then 0.75 when 'list' then 0.8 when 'paragraph' then 0.7 else case when density > 0.3 then 0.6 else 0.5 end end"
+
 
+@query("j3_rule_labels", sql(f"select document_id, page_number, elem_idx, rule label, cast({_SURE} as double) label_conf from labelled", "labelled"))
+def j3(spark, d):
+    return labelled(spark, d).select("document_id", "page_number", "elem_idx", "label", "label_conf")
 
-@query("j3_j4_labels", sql("select document_id, page_number, elem_idx, case when rc > 0.8 then rule when ocr_confidence > 0.7 then 'model' else rule end label, case when rc > 0.8 then rc when ocr_confidence > 0.7 then round(ocr_confidence, 6) else greatest(rc, 0.5) end conf from l", "regions", l=_LABELLED))
+
+@query("j3_j4_labels", sql(f"select document_id, page_number, elem_idx, case when rc > 0.8 then rule when ocr_confidence > 0.7 then 'model' else rule end label, case when rc > 0.8 then rc when ocr_confidence > 0.7 then round(ocr_confidence, 6) else greatest(rc, 0.5) end conf from (select *, {_SURE} rc from labelled)", "labelled"))
 def j4(spark, d):
-    label, conf = layout.combined_label(F.col("label"), F.col("label_conf"), F.lit("model"), F.round("ocr_confidence", 6))
-    return labelled(spark, d).select("document_id", "page_number", "elem_idx", label.alias("label"), conf.alias("conf"))
+    label, conf = layout.combined_label(F.col("label"), F.col("label_conf"), F.lit("model"), F.col("ocr_confidence"))
+    return labelled(spark, d).select("document_id", "page_number", "elem_idx", label.alias("label"), F.round(conf, 6).alias("conf"))
 
 
-@query("j5_fonts", sql("select document_id, page_number, elem_idx, round((y2 - y1) / greatest(elem_idx % 3, 1) * 0.75, 3) font_size, cast(y2 - y1 as double) / greatest(elem_idx % 3, 1) line_height, density > 0.15 bold from regions", "regions"))
+@query("j5_fonts", sql("select document_id, page_number, elem_idx, round(greatest(8.0, (y2 - y1) / greatest(n_lines, 1) * 0.75), 6) font_size, round((y2 - y1) / greatest(n_lines, 1), 6) line_height, density > 0.15 bold from regions", "regions"))
 def j5(spark, d):
-    size, line, bold = layout.font_info(F.col("y2") - F.col("y1"), F.col("elem_idx") % 3, F.col("density"))
-    return regions(corpus(spark, d)).select("document_id", "page_number", "elem_idx", size.alias("font_size"), line.alias("line_height"), bold.alias("bold"))
+    size, line, bold = layout.font_info(F.col("y2") - F.col("y1"), F.col("n_lines"), F.col("density"))
+    return regions(corpus(spark, d)).select("document_id", "page_number", "elem_idx", F.round(size, 6).alias("font_size"), F.round(line, 6).alias("line_height"), bold.alias("bold"))
 
 
-@query("j6_reading_order", sql("select document_id, page_number, elem_idx, row_number() over (partition by document_id, page_number order by y1, x1, elem_idx) - 1 reading_order, cast(dense_rank() over (partition by document_id, page_number order by y1) - 1 as integer) \"row\" from regions", "regions"))
+@query("j6_reading_order", sql("select document_id, page_number, elem_idx, reading_order, \"row\" from read_order", "read_order"))
 def j6(spark, d):
     return layout.reading_order(regions(corpus(spark, d)))
 
 
-_KINDS = "select document_id, page_number, n, case when wide > n / 2 then 'single_column' when l > 0 and r > 0 and abs(l - r) <= n / 2 then 'two_column' else 'complex' end layout_type from (select document_id, page_number, count(*) n, count(*) filter ((x1 + x2) / 2 < 200) l, count(*) filter ((x1 + x2) / 2 > 400) r, count(*) filter (x2 - x1 > 360) wide from regions group by 1, 2)"
-
-
-@query("j7_layout_type", sql("select * from kinds", "regions", kinds=_KINDS))
+@query("j7_layout_type", sql("select * from kinds", "kinds"))
 def j7(spark, d):
     return layout.layout_type(regions(corpus(spark, d)))
 
 
-@query("j8_columns", sql("select document_id, page_number, least(1 + count(*) filter (gap > 60), 3) as columns from (select *, c - lag(c) over (partition by document_id, page_number order by c, elem_idx) gap from (select *, (x1 + x2) / 2 c from regions)) group by 1, 2", "regions"))
+@query("j8_columns", sql("select * from columns_of", "columns_of"))
 def j8(spark, d):
     return layout.column_count(regions(corpus(spark, d)))
 
 
-def summary(spark, d):
-    rows = labelled(spark, d)
-    order = layout.reading_order(rows)
-    return layout.document_summary(rows.drop("label", "label_conf"), rows, order, layout.layout_type(rows))
-
-
-_SUMMARY = "select document_id, n_regions, n_types, n_pages, round(mc, 6) mean_confidence, round(mo, 6) mean_ocr, n_chars, text_md5, round(cs, 6) complex_share from (select document_id, count(*) n_regions, count(distinct rule) n_types, count(distinct page_number) n_pages, avg(confidence) mc, avg(ocr_confidence) mo, sum(length(text_content)) n_chars, md5(string_agg('[' || upper(rule) || '] ' || text_content, chr(10) order by page_number, y1, x1, elem_idx)) text_md5 from l group by 1) join (select document_id, avg(case when layout_type = 'complex' then 1.0 else 0.0 end) cs from kinds group by 1) using (document_id)"
-
-
-@query("j9_summary", sql("select * from s", "regions", l=_LABELLED, kinds=_KINDS, s=_SUMMARY))
+@query("j9_summary", sql("select document_id, total_pages, total_elements, element_types, round(mc, 6) avg_confidence, round(mo, 6) avg_ocr_confidence, md5(extracted_text) text_md5, layout_types, column_info from summaries", "summaries"))
 def j9(spark, d):
-    return summary(spark, d)
+    types = F.array_join(F.transform(F.array_sort(F.map_entries("element_types")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return layout.document_summary(labelled(spark, d)).select(
+        "document_id", "total_pages", "total_elements", types.alias("element_types"), F.round("avg_confidence", 6).alias("avg_confidence"), F.round("avg_ocr_confidence", 6).alias("avg_ocr_confidence"),
+        F.md5("extracted_text").alias("text_md5"), F.array_join("layout_types", ",").alias("layout_types"), F.array_join("column_info", ",").alias("column_info"),
+    )
 
 
-@query("j10_complexity", sql("select document_id, round((least(n_types / 8, 1.0) + least(complex_share, 1.0) + least(n_chars / 20000, 1.0) + least(1 - mean_ocr, 1.0)) / 4, 6) complexity from s", "regions", l=_LABELLED, kinds=_KINDS, s=_SUMMARY))
+@query("j10_complexity", sql("select document_id, round(complexity, 9) complexity from summaries", "summaries"))
 def j10(spark, d):
-    return layout.complexity(summary(spark, d))
-
-
+    return layout.document_summary(labelled(spark, d)).select("document_id", F.round("complexity_score", 9).alias("complexity"))

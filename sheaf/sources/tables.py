@@ -28,10 +28,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, query, qvec: every benchmark item with the vector of its number."""
+    """query_id, query, qvec: every benchmark item with the vector of its number, null where there is none."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    return items.join(vecs, "query_id")
+    return items.join(vecs, "query_id", "left")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +62,16 @@ def elements(corpus: DataFrame) -> DataFrame:
     )
 
 
+#: The pages that regions() makes: width and height.
+PAGE_SIZE = (600, 500)
+
+
 def regions(corpus: DataFrame) -> DataFrame:
-    """The lines as regions of pages of 40 lines in two columns."""
+    """The lines as regions of pages of 40 lines in two uneven columns, with figures by their lengths."""
     n, at = F.length("line"), F.col("pos") % 40
-    x1, y1 = (at % 2) * 300, F.floor(at / 2).cast("int") * 24
+    x1, y1 = (at % 2) * 300, F.floor(at / 2).cast("int") * 24 + n % 13
     return lines(corpus).select(
         "document_id", F.floor(F.col("pos") / 40).cast("int").alias("page_number"), at.cast("int").alias("elem_idx"), x1.cast("int").alias("x1"), y1.alias("y1"),
-        (x1 + F.least(n * 6, F.lit(280))).cast("int").alias("x2"), (y1 + 20).alias("y2"), (n % 10 / 10.0).alias("confidence"), (n % 7 / 7.0).alias("ocr_confidence"), F.col("line").alias("text_content"), (n % 100 / 100.0).alias("density"),
+        (x1 + F.least(n * 6, F.lit(280))).cast("int").alias("x2"), (y1 + 8 + n % 30).alias("y2"), (n % 10 / 10.0).alias("confidence"), (n % 7 / 7.0).alias("ocr_confidence"), F.col("line").alias("text_content"), (n % 100 / 100.0).alias("density"),
+        (n % 9).alias("n_lines"), (n % 4).alias("h_lines"), (n % 3).alias("v_lines"),
     )

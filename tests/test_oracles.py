@@ -27,7 +27,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         if pd.api.types.is_numeric_dtype(df[c]) or pd.api.types.is_bool_dtype(df[c]):
-            df[c] = df[c].astype(float).round(5)
+            df[c] = df[c].astype(float).round(6)
         else:
             df[c] = df[c].map(lambda x: None if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)) else str(x))
     return sorted(tuple(str(x) for x in r) for r in df.itertuples(index=False))
