@@ -42,8 +42,12 @@ BUDGET_KO = [
     r"총액\s*[:：]?\s*([0-9,]+)\s*원",
     r"사업규모\s*[:：]?\s*([0-9,]+)\s*원",
 ]
-DATE_KO = r"(\d{4}[년.-]\d{1,2}[월.-]\d{1,2}일?)"
-DEADLINE_KO = [rf"제출마감\s*[:：]\s*{DATE_KO}", rf"접수마감\s*[:：]\s*{DATE_KO}", rf"제안서\s*제출\s*[:：]\s*{DATE_KO}", rf"마감일시\s*[:：]\s*{DATE_KO}"]
+DEADLINE_KO = [
+    r"제출마감\s*[:：]\s*(\d{4}[년.-]\d{1,2}[월.-]\d{1,2}일?)",
+    r"접수마감\s*[:：]\s*(\d{4}[년.-]\d{1,2}[월.-]\d{1,2}일?)",
+    r"제안서\s*제출\s*[:：]\s*(\d{4}[년.-]\d{1,2}[월.-]\d{1,2}일?)",
+    r"마감일시\s*[:：]\s*(\d{4}[년.-]\d{1,2}[월.-]\d{1,2}일?)",
+]
 DEADLINE_UNTIL_KO = r"(\d{4})[년.-](\d{1,2})[월.-](\d{1,2})일?\s*까지"
 #: The second set of patterns: (column, group of the match, patterns).
 NOTICE_KO = (
@@ -56,6 +60,14 @@ NOTICE_KO = (
 HEADER_KO = r"^(?:\d+\.\s*[가-힣]+|[가-힣]+\s*:\s*|\[[가-힣]+\]|제\s*\d+\s*장)"
 HEADER_LATIN = r"^[^.]{1,59}[.]?$"
 
+DEADLINE_LATIN = [r"dated?\s*[:：]?\s*(\d{4}[.-]\d{1,2}[.-]\d{1,2})", r"(\d{4}-\d{1,2}-\d{1,2})"]
+UNTIL_LATIN = r"(\d{2,4})[./](\d{1,2})[./](\d{1,2})"
+NOTICE_LATIN = (
+    ("budget", 0, [r"(?iu)version\s*[:\s]*([0-9,]+)", r"(?iu)([0-9,]+)\s*(words|items)"]),
+    ("business_name", 1, [r"(?iu)under the\s+([^\n.]+)", r"(?iu)about\s+([^\n.]+)"]),
+    ("agency", 1, [r"(?iu)the ([a-z]+) license"]),
+    ("deadline", 1, [r"(?iu)(\d{4}[.-]\d{1,2}[.-]\d{1,2})"]),
+)
 AGENCY_LATIN = [r"the (GNU General Public) License", r"the ([A-Z][A-Za-z]+) License", r"under (CC BY[A-Z-]*) "]
 BUSINESS_LATIN = {"license": [r"[Ll]icense", r"[Rr]eleased under"], "english": [r" the ", r" of "], "german": [r" der ", r" und "], "french": [r" le ", r" les "], "spanish": [r" que ", r" el "]}
 BUDGET_LATIN = [r"[Vv]ersion ([0-9,]+)", r"([0-9,]+)"]

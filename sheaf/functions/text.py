@@ -44,12 +44,12 @@ def is_meaningful_fragment(c: Column, least: int = 10) -> Column:
 
 
 def clean(c: Column, squeeze_runs: bool = True) -> Column:
-    """Drops control characters, squeezes blanks, three line ends or more to two, long runs of one character to one, and strips."""
+    """Drops control characters, squeezes spaces, three line ends or more to two, runs of one character over ten (line ends aside) to one, and strips."""
     t = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
+    t = F.regexp_replace(t, r" +", " ")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     if squeeze_runs:
-        t = F.regexp_replace(t, r"(.)\1{10,}", "$1")
+        t = F.regexp_replace(t, r"(?d)(.)\1{10,}", "$1")
     return strip(t)
 
 
@@ -94,10 +94,10 @@ def cascade(c: Column, patterns: list[str], valid=None, prefix: int | None = Non
 
 
 def pattern_votes(c: Column, groups: dict[str, list[str]], default: str, prefix: int | None = None) -> Column:
-    """The group whose patterns match most often; the earlier one among equals; the default where none matches."""
-    t = c if prefix is None else F.substring(c, 1, prefix)
+    """The group whose patterns match most often in the text in lower case, whatever their own; the earlier one among equals; the default where none matches."""
+    t = F.lower(c if prefix is None else F.substring(c, 1, prefix))
     scored = [
-        F.struct(reduce(lambda a, b: a + b, [F.regexp_count(t, F.lit(p)) for p in patterns]).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
+        F.struct(reduce(lambda a, b: a + b, [F.regexp_count(t, F.lit(f"(?iU){p}")) for p in patterns]).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
         for i, (name, patterns) in enumerate(groups.items())
     ]
     best = F.array_max(F.array(*scored))

@@ -65,9 +65,9 @@ def element_groups(elements: DataFrame) -> DataFrame:
 
 
 def semantic_level(text: Column) -> Column:
-    """The depth of a dotted number; 2 for a Hangul letter with a dot; else 1."""
-    number = F.regexp_extract(strip(text), r"^(\d+(?:\.\d+)*)", 1)
-    return F.when(number != "", F.size(F.split(number, r"\."))).when(strip(text).rlike(r"^[가-힣]\."), 2).otherwise(1)
+    """The depth of a dotted number that the text begins with; 2 for a Hangul letter with a dot and a blank; else 1."""
+    number = F.regexp_extract(text, r"^(\d+(?:\.\d+)*)", 1)
+    return F.when(number != "", F.size(F.split(number, r"\."))).when(text.rlike(r"^[가-힣]\. "), 2).otherwise(1)
 
 
 def group_summary(elements: DataFrame, domain_words: list[str]) -> DataFrame:
@@ -83,7 +83,7 @@ def group_summary(elements: DataFrame, domain_words: list[str]) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("elem_idx", "text_content"))).alias("_texts"),
     )
     content = F.array_join(F.transform("_texts", lambda x: x["text_content"]), "\n")
-    kinds = F.when((F.col("_titles") > 0) & (F.col("n_elements") <= 2), "title").when(F.col("_tables") > 0, "table").when(F.col("_lists") * 2 > F.col("n_elements"), "list").when(F.col("_kinds") > 2, "mixed").otherwise("content")
+    kinds = F.when((F.col("_titles") > 0) & (F.col("n_elements") == 1), "title").when(F.col("_tables") > 0, "table").when(F.col("_lists") == F.col("n_elements"), "list").when(F.col("_kinds") > 2, "mixed").otherwise("content")
     rows = per.select(
         "document_id", "group_id", "n_elements", kinds.alias("chunk_type"), F.coalesce("_title.text_content", F.lit("")).alias("title"), content.alias("content"),
         "mean_font", "has_bold", F.array_join("pages", ",").alias("pages"), "_weight",
@@ -106,16 +106,16 @@ def keywords(rows: DataFrame, key: str = "document_id", text: str = "content", t
 
 
 def merge_short(chunks: DataFrame, key: str = "document_id", order: str = "seq", least: int = 50) -> DataFrame:
-    """A chunk shorter than `least` joins the one before it."""
+    """A chunk shorter than `least`, white space at its ends aside, joins the one before it."""
     run = W.partitionBy(key).orderBy(order)
-    opens = F.when((F.length("content") >= least) | (F.row_number().over(run) == 1), 1).otherwise(0)
+    opens = F.when((F.length(strip(F.col("content"))) >= least) | (F.row_number().over(run) == 1), 1).otherwise(0)
     marked = chunks.withColumn("_open", opens).withColumn("merged_id", F.sum("_open").over(run.rowsBetween(W.unboundedPreceding, 0)))
     return marked.groupBy(key, "merged_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "content"))), lambda x: x["content"]), "\n").alias("content"), F.count(F.lit(1)).alias("n_merged"))
 
 
-#: Lines that a chunk may be cut before.
-STRONG = r"^(?:\d+\.\s|제\s*\d+\s*[장조]|\[[^\]]+\]|#+\s)"
-MEDIUM = r"^(?:\d+\)|[가-힣]\.\s|[-•○●]\s|\(\d+\))"
+#: Lines that a chunk may be cut before, without white space at their ends.
+STRONG = r"^\d+\.\s+[가-힣A-Za-z]+|^제\s*\d+\s*장|^[가-힣]+\s*사업\s*개요|^[가-힣]+\s*기술\s*요구사항"
+MEDIUM = r"^\s*\([가-힣]\)|^\s*[가-힣]\.|^\s*\d+\)"
 
 
 def pack_lines(text: Column, size: int = 1000, boundary: str = f"(?:{STRONG})|(?:{MEDIUM})") -> Column:
@@ -143,37 +143,41 @@ def pack_sentences(text: Column, size: int = 1000) -> Column:
 
 
 def sub_chunks(text: Column, cuts: Column, overlap: int = 200, least: int = 50) -> Column:
-    """Pieces between the cuts: short ones join the piece before, the others begin `overlap` characters early."""
-    bounds = F.concat(F.array(F.lit(0)), cuts, F.array(F.length(text)))
-    pieces = F.zip_with(F.slice(bounds, 1, F.size(bounds) - 1), F.slice(bounds, 2, F.size(bounds)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    empty = F.array().cast("array<string>")
-
-    def step(out: Column, p: Column) -> Column:
-        piece = strip(F.substring(text, p["a"] + 1, p["b"] - p["a"]))
-        early = F.greatest(p["a"] - overlap, F.lit(0))
+    """Pieces up to each cut and the end, stripped, after the `overlap` characters before them if there is a piece already.
+
+    A short piece joins the piece before on a line of its own. The next one then begins where the short one did, so
+    its text stands in both; without a piece before, only there.
+    """
+    ends = F.concat(cuts, F.array(F.length(text)))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, end: Column) -> Column:
+        piece = strip(F.substring(text, s["at"] + 1, end - s["at"]))
+        out, some = s["out"], F.size(s["out"]) > 0
+        early = F.greatest(s["at"] - overlap, F.lit(0))
         joined = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(F.element_at(out, -1), F.lit("\n"), piece)))
-        longer = F.concat(out, F.array(strip(F.substring(text, early + 1, p["b"] - early))))
-        return F.when(piece == "", out).when((F.length(piece) < least) & (F.size(out) > 0), joined).otherwise(longer)
+        longer = F.concat(out, F.array(F.concat(F.when(some, F.substring(text, early + 1, s["at"] - early)).otherwise(F.lit("")), piece)))
+        short = F.length(piece) < least
+        return F.struct(F.when(short, s["at"]).otherwise(end).alias("at"), F.when(short & some, joined).when(short, out).otherwise(longer).alias("out"))
 
-    return F.aggregate(pieces, empty, step)
+    return F.aggregate(ends, empty, step)["out"]
 
 
 def emergency_split(text: Column, size: int = 1000) -> Column:
-    """Sentences packed greedily into pieces of at most the size, a longer sentence alone."""
-    empty = F.array().cast("array<string>")
+    """Sentences packed greedily, each after a blank, until the next one would pass the size; the blanks count, also that before the first."""
+    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
 
-    def step(out: Column, sentence: Column) -> Column:
-        last = F.element_at(out, -1)
-        fits = (F.size(out) > 0) & (F.length(last) + 1 + F.length(sentence) <= size)
-        return F.when(sentence == "", out).when(fits, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last, F.lit(" "), sentence)))).otherwise(F.concat(out, F.array(sentence)))
+    def step(s: Column, sentence: Column) -> Column:
+        full = (F.length(s["now"]) + F.length(sentence) > size) & (s["now"] != "")
+        return F.struct(F.when(full, sentence).otherwise(F.concat(s["now"], F.lit(" "), sentence)).alias("now"), F.when(full, F.concat(s["out"], F.array(strip(s["now"])))).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(F.transform(F.split(text, r"(?<=[.!?])\s+"), strip), empty, step)
+    end = lambda s: F.when(strip(s["now"]) != "", F.concat(s["out"], F.array(strip(s["now"])))).otherwise(s["out"])
+    return F.aggregate(F.split(text, r"(?<=[.!?])\s+"), start, step, end)
 
 
 def enhanced_chunks(elements: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Groups of elements up to the size are one chunk each, longer ones several."""
+    """Groups of elements up to the size are one chunk each, as they are; longer ones several."""
     groups = element_groups(elements).groupBy("document_id", "group_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("elem_idx", "text_content"))), lambda x: x["text_content"]), "\n").alias("content"))
-    single = groups.where(F.length("content") <= size).select("document_id", "group_id", F.lit(0).alias("part"), strip(F.col("content")).alias("content"))
-    cut = groups.where(F.length("content") > size).withColumn("_cuts", pack_lines(F.col("content"), size)).withColumn("_cuts", F.when(F.size("_cuts") == 0, pack_sentences(F.col("content"), size)).otherwise(F.col("_cuts")))
-    several = cut.select("document_id", "group_id", F.posexplode(sub_chunks(F.col("content"), F.col("_cuts"), overlap)).alias("part", "content"))
-    return single.unionByName(several).where("content <> ''")
+    cuts = let(pack_lines(F.col("content"), size), lambda c: F.when(F.size(c) == 0, pack_sentences(F.col("content"), size)).otherwise(c))
+    pieces = F.when(F.length("content") <= size, F.array("content")).otherwise(let(cuts, lambda c: sub_chunks(F.col("content"), c, overlap)))
+    return groups.select("document_id", "group_id", F.posexplode(pieces).alias("part", "content"))

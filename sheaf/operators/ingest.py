@@ -62,11 +62,11 @@ def enrich(docs: DataFrame, metadata: DataFrame, columns: list[str], key: str =
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "document_id", order: str | None = None, defaults: dict[str, object] | None = None) -> DataFrame:
-    """Insert or replace by key; of new rows with one key the last by `order` wins; nulls of new rows get defaults."""
+    """Insert or replace by key; of new rows with one key the last by `order` (else by all columns) wins; nulls of new rows get defaults."""
     for column, value in (defaults or {}).items():
         new = new.withColumn(column, F.coalesce(column, F.lit(value)))
-    if order:
-        new = new.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    last = [F.desc(order)] if order else [F.desc(c) for c in new.columns if c != key]
+    new = new.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*last))).where("_n = 1").drop("_n")
     return existing.join(new.select(key), key, "left_anti").unionByName(new.select(existing.columns))
 
 
@@ -117,14 +117,14 @@ def merge_analyses(docs: DataFrame, analyses: DataFrame) -> DataFrame:
 
 
 def parse_reply(reply: Column) -> Column:
-    """struct<extracted_text, description, type> of a model's reply: the fenced block, else the whole; raw text and type unknown if it is no JSON."""
+    """struct<extracted_text, description, content_type> of a model's reply: the fenced block, else the whole; the raw text and type unknown if it is no JSON, type other if it names none."""
     fenced = F.nullif(F.regexp_extract(reply, r"(?s)```json\s*(.*?)```", 1), F.lit(""))
-    parsed = F.from_json(F.coalesce(fenced, reply), "extracted_text string, description string, type string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    parsed = F.from_json(F.coalesce(fenced, reply), "extracted_text string, description string, content_type string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
     ok = parsed.isNotNull() & parsed["_corrupt"].isNull()
     return F.struct(
         F.when(ok, F.coalesce(parsed["extracted_text"], F.lit(""))).otherwise(reply).alias("extracted_text"),
         F.when(ok, F.coalesce(parsed["description"], F.lit(""))).otherwise(reply).alias("description"),
-        F.when(ok, F.coalesce(parsed["type"], F.lit("unknown"))).otherwise(F.lit("unknown")).alias("type"),
+        F.when(ok, F.coalesce(parsed["content_type"], F.lit("other"))).otherwise(F.lit("unknown")).alias("content_type"),
     )
 
 

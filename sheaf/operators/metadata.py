@@ -16,9 +16,10 @@ def agency_of_name(name: Column) -> Column:
 
 
 def agency(text: Column, patterns: list[str] = L.AGENCY_KO, prefix: int | None = 2000) -> Column:
-    tidy = lambda m: F.regexp_replace(strip(m), r"^[\s:：,.\-()\[\]]+|[\s:：,.\-()\[\]]+$", "")
-    found = cascade(text, patterns, lambda m: F.length(strip(m)) > 1, prefix)
-    return F.nullif(tidy(found), F.lit(""))
+    """The first pattern's first match, whatever its case, that is longer than one character and no number; of it the word characters, blanks and round brackets."""
+    valid = lambda m: (F.length(strip(m)) > 1) & ~strip(m).rlike(r"^\p{Nd}+$")
+    found = strip(cascade(text, [f"(?iU){p}" for p in patterns], valid, prefix))
+    return F.nullif(strip(F.regexp_replace(found, r"[^\p{L}\p{N}_\s()（）]", "")), F.lit(""))
 
 
 def business_type(text: Column, name: Column, groups: dict[str, list[str]] = L.BUSINESS_KO, prefix: int | None = 3000) -> Column:
@@ -38,17 +39,18 @@ def budget(text: Column, patterns: list[str] = L.BUDGET_KO, prefix: int | None =
 def deadline(text: Column, patterns: list[str] = L.DEADLINE_KO, until: str = L.DEADLINE_UNTIL_KO, prefix: int | None = 3000) -> tuple[Column, Column]:
     """(text, date): signs for year, month and day become hyphens; the pattern of three groups is padded."""
     body = text if prefix is None else F.substring(text, 1, prefix)
-    one = F.regexp_replace(F.regexp_replace(cascade(body, patterns), r"[년월일.]", "-"), r"-+", "-")
+    one = F.regexp_replace(F.regexp_replace(cascade(body, patterns), r"[년월일]", "-"), r"-+", "-")
     one = F.regexp_replace(one, r"^-+|-+$", "")
     y, m, d = (first_match(body, until, g) for g in (1, 2, 3))
     three = F.concat_ws("-", F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
     out = F.coalesce(one, F.when(y.isNotNull(), three))
-    return out, F.try_to_date(out, "yyyy-M-d")
+    return out, F.try_to_date(F.replace(out, F.lit("."), F.lit("-")), "yyyy-M-d")
 
 
-def notice_fields(docs: DataFrame, text: str = "content") -> DataFrame:
-    """Adds the second pattern set's columns, each the first pattern's first match."""
-    return docs.withColumns({name: strip(F.coalesce(*[first_match(F.col(text), p, group) for p in patterns])) for name, group, patterns in L.NOTICE_KO})
+def notice_fields(docs: DataFrame, text: str = "content", fields: tuple = L.NOTICE_KO) -> DataFrame:
+    """Adds the second pattern set's columns, each the first pattern's first match; whole matches as they are, groups stripped."""
+    found = lambda group, patterns: F.coalesce(*[first_match(F.col(text), p, group) for p in patterns])
+    return docs.withColumns({name: strip(found(group, patterns)) if group else found(group, patterns) for name, group, patterns in fields})
 
 
 def merge(*maps: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import chunking, ingest, metadata
-from ..sources.tables import corpus, elements, lines, table
+from ..sources.scratch import scratch_path
+from ..sources.tables import corpus, elements, lines, search_log, table
+from ..streaming import jobs
 from .base import Query, quoted, sql, strip
 
 QUERIES: dict[str, Query] = {}
@@ -89,10 +91,76 @@ def a12_running(spark, d):
     return running_progress(a12_batches(spark, d))
 
 
-@query("a14_formats", "select coalesce(nullif(lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '/[^/]*(\\.[a-z]+)$', 1)), ''), 'none') ext, count(*) n from pages group by 1")
+EXT = "coalesce(nullif(lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '/[^/]*(\\.[a-z]+)$', 1)), ''), 'none')"
+
+
+def extension(url):
+    found = F.lower(F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"/[^/]*(\.[a-z]+)$", 1))
+    return F.coalesce(F.nullif(found, F.lit("")), F.lit("none"))
+
+
+@query("a1_scan", f"select {EXT} folder, cast(sum(octet_length(encode(coalesce(html, ''))) + 1) as bigint) n_bytes, 0 as n_refused from pages group by 1")
+def a1(spark, d):
+    path = scratch_path(spark, "files")
+    rows = table(spark, d, "pages").select(extension(F.col("url")).alias("folder"), F.coalesce("html", F.lit("")).alias("value"))
+    rows.write.partitionBy("folder").text(path)
+    found = ingest.scan_files(spark, path, [".txt"]).where("not startswith(file_name, '_')")
+    folder = F.url_decode(F.regexp_extract("path", "folder=([^/]+)/", 1))
+    return found.groupBy(folder.alias("folder")).agg(F.sum("length").alias("n_bytes"), F.count("error_message").cast("int").alias("n_refused"))
+
+
+@query("a6_import", sql("select md5('data/files/' || file_name || '_' || file_name || '_.txt') document_id, file_name, case when labelled then 'known' else agency end agency, case when not labelled then source_type end business_type from (select *, document_id in (select cast(doc_id as varchar) from labels) labelled from corpus)", "corpus"))
+def a6(spark, d):
+    docs, path = corpus(spark, d), scratch_path(spark, "metadata")
+    docs.select(F.col("file_name").alias("파일명"), F.col("agency").alias("발주기관"), F.col("source_type").alias("사업분야")).write.option("header", True).csv(path)
+    name = F.concat(F.lit("data/files/"), "file_name")
+    known = docs.join(table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("document_id")).distinct(), "document_id", "left_semi")
+    known = known.select(ingest.document_id(name, F.col("file_name"), F.lit(".txt")).alias("document_id"), "file_name", F.lit("known").alias("agency"))
+    return ingest.import_metadata(spark, path, known).select("document_id", "file_name", "agency", "business_type")
+
+
+@query("a10_export", sql("select file_name, agency, source_type business_type, cast(len(string_split(content, chr(10))) as varchar) total_pages, cast(processed_date as varchar) processed_date from corpus", "corpus"))
+def a10(spark, d):
+    docs, path = corpus(spark, d).withColumns({"business_type": F.col("source_type"), "total_pages": F.size(F.split("content", "\n"))}), scratch_path(spark, "export")
+    columns = ["file_name", "agency", "business_type", "total_pages", "processed_date"]
+    ingest.export_documents(docs, path, columns)
+    return spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", True).csv(path)
+
+
+@query("a11_snapshot", sql("select agency, count(*) n, 1700000000 as snapshot_ts, sum(length(content)) n_chars from corpus group by 1", "corpus"))
+def a11(spark, d):
+    path = scratch_path(spark, "snapshot")
+    ingest.snapshot({"documents": corpus(spark, d)}, path, 1_700_000_000)
+    back = spark.read.parquet(f"{path}/documents")
+    return back.groupBy("agency").agg(F.count(F.lit(1)).alias("n"), F.max("snapshot_ts").alias("snapshot_ts"), F.sum(F.length("content")).alias("n_chars"))
+
+
+@query("a13_append_log", sql("select query, search_method, count(*) n, cast(sum(id % 7) as bigint) results_count, round(avg(confidence_score), 6) confidence_score, '2024-05-01 00:00:00' as last from log group by 1, 2", "log"))
+def a13(spark, d):
+    path = scratch_path(spark, "log")
+    answered = search_log(spark, d).select("query", "search_method", (F.col("id") % 7).alias("total_results"), F.col("confidence_score").alias("confidence"))
+    for method in ("search", "other"):  # two appends
+        part = answered.where(F.col("search_method") == "search") if method == "search" else answered.where(F.col("search_method") != "search")
+        ingest.append_log(part, path, F.lit("2024-05-01").cast("timestamp"))
+    back = spark.read.parquet(path)
+    return back.groupBy("query", "search_method").agg(F.count(F.lit(1)).alias("n"), F.sum("results_count").alias("results_count"), F.round(F.avg("confidence_score"), 6).alias("confidence_score"), F.date_format(F.max("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
+@query("a14_formats", f"select {EXT} ext, count(*) n from pages group by 1")
 def a14(spark, d):
-    ext = F.lower(F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"/[^/]*(\.[a-z]+)$", 1))
-    return table(spark, d, "pages").groupBy(F.coalesce(F.nullif(ext, F.lit("")), F.lit("none")).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "pages").groupBy(extension(F.col("url")).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k1_resumable_ingest", sql("select document_id, count(*) n_chunks, md5(string_agg(md5(content), '' order by section_index, chunk_index)) content_md5 from named group by 1", "named"))
+def k1(spark, d):
+    source, target, state = f"{d}/documents*.parquet", scratch_path(spark, "ingested"), scratch_path(spark, "ingest-state")  # a pattern, as a source must not be one file
+    docs = table(spark, d, "documents")
+    select = lambda rows: rows.select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("content"))
+    for _ in range(2):  # the second start finds nothing new
+        jobs.ingest_stream(spark, source, docs.schema, target, state, select=select).awaitTermination()
+    back = spark.read.parquet(target)
+    digests = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_index", "chunk_index", F.md5("content").alias("m")))), lambda x: x["m"]), "")
+    return back.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.md5(digests).alias("content_md5"))
 
 
 # --- text
@@ -146,11 +214,44 @@ def b5(spark, d):
     return lines(corpus(spark, d)).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(T.is_meaningful_fragment(F.col("line"))).alias("n_kept"))
 
 
-@query("b6_clean", sql("select document_id, md5(" + strip(r"regexp_replace(regexp_replace(regexp_replace(content, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')") + ") content_md5 from corpus", "corpus"))
+_CONTROL = r"regexp_replace(regexp_replace(regexp_replace(content, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), ' +', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+
+
+@query("b6_clean", sql(f"select document_id, md5({strip(_CONTROL)}) content_md5 from corpus", "corpus"))
 def b6(spark, d):
     return corpus(spark, d).select("document_id", F.md5(T.clean(F.col("content"), squeeze_runs=False)).alias("content_md5"))
 
 
+@query("b6_clean_runs", sql(
+    f"select document_id, md5({strip('whole')}) content_md5 from (select document_id, string_agg(case when n > 10 and c <> chr(10) then c else repeat(c, n) end, '' order by run) whole from (select document_id, run, any_value(c) c, cast(count(*) as integer) n from (select *, sum(case when c = before then 0 else 1 end) over (partition by document_id order by p) run from (select *, lag(c) over (partition by document_id order by p) before from cs)) group by 1, 2) group by 1)",
+    "corpus", cs=f"select document_id, unnest(string_split(t, '')) c, generate_subscripts(string_split(t, ''), 1) p from (select document_id, {_CONTROL} t from corpus)",
+))
+def b6_runs(spark, d):
+    return corpus(spark, d).select("document_id", F.md5(T.clean(F.col("content"))).alias("content_md5"))
+
+
+@query("b7_error_content", sql(f"select document_id, md5(case when {strip('c1')} = '' then '[no text could be extracted: ' || file_name || ']' else c1 end) text_md5, case when length(content) < 100 then 'too short' end processing_error from (select *, string_split(content, chr(10))[2] c2, coalesce(c2, '') c1 from corpus)", "corpus"))
+def b7(spark, d):
+    text, error = ingest.error_content(F.get(F.split("content", "\n"), F.lit(1)), F.col("file_name"), F.when(F.length("content") < 100, "too short"))
+    return corpus(spark, d).select("document_id", F.md5(text).alias("text_md5"), error.alias("processing_error"))
+
+
+@query("b9_replies", "select conv_id, turn, md5(text) extracted_md5, case when turn % 3 = 2 then md5(text) else md5(case when turn % 3 = 0 then role else '' end) end description_md5, case turn % 3 when 0 then 'chart' when 1 then 'other' else 'unknown' end content_type from conversations where text is not null")
+def b9(spark, d):
+    turn = F.col("turn") % 3
+    whole, part = F.to_json(F.struct(F.col("text").alias("extracted_text"), F.col("role").alias("description"), F.lit("chart").alias("content_type"))), F.to_json(F.struct(F.col("text").alias("extracted_text")))
+    reply = F.when(turn == 0, F.concat(F.lit("Here it is:\n```json\n"), whole, F.lit("\n```\n"))).when(turn == 1, part).otherwise(F.col("text"))
+    read = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", ingest.parse_reply(reply).alias("r"))
+    return read.select("conv_id", "turn", F.md5("r.extracted_text").alias("extracted_md5"), F.md5("r.description").alias("description_md5"), "r.content_type")
+
+
+@query("b10_images", "select document_id, page, idx, kind from (select *, row_number() over (partition by document_id order by page, idx) n from (select regexp_extract(url, '://([^/?#]*)', 1) document_id, page_id % 12 page, page_id idx, case page_id % 5 when 0 then 'png' when 1 then 'jpeg' when 2 then 'gif' when 3 then 'bmp' end kind from pages) where page < 10) where n <= 5")
+def b10(spark, d):
+    head = F.element_at(F.array(*[F.lit(x) for x in ("89504E470D0A1A0A", "FFD8FFE000104A46", "474946383961", "424D3600", "25504446")]), (F.col("page_id") % 5 + 1).cast("int"))
+    rows = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("document_id"), (F.col("page_id") % 12).alias("page"), F.col("page_id").alias("idx"), F.unhex(F.concat(head, F.hex(F.coalesce("html", F.lit(""))))).alias("content"))
+    return ingest.first_images(rows).select("document_id", "page", "idx", ingest.image_kind(F.col("content")).alias("kind"))
+
+
 @query("b8_analyses", sql("select document_id, md5(content || coalesce(blocks, '')) content_md5, coalesce(n, 0) n_analyses from corpus left join (select cast(doc_id as varchar) document_id, string_agg(chr(10) || '[image 1]' || chr(10) || 'quality ' || quality || case when toxic <> quality then chr(10) || 'toxic ' || toxic else '' end, '') blocks, count(*) n from labels group by 1) using (document_id)", "corpus"))
 def b8(spark, d):
     rows = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("image_index"), F.concat(F.lit("quality "), "quality").alias("extracted_text"), F.when(F.col("toxic") != F.col("quality"), F.concat(F.lit("toxic "), "toxic")).alias("description"))
@@ -180,15 +281,16 @@ def _first(column: str, pattern: str, group: int = 1) -> str:
     return f"nullif(regexp_extract({column}, {quoted(pattern)}, {group}), '')"
 
 
-_AGENCY = ", ".join(f"case when length({_first('content', p)}) > 1 then {_first('content', p)} end" for p in L.AGENCY_LATIN)
+_AGENCY = "coalesce(" + ", ".join(f"case when length({strip(_first('content', '(?i)' + p))}) > 1 and not regexp_matches({strip(_first('content', '(?i)' + p))}, '^[0-9]+$') then {strip(_first('content', '(?i)' + p))} end" for p in L.AGENCY_LATIN) + ")"
+_WORD_SIGNS = "nullif(" + strip("regexp_replace({0}, '[^\\p{{L}}\\p{{N}}_\\s()（）]', '', 'g')") + ", '')"
 
 
-@query("c2_agency", sql(f"select document_id, coalesce({_AGENCY}) agency from corpus", "corpus"))
+@query("c2_agency", sql(f"select document_id, {_WORD_SIGNS.format('found')} agency from (select document_id, {_AGENCY} found from corpus)", "corpus"))
 def c2(spark, d):
     return corpus(spark, d).select("document_id", metadata.agency(F.col("content"), L.AGENCY_LATIN, None).alias("agency"))
 
 
-_VOTES = {n: " + ".join(f"len(regexp_extract_all(content || ' ' || file_name, {quoted(p)}))" for p in ps) for n, ps in L.BUSINESS_LATIN.items()}
+_VOTES = {n: " + ".join(f"len(regexp_extract_all(lower(content || ' ' || file_name), {quoted('(?i)' + p)}))" for p in ps) for n, ps in L.BUSINESS_LATIN.items()}
 _BEST = "greatest(" + ", ".join(_VOTES) + ")"
 
 
@@ -210,6 +312,46 @@ def c4(spark, d):
     return corpus(spark, d).select("document_id", text.alias("budget"), amount.alias("amount"))
 
 
+_DATED = "select document_id, agency, source_type, content, content || case cast(document_id as bigint) % 4 when 0 then ' Dated: 2024.' || (cast(document_id as bigint) % 12 + 1) || '.' || (cast(document_id as bigint) % 28 + 1) when 1 then ' by 2023-' || (cast(document_id as bigint) % 12 + 1) || '-09' when 2 then ' until 24/3/' || (cast(document_id as bigint) % 28 + 1) else '' end t from corpus"
+
+
+def dated(spark, d):
+    """Texts with a date behind them, in one form or another."""
+    n = F.col("document_id").cast("long")
+    month, day = (n % 12 + 1).cast("string"), (n % 28 + 1).cast("string")
+    date = F.when(n % 4 == 0, F.concat(F.lit(" Dated: 2024."), month, F.lit("."), day)).when(n % 4 == 1, F.concat(F.lit(" by 2023-"), month, F.lit("-09"))).when(n % 4 == 2, F.concat(F.lit(" until 24/3/"), day)).otherwise(F.lit(""))
+    return corpus(spark, d).withColumn("t", F.concat("content", date))
+
+
+_ONE = "coalesce(" + ", ".join(_first("t", "(?i)" + p) for p in L.DEADLINE_LATIN) + ")"
+_Y, _M, _D = (_first("t", L.UNTIL_LATIN, g) for g in (1, 2, 3))
+
+
+@query("c5_deadline", sql(f"select document_id, coalesce(one, case when y is not null then case when length(y) = 2 then '20' || y else y end || '-' || lpad(m, 2, '0') || '-' || lpad(dd, 2, '0') end) deadline from (select document_id, {_ONE} one, {_Y} y, {_M} m, {_D} dd from dated)", "corpus", dated=_DATED))
+def c5(spark, d):
+    text, _ = metadata.deadline(F.col("t"), [f"(?iU){p}" for p in L.DEADLINE_LATIN], L.UNTIL_LATIN, None)
+    return dated(spark, d).select("document_id", text.alias("deadline"))
+
+
+_NOTICE = {name: "coalesce(" + ", ".join(_first("t", p.replace("(?iu)", "(?i)"), group) for p in patterns) + ")" for name, group, patterns in L.NOTICE_LATIN}
+
+
+@query("c6_notice_fields", sql("select document_id, " + ", ".join(f"{strip(x) if n != 'budget' else x} {n}" for n, x in _NOTICE.items()) + " from dated", "corpus", dated=_DATED))
+def c6(spark, d):
+    return metadata.notice_fields(dated(spark, d).drop("agency"), "t", L.NOTICE_LATIN).select("document_id", *_NOTICE)
+
+
+@query("c7_merge", sql("select document_id, 'agency=' || coalesce(case when q = 1 then 'good' end, agency) || ';type=' || case when length(content) > 500 then 'long' else source_type end || ';zone=' || case when q is null then 'none' else 'q' || q end merged from corpus left join (select cast(doc_id as varchar) document_id, max(quality) q from labels group by 1) using (document_id)", "corpus"))
+def c7(spark, d):
+    labels = table(spark, d, "labels").groupBy(F.col("doc_id").cast("string").alias("document_id")).agg(F.max("quality").alias("q"))
+    rows = corpus(spark, d).join(labels, "document_id", "left")
+    one = lambda k, v: F.create_map(F.lit(k), v)
+    base = F.create_map(F.lit("agency"), F.col("agency"), F.lit("type"), F.col("source_type"), F.lit("zone"), F.lit("none"))
+    merged = metadata.merge(base, F.when(F.length("content") > 500, one("type", F.lit("long"))), F.when(F.col("q") == 1, one("agency", F.lit("good"))), F.when(F.col("q").isNotNull(), one("zone", F.concat(F.lit("q"), F.col("q").cast("string")))))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return rows.select("document_id", text.alias("merged"))
+
+
 # --- chunks
 
 
@@ -239,14 +381,14 @@ def d5(spark, d):
 
 
 DOMAIN_WORDS = ["the", "und", "les", "que"]
-_LEVEL = f"case when regexp_extract({strip('title')}, '^(\\d+(?:\\.\\d+)*)', 1) <> '' then len(string_split(regexp_extract({strip('title')}, '^(\\d+(?:\\.\\d+)*)', 1), '.')) when regexp_matches({strip('title')}, '^[가-힣]\\.') then 2 else 1 end"
+_LEVEL = "case when regexp_extract(title, '^(\\d+(?:\\.\\d+)*)', 1) <> '' then len(string_split(regexp_extract(title, '^(\\d+(?:\\.\\d+)*)', 1), '.')) when regexp_matches(title, '^[가-힣]\\. ') then 2 else 1 end"
 _HITS = " + ".join(f"case when contains(content, {quoted(w)}) then 0.05 else 0 end" for w in DOMAIN_WORDS)
 
 
 @query("d6_d16_group_summary", sql(
     f"select document_id, cast(group_id as bigint) group_id, n_elements, chunk_type, title, md5(content) content_md5, round(mean_font, 6) mean_font, has_bold, pages, level, round(importance, 6) importance, coalesce(lag(title) over w, '') parent_section, coalesce(lag(level) over w, 1) parent_level from (select *, case when title <> '' then {_LEVEL} else 1 end level, least(0.5 + weight + case when length(content) > 500 then 0.1 else 0 end + {_HITS}, 1.0) importance from g) window w as (partition by document_id order by group_id)",
     "grouped",
-    g="select document_id, group_id, count(*) n_elements, case when count(*) filter (element_type = 'title') > 0 and count(*) <= 2 then 'title' when count(*) filter (element_type = 'table') > 0 then 'table' when count(*) filter (element_type = 'list') * 2 > count(*) then 'list' when count(distinct element_type) > 2 then 'mixed' else 'content' end chunk_type, coalesce(min(text_content) filter (element_type = 'title'), '') title, string_agg(text_content, chr(10) order by elem_idx) content, avg(font_size) mean_font, bool_or(font_weight = 'bold') has_bold, array_to_string(list_sort(list_distinct(list(page_number))), ',') pages, cast(sum(case when element_type = 'title' then 0.3 when font_weight = 'bold' then 0.1 else 0 end) as double) weight from grouped group by 1, 2",
+    g="select document_id, group_id, count(*) n_elements, case when count(*) filter (element_type = 'title') > 0 and count(*) = 1 then 'title' when count(*) filter (element_type = 'table') > 0 then 'table' when count(*) filter (element_type = 'list') = count(*) then 'list' when count(distinct element_type) > 2 then 'mixed' else 'content' end chunk_type, coalesce(min(text_content) filter (element_type = 'title'), '') title, string_agg(text_content, chr(10) order by elem_idx) content, avg(font_size) mean_font, bool_or(font_weight = 'bold') has_bold, array_to_string(list_sort(list_distinct(list(page_number))), ',') pages, cast(sum(case when element_type = 'title' then 0.3 when font_weight = 'bold' then 0.1 else 0 end) as double) weight from grouped group by 1, 2",
 ))
 def d6(spark, d):
     rows = chunking.group_summary(elements(corpus(spark, d)), DOMAIN_WORDS)
@@ -258,17 +400,34 @@ def d12(spark, d):
     return chunking.keywords(corpus(spark, d))
 
 
-@query("d14_merge_short", sql("select document_id, cast(merged_id as bigint) merged_id, md5(string_agg(line, chr(10) order by pos)) content_md5, count(*) n_merged from (select *, sum(case when length(line) >= 50 or pos = 0 then 1 else 0 end) over (partition by document_id order by pos) merged_id from lines) group by 1, 2", "lines"))
+@query("d14_merge_short", sql("select document_id, cast(merged_id as bigint) merged_id, md5(string_agg(line, chr(10) order by pos)) content_md5, count(*) n_merged from (select *, sum(case when length(" + strip('line') + ") >= 50 or pos = 0 then 1 else 0 end) over (partition by document_id order by pos) merged_id from lines) group by 1, 2", "lines"))
 def d14(spark, d):
     rows = chunking.merge_short(lines(corpus(spark, d)).select("document_id", F.col("pos").alias("seq"), F.col("line").alias("content")))
     return rows.select("document_id", "merged_id", F.md5("content").alias("content_md5"), "n_merged")
 
 
-@query("d9_d11_enhanced_chunks")
+# the split points, the pieces and the packing are folds: an accumulator goes through a list of structs of its own kind
+_LINES = "list_concat([{'n': 0, 'good': false, 'pos': 0, 'now': 0, 'cuts': cast([] as integer[])}], list_transform(string_split(content, chr(10)), lambda l: {'n': cast(length(l) + 1 as integer), 'good': regexp_matches(" + strip("l") + ", '^\\d+\\.\\s+[가-힣A-Za-z]+|^제\\s*\\d+\\s*장|^[가-힣]+\\s*사업\\s*개요|^[가-힣]+\\s*기술\\s*요구사항|^\\s*\\([가-힣]\\)|^\\s*[가-힣]\\.|^\\s*\\d+\\)'), 'pos': 0, 'now': 0, 'cuts': cast([] as integer[])}))"
+_SENTENCES = "list_concat([{'n': 0, 'good': true, 'pos': 0, 'now': 0, 'cuts': cast([] as integer[])}], list_transform(string_split_regex(content, '[.!?]\\s+'), lambda l: {'n': cast(length(l) as integer), 'good': true, 'pos': 0, 'now': 0, 'cuts': cast([] as integer[])}))"
+_FOLD = "list_reduce({0}, lambda a, x: {{'n': 0, 'good': false, 'pos': a.pos + x.n, 'now': case when a.now + x.n > 1000 and x.good then x.n else a.now + x.n end, 'cuts': case when a.now + x.n > 1000 and x.good then list_append(a.cuts, a.pos) else a.cuts end}}).cuts"
+_PIECE = strip("substr(content, a.p + 1, x.p - a.p)")
+_PIECES = f"list_reduce(list_concat([{{'p': 0, 'o': cast([] as varchar[])}}], list_transform(list_append(cuts, cast(length(content) as integer)), lambda c: {{'p': c, 'o': cast([] as varchar[])}})), lambda a, x: case when length({_PIECE}) < 50 then {{'p': a.p, 'o': case when len(a.o) > 0 then list_append(a.o[1:len(a.o) - 1], a.o[len(a.o)] || chr(10) || {_PIECE}) else a.o end}} else {{'p': x.p, 'o': list_append(a.o, case when len(a.o) > 0 then substr(content, greatest(a.p - 200, 0) + 1, a.p - greatest(a.p - 200, 0)) else '' end || {_PIECE})}} end).o"
+
+
+@query("d9_d11_enhanced_chunks", sql(
+    f"select document_id, cast(group_id as bigint) group_id, part - 1 part, md5(piece) content_md5, length(piece) chunk_size from (select document_id, group_id, unnest(pieces) piece, generate_subscripts(pieces, 1) part from (select document_id, group_id, case when length(content) <= 1000 then [content] else {_PIECES} end pieces from (select *, case when length(content) <= 1000 then [] when len(by_line) > 0 then by_line else {_FOLD.format(_SENTENCES)} end cuts from (select *, case when length(content) > 1000 then {_FOLD.format(_LINES)} end by_line from gc))))",
+    "grouped", gc="select document_id, group_id, string_agg(text_content, chr(10) order by elem_idx) content from grouped group by 1, 2",
+))
 def d9(spark, d):
     return chunking.enhanced_chunks(elements(corpus(spark, d))).select("document_id", "group_id", "part", F.md5("content").alias("content_md5"), F.length("content").alias("chunk_size"))
 
 
-@query("d15_emergency_split")
+# a sign that no text holds marks the sentences' ends, as the dialect knows no look-behind
+_PACKED = "list_reduce(list_concat([{'s': '', 'o': cast([] as varchar[])}], list_transform(string_split(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {'s': s, 'o': cast([] as varchar[])})), lambda a, x: case when length(a.s) + length(x.s) > 1500 and a.s <> '' then {'s': x.s, 'o': list_append(a.o, " + strip("a.s") + ")} else {'s': a.s || ' ' || x.s, 'o': a.o} end)"
+
+
+@query("d15_emergency_split", sql(
+    f"select document_id, part - 1 part, md5(piece) content_md5, length(piece) chunk_size from (select document_id, unnest(pieces) piece, generate_subscripts(pieces, 1) part from (select document_id, case when {strip('f.s')} <> '' then list_append(f.o, {strip('f.s')}) else f.o end pieces from (select document_id, {_PACKED} f from corpus)))", "corpus",
+))
 def d15(spark, d):
     return corpus(spark, d).select("document_id", F.posexplode(chunking.emergency_split(F.col("content"), 1500)).alias("part", "content")).select("document_id", "part", F.md5("content").alias("content_md5"), F.length("content").alias("chunk_size"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,21 +13,24 @@ from ..operators import chunking
 from ..operators.analytics import log_windows
 
 
-def ingest_stream(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, files_per_batch: int = 5) -> StreamingQuery:
-    """New files of a parquet folder (document_id, content) become chunk rows in target, batch by batch.
+def ingest_stream(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, files_per_batch: int = 5, select: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """New files of a parquet folder become chunk rows in target, batch by batch; `select` makes document_id and content of their rows.
 
-    A batch is written to a folder of its own number and replaces what an interrupted try left there, and
-    documents that earlier batches hold are left out, so a restart neither loses nor repeats a document.
+    A batch is written to a folder of its own number and replaces what an interrupted try left there. Documents that earlier
+    batches hold are left out, so a restart neither loses nor repeats one; of rows of a batch that repeat a document
+    the first by content stays. What is done is looked up in a table of ids beside the checkpoint, not in the chunks.
     """
+    ids = f"{checkpoint.rstrip('/')}-ids"
+
     def write(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        new = batch.dropDuplicates(["document_id"])
-        hadoop = session._jvm.org.apache.hadoop.fs.Path(target)
-        exists = hadoop.getFileSystem(session._jsc.hadoopConfiguration()).exists(hadoop)
-        if exists:
-            done = session.read.parquet(target).where(F.col("batch") != number).select("document_id").distinct()
-            new = new.join(done, "document_id", "left_anti")
+        new = (batch if select is None else select(batch)).groupBy("document_id").agg(F.min("content").alias("content"))
+        path = session._jvm.org.apache.hadoop.fs.Path(ids)
+        if path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path):
+            done = session.read.schema("document_id string, batch long").parquet(ids).where(F.col("batch") != number)
+            new = new.join(done.select("document_id"), "document_id", "left_anti")
         chunking.smart_chunks(new).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        new.select("document_id").write.mode("overwrite").parquet(f"{ids}/batch={number}")
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
