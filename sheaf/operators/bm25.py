@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import terms
+from ..sources.scratch import written
 
 K1, B = 1.5, 0.75
+#: Rows of terms, ids or questions that a side has at most where it is broadcast; more are joined by shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def small(side: DataFrame, rows: int) -> DataFrame:
+    """The side of a join, broadcast if so many rows are few enough."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
@@ -22,43 +30,85 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def corpus_size(chunks: DataFrame) -> DataFrame:
     """One row: n, avgdl; empty chunks count with length 0."""
-    return lengths(chunks).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return size_of(lengths(chunks))
+
+
+def size_of(dl: DataFrame) -> DataFrame:
+    return dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def idf(chunks: DataFrame) -> DataFrame:
     """term, df, idf."""
-    df = postings(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return idf_of(postings(chunks), chunks)
+
+
+def idf_of(posted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The same from stored postings; chunks has a row for each chunk."""
+    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = chunks.agg(F.count(F.lit(1)).alias("n"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))  # one row
 
 
+def refresh(posted: DataFrame, dl: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) after an ingest: what is stored of chunks that come again goes, and the new chunks' rows are added.
+
+    Only the new chunks' texts are read. df, idf, n and avgdl are aggregates of the two tables (idf_of, size_of).
+    """
+    again = new.select("chunk_id").distinct()
+    return posted.join(again, "chunk_id", "left_anti").unionByName(postings(new)), dl.join(again, "chunk_id", "left_anti").unionByName(lengths(new))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term, qtf: repeats count."""
     return queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, chunk_id, bm25, rank: chunks that share a term with the question, ties by id.
+def matches(chunks: DataFrame, queries: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, dl, the carried columns, term, tf: the questions' terms in each chunk, and a row with the term '' for each chunk.
 
-    Only terms of a question leave the scan: the array of terms is filtered by a semi-join on the exploded
-    rows before anything is counted. Counts are made per chunk and term first, so a frequent term is one row a
-    chunk.
+    One scan serves all that search needs (which chunks there are, their lengths, df, tf), so it is written once and
+    read from there. Only terms of a question leave the scan; a frequent term is one row a chunk.
     """
-    wanted = query_terms(queries)
-    tokens = chunks.select("chunk_id", terms(F.col("content")).alias("_t")).select("chunk_id", F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term"))
-    hits = tokens.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = query_terms(queries).select("term").distinct()
+    tokens = chunks.select("chunk_id", *carried, terms(F.col("content")).alias("_t"))
+    rows = tokens.select("chunk_id", *carried, F.size("_t").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
+    every = wanted.union(chunks.sparkSession.range(1).select(F.lit("").alias("term")))
+    hits = rows.join(small(every, wanted.count()), "term", "left_semi")
+    return written(hits.groupBy("chunk_id", "dl", *carried, "term").agg(F.count(F.lit(1)).alias("tf")), "matches")
+
+
+def ranked(found: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, chunk_id, bm25, rank from matches: chunks that share a term with the question, ties by id."""
+    hits = found.where("term <> ''")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = wanted.join(df, "term").crossJoin(F.broadcast(corpus_size(chunks)))  # one row
+    weighted = query_terms(queries).join(df, "term").crossJoin(F.broadcast(size_of(found.where("term = ''"))))  # one row
     weighted = weighted.select("query_id", "term", "avgdl", (F.col("qtf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("w"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("bm25"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25"), "chunk_id"))).where(F.col("rank") <= k)
 
 
+def search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The k best chunks of each question by BM25."""
+    return ranked(matches(chunks, queries), queries, k)
+
+
+def contents(chunks: DataFrame, found: DataFrame, documents: DataFrame, most: int) -> DataFrame:
+    """found (id, ...) with document_id and content; documents: the `most` document_ids at most that found's chunks belong to.
+
+    Only these documents are cut into chunks again: the semi-join is pushed below the cutting.
+    """
+    mine = chunks.join(small(documents.select("document_id").distinct(), most), "document_id", "left_semi")
+    return found.join(mine.select(F.col("chunk_id").alias("id"), "document_id", "content"), "id")
+
+
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """search with the score scaled to 0..1 and the chunk's content."""
-    found = search(chunks, queries, k)
-    return found.join(chunks.select("chunk_id", "document_id", "content"), "chunk_id").select("query_id", "rank", F.col("chunk_id").alias("id"), "document_id", "bm25", F.least(F.col("bm25") / 10, F.lit(1.0)).alias("keyword_score"), "content")
+    held = matches(chunks, queries, ("document_id",))
+    found = ranked(held, queries, k)
+    of = held.where("term = ''").select("chunk_id", "document_id").join(found.select("chunk_id"), "chunk_id", "left_semi")
+    rows = contents(chunks, found.withColumnRenamed("chunk_id", "id"), of, k * queries.count())
+    return rows.select("query_id", "rank", "id", "document_id", "bm25", F.least(F.col("bm25") / 10, F.lit(1.0)).alias("keyword_score"), "content")
 
 
 def index_input(chunks: DataFrame, chunk_meta: DataFrame, doc_meta: DataFrame) -> DataFrame:

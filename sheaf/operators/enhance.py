@@ -146,10 +146,12 @@ def category(word: Column, lex: Lexicon) -> Column:
     return out
 
 
-def relevance(question: Column, document: Column, weight: Column) -> Column:
-    a, b = F.array_distinct(words(question)), F.array_distinct(words(document))
-    both = F.size(F.array_union(a, b))
-    jaccard = F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(F.lit(0.0))
+def relevance(question: Column, held: Column, n_words: Column, weight: Column) -> Column:
+    """Of a question's words, a document's words among those of all questions, and the number of the document's different words."""
+    a = F.array_distinct(words(question))
+    common = F.size(F.array_intersect(a, held))
+    both = F.size(a) + n_words - common
+    jaccard = F.when(both > 0, common / both).otherwise(F.lit(0.0))
     return F.round(F.least(weight * 10, F.lit(1.0)) * 0.7 + jaccard * 0.3, 3)
 
 
@@ -162,21 +164,37 @@ SPECIFIC_KO = (
 SPECIFIC_LATIN = ((r"\d+(?:,\d+)*(?:\.\d+)?", "which figures", "figures", "number", 0.8), (r"[Vv]ersion \d", "which version", "version", "version", 0.9), (r"[Ll]icense|[Rr]eleased", "which terms", "terms", "license", 0.85))
 
 
+def specific_array(text: str, rules: tuple) -> Column:
+    made = F.array(*[F.struct(F.lit(q).alias("question"), F.lit(c).alias("category"), F.lit(w).alias("keyword"), F.lit(s).alias("confidence"), F.regexp_count(text, F.lit(p)).cast("long").alias("frequency")) for p, q, c, w, s in rules])
+    return F.filter(made, lambda x: x["frequency"] > 0)
+
+
 def specific_questions(docs: DataFrame, rules: tuple = SPECIFIC_KO, key: str = "document_id", text: str = "content") -> DataFrame:
     """A question for each rule that a document matches, with the number of matches."""
-    made = F.array(*[F.struct(F.lit(q).alias("question"), F.lit(c).alias("category"), F.lit(w).alias("keyword"), F.lit(s).alias("confidence"), F.regexp_count(text, F.lit(p)).cast("long").alias("frequency")) for p, q, c, w, s in rules])
-    return docs.select(key, F.explode(F.filter(made, lambda x: x["frequency"] > 0)).alias("q")).select(key, "q.*")
+    return docs.select(key, F.explode(specific_array(text, rules)).alias("q")).select(key, "q.*")
 
 
 def recommended(docs: DataFrame, lex: Lexicon = KOREAN, rules: tuple = SPECIFIC_KO, top: int = 20) -> DataFrame:
-    """The best questions for each document: its keywords' categories' questions by relevance, and the specific ones."""
+    """The best questions for each document: its keywords' categories' questions by relevance, and the specific ones.
+
+    Two scans: one counts keywords; one takes each text's words once and keeps those that a question has, the number of
+    all, and the specific questions. No text is shuffled.
+    """
     keyed = main_keywords(docs, lex).withColumn("category", category(F.col("word"), lex)).where("category is not null")
     best = keyed.groupBy("document_id", "category").agg(F.max(F.struct("weight", "word")).alias("_b")).select("document_id", "category", "_b.weight", F.col("_b.word").alias("keyword"))
+    mine = best.groupBy("document_id").agg(F.collect_list(F.struct("category", "weight", "keyword")).alias("_best"))
+    vocabulary = F.array_distinct(F.flatten(F.array(*[words(F.lit(q)) for qs in lex.templates.values() for q in qs])))
+    seen = docs.select("document_id", F.array_distinct(words(F.col("content"))).alias("_w"), specific_array("content", rules).alias("_specific"))
+    narrow = seen.select("document_id", F.array_intersect("_w", vocabulary).alias("_held"), F.size("_w").alias("_n"), "_specific")
+    joined = narrow.join(mine, "document_id", "left")
     asked = F.create_map(*[x for c, qs in lex.templates.items() for x in (F.lit(c), strings(qs))])
-    rows = best.withColumn("question", F.explode(F.try_element_at(asked, F.col("category"))))
-    scored = rows.join(docs.select("document_id", "content"), "document_id").select("document_id", "question", "category", "keyword", relevance(F.col("question"), F.col("content"), F.col("weight")).alias("confidence"))
-    every = scored.unionByName(specific_questions(docs, rules).drop("frequency"))
-    return every.withColumn("rank", F.row_number().over(W.partitionBy("document_id").orderBy(F.desc("confidence"), "question"))).where(F.col("rank") <= top)
+    made = F.flatten(F.transform(F.coalesce("_best", F.array().cast("array<struct<category:string,weight:double,keyword:string>>")), lambda b: F.transform(F.coalesce(F.try_element_at(asked, b["category"]), strings([])), lambda q: F.struct(
+        q.alias("question"), b["category"].alias("category"), b["keyword"].alias("keyword"), relevance(q, F.col("_held"), F.col("_n"), b["weight"]).alias("confidence"),
+    ))))
+    plain = F.transform("_specific", lambda x: F.struct(x["question"].alias("question"), x["category"].alias("category"), x["keyword"].alias("keyword"), x["confidence"].alias("confidence")))
+    order = F.transform(F.concat(made, plain), lambda x: F.struct((-x["confidence"]).alias("c"), x["question"].alias("q"), x["category"].alias("k"), x.alias("x")))
+    rows = joined.select("document_id", F.posexplode(F.slice(F.sort_array(order), 1, top)).alias("rank", "_o"))
+    return rows.select("document_id", "_o.x.question", "_o.x.category", "_o.x.keyword", "_o.x.confidence", (F.col("rank") + 1).alias("rank"))
 
 
 def better_questions(rows: DataFrame, lex: Lexicon = KOREAN, threshold: float = 0.5) -> DataFrame:
@@ -192,12 +210,12 @@ def better_questions(rows: DataFrame, lex: Lexicon = KOREAN, threshold: float =
 
 
 def two_pass(first: DataFrame, again, queries: DataFrame, least_confidence: float = 0.6, least_sources: int = 2) -> DataFrame:
-    """first: answers of all questions; `again(queries)` answers the enhanced text of those that found little; the better one stays.
+    """first: answers of all questions; `again(queries)` answers the enhanced text, where it is another, of those that found little; the better one stays.
 
-    queries: query_id, query, enhanced_query, qvec. The first pass is read twice, so callers persist it.
+    queries: query_id, query, enhanced_query, qvec. The first pass is read twice, so callers have it written.
     """
     weak = first.where((F.col("confidence") < least_confidence) | (F.col("n_sources") < least_sources)).select("query_id")
-    second = again(queries.join(weak, "query_id", "left_semi").withColumn("query", F.col("enhanced_query")))
+    second = again(queries.where("enhanced_query <> query").join(weak, "query_id", "left_semi").withColumn("query", F.col("enhanced_query")))
     s = second.select("query_id", F.struct(*[c for c in second.columns if c != "query_id"]).alias("s"))
     f = first.select("query_id", F.struct(*[c for c in first.columns if c != "query_id"]).alias("f"))
     joined = f.join(s, "query_id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.scratch import written
 from . import bm25, vectors
 
 
@@ -45,7 +46,7 @@ def union_fusion(vector_rows: DataFrame, keyword_rows: DataFrame, k: int = 10, v
 
 
 def hybrid_confidence(queries: DataFrame, best: DataFrame) -> DataFrame:
-    """best: query_id, v, w, the best vector score and the best keyword score (over 1: divided by 15)."""
+    """best: query_id, v, w: the best score of a search by vectors and of one by keywords (over 1: divided by 15). A question that is not there has 0."""
     kw = F.when(F.col("w") > 1, F.least(F.col("w") / 15, F.lit(1.0))).otherwise(F.col("w"))
     rows = queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce(kw, F.lit(0.0)).alias("w"))
     base = F.greatest("v", "w")
@@ -92,25 +93,51 @@ def prompt(query: Column, context: Column) -> Column:
     return F.concat(F.lit("Answer from the context only.\n\nContext:\n"), context, F.lit("\n\nQuestion: "), query, F.lit("\nAnswer:"))
 
 
-def search(chunks: DataFrame, vecs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank, id, document_id, scores, label, content, file_name, agency: hybrid search of all questions.
+def search(chunks: DataFrame, vecs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, method: str = "hybrid") -> DataFrame:
+    """query_id, rank, id, document_id, scores, label, content, file_name, agency: the search of all questions, by both sides or by one.
 
-    A vector belongs to a document; it stands for the document's first chunk.
+    A vector belongs to a document; it stands for the document's first chunk. best_vector and best_keyword are the
+    question's best scores in a search by vectors alone (1 / (1 + distance)) and by keywords alone (BM25 / 10).
+    The two sides' scans are written when this is called: one over the chunks, one over the vectors.
     """
-    first = chunks.where("section_index = 0 and chunk_index = 0").select(F.col("document_id").alias("vid"), "chunk_id")
-    v = vectors.knn(vecs, queries, 2 * k).join(first, F.col("id") == F.col("vid")).select("query_id", F.col("chunk_id").alias("id"), "distance", "rank")
-    w = bm25.search(chunks, queries, 2 * k).select("query_id", F.col("chunk_id").alias("id"), "bm25", "rank")
-    fused = hybrid(v, w, k)
-    named = chunks.select(F.col("chunk_id").alias("id"), "document_id", "content").join(corpus.select("document_id", "file_name", "agency"), "document_id")
-    return fused.join(named, "id")
+    held = bm25.matches(chunks, queries, ("document_id", "section_index", "chunk_index"))
+    near = written(vectors.knn(vecs, queries, 2 * k), "neighbours")
+    ids = held.where("term = ''").select("chunk_id", "document_id", "section_index", "chunk_index")
+    first = ids.where("section_index = 0 and chunk_index = 0").select(F.col("document_id").alias("vid"), "chunk_id")
+    n = queries.count()
+    v = first.join(bm25.small(near, 2 * k * n), F.col("id") == F.col("vid")).select("query_id", F.col("chunk_id").alias("id"), "distance", "rank")
+    w = bm25.ranked(held, queries, 2 * k).select("query_id", F.col("chunk_id").alias("id"), "bm25", "rank")
+    _, score = vectors.score_of(F.col("distance"))
+    best = near.where("rank = 1").select("query_id", score.alias("best_vector")).join(w.where("rank = 1").select("query_id", F.least(F.col("bm25") / 10, F.lit(1.0)).alias("best_keyword")), "query_id", "full")
+    if method == "hybrid":
+        fused = hybrid(v, w, k)
+    elif method == "vector":
+        fused = top(v.select("query_id", "id", score.alias("vector_score"), F.lit(0.0).alias("keyword_score"), F.round(score, 6).alias("hybrid_score"), F.lit("vector").alias("source")), k, "hybrid_score")
+    elif method == "keyword":
+        kw = F.least(F.col("bm25") / 10, F.lit(1.0))
+        ordered = w.where(F.col("rank") <= k)
+        fused = ordered.select("query_id", "id", F.lit(0.0).alias("vector_score"), kw.alias("keyword_score"), F.round(kw, 6).alias("hybrid_score"), F.lit("keyword").alias("source"), "rank")
+    else:
+        raise ValueError(f"unknown method {method}")
+    fused = written(fused, "fused")
+    of = ids.join(bm25.small(fused.select(F.col("id").alias("chunk_id")).distinct(), k * n), "chunk_id", "left_semi")
+    rows = bm25.contents(chunks, fused, of, k * n)
+    named = corpus.select("document_id", "file_name", "agency").join(bm25.small(rows.select("document_id").distinct(), k * n), "document_id", "left_semi")
+    return rows.join(named, "document_id").join(best, "query_id").select("query_id", "id", "vector_score", "keyword_score", "hybrid_score", "source", "rank", "document_id", "content", "file_name", "agency", "best_vector", "best_keyword")
+
+
+def confidence_of(queries: DataFrame, results: DataFrame, method: str = "hybrid") -> DataFrame:
+    """query_id, confidence: of a search by both sides from the best of each alone, of one side from its best three. 0 without results."""
+    if method != "hybrid":
+        return generic_confidence(queries, results, f"{method}_score")
+    return hybrid_confidence(queries, results.groupBy("query_id").agg(F.max("best_vector").alias("v"), F.max("best_keyword").alias("w")))
 
 
 def answers(queries: DataFrame, results: DataFrame, method: str = "hybrid") -> DataFrame:
-    """One row for each question: answer, confidence, band, sources and the number of results."""
-    best = results.groupBy("query_id").agg(F.max("vector_score").alias("v"), F.max("keyword_score").alias("w"), F.min_by("content", "rank").alias("best"), F.count(F.lit(1)).alias("total_results"))
-    conf = hybrid_confidence(queries, best.select("query_id", "v", "w"))
+    """One row for each question: answer, confidence, band, sources and the number of results. results: of a search by the method."""
+    best = results.groupBy("query_id").agg(F.min_by("content", "rank").alias("best"), F.count(F.lit(1)).alias("total_results"))
     lists = source_lists(unique_sources(results.withColumn("score", F.col("hybrid_score"))))
-    rows = queries.select("query_id", "query").join(conf, "query_id").join(best.drop("v", "w"), "query_id", "left").join(lists, "query_id", "left")
+    rows = queries.select("query_id", "query").join(confidence_of(queries, results, method), "query_id").join(best, "query_id", "left").join(lists, "query_id", "left")
     c = F.round("confidence", 6)
     return rows.select(
         "query_id", "query", extractive_answer(F.col("best"), F.col("confidence")).alias("answer"), c.alias("confidence"), band(F.col("confidence")).alias("answer_confidence"), F.lit(method).alias("search_method"),
@@ -118,6 +145,19 @@ def answers(queries: DataFrame, results: DataFrame, method: str = "hybrid") -> D
     )
 
 
+def search_and_answer(chunks: DataFrame, vecs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
+    """The answers of all questions. With a column search_method each question is asked by its own (an unknown one or null: hybrid)."""
+    def by(asked: DataFrame, method: str) -> DataFrame:
+        found = written(search(chunks, vecs, asked, corpus, k, method), "results")
+        return answers(asked, found, method)
+
+    if "search_method" not in queries.columns:
+        return by(queries, "hybrid")
+    sides = F.col("search_method").isin("vector", "keyword")
+    parts = [by(queries.where(F.col("search_method") == m), m) for m in ("vector", "keyword")]
+    return by(queries.where(~F.coalesce(sides, F.lit(False))), "hybrid").unionByName(parts[0]).unionByName(parts[1])
+
+
 def reuse(queries: DataFrame, stored: DataFrame, now: Column, ttl_seconds: int, keys: list[str]) -> DataFrame:
     """queries with from_cache and the stored answer: the newest one of the same key that is young enough."""
     young = stored.where(F.unix_timestamp("ts") > F.unix_timestamp(now) - ttl_seconds)

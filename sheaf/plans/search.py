@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bm25, chunking, enhance, fusion, vectors
+from ..sources.scratch import written
 from ..sources.tables import corpus, questions, table, turns
 from ..sources.tables import vectors as vector_table
-from .base import Query, quoted, sql
+from .base import Query, quoted, search_again, sql
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,12 +111,24 @@ def f5(spark, d):
     return rows.withColumns({"content_md5": F.md5("content"), "keyword_score": F.round("keyword_score", 6)}).drop("content")
 
 
-@query("f6_index_input", sql("select chunk_id, document_id, coalesce(case when doc_id is not null then 'label' end, 'none') origin from named left join (select distinct doc_id from labels) on document_id = cast(doc_id as varchar)", "named"))
+@query("f6_index_input", sql("select chunk_id, document_id, case when section_index % 3 = 1 then 'own' when section_index % 3 = 0 and doc_id is not null then 'label' when section_index % 3 = 2 and doc_id is not null then 'label' else 'none' end origin from named left join (select distinct doc_id from labels) on document_id = cast(doc_id as varchar)", "named"))
 def f6(spark, d):
-    rows = chunks_of(spark, d).select("chunk_id", "document_id")
-    own = spark.createDataFrame([], "chunk_id string, chunk_json string")
+    rows = chunks_of(spark, d).select("chunk_id", "document_id", "section_index")
+    section = F.col("section_index") % 3  # some chunks have metadata, some have broken metadata, some none
+    own = rows.where(section > 0).select("chunk_id", F.when(section == 1, '{"origin": "own"}').otherwise('{"origin').alias("chunk_json"))
     of_doc = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("document_id"), F.lit('{"origin": "label"}').alias("doc_json")).distinct()
-    return bm25.index_input(rows, own, of_doc).select("chunk_id", "document_id", F.coalesce(F.try_element_at("metadata", F.lit("origin")), F.lit("none")).alias("origin"))
+    return bm25.index_input(rows.drop("section_index"), own, of_doc).select("chunk_id", "document_id", F.coalesce(F.try_element_at("metadata", F.lit("origin")), F.lit("none")).alias("origin"))
+
+
+@query("f7_refresh", sql("select term, df, round(idf, 6) idf, round(avgdl, 6) avgdl from idf, size", "idf", "size"))
+def f7(spark, d):
+    chunks = chunks_of(spark, d)
+    labelled = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("document_id")).distinct()
+    stored = chunks.join(labelled, "document_id", "left_semi")
+    posted, dl = written(bm25.postings(stored), "postings"), written(bm25.lengths(stored), "lengths")
+    later = chunks.join(labelled, "document_id", "left_anti").unionByName(stored.where("section_index = 0"))  # new documents, and chunks that come again
+    posted, dl = bm25.refresh(posted, dl, later)
+    return bm25.idf_of(posted, dl).crossJoin(F.broadcast(bm25.size_of(dl).select("avgdl"))).select("term", "df", F.round("idf", 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"))  # one row
 
 
 # --- fusion and answers
@@ -138,17 +151,17 @@ def g1(spark, d):
 _SIDE = "select query_id, id, round(({0} + 0.1 * greatest(0, (11 - rank) / 10.0)) / 1.1 * {1}, 6) combined_score, '{2}' source from {3} where rank <= 10"
 
 
-@query("g2_union_fusion", sql("select * from (select *, row_number() over (partition by query_id order by combined_score desc, id, source) rank from u) where rank <= 10", "nn", "kw", u=_SIDE.format("case when distance <= 1 then 1 - distance else 0.0 end", 0.7, "vector", "nn") + " union all " + _SIDE.replace(" id,", " chunk_id id,").format("least(bm25 / 10, 1.0)", 0.3, "keyword", "kw")))
+@query("g2_union_fusion", sql("select * from (select *, row_number() over (partition by query_id order by combined_score desc, id, source) rank from u) where rank <= 10", "nn", "kw", u=_SIDE.format("greatest(0.0, least(1.0, 1 / (1 + distance)))", 0.7, "vector", "nn") + " union all " + _SIDE.replace(" id,", " chunk_id id,").format("greatest(0.0, least(1.0, bm25 / 15))", 0.3, "keyword", "kw")))
 def g2(spark, d):
-    v = vectors.vector_search(vector_table(spark, d), questions(spark, d), 10).select("query_id", "id", "rank", F.col("similarity").alias("score"))
-    w = bm25.keyword_search(chunks_of(spark, d), questions(spark, d), 10).select("query_id", "id", "rank", F.col("keyword_score").alias("score"))
+    _, score = vectors.score_of(F.col("distance"))
+    v = vectors.knn(vector_table(spark, d), questions(spark, d), 10).select("query_id", "id", "rank", score.alias("score"))
+    w = bm25.search(chunks_of(spark, d), questions(spark, d), 10).select("query_id", F.col("chunk_id").alias("id"), "rank", F.least(F.col("bm25") / 15, F.lit(1.0)).alias("score"))
     return fusion.union_fusion(v, w, 10)
 
 
 @query("g3_hybrid_confidence", sql("select query_id, round(confidence, 6) confidence from conf", "conf"))
 def g3(spark, d):
-    best = results_of(spark, d).groupBy("query_id").agg(F.max("vector_score").alias("v"), F.max("keyword_score").alias("w"))
-    return rounded(fusion.hybrid_confidence(questions(spark, d), best), "confidence")
+    return rounded(fusion.confidence_of(questions(spark, d), results_of(spark, d)), "confidence")
 
 
 @query("g4_generic_confidence", sql("select query_id, round(case when m is null then 0.0 else least(m * least(1.2, 1 + 0.05 * o), 1.0) end, 6) confidence from questions left join (select query_id, avg(hybrid_score) filter (rank <= 3) m, count(*) filter (hybrid_score > 0.1) o from fused group by 1) using (query_id)", "questions", "fused"))
@@ -158,8 +171,7 @@ def g4(spark, d):
 
 @query("g5_bands", sql("select query_id, case when confidence < 0.3 then 'low' when confidence > 0.7 then 'high' else 'medium' end band from conf", "conf"))
 def g5(spark, d):
-    best = results_of(spark, d).groupBy("query_id").agg(F.max("vector_score").alias("v"), F.max("keyword_score").alias("w"))
-    return fusion.hybrid_confidence(questions(spark, d), best).select("query_id", fusion.band(F.col("confidence")).alias("band"))
+    return fusion.confidence_of(questions(spark, d), results_of(spark, d)).select("query_id", fusion.band(F.col("confidence")).alias("band"))
 
 
 @query("g6_unique_sources", sql("select query_id, source_rank, rank, file_name from firsts", "firsts"))
@@ -175,7 +187,23 @@ def g7(spark, d):
 
 @query("g10_search_and_answer", sql("select query_id, query, answer, confidence, answer_confidence, search_method, sources, n_sources, total_results from answered", "answered"))
 def g10(spark, d):
-    return fusion.answers(questions(spark, d), results_of(spark, d).persist())
+    return fusion.search_and_answer(chunks_of(spark, d), vector_table(spark, d), questions(spark, d), corpus(spark, d))
+
+
+_METHODS = {
+    "method": "select query_id, query, case query_id % 4 when 0 then 'vector' when 1 then 'keyword' when 2 then 'hybrid' else 'hybrid' end m from questions",
+    "vector_rows": "select query_id, id, 1 / (1 + distance) s, row_number() over (partition by query_id order by round(1 / (1 + distance), 6) desc, id) rank from v20 where query_id in (select query_id from method where m = 'vector')",
+    "keyword_rows": "select query_id, id, least(bm25 / 10, 1.0) s, rank from k20 where query_id in (select query_id from method where m = 'keyword')",
+    "one_side": "select query_id, least(avg(s) filter (n <= 3) * least(1.2, 1 + 0.05 * count(*) filter (s > 0.1)), 1.0) c, count(*) total_results from (select *, row_number() over (partition by query_id order by s desc, id) n from (select * from vector_rows where rank <= 10 union all select * from keyword_rows where rank <= 10)) group by 1",
+}
+
+
+@query("g10_by_method", sql("select query_id, m search_method, round(case when m = 'hybrid' then h.confidence else coalesce(c, 0.0) end, 6) confidence, case when m = 'hybrid' then a.total_results else coalesce(o.total_results, 0) end total_results from method join conf h using (query_id) join answered a using (query_id) left join one_side o using (query_id)", "answered", "conf", "v20", "k20", **_METHODS))
+def g10_by_method(spark, d):
+    n = F.col("query_id") % 4
+    asked = questions(spark, d).withColumn("search_method", F.when(n == 0, "vector").when(n == 1, "keyword").when(n == 2, "hybrid"))
+    rows = fusion.search_and_answer(chunks_of(spark, d), vector_table(spark, d), asked, corpus(spark, d))
+    return rows.select("query_id", "search_method", "confidence", "total_results")
 
 
 @query("g13_evaluation", sql("select coalesce(answer_confidence, 'all') answer_confidence, count(*) n, round(avg(confidence), 6) mean_confidence, round(avg(n_sources), 6) mean_sources from answered group by rollup (answer_confidence)", "answered"))
@@ -248,7 +276,25 @@ def h6(spark, d):
     return rows.select("query_id", F.md5("e").alias("enhanced_md5"), added.alias("added"), F.round(enhance.improvement(q, F.col("e")), 6).alias("gain"), F.array_join(enhance.alternatives(F.col("i"), LEX), " / ").alias("alternatives"))
 
 
-@query("h2_h10_enhance")
+def _standardised(x: str) -> str:
+    """Whole words replaced; twice, as neighbours share the sign between them."""
+    for plain, formal in LEX.vocabulary:
+        for _ in range(2):
+            x = f"regexp_replace({x}, '(^|[^\\p{{L}}\\p{{N}}_]){plain}([^\\p{{L}}\\p{{N}}_]|$)', '\\1{formal}\\2', 'g')"
+    return x
+
+
+def _enhanced(table: str) -> dict[str, str]:
+    """Expressions of the steps from a table with query: s standardised, x expanded, e with the intent's word."""
+    more = f"flatten(list_transform({_WORDS.format('s')}, lambda w: coalesce({_MAP}[w], [])))"
+    return {
+        "ei": f"select *, {_INTENT} i, {_standardised('query')} s from {table}",
+        "ex": f"select * exclude (more), case when len(more) > 0 then s || ' ' || array_to_string(more, ' ') else s end x from (select *, {more} more from ei)",
+        "ee": f"select *, {_STRONG.replace('query', 'x')} e from ex",
+    }
+
+
+@query("h2_h10_enhance", sql(f"select query_id, i detected_intent, md5(s) standardized_md5, md5(e) enhanced_md5, array_to_string(list_sort(list_distinct(list_filter({_WORDS.format('e')}, lambda w: not list_contains({_WORDS.format('query')}, w)))), ',') expanded_terms, round(case when len({_WORDS.format('query')}) = 0 then 0.0 else least((len({_WORDS.format('e')}) - len({_WORDS.format('query')})) / len({_WORDS.format('query')}), 1.0) end, 6) gain, case i " + " ".join(f"when {quoted(n)} then {quoted(' / '.join(LEX.templates.get(c, [])[:3]))}" for n, _, _, c in LEX.intents) + " else '' end alternatives from ee", "turns", **_enhanced("turns")))
 def h10(spark, d):
     rows = enhance.enhance(turns(spark, d), LEX)
     return rows.select("query_id", "detected_intent", F.md5("standardized_query").alias("standardized_md5"), F.md5("enhanced_query").alias("enhanced_md5"), F.array_join("expanded_terms", ",").alias("expanded_terms"), F.round("confidence_improvement", 6).alias("gain"), F.array_join("suggested_alternatives", " / ").alias("alternatives"))
@@ -305,30 +351,36 @@ def enhanced_questions(spark, d):
 
 def answer_all(spark, d):
     chunks, vecs, docs = chunks_of(spark, d), vector_table(spark, d), corpus(spark, d)
+    return lambda queries: written(fusion.search_and_answer(chunks, vecs, queries, docs), "answers")
 
-    def answer(queries):
-        return fusion.answers(queries, fusion.search(chunks, vecs, queries, docs, 10))
 
-    return answer
+_PASSES = _enhanced("questions") | {"weak": "select query_id from answered where confidence < 0.6 or n_sources < 2"} | search_again("select query_id, e query, qvec from ee where e <> query and query_id in (select query_id from weak)")
 
 
-@query("h18_two_pass")
+@query("h18_two_pass", sql(
+    "select f.query_id, coalesce(s.confidence > f.confidence, false) enhanced, f.confidence first_confidence, s.confidence second_confidence, case when coalesce(s.confidence > f.confidence, false) then s.confidence else f.confidence end confidence, case when coalesce(s.confidence > f.confidence, false) then s.answer_confidence else f.answer_confidence end answer_confidence, case when coalesce(s.confidence > f.confidence, false) then s.n_sources else f.n_sources end n_sources from answered f left join answered2 s using (query_id)",
+    "answered", **_PASSES,
+))
 def h18(spark, d):
     answer, asked = answer_all(spark, d), enhanced_questions(spark, d)
-    return enhance.two_pass(answer(asked).persist(), answer, asked, 0.9, 3).select("query_id", "enhanced", "first_confidence", "second_confidence", "confidence", "answer_confidence", "n_sources")
+    return enhance.two_pass(answer(asked), answer, asked).select("query_id", "enhanced", "first_confidence", "second_confidence", "confidence", "answer_confidence", "n_sources")
 
 
-@query("h19_compare")
+@query("h19_compare", sql(
+    "select query_id, round(s.confidence - f.confidence, 6) confidence_gain, s.n_sources - f.n_sources sources_gain, case when round(s.confidence - f.confidence, 6) > 0.05 then 'better' when round(s.confidence - f.confidence, 6) < -0.05 then 'worse' else 'same' end verdict from answered f join answered2 s using (query_id)",
+    "answered", **_enhanced("questions"), **search_again("select query_id, e query, qvec from ee"),
+))
 def h19(spark, d):
     answer, asked = answer_all(spark, d), enhanced_questions(spark, d)
     return enhance.compare(answer(asked), answer(asked.withColumn("query", F.col("enhanced_query"))))
 
 
-@query("h17_hints")
+@query("h17_hints", sql(
+    f"select query_id, case when n = 0 then 'use more specific keywords' when m < 0.5 then array_to_string(list_filter([case when i = 'general' then 'ask a more specific question' end, case when len({_WORDS.format('query')}) < 2 then 'add a related keyword' end, case when e <> query then 'try: ' || e end], lambda x: x is not null), ' / ') else '' end hints from (select ee.*, coalesce(n, 0) n, coalesce(m, 0.0) m from ee left join (select query_id, count(*) n, avg(hybrid_score) m from firsts group by 1) using (query_id))",
+    "firsts", "questions", **_enhanced("questions"),
+))
 def h17(spark, d):
     asked = enhanced_questions(spark, d)
     found = fusion.unique_sources(results_of(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_sources"), F.avg("hybrid_score").alias("mean_score"))
     rows = asked.join(found, "query_id", "left").fillna({"n_sources": 0, "mean_score": 0.0})
     return enhance.better_questions(rows, LEX)
-
-

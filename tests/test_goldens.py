@@ -76,12 +76,14 @@ def test_pack_lines_and_sub_chunks(spark):
     assert cuts == by_hand_cuts(text, 100) and len(cuts) == 2
     pieces = df.select(chunking.sub_chunks(F.col("t"), F.array(*map(F.lit, cuts)), 10, 5)).first()[0]
     bounds = [0, *cuts, len(text)]
-    assert pieces == [text[max(a - 10, 0) : b].strip() for a, b in zip(bounds, bounds[1:])]
+    assert pieces == [text[max(a - 10, 0) : a] + text[a:b].strip() for a, b in zip(bounds, bounds[1:])]
 
 
 def test_sub_chunks_join_short_pieces(spark):
     df = spark.createDataFrame([("aaaaaaaaaabbbcccccccccc",)], "t string")
-    assert df.select(chunking.sub_chunks(F.col("t"), F.array(F.lit(10), F.lit(13)), 2, 5)).first()[0] == ["aaaaaaaaaa\nbbb", "bbcccccccccc"]
+    assert df.select(chunking.sub_chunks(F.col("t"), F.array(F.lit(10), F.lit(13)), 2, 5)).first()[0] == ["aaaaaaaaaa\nbbb", "aabbbcccccccccc"]
+    assert df.select(chunking.sub_chunks(F.col("t"), F.array(F.lit(3), F.lit(13)), 2, 5)).first()[0] == ["aaaaaaaaaabbb", "bbcccccccccc"]  # nothing before the short one
+    assert df.select(chunking.sub_chunks(F.col("t"), F.array(F.lit(20)), 2, 5)).first()[0] == ["aaaaaaaaaabbbccccccc\nccc"]
 
 
 def test_sentences(spark):
@@ -97,8 +99,9 @@ def test_semantic_level(spark):
 
 
 def test_clean(spark):
-    text = "a\x00b  c\t d\n\n\n\ne------------f\n"
-    assert one(spark, "t string", (text,), T.clean(F.col("t")))[0] == "ab c d\n\ne-f"
+    text = "a\x00b  c\t\t d\n\n\n\ne------------f----------g\r" + "\n" * 12 + "\n"
+    assert one(spark, "t string", (text,), T.clean(F.col("t")))[0] == "ab c\t\t d\n\ne-f----------g"
+    assert one(spark, "t string", ("x\r" + "\r" * 12 + "y",), T.clean(F.col("t")))[0] == "x\ry"
 
 
 def test_fallback_and_error_content(spark):
@@ -111,8 +114,8 @@ def test_fallback_and_error_content(spark):
 
 
 def test_reply(spark):
-    df = spark.createDataFrame([('say\n```json\n{"extracted_text": "t", "type": "chart"}\n```',), ('{"description": "d"}',), ("no json",)], "r string")
-    assert [tuple(r[0]) for r in df.select(ingest.parse_reply(F.col("r"))).collect()] == [("t", "", "chart"), ("", "d", "unknown"), ("no json", "no json", "unknown")]
+    df = spark.createDataFrame([('say\n```json\n{"extracted_text": "t", "content_type": "chart"}\n```',), ('{"description": "d"}',), ("no json",)], "r string")
+    assert [tuple(r[0]) for r in df.select(ingest.parse_reply(F.col("r"))).collect()] == [("t", "", "chart"), ("", "d", "other"), ("no json", "no json", "unknown")]
 
 
 def test_images(spark):
@@ -174,9 +177,136 @@ def test_dimension_is_checked(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "embedding array<float>")
     with pytest.raises(ValueError):
         vectors.check_dimension(df)
-    many = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "query_id int, qvec array<float>")
-    with pytest.raises(ValueError):
-        vectors.knn(spark.createDataFrame([("a", [1.0])], "id string, embedding array<float>"), many, max_queries=1)
+
+
+def test_neighbours_in_parts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v, q = rng.integers(-3, 4, (300, 4)).astype(float), rng.integers(-3, 4, (70, 4)).astype(float)
+    table = spark.createDataFrame([(f"v{i}", x.tolist()) for i, x in enumerate(v)], "id string, embedding array<float>")
+    asked = spark.createDataFrame([*((i, x.tolist()) for i, x in enumerate(q)), (999, None)], "query_id int, qvec array<float>")
+    expected = {(i, n, d, r + 1) for i, x in enumerate(q) for r, (d, n) in enumerate(sorted((float(((v[j] - x) ** 2).sum()), f"v{j}") for j in range(300))[:7])}
+    for found in (vectors.knn(table, asked, 7), vectors.knn(table, asked, 7, rows=40), vectors.knn_sql(table, asked, 7, rows=40)):
+        assert {(r["query_id"], r["id"], r["distance"], r["rank"]) for r in found.collect()} == expected
+    assert vectors.knn(table.limit(0), asked, 7).count() == vectors.knn(table, asked.limit(0), 7).count() == 0 and vectors.knn(table.limit(3), asked, 7).count() == 210
+
+
+def test_regions_of_a_plausible_size(spark):
+    # page of 600 x 500: over 500 and under 240,000 square; wider than 20, higher than 10; ink between 0.01 and 0.95
+    boxes = [(21, 24, 0.5), (20, 30, 0.5), (60, 10, 0.5), (21, 211, 0.5), (600, 450, 0.5), (500, 400, 0.01), (500, 400, 0.95), (30, 17, 0.02), (25, 20, 0.5), (600, 11, 0.5)]
+    df = spark.createDataFrame([("d", 0, i, 0, 0, w, h, ink) for i, (w, h, ink) in enumerate(boxes)], "document_id string, page_number int, elem_idx int, x1 int, y1 int, x2 int, y2 int, density double")
+    assert [(r["elem_idx"], r["area"]) for r in layout.text_regions(df, 300_000).orderBy("area_rank").collect()] == [(9, 6600), (7, 510), (0, 504)]
+    assert sorted(r["elem_idx"] for r in layout.text_regions(df, 600_000).collect()) == [4, 9]  # a thousandth and 80 % of a larger page
+
+
+def test_labels_by_rule(spark):
+    cases = [
+        ("1. 개요", 0.0, 0, 0, 0, "title", 0.85), ("1.개요" + "가" * 100, 0.0, 0, 0, 0, "subtitle", 0.75), ("제 3 항", 0.9, 9, 0, 0, "title", 0.85), ("예산 : 5", 0, 0, 0, 0, "title", 0.85), ("【일정】 x", 0, 0, 0, 0, "title", 0.85), (" ■ 항목", 0, 0, 0, 0, "title", 0.85),
+        ("- a", 0, 0, 0, 0, "list", 0.8), (" 3) b", 0, 0, 0, 0, "list", 0.8), ("-a", 0, 0, 0, 0, "text", 0.5), ("a │ b", 0, 0, 0, 0, "table", 0.9), ("a | b", 0, 0, 0, 0, "text", 0.5), ("1. 개요", 0, 0, 2, 2, "table", 0.9),
+        ("Plain Words", 0.4, 6, 2, 1, "paragraph", 0.7), ("plain", 0.4, 5, 0, 0, "text", 0.6), ("plain", 0.3, 9, 0, 0, "text", 0.5), ("1.2 x", 0, 0, 0, 0, "text", 0.5),
+    ]
+    df = spark.createDataFrame([(t, float(d), n, h, v) for t, d, n, h, v, _, _ in cases], "t string, d double, n int, h int, v int")
+    found = df.select(*layout.rule_label(*[F.col(c) for c in "tdnhv"])).collect()
+    assert [tuple(r) for r in found] == [c[5:] for c in cases]
+    conf = df.select(*layout.combined_label(F.lit("list"), F.lit(0.8), F.lit("m"), F.lit(0.71)), *layout.combined_label(F.lit("text"), F.lit(0.3), F.lit("m"), F.lit(0.7))).first()
+    assert tuple(conf) == ("m", 0.71, "text", 0.5)
+
+
+def test_fonts(spark):
+    df = spark.createDataFrame([(20, 4, 0.16), (40, 1, 0.15), (40, 0, 0.0)], "h int, n int, s double")
+    assert [tuple(r) for r in df.select(*layout.font_info(F.col("h"), F.col("n"), F.col("s"))).collect()] == [(8.0, 5.0, True), (30.0, 40.0, False), (30.0, 40.0, False)]
+
+
+def test_reading_order_halves_the_way_to_each_top(spark):
+    # heights 0, 10, 19, 28.5: 38 is within 20 of the third, and would not be of the mean of 0, 20 and 28
+    tops = [(0, 300), (20, 100), (28, 200), (38, 0), (49, 50), (49, 10)]
+    df = spark.createDataFrame([("d", 0, i, x, y) for i, (y, x) in enumerate(tops)], "document_id string, page_number int, elem_idx int, x1 int, y1 int")
+    assert [(r["elem_idx"], r["row"]) for r in layout.reading_order(df).orderBy("reading_order").collect()] == [(3, 0), (1, 0), (2, 0), (0, 0), (5, 1), (4, 1)]
+
+
+def test_kinds_of_pages_and_columns(spark):
+    pages = {0: [100] * 5, 1: [100] * 4 + [500], 2: [100] * 3 + [300] * 2 + [500], 3: [450] * 3, 4: [200, 100, 100, 100, 100, 100], 5: [100, 400, 250]}
+    df = spark.createDataFrame([("d", p, i, c - 10, c + 10) for p, cs in pages.items() for i, c in enumerate(cs)], "document_id string, page_number int, elem_idx int, x1 int, x2 int")
+    assert [r["layout_type"] for r in layout.layout_type(df).orderBy("page_number").collect()] == ["single_column", "two_column", "complex", "complex", "single_column", "complex"]
+    assert [r["columns"] for r in layout.column_count(df).orderBy("page_number").collect()] == [1, 2, 3, 1, 2, 3]
+
+
+def test_document_summary(spark):
+    rows = [(1, 0, 0, 0, 100, "title", "B", 0.5, 0.25), (1, 1, 0, 0, 100, "text", " ", 0.5, 0.25), (1, 2, 300, 5, 560, "text", "C", 1.0, 0.5), (2, 0, 0, 0, 90, "list", "A", 0.0, 0.0)]
+    df = spark.createDataFrame([("d", *r) for r in rows], "document_id string, page_number int, elem_idx int, x1 int, y1 int, x2 int, label string, text_content string, confidence double, ocr_confidence double")
+    r = layout.document_summary(df).first()
+    assert r["extracted_text"] == "\n[페이지 1]\n[TITLE] B\n[TEXT] C\n\n[페이지 2]\n[LIST] A\n"
+    assert (r["total_pages"], r["total_elements"], r["element_types"], r["avg_confidence"], r["avg_ocr_confidence"]) == (2, 4, {"list": 1, "text": 2, "title": 1}, 0.5, 0.25)
+    assert (r["layout_types"], r["column_info"]) == (["two_column", "single_column"], [2, 1]) or r["layout_types"] == ["complex", "single_column"]
+    assert r["complexity_score"] == pytest.approx(0.25 * 3 / 8 + 0.25 * r["layout_types"].count("complex") / 2 + 0.25 * 4 / 20000 + 0.25 * 0.75)
+
+
+def test_types_of_groups(spark):
+    groups = {"a": ["title"], "b": ["title", "paragraph"], "c": ["list", "list"], "d": ["title", "list"], "e": ["title", "list", "paragraph"], "f": ["title", "table", "list"], "g": ["list", "list", "paragraph"]}
+    rows = [(g, i, k, "x", 10.0, "normal", 0) for g, kinds in groups.items() for i, k in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "document_id string, elem_idx int, element_type string, text_content string, font_size double, font_weight string, page_number int")
+    assert {r["document_id"]: r["chunk_type"] for r in chunking.group_summary(df, []).collect()} == {"a": "title", "b": "content", "c": "list", "d": "content", "e": "mixed", "f": "table", "g": "content"}
+
+
+def test_lines_that_a_chunk_may_be_cut_before(spark):
+    good = ["1. 제목", "2. Title", "제 2 장", "제3장 끝", "전체 사업 개요", "세부기술요구사항", "(가) x", "나. x", "7) x"]
+    bad = ["- x", "• x", "# x", "[일정]", "제 2 조", "사업 개요", "1.2 x", "(1) x", "x 1. 제목"]
+    df = spark.createDataFrame([(x,) for x in good + bad], "t string")
+    found = [r[0] for r in df.select(F.col("t").rlike(f"(?:{chunking.STRONG})|(?:{chunking.MEDIUM})")).collect()]
+    assert found == [True] * len(good) + [False] * len(bad)
+
+
+def test_packing_counts_the_blanks(spark):
+    df = spark.createDataFrame([("aa. bb. cc.",), ("",), ("  ",)], "t string")
+    pick = lambda n: [r[0] for r in df.select(chunking.emergency_split(F.col("t"), n)).collect()]
+    assert pick(7) == [["aa. bb.", "cc."], [], []] and pick(6) == [["aa.", "bb. cc."], [], []]
+
+
+def test_agency_signs_numbers_and_case(spark):
+    df = spark.createDataFrame([("발주기관: 국민-연금*공단 (본부)",), ("발주기관: 12345\n발주처: 시청",), ("발주기관: ***\n발주처: 시청",), ("the MIT license",)], "t string")
+    assert [r[0] for r in df.select(metadata.agency(F.col("t"), [*L.AGENCY_KO, "the ([A-Z]+) License"])).collect()] == ["국민연금공단 (본부)", "시청", None, "MIT"]
+
+
+def test_business_type_whatever_the_case(spark):
+    df = spark.createDataFrame([("isp 수립", "f"), ("x", "Erp 구축.hwp")], "t string, n string")
+    assert [r[0] for r in df.select(metadata.business_type(F.col("t"), F.col("n"))).collect()] == ["ISP/ISMP", "ERP구축"]
+
+
+def test_confidence_of_two_searches(spark):
+    queries = spark.createDataFrame([(i,) for i in range(5)], "query_id int")
+    best = spark.createDataFrame([(0, 0.5, 0.4), (1, 0.5, 0.2), (2, 0.5, 0.05), (3, 0.9, 1.0)], "query_id int, v double, w double")
+    found = {r[0]: round(r[1], 9) for r in fusion.hybrid_confidence(queries, best).collect()}
+    assert found == {0: round(1.1 * (0.35 + 0.12) * 1.05, 9), 1: 0.525, 2: 0.5, 3: 1.0, 4: 0.0}
+
+
+def test_union_fusion(spark):
+    v = spark.createDataFrame([(1, "a", 1, 0.5), (1, "b", 11, 0.4)], "query_id int, id string, rank int, score double")
+    w = spark.createDataFrame([(1, "a", 2, 0.5)], "query_id int, id string, rank int, score double")
+    found = [(r["id"], r["source"], r["combined_score"]) for r in fusion.union_fusion(v, w).orderBy("rank").collect()]
+    assert found == [("a", "vector", round((0.5 + 0.1) / 1.1 * 0.7, 6)), ("b", "vector", round(0.4 / 1.1 * 0.7, 6)), ("a", "keyword", round((0.5 + 0.09) / 1.1 * 0.3, 6))]
+
+
+def test_patterns_of_searches(spark):
+    log = spark.createDataFrame([(1, "예산 PLAN", "m", 0.5, 1.0, 1), (2, "Plan", "m", None, 1.0, 2), (3, "other", "m", 1.0, 1.0, 3)], "id int, query string, search_method string, confidence_score double, response_time double, ts int")
+    found = {(r["metric"], r["name"]): r["value"] for r in analytics.patterns(log, {"money": ["예산"], "plan": ["plan"]}).collect()}
+    assert found[("category", "money")] == 1 and found[("category", "plan")] == 1 and not any(n == "other" for m, n in found if m == "category")
+    assert found[("word", "plan")] == 2 and found[("mean_confidence", "")] == 0.5 and found[("total", "")] == 3
+
+
+def test_second_pass_only_for_other_texts(spark):
+    first = spark.createDataFrame([("1", 0.1, 0), ("2", 0.1, 0)], "query_id string, confidence double, n_sources int")
+    asked = spark.createDataFrame([("1", "x", "x"), ("2", "x", "y")], "query_id string, query string, enhanced_query string")
+    again = lambda q: q.select("query_id", F.lit(0.7).alias("confidence"), F.lit(2).alias("n_sources"))
+    assert [(r["query_id"], r["enhanced"]) for r in enhance.two_pass(first, again, asked).orderBy("query_id").collect()] == [("1", False), ("2", True)]
+
+
+def test_refresh_equals_a_new_index(spark):
+    old = spark.createDataFrame([("a", "x y"), ("b", "y y z")], "chunk_id string, content string")
+    new = spark.createDataFrame([("b", "w"), ("c", "")], "chunk_id string, content string")
+    posted, dl = bm25.refresh(bm25.postings(old), bm25.lengths(old), new)
+    every = spark.createDataFrame([("a", "x y"), ("b", "w"), ("c", "")], "chunk_id string, content string")
+    assert sorted(map(tuple, posted.collect())) == sorted(map(tuple, bm25.postings(every).collect())) and bm25.size_of(dl).first() == bm25.corpus_size(every).first()
 
 
 def test_reading_order_joins_rows_by_running_mean(spark):
