@@ -11,7 +11,8 @@ its rank and place; it is stale if the pair at its place has another rank by the
 
 A null text counts as the empty one, which has no ids and decodes to the empty string. Text is handled
 between spaces and line ends, which no piece crosses, so a worker keeps the runs that it has encoded, and
-the pieces, which runs share; each memory holds so many entries at most and then starts anew.
+the pieces, which runs share; each memory holds so many entries at most, none of a long run, and then starts anew.
+Repeated rows keep a row each. A very long text is encoded whole; pairs of one rank merge from the left.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from .common import id_again, id_of, text_of
 
 #: White space as the vocabulary's patterns mean it (the property White_Space), as members of a class.
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: What a worker remembers at most.
-KEPT_RUNS, KEPT_PIECES = 150_000, 400_000
+#: What a worker remembers at most, and the longest run or piece that it remembers: some 300 bytes an entry, 2 kB at worst.
+KEPT_RUNS, KEPT_PIECES, KEPT_CHARS = 150_000, 400_000, 256
 
 
 def default_vocabulary() -> str:
@@ -101,7 +102,9 @@ class WordBpe:
             data = piece.encode("utf-8", "surrogatepass")
             symbols = [self.inner[b] for b in data]
             symbols[-1] = self.last[data[-1]]
-            found = self.known[piece] = tuple(self.merge(symbols))
+            found = tuple(self.merge(symbols))
+            if len(piece) <= KEPT_CHARS:
+                self.known[piece] = found
         return found
 
     def encode_run(self, run: str) -> tuple[int, ...]:
@@ -155,7 +158,9 @@ def encode_report(docs: DataFrame, path: str | None = None) -> DataFrame:
                         if len(kept) >= KEPT_RUNS:
                             kept.clear()
                         new = bpe.encode_run(run)
-                        found = kept[run] = (len(new), " ".join(map(str, new)), bpe.decode(new))
+                        found = (len(new), " ".join(map(str, new)), bpe.decode(new))
+                        if len(run) <= KEPT_CHARS:
+                            kept[run] = found
                     if found[0]:
                         n += found[0]
                         ids.append(found[1])

@@ -252,7 +252,8 @@ TEXTS = (
     ("wtfpl", "do what the fuck you want to public licen[sc]e terms and conditions", 1.0),
     # proprietary and general notices
     ("proprietary", "all rights reserved", 0.3),
-    ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", 0.6, "confidential"),
+    ("proprietary", "proprietary and confidential", 0.6, "confidential"),
+    ("proprietary", "confidential and proprietary", 0.6, "confidential"),
     ("proprietary", "unauthori[sz]ed copying of this (?:file|software|document|work)", 0.7, "copying"),
     ("proprietary", "end user licen[sc]e agreement", 0.6),
     ("freeware", "this (?:program|software) is freeware", 0.6, "freeware"),
@@ -262,7 +263,8 @@ TEXTS = (
     ("other", "see the file copying for (?:details|copying permission)", 0.4, "copying"),
     ("other", "(?:ver.ffentlicht|lizenziert) unter (?:der|einer) .{1,40}? ?lizenz", 0.4, "lizenz"),
     ("other", "(?:publi. |distribu. |diffus. )?sous licence (?:libre|publique|gnu|mit|apache)", 0.4),
-    ("other", "(?:publicado |distribuido )?bajo (?:la )?licencia (?:libre|p.blica|gnu|mit|apache)", 0.4),
+    ("other", "bajo licencia (?:libre|p.blica|gnu|mit|apache)", 0.4),
+    ("other", "bajo la licencia (?:libre|p.blica|gnu|mit|apache)", 0.4),
     ("copyright", "copyright (?:c |© )?(?:19|20)[0-9]{2}", 0.2),
 )
 #: Words by which whole texts are let through to the rules, the commonest among the rules first.

@@ -7,8 +7,9 @@ block is read at random (`BlockReader.ids`) or unpacked whole by numpy (`BlockRe
 committer makes writes safe to repeat and any store that Spark reaches will do. Rows are in ascending order of
 doc_id (nulls first), then text hash.
 
-A null or empty text has no ids but the end id. Repeated rows are written as often as they stand there. An
-empty table writes no blocks.
+A null or empty text has no ids but the end id. Repeated rows are written as often as they stand there, one after
+another. An empty table writes no blocks. A very long text is encoded whole, in a block of its own; of a row's text a worker
+remembers no run over KEPT_RUN characters, so long runs without blanks (base64) do not fill it.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ MAGIC = b"TIDS"
 HEADER = struct.Struct("<4sHHQQ")  # magic, version, bits, documents, ids
 #: Ids after which a block ends; a longer document makes a longer block.
 BLOCK_IDS = 1 << 16
-#: Encoded runs that a worker keeps, and bytes of text that it encodes at a time.
-CACHED, SLICE_BYTES = 1_200_000, 4_000_000
+#: Bytes of encoded runs that a worker keeps (about 300 an ordinary run, with what Python adds), the longest run it keeps, and bytes of text that it encodes at a time.
+KEPT_BYTES, KEPT_RUN, SLICE_BYTES = 300_000_000, 256, 4_000_000
+#: What an entry of the memory takes beside its run and its ids.
+ENTRY_BYTES = 190
 BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
 
 
@@ -102,6 +105,17 @@ class WordEncoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.kept: dict[str, bytes] = {}
+        self.bytes = 0
+        self.check_blanks()
+
+    def check_blanks(self) -> None:
+        """Refuses a tokenizer whose pieces cross blanks or line ends, or that marks where a text begins: its ids of a text are not those of its runs."""
+        runs = ["One", "two", "", "3", "x.y", "", "", "Ünï", "a"]
+        for blank in (" ", "\n"):
+            text = blank.join(runs)
+            whole, parts = self.model.encode(text, add_special_tokens=False).ids, self.model.encode(runs, is_pretokenized=True, add_special_tokens=False).ids
+            if whole != parts or whole != [i for r in runs for i in self.model.encode(r, add_special_tokens=False).ids]:
+                raise ValueError("this tokenizer's pieces cross blanks or line ends")
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and end)."""
@@ -109,16 +123,21 @@ class WordEncoder:
         coded = lists.flatten().dictionary_encode()
         runs = coded.dictionary.to_pylist()
         new = [r for r in runs if r not in self.kept]
-        if len(self.kept) + len(new) > CACHED:
-            self.kept.clear()
-            new = runs
+        here: dict[str, bytes] = {}
         if new:
             found = self.model.encode(new, is_pretokenized=True, add_special_tokens=False)
             ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
             cuts = np.searchsorted(owner, np.arange(len(new) + 1))
             data = ids.tobytes()
-            self.kept.update((r, data[4 * a : 4 * b]) for r, a, b in zip(new, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        parts = [self.kept[r] for r in runs]
+            here = {r: data[4 * a : 4 * b] for r, a, b in zip(new, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
+        parts = [here[r] if r in here else self.kept[r] for r in runs]
+        short = {r: x for r, x in here.items() if len(r) <= KEPT_RUN}
+        more = sum(map(len, short)) + sum(map(len, short.values())) + ENTRY_BYTES * len(short)
+        if self.bytes + more > KEPT_BYTES:
+            self.kept.clear()
+            self.bytes = 0
+        self.kept.update(short)
+        self.bytes += more
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy()
