@@ -4,7 +4,8 @@ Words stand between white space, in lower case; a shingle is a run of five (a sh
 its words). Documents whose shingle sets are equal form a class first, and one set stands for it. Bands and
 rows are chosen for a target recall at the threshold. Documents that share a band hash are candidates; the
 components of the candidate graph are compared within, block by block, on their full sets, so each link
-between two different sets is found wherever the bands put them into one component.
+between two different sets is found wherever the bands put them into one component. Blocks are bounded by sets and by
+shingles, so many very long texts are many blocks. A similarity equal to the threshold is a link.
 
 Texts without words (null, empty, white space) have the empty set: they are one class, linked to each other.
 Rows that repeat both id and text are one document for the search; each row gets its class.
@@ -25,8 +26,8 @@ from pyspark.sql.window import Window as W
 from .common import checkpoint, hashed_words, id_of, in_chunks, mixed, shingles, text_of, whole_rows, with_row_key
 from .graph import components
 
-#: Sets in a block; a task compares two blocks at most.
-BLOCK = 512
+#: Sets in a block, and shingles in it, about; a task compares two blocks at most. A longer set is a block with few others.
+BLOCK, BLOCK_SHINGLES = 256, 400_000
 
 
 def band_plan(threshold: float = 0.8, recall: float = 0.9999, most: int = 128) -> tuple[int, int]:
@@ -55,27 +56,28 @@ def hash_seeds(n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(_id, _th, set_key, bands): set_key is a 128-bit hash of the shingle set."""
+    """(_id, _th, set_key, n_shingles, bands): set_key is a 128-bit hash of the shingle set."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = hash_seeds(bands * rows)
         weights = hash_seeds(rows + 1)[1:]
         for pdf in batches:
             texts = [t.lower() for t in pdf["text"]]
-            keys, band_hashes = [], []
+            keys, counts, band_hashes = [], [], []
             for lo, hi in in_chunks(texts):
                 words, offsets = hashed_words(texts[lo:hi])
                 for i in range(hi - lo):
                     s = shingles(words[offsets[i] : offsets[i + 1]], shingle)
                     keys.append(xxhash.xxh128_digest(s.tobytes()))
+                    counts.append(len(s))
                     if len(s):
                         m = mixed(signature(s, seeds)).reshape(bands, rows)
                         band_hashes.append(mixed((m * weights).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64))
                     else:
                         band_hashes.append(np.zeros(0, np.int64))
-            yield pd.DataFrame({"_id": pdf["_id"], "_th": pdf["_th"], "set_key": keys, "bands": band_hashes})
+            yield pd.DataFrame({"_id": pdf["_id"], "_th": pdf["_th"], "set_key": keys, "n_shingles": counts, "bands": band_hashes})
 
-    return with_row_key(docs).mapInPandas(sign, "_id long, _th long, set_key binary, bands array<long>")
+    return with_row_key(docs).mapInPandas(sign, "_id long, _th long, set_key binary, n_shingles long, bands array<long>")
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
@@ -93,8 +95,8 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     return linked.where("a <> b").distinct()
 
 
-def links_within(sizes: list[int], sets: list[np.ndarray], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, of sets at least so similar; with left > 0 only pairs across the first `left` sets and the rest."""
+def links_within(sizes: list[int], sets: list[np.ndarray], left: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of sets at least so similar; unless left is None only pairs across the first `left` sets and the rest."""
     n = len(sets)
     values, codes = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), sizes)
@@ -114,7 +116,7 @@ def links_within(sizes: list[int], sets: list[np.ndarray], left: int, threshold:
     common = common.astype(np.float64)
     union = size[:, None] + size[None, :] - common
     hit = np.triu(common >= threshold * union - 1e-9, 1)
-    if left:
+    if left is not None:
         hit[:left, :left] = False
         hit[left:, left:] = False
     return np.nonzero(hit)
@@ -126,7 +128,7 @@ def compare_block(threshold: float):
         cross = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         pdf = pdf.drop_duplicates("set_key").sort_values(["block", "set_key"], kind="stable").reset_index(drop=True)
         sets = [np.asarray(s).view(np.uint64) for s in pdf["shingles"]]
-        left = int((pdf["block"] == pdf["lo"]).sum()) if cross else 0
+        left = int((pdf["block"] == pdf["lo"]).sum()) if cross else None
         i, j = links_within([len(s) for s in sets], sets, left, threshold)
         copies = pdf["n_copies"].to_numpy()
         links = np.zeros(len(pdf), np.int64)
@@ -158,10 +160,11 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
     bands, rows = band_plan(threshold, recall)
     signed = checkpoint(signatures(docs, shingle, bands, rows))
     first = F.min(F.struct(F.col("_id").alias("i"), F.col("_th").alias("t")))
-    sets = checkpoint(signed.groupBy("set_key").agg(first.alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")))
+    sets = checkpoint(signed.groupBy("set_key").agg(first.alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     comps = components(candidate_edges(sets))
-    sizes = comps.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
-    members = comps.join(sizes, "component").join(sets.withColumnRenamed("set_key", "node"), "node")
+    held = comps.join(sets.withColumnRenamed("set_key", "node"), "node")
+    sizes = held.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
+    members = held.join(sizes, "component")
     members = members.select(F.col("node").alias("set_key"), "component", "n_blocks", "n_copies", "first.i", "first.t")
     texts = with_row_key(docs).select(F.col("_id").alias("i"), F.col("_th").alias("t"), "text")
 
