@@ -3,7 +3,7 @@
 A block holds whole documents: header, the documents' offsets, then the ids, each in the fewest bits that the
 vocabulary needs, in little-endian 64-bit words. Fixed width makes the i-th id's place plain arithmetic, so a
 block is read at random (`BlockReader.ids`) or unpacked whole by numpy (`BlockReader.all`). Blocks are rows
-(part, block, n_ids, n_docs, data) of Parquet files, one file for each range of doc_id, so that Spark's
+(part, block, n_ids, n_docs, data) of Parquet files, one file for each range of doc_id and text hash, so that Spark's
 committer makes writes safe to repeat and any store that Spark reaches will do. Rows are in ascending order of
 doc_id (nulls first), then text hash.
 
@@ -201,7 +201,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
             yield flush()
 
     rows = docs.select(id_of().alias("doc_id"), text_of().alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ("doc_id", F.xxhash64("text"))  # null or repeated ids are many ranges
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     packed = ordered.mapInArrow(blocks, "part int, block int, n_ids long, n_docs long, data binary")
     packed.write.option("compression", "zstd").parquet(path)
 
