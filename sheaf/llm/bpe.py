@@ -23,6 +23,7 @@ import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -141,15 +142,15 @@ def runs_of(text: str) -> list[str]:
     return [r for r in text.replace("\n", " ").split(" ") if r]
 
 
-def encode_report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """A row for each document: doc_id, n_tokens, and hashes of its ids and of what they decode to."""
+def encode_report(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """A row for each document: doc_id, n_tokens, and hashes of its ids and of what they decode to; the ids too, if asked for."""
     path = path or default_vocabulary()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
         kept = bpe.seen
         for pdf in batches:
-            counts, ids_hashes, decoded = [], [], []
+            counts, ids_hashes, decoded, found_ids = [], [], [], []
             for text in pdf["text"]:
                 n, ids, strings = 0, [], []
                 for run in runs_of(text):
@@ -165,10 +166,15 @@ def encode_report(docs: DataFrame, path: str | None = None) -> DataFrame:
                         n += found[0]
                         ids.append(found[1])
                         strings.append(found[2])
+                joined = " ".join(ids)
                 counts.append(n)
-                ids_hashes.append(sha256(" ".join(ids).encode()).hexdigest())
+                ids_hashes.append(sha256(joined.encode()).hexdigest())
                 decoded.append(sha256(" ".join(strings).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": counts, "ids_sha256": ids_hashes, "decoded_sha256": decoded})
+                if with_ids:
+                    found_ids.append(np.array(joined.split(), np.int32))
+            out = pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": counts, "ids_sha256": ids_hashes, "decoded_sha256": decoded})
+            yield out.assign(ids=found_ids) if with_ids else out
 
-    encoded = docs.select(id_of().alias("doc_id"), text_of().alias("text")).mapInPandas(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    encoded = docs.select(id_of().alias("doc_id"), text_of().alias("text")).mapInPandas(encode, schema)
     return encoded.withColumn("doc_id", id_again())
