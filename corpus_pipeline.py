@@ -28,7 +28,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_report(docs)
+    return bpe.encode_report(docs, with_ids=True)
 
 
 STAGES = [
