@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -320,6 +321,14 @@ def test_near_classes_in_blocks(spark, monkeypatch):
     assert found == py_classes(texts)
 
 
+def test_near_classes_of_long_texts_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 700)  # two sets of one text's length do not fit
+    words = prose(15, 500).split()
+    texts = {i: " ".join(words[: i * 9] + ["changed"] + words[i * 9 + 1 :]) for i in range(8)} | {50: prose(51, 20), 51: prose(51, 20) + " x"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_classes(df).collect()} == py_classes(texts)
+
+
 def test_near_classes_of_odd_rows(odd, nothing):
     assert jaccard.near_classes(odd).count() == len(odd_rows()) and jaccard.near_classes(nothing).count() == 0
     kept = jaccard.keep_one_of_each(odd)
@@ -371,6 +380,80 @@ def test_splitting_tree_keeps_quotas_and_capacities():
     assert mixing.targets([10, 10, 100], [1, 2, 3]) == [22.5, 30.0, 67.5]
 
 
+def test_large_quotas_are_drawn_exactly():
+    seen = set()
+    for seed in range(4):
+        dealt = mixing.split_quotas(np.array([2 * 10**9, 2 * 10**9]), 2, seed)
+        assert (dealt.sum(axis=0) == 2 * 10**9).all() and (dealt.sum(axis=1) == 2 * 10**9).all()
+        seen.add(int(dealt[0, 0]))
+    assert len(seen) == 4 and all(abs(x - 10**9) < 10 * 16_000 for x in seen)  # the deviation is about 15,800
+    rng = np.random.default_rng(3)
+    small = [mixing.hypergeometric(rng, 600, 400, 100) for _ in range(2000)]
+    inverted = [hyper_by_inversion(rng) for _ in range(2000)]
+    assert abs(np.mean(small) - np.mean(inverted)) < 0.6 and abs(np.std(small) - np.std(inverted)) < 0.4
+
+
+def hyper_by_inversion(rng):
+    class Big(int):  # as if the items were too many for numpy's own draw
+        def __lt__(self, other):
+            return False
+
+    class Count(int):
+        def __add__(self, other):
+            return Big(int(self) + int(other))
+
+    return mixing.hypergeometric(rng, Count(600), 400, 100)
+
+
+def test_taken_words_follow_from_the_shards(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    draws = mixing.mix(docs, block_words=700, shards=6, seed=11).collect()
+    report = {r["doc_id"]: r for r in mixing.mix_report(docs, block_words=700, shards=6, seed=11).collect()}
+    taken, shards = collections.Counter(), collections.defaultdict(set)
+    for r in draws:
+        taken[r["doc_id"]] += r["words"]
+        if r["shard"] is not None:
+            shards[r["doc_id"]].add(r["shard"])
+    assert all(report[i]["taken"] == taken[i] and report[i]["shards"] == ",".join(map(str, sorted(shards[i]))) or len(shards[i]) > 9 for i in report)
+    per_shard = collections.Counter()
+    for key in {(r["source"], r["_bucket"], r["copy"], r["shard"]) for r in draws if r["shard"] is not None}:
+        per_shard[key[3]] += 1
+    assert max(per_shard.values()) - min(per_shard.values()) <= 1  # equal capacities, in draws of blocks
+    other = {r["doc_id"]: r["taken"] for r in mixing.mix_report(docs, block_words=700, shards=6, seed=12).collect()}
+    assert any(other[i] != taken[i] for i in other)
+
+
+def test_repeated_rows_at_the_end_of_a_draw(spark):
+    rows = [(1, "a b c d e f g h i j", "s")] * 7 + [(2, prose(600, 50), "t"), (None, "x y", None), (None, "x y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    made = mixing.mix_report(df, weights=(1, 4, 1)).collect()
+    assert len(made) == len(rows)
+    for source in ("s", "t", None):
+        mine = [r for r, (i, _, s) in zip(sorted(made, key=lambda r: (r["doc_id"] is None, r["doc_id"])), sorted(rows, key=lambda x: (x[0] is None, x[0]))) if s == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1 and all(r["taken"] <= 3 * r["size"] for r in mine)
+
+
+def test_shards_are_whole_and_in_order(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    options = {"block_words": 700, "shards": 4, "seed": 5}
+    draws = mixing.mix(docs, **options)
+    order = {}
+    for r in draws.where("shard is not null").collect():
+        order.setdefault(r["doc_id"], []).append((r["shard"], r["slot"]))
+    out = [r["doc_id"] for r in mixing.mixed_documents(docs, **options).collect()]
+    again = [r["doc_id"] for r in mixing.mixed_documents(docs, **options).collect()]
+    assert out == again and out != sorted(out)
+    # each partition holds whole shards, one after another in slot order
+    places = [p for part in mixing.mixed_documents(docs, **options).withColumn("_p", F.spark_partition_id()).groupBy("_p").agg(F.collect_list("doc_id").alias("ids")).collect() for p in [part["ids"]]]
+    for ids in places:
+        left = {i: sorted(order.get(i, [])) for i in ids}
+        at = (-1, -(1 << 63))
+        for i in ids:
+            later = [x for x in left[i] if x > at] or [at]
+            assert later[0] >= at
+            at = later[0]
+
+
 def test_draws_are_disjoint_over_shards(spark, sf):
     draws = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"), block_words=500, shards=5).where("copy is not null").collect()
     blocks = collections.defaultdict(set)
@@ -428,6 +511,25 @@ def test_packing_of_odd_rows(odd, nothing, library):
     assert [r["doc_id"] for r in sorted(found, key=lambda r: r["start"])][:2] == [None, None]
 
 
+def test_packing_of_long_runs_and_repeated_ids(spark, library, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_BYTES", 3000)
+    monkeypatch.setattr(bpe, "KEPT_RUNS", 5)
+    rng = np.random.default_rng(9)
+    runs = ["".join("abcXYZ09+/"[i] for i in rng.integers(0, 10, n)) for n in (300, 5000, 40, 3)]
+    rows = [(None if i % 3 else 4, " ".join([runs[i % 4], prose(500 + i, 8), runs[(i + 1) % 4]])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = collections.Counter(tuple(ids_of(library, t)) for _, t in rows)
+    packed = packing.packed_report(df).collect()
+    assert collections.Counter(r["ids_crc32"] for r in packed) == collections.Counter(zlib.crc32(np.array([*t, 1], "<u4").tobytes()) for t in ids.elements())
+    at = 0
+    for r in sorted(packed, key=lambda r: r["start"]):
+        assert r["start"] == at and (r["doc_id"] is None) == (at < sum(len(ids_of(library, t)) + 1 for i, t in rows if i is None))
+        at += r["n_tokens"]
+    assert collections.Counter(tuple(r["ids"]) for r in bpe.encode_report(df, with_ids=True).collect()) == ids
+    with pytest.raises(ValueError, match="cross blanks"):
+        packing.WordEncoder("/opt/tokenizers/" + next(x for x in os.listdir("/opt/tokenizers") if x.endswith(".json") and not x.startswith("word")))
+
+
 def test_bpe(odd, nothing, docs, library):
     found = collections.Counter((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_report(odd).collect())
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -474,6 +576,54 @@ def test_cutoffs_hold_the_bound():
     assert quality.binomial_cdf(5, 5, 0.3) == 1.0 and quality.binomial_cdf(0, 3, 0.5) == pytest.approx(0.125)
 
 
+def test_binomial_sums():
+    import math
+
+    for k, n, p in [(0, 3, 0.5), (3, 20, 0.1), (10, 20, 0.1), (19, 20, 0.9), (2, 20, 0.9), (40, 400, 0.1)]:
+        exact = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+        assert quality.binomial_cdf(k, n, p) == pytest.approx(exact, rel=1e-9)
+        assert (quality.binomial_cdf(k, n, p, 0.01) > 0.01) == (exact > 0.01)
+    assert quality.binomial_cdf(2_000_000, 240_000_000, 1 / 120) > 0.4 and quality.binomial_cdf(1_900_000, 240_000_000, 1 / 120) == 0.0
+
+
+def test_a_label_is_one_trial(spark):
+    rows = [(i, prose(700 + i, 30), "en") for i in range(20)] + [(3, prose(703, 30), "en")] * 30
+    marks = [(i, 1) for i in range(20)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    seen = []
+    real = quality.cutoffs
+    try:
+        quality.cutoffs = lambda counts, *a: seen.append(counts) or real(counts, *a)
+        assert quality.quality_report(df, labels, broadcast_strata=0).count() == len(rows)
+    finally:
+        quality.cutoffs = real
+    assert [c["n"] for c in seen[0]] == [20]
+
+
+def test_quality_kept_follows_from_cutoffs(spark, sf):
+    """The verdict on the whole table, from the labels and measures by plain Python."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r["doc_id"], r["lang"], dict(zip([*quality.COUNTS, *quality.RULES], quality.measures(r["text"])))) for r in docs.collect()]
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    n = collections.Counter(lang for i, lang, _ in rows if i in good)
+    level, rate = 0.05 / (len(n) * len(quality.RULES)), 0.05 / len(quality.RULES)
+    cuts = {}
+    for lang in n:
+        for rule, grid in quality.RULES.items():
+            for c in grid:
+                k = sum(m[rule] > c for i, x, m in rows if x == lang and i in good)
+                import math
+
+                if sum(math.comb(n[lang], j) * rate**j * (1 - rate) ** (n[lang] - j) for j in range(k + 1)) > level:
+                    break
+                cuts[lang, rule] = c
+    found = by_id(QUERIES["op6_quality"](spark, sf))
+    for i, lang, m in rows:
+        rejected = [rule for rule in quality.RULES if m[rule] > cuts.get((lang, rule), float("inf"))]
+        base = m["n_words"] < 10 or 100 * m["n_repeat_words"] > 20 * m["n_words"]
+        assert found[i]["rejected_by"] == ",".join(rejected) and found[i]["kept"] == (not base and not rejected)
+
+
 def test_quality_of_odd_rows(odd, nothing, labels):
     rows = quality.quality_report(odd, labels).collect()
     assert len(rows) == len(odd_rows()) and all(r["base_failed"] and not r["kept"] for r in rows if r["n_words"] < 10)
@@ -653,6 +803,58 @@ def test_verdicts_do_not_depend_on_the_size_of_the_table(spark):
         assert [found[i]["verdict"] for i in range(13)] == ["block"] * 13 and all(found[i]["distrust"] > 0 for i in range(13))
 
 
+def test_unrelated_blocked_hosts_change_no_verdict(spark):
+    link = lambda *hosts: " ".join(f'<a href="https://{h}/p">' for h in hosts)
+    rows = [(1, "http://good.org/fr/a", link("mixed.test")), (2, "http://good.org/fr/b", link("mixed.test", "other.test")), (3, "http://mixed.test/x", link("bad.net", "safe.test", "more.test")), (4, "http://bad.net/x", ""), (5, "http://safe.test/", ""), (6, "http://more.test/", link("bad.net"))]
+    few = spark.createDataFrame(rows, "page_id long, url string, html string")
+    many = spark.range(1000, 3000).select("id", F.concat(F.lit("http://farm"), "id", F.lit(".net/x")), F.lit(""))
+    a, b = ({r["page_id"]: (r["verdict"], round(r["trust"], 9), round(r["distrust"], 9)) for r in urls.url_report(p).where("page_id < 10").collect()} for p in (few, few.union(many)))
+    assert a == b and a[3][1] > 0 < a[3][2]
+
+
+def test_verdicts_on_the_whole_table(spark, sf):
+    """Both scores by plain sums over all hosts until they settle, and the verdicts that follow."""
+    pages = [(r["page_id"], r["url"] or "", r["html"] or "") for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    found = {r["page_id"]: r for r in QUERIES["op9_urls"](spark, sf).collect()}
+    host_of = {i: found[i]["host"] for i, _, _ in pages}
+    hosts = sorted(set(host_of.values()) - {""})
+    weight = collections.Counter()
+    for i, _, html in pages:
+        for url in re.findall(r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)""", html):
+            to = re.split(r"[/?#]", url.split("//", 1)[1])[0].lower()
+            if to and host_of[i] and to != host_of[i]:
+                weight[host_of[i], to] += 1
+    for h in hosts:
+        above = [".".join(h.split(".")[k:]) for k in range(1, len(h.split(".")))]
+        near = next((x for x in above if x in hosts), None)
+        if near:
+            weight[h, near] += 1
+    score = {}
+    for verdict, edges in (("allow", weight), ("block", {(b, a): w for (a, b), w in weight.items()})):
+        seeds = collections.Counter(host_of[i] for i in found if found[i]["rule"] and found[i]["verdict"] == verdict)
+        total = collections.Counter()
+        for (a, _), w in edges.items():
+            total[a] += w
+        x = dict(seeds)
+        for _ in range(200):
+            y = collections.Counter({h: 0.15 * s for h, s in seeds.items()})
+            for (a, b), w in edges.items():
+                y[b] += 0.85 * w / total[a] * x.get(a, 0.0)
+            x = y
+        score[verdict] = x
+    for i, r in found.items():
+        trust, distrust = score["allow"].get(r["host"], 0.0), score["block"].get(r["host"], 0.0)
+        assert (r["trust"], r["distrust"]) == (pytest.approx(trust, rel=1e-4, abs=1e-6), pytest.approx(distrust, rel=1e-4, abs=1e-6))
+        if not r["rule"]:
+            assert r["verdict"] == ("block" if distrust >= 1e-6 and distrust > trust else "allow")
+
+
+def test_urls_of_long_pages_and_other_columns(spark):
+    rows = [(1, "http://a.test/", "<p>" + "x" * 3_000_000 + '<a href="//bad.net/x">', "clash", 1.0), (2, "http://bad.net/", None, "c", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, trust double")
+    assert {r["page_id"]: r["verdict"] for r in urls.url_report(df).collect()} == {1: "block", 2: "block"}
+
+
 def test_pagerank_converges(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("b", "c", 1), ("c", "a", 1)], "src string, dst string, weight long")
     got = {r["host"]: r["score"] for r in urls.pagerank(edges, spark.createDataFrame([("a", 2.0)], "host string, seed double")).collect()}

@@ -3,7 +3,7 @@
 import collections
 
 import corpus_pipeline
-from sheaf.llm import mixing
+from sheaf.llm import bpe, mixing
 from tests.llm.test_operators import py_classes, shared_run_dedup
 
 
@@ -35,6 +35,11 @@ def test_stages(spark, sf, tmp_path):
     largest = max(len(r["text"].split()) for r in single)
     assert all(abs(taken[s] - wanted[s]) <= largest for s in names)
     assert collections.Counter(r["doc_id"] for r in encoded) == times
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    final = {r["doc_id"]: r["text"] for r in mixed}
+    assert all(r["ids"] == library.encode(final[r["doc_id"]] or "", add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"]) for r in encoded)
 
 
 def test_run_is_repeatable(spark, sf):
