@@ -2,13 +2,16 @@
 
 Features are the n-grams (3 to 6 characters of the text in lower case) that a text holds, hashed to 2**20 places.
 Over the training documents the presence counts of each class give a feature's log-count ratio r; the
-features with the largest |r| x sqrt(count) are kept, and a logistic regression learns weights on r times
-presence. A score is the model's probability; texts without a kept feature get the intercept's.
-
-Training takes at most `max_train` labelled documents (by a hash of doc_id; the documented bound), whose
-texts are written to the checkpoint folder once. Scoring reads every whole text. Null and empty texts have no
-features. Repeated labels count as toxic if any of them does. Repeated rows keep a row each. With no label,
-or labels of one class only, all scores are that class's share, 0 without any.
+`max_features` (8,000) features with the largest |r| x sqrt(count) are kept, of those that 4 training documents or more
+hold, and a logistic regression learns weights on r times presence. Both numbers belong to the model, like its penalty: with
+a few thousand labelled texts, more or rarer features fit the training texts only. A score is the model's probability; texts without a kept feature get the intercept's.
+
+Training takes at most `max_train` (12,000) labelled documents, by a hash of doc_id, whose texts are written to the
+checkpoint folder once; this is the documented bound of the labelled sample. Scoring reads every whole text, a very long one
+in arrays of its code points. Null and empty texts have no features. Repeated labels count as toxic if any of them does.
+Repeated rows keep a row each; of rows that repeat a labelled id the first text is learnt from. With no label, or labels
+of one class only, all scores are that class's share, 0 without any. A score equal to the threshold is toxic; features
+of equal gain are kept by their place.
 """
 
 from __future__ import annotations

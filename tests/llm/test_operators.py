@@ -882,6 +882,28 @@ def test_toxicity_on_held_out_texts(spark):
     assert len(wrong) <= 0.02 * len(held) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in found.values())
 
 
+def test_toxicity_scores_are_sums_over_features(spark, sf, docs):
+    """The whole table: each text's distinct n-grams by plain Python, and the weights that were learnt."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    places, weights, intercept = toxicity.fit(table, labels)
+    weight = dict(zip(places.tolist(), weights.astype(np.float32).tolist()))
+
+    def place(gram):
+        h = len(gram)
+        for c in gram:
+            h = (h * 0x9E3779B97F4A7C15 % 2**64) ^ ord(c)
+        return (h * 0xD6E8FEB86659FD93 % 2**64) >> (64 - toxicity.BITS)
+
+    found = by_id(toxicity.toxicity_report(table, labels))
+    for i in sorted(docs)[::4] + [max(docs, key=lambda k: len(docs[k]))]:
+        text = f" {docs[i].lower()} "
+        seen = {place(text[k : k + n]) for n in toxicity.SIZES for k in range(len(text) - n + 1)} if docs[i] else set()
+        z = intercept + sum(weight.get(p, 0.0) for p in seen)
+        assert found[i]["score"] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4)
+        assert found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_held_out_labels_are_not_learnt_from(spark):
     rows = [(i, prose(i, 30)) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
