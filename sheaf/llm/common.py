@@ -2,43 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir, scratch_path  # noqa: F401  (scratch_path is for the operators)
+
 #: Characters of text that a Python task turns into arrays at a time.
 CHUNK_CHARS = 2_000_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where none is set, a local session, as in tests, gets a temporary one; a cluster is an error."""
-    sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir"):
-        return sc.getConf().get("spark.checkpoint.dir")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc._jsc.sc().isLocal():
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and cuts its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
+    scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def text_of(column: str | Column = "text") -> Column:
     """The text, null as the empty one."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
