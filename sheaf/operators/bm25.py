@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -77,15 +81,61 @@ def matches(chunks: DataFrame, queries: DataFrame, carried: tuple[str, ...] = ()
     return written(hits.groupBy("chunk_id", "dl", *carried, "term").agg(F.count(F.lit(1)).alias("tf")), "matches")
 
 
-def ranked(found: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, chunk_id, bm25, rank from matches: chunks that share a term with the question, ties by id."""
+def ranked(found: DataFrame, queries: DataFrame, k: int = 10, rows: int = 200_000) -> DataFrame:
+    """query_id, chunk_id, bm25, rank from matches: chunks that share a term with the question, ties by id.
+
+    A frequent term meets many questions, so pairs of its chunks and questions are not made as rows: matches are dealt
+    by chunk to parts of about so many rows; each part meets the questions' weights in a task of its own, adds them up as
+    products with blocks of questions, and keeps k for each. The final k are ranked per question.
+    """
     hits = found.where("term <> ''")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = query_terms(queries).join(df, "term").crossJoin(F.broadcast(size_of(found.where("term = ''"))))  # one row
-    weighted = weighted.select("query_id", "term", "avgdl", (F.col("qtf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("w"))
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("bm25"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25"), "chunk_id"))).where(F.col("rank") <= k)
+    size = size_of(found.where("term = ''"))
+    weighted = query_terms(queries).join(df, "term").crossJoin(F.broadcast(size))  # one row
+    weighted = weighted.select("query_id", "term", (F.col("qtf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("w"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    parts = max(1, -(-hits.count() // rows))
+    left = hits.crossJoin(F.broadcast(size.select("avgdl"))).select("chunk_id", "term", part.alias("share"), F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("_part"))  # one row
+    right = weighted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    best = left.groupBy("_part").cogroup(right.groupBy("_part")).applyInPandas(best_of(k), f"query_id {kind}, chunk_id string, bm25 double")
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25"), "chunk_id"))).where(F.col("rank") <= k)
+
+
+def best_of(k: int, block: int = 64, slice_rows: int = 50_000) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """For each question the k chunks of a part with the largest sums of share x weight over its terms."""
+
+    def score(shares: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(shares) and len(weights):
+            terms_, at = np.unique(weights["term"].to_numpy(str), return_inverse=True)
+            place = pd.Index(terms_).get_indexer(shares["term"])
+            shares, place = shares[place >= 0], place[place >= 0]
+            chunks, owner = np.unique(shares["chunk_id"].to_numpy(str), return_inverse=True)  # in the order of ties
+            order = np.argsort(owner, kind="stable")
+            owner, place, share = owner[order], place[order], shares["share"].to_numpy()[order]
+            asked, query = np.unique(weights["query_id"].to_numpy(), return_inverse=True)
+            value = weights["w"].to_numpy()
+            for lo in range(0, len(asked), block):
+                mine = (query >= lo) & (query < lo + block)
+                table = np.zeros((len(terms_), min(block, len(asked) - lo)))
+                table[at[mine], query[mine] - lo] = value[mine]
+                sums = np.zeros((len(chunks), table.shape[1]))
+                for a in range(0, len(owner), slice_rows):
+                    some = slice(a, a + slice_rows)
+                    starts = np.flatnonzero(np.r_[True, np.diff(owner[some]) > 0])
+                    sums[owner[some][starts]] += np.add.reduceat(table[place[some]] * share[some, None], starts, axis=0)
+                for j in range(table.shape[1]):
+                    held = np.flatnonzero(sums[:, j] > 0)
+                    rounded = np.round(sums[held, j], 6)
+                    if len(held) > k:
+                        keep = rounded >= np.partition(rounded, len(held) - k)[len(held) - k]
+                        held, rounded = held[keep], rounded[keep]
+                    first = np.argsort(-rounded, kind="stable")[:k]
+                    out.append(pd.DataFrame({"query_id": [asked[lo + j]] * len(first), "chunk_id": chunks[held[first]], "bm25": rounded[first]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "bm25": []}).astype({"chunk_id": str})
+
+    return score
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -165,6 +165,16 @@ def test_bm25_by_hand(spark):
     assert [(x["chunk_id"], x["bm25"]) for x in r] == [("a", round(2 * idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / avg)), 6))]
 
 
+def test_bm25_in_parts(spark, sf):
+    from sheaf.sources.tables import corpus, questions
+
+    chunks, asked = chunking.smart_chunks(corpus(spark, sf)), questions(spark, sf)
+    held = bm25.matches(chunks, asked)
+    few, many = (sorted(map(tuple, bm25.ranked(held, asked, 7, rows=n).select("query_id", "chunk_id", "bm25", "rank").collect())) for n in (10**9, 500))
+    assert few == many and len(few) == 7 * asked.count()
+    assert bm25.ranked(held, asked.limit(0), 7).count() == 0
+
+
 def test_lsh_recall(spark, sf):
     from sheaf.sources.tables import questions
     from sheaf.sources.tables import vectors as table
