@@ -145,7 +145,7 @@ def streams(rows: DataFrame, seed: int, sources: list[tuple], blocks_of: list[in
 BROADCAST_ROWS = 300_000
 
 
-def plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, shards: int | None = None, block_words: int = 65_536, seed: int = 7, max_sources: int | None = None, max_blocks: int = 200_000, shard_words: int = 20_000_000, max_shards: int = 16_384) -> Mix:
+def plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, shards: int | None = None, block_words: int = 65_536, seed: int = 7, max_sources: int | None = None, max_blocks: int = 200_000, shard_words: int = 2_000_000, max_shards: int = 16_384) -> Mix:
     """The draws of all blocks. sized: doc_id, source, size, _tie. With max_sources, more sources raise ValueError."""
     totals = sorted(sized.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     if max_sources is not None and len(totals) > max_sources:
