@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import terms
 from ..sources.scratch import written
+from .chunking import smart_chunks
 
 K1, B = 1.5, 0.75
 #: Rows of terms, ids or questions that a side has at most where it is broadcast; more are joined by shuffles.
@@ -143,21 +144,22 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return ranked(matches(chunks, queries), queries, k)
 
 
-def contents(chunks: DataFrame, found: DataFrame, documents: DataFrame, most: int) -> DataFrame:
+def contents(found: DataFrame, documents: DataFrame, most: int, corpus: DataFrame, cut: Callable[[DataFrame], DataFrame] = smart_chunks) -> DataFrame:
     """found (id, ...) with document_id and content; documents: the `most` document_ids at most that found's chunks belong to.
 
-    Only these documents are cut into chunks again: the semi-join is pushed below the cutting.
+    Only these documents of the corpus are cut into chunks again, by the same function that made the chunks.
     """
-    mine = chunks.join(small(documents.select("document_id").distinct(), most), "document_id", "left_semi")
+    mine = cut(corpus.join(small(documents.select("document_id").distinct(), most), "document_id", "left_semi"))
     return found.join(mine.select(F.col("chunk_id").alias("id"), "document_id", "content"), "id")
 
 
-def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """search with the score scaled to 0..1 and the chunk's content."""
+def keyword_search(chunks: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, cut: Callable[[DataFrame], DataFrame] = smart_chunks) -> DataFrame:
+    """search with the score scaled to 0..1 and the chunk's content; `cut` made the chunks of the corpus."""
     held = matches(chunks, queries, ("document_id",))
-    found = ranked(held, queries, k)
-    of = held.where("term = ''").select("chunk_id", "document_id").join(found.select("chunk_id"), "chunk_id", "left_semi")
-    rows = contents(chunks, found.withColumnRenamed("chunk_id", "id"), of, k * queries.count())
+    found = written(ranked(held, queries, k), "ranked")
+    most = k * queries.count()
+    of = held.where("term = ''").select("chunk_id", "document_id").join(small(found.select("chunk_id").distinct(), most), "chunk_id", "left_semi")
+    rows = contents(found.withColumnRenamed("chunk_id", "id"), of, most, corpus, cut)
     return rows.select("query_id", "rank", "id", "document_id", "bm25", F.least(F.col("bm25") / 10, F.lit(1.0)).alias("keyword_score"), "content")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..sources.scratch import written
 from . import bm25, vectors
+from .chunking import smart_chunks
 
 
 def top(rows: DataFrame, k: int, score: str, key: str = "query_id") -> DataFrame:
@@ -93,12 +96,13 @@ def prompt(query: Column, context: Column) -> Column:
     return F.concat(F.lit("Answer from the context only.\n\nContext:\n"), context, F.lit("\n\nQuestion: "), query, F.lit("\nAnswer:"))
 
 
-def search(chunks: DataFrame, vecs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, method: str = "hybrid") -> DataFrame:
+def search(chunks: DataFrame, vecs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, method: str = "hybrid", cut: Callable[[DataFrame], DataFrame] = smart_chunks) -> DataFrame:
     """query_id, rank, id, document_id, scores, label, content, file_name, agency: the search of all questions, by both sides or by one.
 
     A vector belongs to a document; it stands for the document's first chunk. best_vector and best_keyword are the
     question's best scores in a search by vectors alone (1 / (1 + distance)) and by keywords alone (BM25 / 10).
-    The two sides' scans are written when this is called: one over the chunks, one over the vectors.
+    The two sides' scans are written when this is called: one over the chunks, one over the vectors. `cut` made the chunks of
+    the corpus.
     """
     held = bm25.matches(chunks, queries, ("document_id", "section_index", "chunk_index"))
     near = written(vectors.knn(vecs, queries, 2 * k), "neighbours")
@@ -121,8 +125,8 @@ def search(chunks: DataFrame, vecs: DataFrame, queries: DataFrame, corpus: DataF
         raise ValueError(f"unknown method {method}")
     fused = written(fused, "fused")
     of = ids.join(bm25.small(fused.select(F.col("id").alias("chunk_id")).distinct(), k * n), "chunk_id", "left_semi")
-    rows = bm25.contents(chunks, fused, of, k * n)
-    named = corpus.select("document_id", "file_name", "agency").join(bm25.small(rows.select("document_id").distinct(), k * n), "document_id", "left_semi")
+    rows = bm25.contents(fused, of, k * n, corpus, cut)
+    named = corpus.select("document_id", "file_name", "agency").join(bm25.small(of.select("document_id").distinct(), k * n), "document_id", "left_semi")
     return rows.join(named, "document_id").join(best, "query_id").select("query_id", "id", "vector_score", "keyword_score", "hybrid_score", "source", "rank", "document_id", "content", "file_name", "agency", "best_vector", "best_keyword")
 
 

@@ -107,7 +107,7 @@ def f4(spark, d):
 
 @query("f5_keyword_search", sql("select query_id, rank, chunk_id id, document_id, bm25, round(least(bm25 / 10, 1.0), 6) keyword_score, md5(content) content_md5 from kw join named using (chunk_id) where rank <= 10", "kw", "named"))
 def f5(spark, d):
-    rows = bm25.keyword_search(chunks_of(spark, d), questions(spark, d), 10)
+    rows = bm25.keyword_search(chunks_of(spark, d), questions(spark, d), corpus(spark, d), 10)
     return rows.withColumns({"content_md5": F.md5("content"), "keyword_score": F.round("keyword_score", 6)}).drop("content")
 
 
