@@ -35,7 +35,7 @@ HEADER = struct.Struct("<4sHHQQ")  # magic, version, bits, documents, ids
 #: Ids after which a block ends; a longer document makes a longer block.
 BLOCK_IDS = 1 << 16
 #: Bytes of encoded runs that a worker keeps (about 300 an ordinary run, with what Python adds), the longest run it keeps, and bytes of text that it encodes at a time.
-KEPT_BYTES, KEPT_RUN, SLICE_BYTES = 300_000_000, 256, 4_000_000
+KEPT_BYTES, KEPT_RUN, SLICE_BYTES = 300_000_000, 256, 12_000_000
 #: What an entry of the memory takes beside its run and its ids.
 ENTRY_BYTES = 190
 BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
