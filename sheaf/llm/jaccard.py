@@ -164,7 +164,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
     comps = components(candidate_edges(sets))
     held = comps.join(sets.withColumnRenamed("set_key", "node"), "node")
     sizes = held.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
-    members = held.join(sizes, "component")
+    again = lambda df: df.withColumn("_k", F.xxhash64("component"))  # noqa: E731  a second key, so that both sides are dealt anew and a large component can be split
+    members = again(held).join(again(sizes), ["component", "_k"])
     members = members.select(F.col("node").alias("set_key"), "component", "n_blocks", "n_copies", "first.i", "first.t")
     texts = with_row_key(docs).select(F.col("_id").alias("i"), F.col("_th").alias("t"), "text")
 
