@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import id_again, id_of, text_of
 
+#: Ids that a worker holds before it sends them on.
+SENT_IDS = 200_000
 #: White space as the vocabulary's patterns mean it (the property White_Space), as members of a class.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: What a worker remembers at most, and the longest run or piece that it remembers: some 300 bytes an entry, 2 kB at worst.
@@ -145,13 +147,14 @@ def runs_of(text: str) -> list[str]:
 def encode_report(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """A row for each document: doc_id, n_tokens, and hashes of its ids and of what they decode to; the ids too, if asked for."""
     path = path or default_vocabulary()
+    columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
         kept = bpe.seen
         for pdf in batches:
-            counts, ids_hashes, decoded, found_ids = [], [], [], []
-            for text in pdf["text"]:
+            rows, held = [], 0
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 n, ids, strings = 0, [], []
                 for run in runs_of(text):
                     found = kept.get(run)
@@ -167,13 +170,17 @@ def encode_report(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
                         ids.append(found[1])
                         strings.append(found[2])
                 joined = " ".join(ids)
-                counts.append(n)
-                ids_hashes.append(sha256(joined.encode()).hexdigest())
-                decoded.append(sha256(" ".join(strings).encode("utf-8", "surrogatepass")).hexdigest())
+                hashes = sha256(joined.encode()).hexdigest(), sha256(" ".join(strings).encode("utf-8", "surrogatepass")).hexdigest()
                 if with_ids:
-                    found_ids.append(np.array(joined.split(), np.int32))
-            out = pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": counts, "ids_sha256": ids_hashes, "decoded_sha256": decoded})
-            yield out.assign(ids=found_ids) if with_ids else out
+                    rows.append((doc_id, n, *hashes, np.fromstring(joined, np.int32, sep=" ") if n else np.zeros(0, np.int32)))
+                    held += n
+                else:
+                    rows.append((doc_id, n, *hashes))
+                if held >= SENT_IDS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     encoded = docs.select(id_of().alias("doc_id"), text_of().alias("text")).mapInPandas(encode, schema)
