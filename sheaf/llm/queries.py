@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, licenses, linededup, mixing, packing, quality, toxicity, urls
+from . import bpe, conversations, fingerprints, jaccard, licenses, linededup, mixing, neighbours, packing, quality, spelling, toxicity, urls
 from .common import id_again, text_of
 
 
@@ -41,6 +41,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": lambda spark, d: bpe.encode_report(read(spark, d, "documents")),
     "op9_urls": lambda spark, d: urls.url_report(read(spark, d, "pages")),
     "op10_toxicity": lambda spark, d: toxicity.toxicity_report(read(spark, d, "documents"), read(spark, d, "labels")),
+    "op11_neighbours": lambda spark, d: neighbours.neighbour_report(read(spark, d, "embeddings")),
+    "op12_spelling": lambda spark, d: spelling.variant_report(read(spark, d, "documents")),
+    "op13_conversations": lambda spark, d: conversations.repair_report(read(spark, d, "conversations")),
 }
 QUERIES |= {
     "llm_fingerprint_texts": lambda spark, d: fingerprints.fingerprint_report(read(spark, d, "documents")).select("doc_id", "n_chars", "edited_sha256"),
