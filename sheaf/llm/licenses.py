@@ -2,9 +2,10 @@
 
 A text is normalised to its words (A-Z lower-cased; runs of digits, a-z and characters beyond ASCII) with
 one space between. A rule has a label, a keyword, a pattern over such text, and a score; the earlier rule
-has priority. A rule is tried only where the text holds its keyword, and nothing is tried where the text
-holds no keyword of any rule. An SPDX tag gives a detection for each id of its expression that stands
-after known ids only. A detection whose interval lies in that of a detection with higher priority
+has priority. Every rule names a word that each of its matches has: the words of a text are met with all these
+at once, by a hash set, and a rule is tried only where the text has its word and its keyword. An SPDX tag is taken as one
+expression, however long, and cut at its or, and, with: each id and exception of the list gives a detection, unknown ones
+none. A detection whose interval lies in that of a detection with higher priority
 is suppressed. What contains something that was itself suppressed is contained in its suppressor as well, so
 one look at all detections of higher priority resolves the overlaps.
 
@@ -29,8 +30,12 @@ from .common import constant_array, text_of
 
 #: What separates words, once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same in a text as it stands.
-ANY_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: An SPDX tag in lower case: its lead, and ids joined by or, and, with; brackets stand in the gaps.
+_LETTER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+SPDX_LEAD = rf"(?<!{_LETTER})spdx[\x20-\x2F]{{1,3}}licen[sc]e[\x20-\x2F]{{1,3}}identifier[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+SPDX_JOINT = rf"{GAP}(?:or|and|with){GAP}"
+_ID = rf"[0-9a-z][0-9a-z.+:_-]*+(?: v?[0-9][0-9a-z.+-]*+)?(?!{_LETTER})"
+SPDX_EXPRESSION = rf"{_ID}(?:{SPDX_JOINT}{_ID})*+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -40,10 +45,12 @@ class Rule(NamedTuple):
     keyword: str
     pattern: str
     score: float
-    #: A string that every match holds, by which whole texts are let through.
-    gate: str = "licen"
-    #: Where the gate is a common string: a pattern that such texts, in lower case, must hold too.
+    #: Words, separated by bars: every match has one of them.
+    gate: str = "licence|license"
+    #: Where no whole word is sure, the gate is part of one, and this a pattern that such texts, in lower case, have too.
     shape: str = ""
+    #: Whether the pattern is of an id in an SPDX expression.
+    spdx: bool = False
 
 
 #: Label, the name in words as a pattern, its keyword, versions (as words; none: unversioned).
@@ -95,13 +102,20 @@ SPDX_END = "(?: no invariants| invariants)?(?: only| or later)?"
 CC_PARTS = (("by", "by|attribution"), ("by-sa", "by sa|attribution share ?alike"), ("by-nd", "by nd|attribution no ?deriv(?:ative)?s?(?: works)?"), ("by-nc", "by nc|attribution non ?commercial"), ("by-nc-sa", "by nc sa|attribution non ?commercial share ?alike"), ("by-nc-nd", "by nc nd|attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"))
 CC_STARTS = (("creative commons", "creative commons", "commons"), ("cc", "cc", "cc"))
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Sentences of licence texts, notices, exceptions and terms: label, pattern, score, and a rare word that every match holds where it has none of GATES.
+#: The exceptions that may follow "with" in an SPDX expression.
+SPDX_EXCEPTIONS = (
+    ("autoconf-exception", "autoconf exception (?:generic|[23] 0)"), ("bison-exception", "bison exception (?:1 24|2 2)"), ("classpath-exception", "classpath exception 2 0"), ("font-exception", "font exception 2 0"),
+    ("gcc-exception", "gcc exception (?:2 0|3 1)"), ("linux-syscall-note", "linux syscall note"), ("llvm-exception", "llvm exception"), ("openssl-exception", "(?:cryptsetup|x11vnc) openssl exception"),
+    ("universal-foss-exception", "universal foss exception 1 0"),
+)
+#: Sentences of licence texts, notices, exceptions and terms: label, pattern, score, and the word that every match has where no literal one is sure to be whole.
 TEXTS = (
     # permissive texts
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1.0),
     ("mit", "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions", 0.95),
     ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense", 0.95),
     ("mit-0", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided", 1.0),
+    ("mit-advertising", "the end user documentation or (?:any )?advertising materials? must (?:include|display) (?:the following|an) acknowledgement", 0.9, "acknowledgement"),
     ("x11", "except as contained in this notice the names? of .{1,80}? shall not be used in advertising or otherwise to promote the sale", 1.0, "advertising"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1.0),
     ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and without fee )?is hereby granted", 0.95),
@@ -119,6 +133,7 @@ TEXTS = (
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0.95),
     ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", 1.0),
     ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 1.0),
+    ("libpng", "the png reference library is supplied as is", 1.0, "png"),
     ("libtiff", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", 1.0),
     ("ijg", "this software is based in part on the work of the independent jpeg group", 1.0),
     ("freetype", "portions of this software are copyright .{1,40}? the freetype project", 1.0),
@@ -128,6 +143,7 @@ TEXTS = (
     ("unicode", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", 1.0),
     ("w3c", "w3c software (?:and document )?notice and licen[sc]e", 1.0),
     ("w3c", "by obtaining using and or copying this work you (?:the )?licensee agree", 0.9),
+    ("postgresql", "in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages", 1.0, "consequential"),
     ("python", "psf is making python available to licensee on an as is basis", 1.0),
     ("python", "beopen(?: com)? (?:python )?open source licen[sc]e agreement", 1.0),
     ("cnri", "cnri (?:open source )?licen[sc]e agreement", 1.0),
@@ -136,12 +152,16 @@ TEXTS = (
     ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 1.0),
     ("ssleay", "this product includes cryptographic software written by eric young", 1.0),
     ("vim", "(?:the )?vim licen[sc]e", 0.9),
+    ("vim", "vim is charityware", 0.9, "charityware"),
     ("json", "the software shall be used for good not evil", 1.0),
     ("beerware", "the beer ?ware licen[sc]e", 1.0),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer", 1.0, "beer"),
+    ("wtfpl", "you just do what the fuck you want to", 1.0, "fuck"),
     ("fair", "usage of the works is permitted provided that this instrument is retained with the works", 1.0),
     ("naumen", "naumen public licen[sc]e", 1.0),
     ("xnet", "(?:the )?x net licen[sc]e", 0.9),
     ("tcl", "the authors hereby grant permission to use copy modify distribute and licen[sc]e this software and its documentation for any purpose", 1.0),
+    ("bzip2", "this program bzip2 (?:and )?the associated library libbzip2", 1.0, "libbzip2"),
     ("blueoak", "blue oak model licen[sc]e", 1.0),
     ("mulan", "mulan permissive software licen[sc]e", 1.0),
     ("afl", "licensed under the academic free licen[sc]e version", 1.0),
@@ -175,8 +195,10 @@ TEXTS = (
     ("lgpl-2.0", "(?:gnu )?library general public licen[sc]e as published by the free software foundation", 0.95),
     ("lgpl-3.0", "this version of the gnu lesser general public licen[sc]e incorporates the terms and conditions of version 3", 1.0),
     ("agpl-3.0", "remote network interaction use with the gnu general public licen[sc]e", 1.0),
+    ("agpl-3.0", "interacting with it remotely through a computer network", 0.9, "remotely"),
     ("agpl-3.0-or-later", "gnu affero general public licen[sc]e as published by the free software foundation either version 3", 1.0),
     ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", 1.0),
+    ("gfdl-no-invariants", "with no invariant sections no front cover texts and no back cover texts", 1.0, "invariant"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0", 1.0),
     ("mpl", "this source code form is subject to the terms of the mozilla public licen[sc]e", 1.0),
     ("mpl-1.1", "the contents of this file are subject to the mozilla public licen[sc]e version 1 1", 1.0),
@@ -200,11 +222,13 @@ TEXTS = (
     ("ms-pl", "this licen[sc]e governs use of the accompanying software if you use the software you accept this licen[sc]e", 0.95),
     ("cpal", "common public attribution licen[sc]e", 0.95),
     ("lppl", "latex project public licen[sc]e", 1.0),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied", 1.0, "package"),
     ("perl", "under the same terms as perl(?: itself)?", 0.95, "perl"),
     ("ruby", "under the same terms as ruby(?: itself)?", 0.95, "ruby"),
     # fonts, data and works
     ("ofl", "this font software is licensed under the sil open font licen[sc]e", 1.0),
     ("ofl", "with reserved font names?", 0.9),
+    ("bitstream-vera", "bitstream vera is a trademark of bitstream", 1.0, "bitstream"),
     ("ubuntu-font", "ubuntu font licen[sc]e", 1.0),
     ("arphic", "arphic public licen[sc]e", 1.0),
     ("odbl", "this .{1,60}? (?:database )?is made available under the open database licen[sc]e", 1.0),
@@ -222,53 +246,64 @@ TEXTS = (
     ("cc-sampling", "creative commons sampling plus", 0.9),
     ("fal", "free art licen[sc]e", 0.9),
     ("gutenberg", "(?:full )?project gutenberg tm? licen[sc]e", 0.95),
+    ("gutenberg", "this ebook is for the use of anyone anywhere (?:in the united states and most other parts of the world )?at no cost", 1.0, "ebook"),
     ("openrail", "responsible ai licen[sc]e(?: openrail m?)?", 0.9),
+    ("openrail", "creativeml open rail(?: plus)? m", 0.95, "creativeml"),
     ("llama", "llama(?: [23](?: [0-9])?)? community licen[sc]e agreement", 0.95),
     ("public-domain", "(?:placed|released|dedicated|put) (?:in|into|to) the public domain", 0.8),
     ("public-domain", "this (?:file|work|code|software|image|text) is (?:hereby )?in the public domain", 0.8),
+    ("public-domain", "work of the united states government (?:and|that) is (?:therefore )?(?:in the public domain|not subject to copyright)", 0.9, "government"),
     # exceptions
+    ("classpath-exception", "(?:gnu )?classpath exception", 0.95, "classpath"),
+    ("classpath-exception", "linking this library statically or dynamically with other modules is making a combined work", 1.0, "statically"),
+    ("gcc-exception", "gcc runtime library exception", 1.0, "gcc"),
+    ("autoconf-exception", "contains a configuration script generated by autoconf", 1.0, "autoconf"),
+    ("bison-exception", "(?:the )?bison parser skeleton", 0.9, "bison"),
     ("openssl-exception", "link(?:ing)? (?:the code of )?(?:this program|portions of this program) with the openssl library", 0.95, "openssl"),
     ("llvm-exception", "apache licen[sc]e v(?:ersion)? ?2 0 with llvm exceptions?", 1.0),
+    ("font-exception", "embed this font or unaltered portions of this font into the document", 1.0, "unaltered"),
+    ("linux-syscall-note", "user programs that use kernel services by normal system calls", 1.0, "kernel"),
+    ("universal-foss-exception", "universal foss exception", 1.0, "foss"),
     # source available
     ("sspl", "server side public licen[sc]e", 1.0),
     ("busl", "business source licen[sc]e", 1.0),
     ("elastic", "elastic licen[sc]e(?: 2 0| v2)?", 0.9),
     ("commons-clause", "commons clause(?: licen[sc]e condition)?", 0.9),
+    ("polyform", "polyform (?:noncommercial|small business|shield|perimeter|strict|internal use|free trial)(?: licen[sc]e)?", 0.95, "polyform"),
     ("confluent", "confluent community licen[sc]e", 1.0),
     ("rsal", "redis source available licen[sc]e", 1.0),
     ("prosperity", "prosperity public licen[sc]e", 1.0),
     ("parity", "parity public licen[sc]e", 1.0),
     ("hippocratic", "hippocratic licen[sc]e", 1.0),
     ("anti-996", "anti 996 licen[sc]e", 1.0),
-    ("polyform", "polyform (?:noncommercial|small business|shield|perimeter|strict|internal use|free trial) licen[sc]e", 0.95),
-    ("classpath-exception", "gnu classpath exception", 0.95),
     ("gfdl-no-invariants", "free documentation licen[sc]e version 1 [123] or any later version published by the free software foundation with no invariant sections", 1.0),
     ("agpl-3.0", "your modified version must prominently offer all users interacting with it remotely .{1,80}? software", 1.0),
     ("postgresql", "in no event shall the university of california be liable to any party .{1,200}? arising out of the use of this software", 1.0),
-    ("non-commercial", "this software is for (?:personal )?non ?commercial use only", 0.6),
-    ("research-only", "this software (?:is|may be used) for (?:academic |non ?commercial )?research purposes only", 0.6),
-    ("proprietary", "this software contains (?:valuable )?trade secrets?", 0.5),
-    ("evaluation", "this software is (?:provided |licen[sc]ed )?for evaluation purposes only", 0.5),
     ("wtfpl", "do what the fuck you want to public licen[sc]e terms and conditions", 1.0),
     # proprietary and general notices
     ("proprietary", "all rights reserved", 0.3),
+    ("proprietary", "alle rechte vorbehalten", 0.3, "vorbehalten"),
+    ("proprietary", "tous droits r.serv.s", 0.3, "droits"),
+    ("proprietary", "todos los derechos reservados", 0.3, "reservados"),
+    ("proprietary", "(?:contains|constitutes?) (?:valuable )?trade secrets?", 0.5, "secret|secrets"),
     ("proprietary", "proprietary and confidential", 0.6, "confidential"),
     ("proprietary", "confidential and proprietary", 0.6, "confidential"),
     ("proprietary", "unauthori[sz]ed copying of this (?:file|software|document|work)", 0.7, "copying"),
     ("proprietary", "end user licen[sc]e agreement", 0.6),
+    ("proprietary", "for evaluation purposes only", 0.5, "evaluation"),
+    ("non-commercial", "for (?:personal )?non ?commercial use only", 0.6, "commercial|noncommercial"),
+    ("research-only", "for (?:academic |non ?commercial )?research purposes only", 0.6, "research"),
     ("freeware", "this (?:program|software) is freeware", 0.6, "freeware"),
     ("shareware", "this (?:program|software) is shareware", 0.6, "shareware"),
     ("dual", "dual licen[sc]ed under", 0.5),
     ("other", "see the file licen[sc]e for (?:details|licen[sc]e terms)", 0.4),
     ("other", "see the file copying for (?:details|copying permission)", 0.4, "copying"),
-    ("other", "(?:ver.ffentlicht|lizenziert) unter (?:der|einer) .{1,40}? ?lizenz", 0.4, "lizenz"),
+    ("other", "(?:ver.ffentlicht|lizenziert) unter (?:der|einer) .{1,40}? ?lizenz", 0.4, "lizenz", "lizenz"),
     ("other", "(?:publi. |distribu. |diffus. )?sous licence (?:libre|publique|gnu|mit|apache)", 0.4),
     ("other", "bajo licencia (?:libre|p.blica|gnu|mit|apache)", 0.4),
     ("other", "bajo la licencia (?:libre|p.blica|gnu|mit|apache)", 0.4),
     ("copyright", "copyright (?:c |© )?(?:19|20)[0-9]{2}", 0.2),
 )
-#: Words by which whole texts are let through to the rules, the commonest among the rules first.
-GATES = ("licen", "software", "copyright", "reserved", "permission", "redistribut", "domain", "commons", "gnu", "apache", "permitted")
 #: Words that lead up to a licence's name in a notice.
 NOTICES = ("licen[sc]ed under(?: the)?(?: terms of(?: the)?)?", "released under(?: the)?(?: terms of(?: the)?)?", "(?:distributed|available|published|provided) under(?: the)?(?: terms of(?: the)?)?", "spdx licen[sc]e identifier")
 
@@ -281,14 +316,25 @@ def literals(pattern: str) -> list[str]:
     return re.sub(r"\[[^\]]*\][?*]?|\.(?:\{[^}]*\})?\??|.\?", "\0", pattern).split("\0")
 
 
-def text_rule(label: str, pattern: str, score: float, gate: str | None = None) -> Rule:
-    """The rule of a sentence: its keyword is its longest literal part, from a word's start; its gate the one given or the first of GATES that it holds."""
+def gate_of(pattern: str) -> str | None:
+    """The longest word that stands whole and literally in every match, with both spellings of [sc] and [sz]; None if there is none."""
+    parts = literals(pattern.replace("[sc]", "\1").replace("[sz]", "\2"))
+    words = []
+    for i, part in enumerate(parts):
+        mine = part.split(" ")
+        words += mine[i > 0 : len(mine) - (i < len(parts) - 1)]
+    word = max(words, key=len, default="")
+    return "|".join(sorted({word.replace("\1", x).replace("\2", y) for x in "sc" for y in "sz"})) if len(word) > 2 else None
+
+
+def text_rule(label: str, pattern: str, score: float, gate: str | None = None, shape: str = "") -> Rule:
+    """The rule of a sentence: its keyword is its longest literal part, from a word's start; its gate the one given or a word of its own."""
     parts = literals(pattern)
     keyword = max([parts[0], *(p.partition(" ")[2] for p in parts[1:])], key=len).strip()
-    gate = gate or next((g for g in GATES if any(g in p for p in parts)), None)
+    gate = gate or gate_of(pattern)
     if gate is None:
         raise ValueError(f"no gate for: {pattern}")
-    return Rule(label, keyword, pattern, score, gate)
+    return Rule(label, keyword, pattern, score, gate, shape)
 
 
 def widest(patterns: list[str]) -> int | None:
@@ -304,6 +350,7 @@ def build_rules() -> list[Rule]:
     """Some hundreds of rules, the longest and surest first: a notice with a version, a version, texts, a notice, a name."""
     named = [(label, name, keyword, versions) for label, name, keyword, versions in FAMILIES]
     rules = spdx_rules()
+    unlicense = lambda r: r._replace(gate="unlicence|unlicense") if r.label == "unlicense" and not r.spdx and not r.shape and "unlicen" in r.pattern else r
     for (label, name, keyword, versions), notice in product(named, NOTICES):
         rules += [Rule(f"{label}-{v.replace(' ', '.')}", keyword, f"{notice} {name}(?: v(?:ersion)?)? v?{v}(?: or(?: any)? later(?: version)?)?", 1.0) for v in versions]
     lead = f"(?:(?:{'|'.join(NOTICES[:3])}) )?"
@@ -316,7 +363,7 @@ def build_rules() -> list[Rule]:
     for (part, words), (start, keyword, gate) in product(reversed(CC_PARTS), CC_STARTS):
         rules.append(Rule(f"cc-{part}", keyword, f"{lead}{start} (?:{words})", 0.7, gate))
     rules += [Rule(label, keyword, name, 0.7) for label, name, keyword, _ in named]
-    return rules + short_rules()
+    return [unlicense(r) for r in rules] + short_rules()
 
 
 def short_versions() -> list[tuple[str, str, bool, list[tuple[str, str]]]]:
@@ -332,12 +379,10 @@ def short_versions() -> list[tuple[str, str, bool, list[tuple[str, str]]]]:
 
 
 def spdx_rules() -> list[Rule]:
-    """SPDX tags: each id of an expression, after the lead and other ids of this list; versions first."""
-    names = "|".join([*(name for _, name, _ in SHORT), "cc0", "cc by(?: nc)?(?: sa| nd)?"])
-    one = f"(?:{names})(?: v?[0-9]{{1,2}})?(?: [0-9]{{1,2}})?{SPDX_END} (?:or|and) "
-    after = f"(?<= spdx licen[sc]e identifier {f'(?:{one})?' * 5})"  # Java wants a bound: ids beyond the sixth have no rule
-    rules = [Rule(label, "spdx licen", f"(?={name} v?{v}){after}{name} v?{v}{SPDX_END}", 1.0) for _, name, _, versions in short_versions() for label, v in versions]
-    return rules + [Rule(label, "spdx licen", f"(?={name} ){after}{name}", 0.9) for label, name, _ in SHORT]
+    """What an id of an SPDX expression is: versions first, then exceptions, then names without a version."""
+    rules = [Rule(label, "spdx", f"{name} v?{v}{SPDX_END}", 1.0, "spdx", spdx=True) for _, name, _, versions in short_versions() for label, v in versions]
+    rules += [Rule(label, "spdx", name, 1.0, "spdx", spdx=True) for label, name in SPDX_EXCEPTIONS]
+    return rules + [Rule(label, "spdx", name, 0.9, "spdx", spdx=True) for label, name, _ in SHORT]
 
 
 def short_rules() -> list[Rule]:
@@ -346,7 +391,7 @@ def short_rules() -> list[Rule]:
     rules = []
     for label, name, clear, versions in short_versions():
         for word, found in [("python", "python"), ("psf", "psf")] if label == "python" else [(name.split("(")[0], name)]:
-            shape = rf"{word}[^a-z0-9]*(?:[abc][^a-z0-9]+)?(?:v|version)?[^a-z0-9]*[0-9]"
+            shape = rf"{word}[^a-z0-9]*(?:[abc][^a-z0-9]*)?(?:version)?[^a-z0-9]*v?[^a-z0-9]*[0-9]"
             rules += [Rule(full, word, f"{under}{'?' if clear else ''}{found}(?: version)? ?v? ?{v}{SPDX_END}", 0.6, word, shape) for full, v in versions]
     rules.append(Rule("bsd", "bsd", f"{under}?bsd [0-4] clause", 0.6, "bsd", r"bsd[^a-z0-9]+[0-4][^a-z0-9]+clause"))
     return rules
@@ -368,18 +413,23 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.filter(at, lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(words, i + k) == w, F.lit(False)) for k, w in enumerate(wanted)]))
 
 
-def detections_of(norm: Column, rules: list[Rule]) -> Column:
+def detections_of(norm: Column, words: Column, lower: Column, rules: list[Rule]) -> Column:
     """array<struct<rule, start, end>> of all matches, in characters of the normalised text.
 
-    Only the rules whose keyword the text holds are tried; a keyword is looked for once, whatever rules share it. The gaps between a pattern's matches and the
-    matches themselves, added up, give the places.
+    The text's words say which rules can match; of these, those are tried whose keyword the text holds, a keyword that rules share
+    once. The gaps between a pattern's matches and the matches themselves, added up, give the places.
     """
-    by_keyword: dict[str, list[int]] = {}
+    by_keyword: dict[tuple[str, str], list[int]] = {}
     for i, r in enumerate(rules):
-        by_keyword.setdefault(f" {r.keyword}", []).append(i)
-    keywords, patterns = constant_array(list(by_keyword)), constant_array([f"(?<= )(?:{r.pattern})(?= )" for r in rules])
-    held = F.transform(constant_array([",".join(map(str, x)) for x in by_keyword.values()]), lambda x: F.split(x, ",").cast("array<int>"))
-    every = F.sequence(F.lit(0), F.lit(len(by_keyword) - 1))
+        if not r.spdx:
+            by_keyword.setdefault((f" {r.keyword}", "" if r.shape else r.gate), []).append(i)
+    by_gate: dict[str, list[int]] = {}
+    for k, (_, gate) in enumerate(by_keyword):
+        for word in gate.split("|"):
+            by_gate.setdefault(word, []).append(k)
+    numbers = lambda lists: F.transform(constant_array([",".join(map(str, x)) for x in lists]), lambda x: F.split(x, ",").cast("array<int>"))
+    keywords, patterns = constant_array([k for k, _ in by_keyword]), constant_array([f"(?<= )(?:{r.pattern})(?= )" for r in rules])
+    held, gates, behind = numbers(by_keyword.values()), constant_array(list(by_gate)), numbers(by_gate.values())
     empty = F.array().cast("array<struct<rule:int,start:int,end:int>>")
 
     def matches(t: Column, r: Column) -> Column:
@@ -394,38 +444,72 @@ def detections_of(norm: Column, rules: list[Rule]) -> Column:
         )
         return F.when(F.size(hits) == 0, empty).otherwise(F.aggregate(F.filter(both, lambda x: x["h"].isNotNull()), start, step)["out"])
 
-    return F.flatten(F.element_at(F.transform(F.array(norm), lambda t: F.transform(F.flatten(F.transform(F.filter(every, lambda k: F.contains(t, F.get(keywords, k))), lambda k: F.get(held, k))), lambda r: matches(t, r))), 1))
+    # words that are gates, then the keywords behind these (those of rules with a shape stand behind the empty word), then the rules
+    open_ = F.array_intersect(F.concat(words, F.array(F.lit(""))), gates)
+    tried = F.array_distinct(F.flatten(F.transform(open_, lambda w: F.get(behind, (F.array_position(gates, w) - 1).cast("int")))))
+    found = F.element_at(F.transform(F.array(norm), lambda t: F.transform(F.flatten(F.transform(F.filter(tried, lambda k: F.contains(t, F.get(keywords, k))), lambda k: F.get(held, k))), lambda r: matches(t, r))), 1)
+    tags = F.when(F.array_contains(words, "spdx"), spdx_detections(lower, rules)) if any(r.spdx for r in rules) else None
+    return F.flatten(F.concat(found, F.array(F.coalesce(tags, empty)))) if tags is not None else F.flatten(found)
+
+
+def spdx_detections(lower: Column, rules: list[Rule]) -> Column:
+    """The detections of the ids in SPDX expressions, in characters of the normalised text. lower: the text with A-Z lower-cased.
 
+    A piece of a text adds its words, each with a space, to the normalised one, so places are sums over pieces: what
+    stands before the expression, its lead, and each id and operator.
+    """
+    own = [(i, r) for i, r in enumerate(rules) if r.spdx]
+    numbers, patterns = constant_array([i for i, _ in own], "int"), constant_array([f"^(?:{r.pattern}) " for _, r in own])
+    size = lambda x: F.length(F.regexp_replace(F.concat(F.lit(" "), x, F.lit(" ")), GAP, " ")) - 1
+    empty = F.array().cast("array<struct<rule:int,start:int,end:int>>")
+    tags, between = F.regexp_extract_all(lower, F.lit(SPDX_LEAD + SPDX_EXPRESSION), F.lit(0)), F.split(lower, SPDX_LEAD + SPDX_EXPRESSION, -1)
+
+    def ids(tag: Column, at: Column) -> Column:
+        rest = F.regexp_replace(tag, "^" + SPDX_LEAD, "")
+        names, joints = F.split(rest, SPDX_JOINT, -1), F.regexp_extract_all(rest, F.lit(SPDX_JOINT), F.lit(0))
+        pieces = F.zip_with(names, joints, lambda n, j: F.struct(F.trim(F.regexp_replace(F.concat(F.lit(" "), n, F.lit(" ")), GAP, " ")).alias("name"), F.coalesce(size(j), F.lit(0)).alias("joint")))
+        which = lambda name: F.get(F.filter(F.sequence(F.lit(0), F.lit(len(own) - 1)), lambda k: F.regexp_like(F.concat(name, F.lit(" ")), F.get(patterns, k))), F.lit(0))
+        start = F.struct((at + size(F.regexp_extract(tag, "^" + SPDX_LEAD, 0))).alias("at"), empty.alias("out"))
+        step = lambda s, x: F.struct(
+            (s["at"] + F.length(x["name"]) + 1 + x["joint"]).alias("at"),
+            F.concat(s["out"], F.array(F.struct(F.get(numbers, which(x["name"])).alias("rule"), s["at"].alias("start"), (s["at"] + F.length(x["name"])).alias("end")))).alias("out"),
+        )
+        return F.filter(F.aggregate(pieces, start, step)["out"], lambda d: d["rule"].isNotNull())
 
-def any_keyword(text: Column, rules: list[Rule]) -> Column:
-    """Whether a text in lower case holds a gate of a rule and, if that has one, a shape, by the fewest strings that cover them all."""
+    both = F.zip_with(F.slice(between, 1, F.size(tags)), tags, lambda g, t: F.struct(size(g).alias("g"), size(t).alias("h"), t.alias("tag")))
+    start = F.struct(F.lit(1).alias("at"), empty.alias("out"))
+    step = lambda s, x: F.struct((s["at"] + x["g"] + x["h"]).alias("at"), F.concat(s["out"], ids(x["tag"], s["at"] + x["g"])).alias("out"))
+    return F.when(F.size(tags) > 0, F.aggregate(both, start, step)["out"]).otherwise(empty)
 
-    def holds(gates: set[str]) -> Column:
-        words = sorted(gates, key=lambda w: (len(w), w))
-        least = [w for i, w in enumerate(words) if not any(x in w for x in words[:i])]
-        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in least], F.lit(False))
 
-    shapes = sorted({r.shape for r in rules if r.shape})
-    plain = holds({r.gate for r in rules if not r.shape})
-    return plain | (holds({r.gate for r in rules if r.shape}) & F.rlike(text, F.lit("|".join(shapes)))) if shapes else plain
+def may_match(words: Column, lower: Column, rules: list[Rule]) -> Column:
+    """Whether a text, by its words and in lower case, has the gate of a rule and, if that has one, its shape."""
+    gates = sorted({w for r in rules if not r.shape for w in r.gate.split("|")})
+    plain = F.arrays_overlap(words, constant_array(gates))
+    parts = sorted({r.gate for r in rules if r.shape}, key=lambda w: (len(w), w))
+    if not parts:
+        return plain
+    least = [w for i, w in enumerate(parts) if not any(x in w for x in parts[:i])]
+    return plain | (reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in least]) & F.rlike(lower, F.lit("|".join(sorted({r.shape for r in rules if r.shape})))))
 
 
 def license_report(docs: DataFrame, rules: list[Rule] | None = None, base: tuple = BASE_PHRASES) -> DataFrame:
     """A row for each document: counts of words and base phrases, base labels, all labels, the best score, detections kept."""
     rules = build_rules() if rules is None else rules
     longest = widest([r.pattern for r in rules])  # a detection starts at most so many characters before one that it contains
-    text = text_of()
-    gate = any_keyword(F.lower(text), [*rules, *[Rule(label, phrase, "", 0, phrase.split()[-1]) for phrase, label in base]])
-    texts = docs.select(
-        "doc_id", F.monotonically_increasing_id().alias("_row"), F.when(gate, normalised(text)).alias("_norm"),
-        (F.size(F.split(F.concat(F.lit(" "), text, F.lit(" ")), ANY_GAP, -1)) - 2).cast("long").alias("n_words"),
+    gate = may_match(F.col("_words"), F.col("_lower"), [*rules, *[Rule(label, phrase, "", 0, phrase.split()[-1]) for phrase, label in base]])
+    split = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), lower_ascii(text_of()).alias("_lower")).withColumn("_words", F.split(F.concat(F.lit(" "), F.col("_lower"), F.lit(" ")), GAP, -1))
+    gated = split.withColumn("_gate", gate)
+    texts = gated.select(
+        "doc_id", "_row", (F.size("_words") - 2).cast("long").alias("n_words"), F.when(F.col("_gate"), F.col("_words")).alias("_words"), F.when(F.col("_gate"), F.col("_lower")).alias("_lower"),
+        F.when(F.col("_gate"), F.when(F.size("_words") > 2, F.array_join("_words", " ")).otherwise(F.lit(" "))).alias("_norm"),
     )
     labelled = lambda ws, p, label: F.transform(phrase_starts(ws, p), lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
     maybe = F.col("_norm").rlike("|".join(f" {p} " for p, _ in base) if base else "(?!)")
     none = F.array().cast("array<struct<at:int,label:string>>")
     words = F.when(maybe, F.split(F.trim("_norm"), " "))
     places = F.when(maybe, F.element_at(F.transform(F.array(words), lambda ws: F.concat(none, *[labelled(ws, p, label) for p, label in base])), 1))
-    found = F.when(F.col("_norm").isNotNull(), detections_of(F.col("_norm"), rules))
+    found = F.when(F.col("_norm").isNotNull(), detections_of(F.col("_norm"), F.col("_words"), F.col("_lower"), rules))
     scanned = texts.select(
         "_row", "doc_id", "n_words",
         places.alias("_places"), F.explode_outer(found).alias("_d"),
