@@ -5,8 +5,9 @@ graph an array of neighbour places, -1 where there is none. Levels are built fro
 searched for together in the graph of those before it, each is joined to neighbours that are nearer to it than to one another
 (what room is left goes to the nearest), and full neighbours choose again.
 
-Nearness is the inner product. Vectors get one more component, which makes all equally long, so that among them the
-largest product is the smallest distance, as the graph needs; in queries it is 0, which leaves their products as they are.
+Nearness is the inner product itself, between vectors as well. Where they differ in length the longer ones, which most answers
+are among, are everybody's neighbours; a graph of distances (with a component that makes all equally long) found 0.43 instead of 0.97 of the
+nearest of 8,000 vectors whose lengths differ by six times.
 """
 
 from __future__ import annotations
@@ -22,12 +23,10 @@ BUILD_WIDTH, UPPER_WIDTH = 96, 8
 BLOCK, AT_ONCE, CHOICES = 512, 4, 64
 
 
-def lengthened(vectors: np.ndarray) -> np.ndarray:
-    """The vectors, scaled to at most 1, with the component that makes all of length 1."""
-    square = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    top = square.max() if len(square) else 1.0
-    scaled = vectors / np.sqrt(top)
-    return np.column_stack([scaled, np.sqrt(np.maximum(0.0, 1.0 - square / top))]).astype(np.float32)
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors as short floats, the longest of length 1."""
+    top = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1).max(initial=0.0))
+    return (vectors / (top or 1.0)).astype(np.float32)
 
 
 def beam(points: np.ndarray, links: np.ndarray, wanted: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +94,8 @@ def join_back(points: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np
     """Makes the new points neighbours of those they chose; where these have no room left they choose again."""
     r, c = np.nonzero(chosen >= 0)
     to, of = chosen[r, c], new[r]
+    fresh = ~(links[to] == of[:, None]).any(axis=1)  # two new ones may have chosen each other
+    to, of = to[fresh], of[fresh]
     order = np.lexsort((-np.einsum("ij,ij->i", points[to], points[of]), to))
     to, of = to[order], of[order]
     who, begin, counts = np.unique(to, return_index=True, return_counts=True)
@@ -120,7 +121,7 @@ def join_back(points: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np
 
 @dataclass
 class Graph:
-    """points: lengthened vectors in the order of their levels; levels: a neighbour array for each level, the lowest first."""
+    """points: scaled vectors in the order of their levels; levels: a neighbour array for each level, the lowest first."""
 
     points: np.ndarray
     levels: list[np.ndarray]
@@ -134,8 +135,7 @@ class Graph:
 
     def search(self, vectors: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, products) of the `width` best found for each vector, best first."""
-        wanted = np.column_stack([vectors, np.zeros(len(vectors))]).astype(np.float32)
-        wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-30)  # a query's length changes no order
+        wanted = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)).astype(np.float32)  # a query's length changes no order
         out = [beam(self.points, self.levels[0], w, self.enter(w, 0), width) for w in np.split(wanted, range(BLOCK, len(wanted), BLOCK))]
         return np.vstack([x for x, _ in out]), np.vstack([x for _, x in out])
 
@@ -148,7 +148,7 @@ def heights(n: int, seed: int) -> np.ndarray:
 
 def build(vectors: np.ndarray, seed: int = 1) -> Graph:
     """The graph of vectors that stand in random order: the first of them make the upper levels."""
-    points, counts = lengthened(vectors), heights(len(vectors), seed)
+    points, counts = scaled(vectors), heights(len(vectors), seed)
     graph = Graph(points, [np.zeros((0, 0), np.int32)] * len(counts))
     for level in range(len(counts) - 1, -1, -1):
         n, room = int(counts[level]), M * (1 + (level == 0))

@@ -34,7 +34,7 @@ from .common import NO_ID, id_again, id_of
 #: Points of a shard, and vectors of a block, at most about.
 SHARD_ROWS, BLOCK_ROWS = 8192, 2048
 #: Points that a search of a shard keeps; more than are wanted.
-WIDTH = 96
+WIDTH = 128
 
 INDEX = "dim int, shard int, vectors binary, ids binary, offsets binary, sizes array<int>, links binary"
 
@@ -88,7 +88,7 @@ def stored(row: pd.Series) -> tuple[hnsw.Graph, np.ndarray, np.ndarray, np.ndarr
         room = hnsw.M * (1 + (level == 0))
         levels.append(links[at : at + n * room].reshape(n, room))
         at += n * room
-    return hnsw.Graph(hnsw.lengthened(v), levels), v, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["offsets"], np.int64)
+    return hnsw.Graph(hnsw.scaled(v), levels), v, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["offsets"], np.int64)
 
 
 def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
