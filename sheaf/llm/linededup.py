@@ -10,17 +10,22 @@ seeds depend on their own lines only. Two documents that share a block share all
 from the left those that end as soon as they can, from the right those that start as late as they can. A line
 has two seeds at most.
 
-Pairs: a seed pairs each later document that holds it with the first one that does. That is a row a seed, never
-the square of its holders, so a passage that a third of all documents share needs no cap; and every seed of every
-common block has a pair, so no block is lost, whichever documents share it.
+Pairs: a seed that at most `rare` documents hold pairs each later of these with the first one. That is a row a seed and
+holder, never the square of its holders.
 
-Alignment: within a pair the seeds on one diagonal (as far apart in both documents) join to blocks, and patience
-sorting takes the longest run of blocks that stand in one order in both; the others, which the diff crosses, are
-marked as moved. Both are common blocks of this pair and go; nothing is joined over different pairs.
+Alignment: a pair is aligned by patience diff. Seeds that stand once in both documents are anchors; patience sorting takes the
+longest run of them that stands in one order in both, and each gap between them is aligned by itself, its seeds counted
+anew; a gap without anchors is followed from its edges. Aligned seeds on one diagonal join to blocks, which the later document loses.
+
+Crossed and frequent blocks: what alignment leaves of a pair's seeds are blocks that the diff crosses (moved, or repeated within
+a document), and seeds that more than `rare` documents hold are not worth a pair. A second pass, `crossed`, deletes these
+as well, each because the first document that holds it is an earlier one; without it they stay. With it every seed of every
+common block goes, so no block is lost, whichever documents share it. The blocks say by which way they went.
 
 Null and empty texts have no lines and stay. Rows that repeat both id and text are one document: neither is
 later than the other, and both lose the same lines. Lines are compared without white space at their ends. Very long
-texts are handled line by line; a task holds the seeds of one document at a time.
+texts are handled line by line; a task holds the seeds of one document at a time. An empty table stays empty; other columns
+pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +42,9 @@ from pyspark.sql import functions as F
 
 from .common import id_of, text_of, whole_rows, with_row_key
 
-BLOCKS = "array<struct<start:int,lines:int,other_id:long,other_th:long,other_start:int,moved:boolean>>"
+BLOCKS = "array<struct<start:int,lines:int,other_id:long,other_th:long,other_start:int,moved:boolean,frequent:boolean>>"
+#: Documents that hold a rare line, at most.
+RARE = 100
 
 
 class Block(NamedTuple):
@@ -102,44 +109,109 @@ def longest_run(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(seeds: list[tuple[int, int, int]]) -> list[Block]:
-    """The common blocks of a pair. seeds: (start, lines, start in the other document)."""
+def joined(found: list[tuple[int, int, int]]) -> list[list[int]]:
+    """(start, lines, start in the other document), those on one diagonal that touch or overlap as one."""
     merged: list[list[int]] = []
-    for start, lines, other in sorted(set(seeds), key=lambda s: (s[2] - s[0], s[0], s[1])):
+    for start, lines, other in sorted(set(found), key=lambda s: (s[2] - s[0], s[0], s[1])):
         last = merged[-1] if merged else None
         if last and other - start == last[2] - last[0] and start <= last[0] + last[1]:
             last[1] = max(last[1], start + lines - last[0])
         else:
             merged.append([start, lines, other])
-    merged.sort(key=lambda b: (b[0], -b[2]))
-    in_order = set(longest_run([b[2] for b in merged]))
-    return [Block(*b, i not in in_order) for i, b in enumerate(merged)]
+    return merged
+
+
+def patience(seeds: list[tuple[int, list[int], list[int]]]) -> list[tuple[int, int, int]]:
+    """Seeds (lines, places, places in the other document) that stand in one order in both: (start, lines, other)."""
+    out: list[tuple[int, int, int]] = []
+    ends = lambda side: (min(min(x[side]) for x in seeds), max(x[0] + max(x[side]) for x in seeds))
+    todo = [(*ends(1), *ends(2), seeds)] if seeds else []
+    while todo:
+        low, high, other_low, other_high, mine = todo.pop()
+        inside = [(n, [x for x in a if low <= x <= high - n], [x for x in b if other_low <= x <= other_high - n]) for n, a, b in mine]
+        inside = [x for x in inside if x[1] and x[2]]
+        once = sorted({(a[0], b[0], -n) for n, a, b in inside if len(a) == len(b) == 1})
+        once = [x for i, x in enumerate(once) if not i or x[:2] != once[i - 1][:2]]
+        anchors: list[tuple[int, int, int]] = []
+        for start, other, minus in [once[i] for i in longest_run([b for _, b, _ in once])]:
+            last = anchors[-1] if anchors else (0, 0, 0)
+            if other - start == last[2] - last[0] or (start >= last[0] + last[1] and other >= last[2] + last[1]):
+                anchors.append((start, -minus, other))
+        out += anchors
+        rest = [x for x in inside if len(x[1]) > 1 or len(x[2]) > 1]
+        if rest and not anchors:  # what goes on from the gap's edges, on their diagonals
+            by_place = sorted(((x, n, b) for n, a, others in rest for b in [set(others)] for x in a), key=lambda p: p[:2])
+            new_low, new_high = low, high
+            for x, n, b in by_place:
+                if x <= new_low < x + n and x + other_low - low in b:
+                    out.append((x, n, x + other_low - low))
+                    new_low = x + n
+            for x, n, b in reversed(by_place):
+                if x >= new_low and x < new_high <= x + n and x + other_high - high in b and x + other_high - high >= other_low + new_low - low:
+                    out.append((x, n, x + other_high - high))
+                    new_high = x
+            if (new_low, new_high) != (low, high):
+                todo.append((new_low, new_high, other_low + new_low - low, other_high + new_high - high, rest))
+        elif anchors and rest:
+            starts, others = [x[0] for x in anchors], [x[2] for x in anchors]
+            gaps: dict[int, list[tuple[int, list[int], list[int]]]] = {}
+            for n, a, b in rest:
+                by_gap: dict[int, tuple[list[int], list[int]]] = {}
+                for side, places, marks in ((0, a, starts), (1, b, others)):
+                    for x in places:
+                        by_gap.setdefault(bisect_left(marks, x), ([], []))[side].append(x)
+                for gap, (x, y) in by_gap.items():
+                    if x and y:
+                        gaps.setdefault(gap, []).append((n, x, y))
+            for gap, found in gaps.items():
+                before = anchors[gap - 1] if gap else (low, 0, other_low)
+                after = anchors[gap] if gap < len(anchors) else (high, 0, other_high)
+                todo.append((before[0] + before[1], after[0], before[2] + before[1], after[2], found))
+    return out
 
 
-def shared_blocks(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """(_id, _th, blocks): for each document that shares blocks with earlier ones all of these, pair by pair."""
+def align(seeds: list[tuple[int, int, int]]) -> list[Block]:
+    """The common blocks of a pair whose seeds (start, lines, start in the other document) stand once in both."""
+    return aligned_blocks([(n, [a], [b]) for a, n, b in sorted(set(seeds))])
+
+
+def aligned_blocks(seeds: list[tuple[int, list[int], list[int]]]) -> list[Block]:
+    """The common blocks of a pair: those aligned, and as moved what is left of the seeds."""
+    straight = joined(patience(seeds))
+    covered = {i for start, lines, _ in straight for i in range(start, start + lines)}
+    left = joined([(a, n, places[0]) for n, starts, places in seeds for a in starts if not covered.issuperset(range(a, a + n))])
+    return sorted([Block(*b, False) for b in straight] + [Block(*b, True) for b in left], key=lambda b: (b.start, -b.other_start))
+
+
+def shared_blocks(docs: DataFrame, min_words: int = 8, rare: int = RARE) -> DataFrame:
+    """(_id, _th, blocks): for each document that shares blocks with earlier ones all of these, pair by pair, then the frequent ones."""
     seeds = seed_rows(docs, min_words)
     order = F.struct(F.col("_id").alias("i"), F.col("_th").alias("t"))
-    first = F.min(F.struct(F.col("_id").alias("i"), F.col("_th").alias("t"), F.col("at")[0].alias("at")))
-    firsts = seeds.groupBy("key").agg(first.alias("_first"), F.max(order).alias("_last")).where("_first.i <> _last.i or _first.t <> _last.t").select("key", "_first")
+    first = F.min(F.struct(F.col("_id").alias("i"), F.col("_th").alias("t"), F.col("at")))
+    firsts = seeds.groupBy("key").agg(first.alias("_first"), F.max(order).alias("_last"), F.count(F.lit(1)).alias("_holders")).where("_first.i <> _last.i or _first.t <> _last.t")
+    frequent = F.col("_holders") > rare
+    firsts = firsts.select("key", "_first.i", "_first.t", F.when(frequent, F.slice("_first.at", 1, 1)).otherwise(F.col("_first.at")).alias("other_at"), frequent.alias("frequent"))
     again = lambda df: df.withColumn("_k", F.substring("key", 1, 4))  # noqa: E731  both sides are dealt again, so a frequent seed can be split
-    pairs = again(seeds).join(again(firsts), ["key", "_k"]).where("_id <> _first.i or _th <> _first.t")
-    one = F.transform("at", lambda a: F.struct("_first", "lines", a.alias("start")))
-    held = pairs.groupBy("_id", "_th").agg(F.flatten(F.collect_list(one)).alias("_s"))
-    parts = {"other": lambda s: s["_first"]["i"], "other_th": lambda s: s["_first"]["t"], "other_start": lambda s: s["_first"]["at"], "lines": lambda s: s["lines"], "start": lambda s: s["start"]}
-    flat = held.select("_id", "_th", *[F.transform("_s", f).alias(name) for name, f in parts.items()])
+    pairs = again(seeds).join(again(firsts), ["key", "_k"]).where("_id <> i or _th <> t")
+    held = pairs.groupBy("_id", "_th").agg(F.collect_list(F.struct("i", "t", "frequent", "lines", "at", "other_at")).alias("_s"))
+    parts = ("i", "t", "frequent", "lines", "at", "other_at")
+    flat = held.select("_id", "_th", *[F.col(f"_s.{name}").alias(name) for name in parts])
 
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf[[*parts]].itertuples(index=False):
-                by_pair: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-                for other, th, at, lines, start in zip(*(x.tolist() for x in row), strict=True):
-                    by_pair.setdefault((other, th), []).append((start, lines, at))
-                out.append([{"start": b.start, "lines": b.lines, "other_id": o, "other_th": t, "other_start": b.other_start, "moved": b.moved} for (o, t), s in sorted(by_pair.items()) for b in align(s)])
+                by_pair: dict[tuple[bool, int, int], list[tuple[int, list[int], list[int]]]] = {}
+                for i, t, often, lines, at, other in zip(*row, strict=True):
+                    by_pair.setdefault((bool(often), int(i), int(t)), []).append((int(lines), at.tolist(), other.tolist()))
+                blocks = []
+                for (often, i, t), mine in sorted(by_pair.items()):
+                    these = [Block(*b, True) for b in joined([(a, n, o[0]) for n, s, o in mine for a in s])] if often else aligned_blocks(mine)
+                    blocks += [{"start": b.start, "lines": b.lines, "other_id": i, "other_th": t, "other_start": b.other_start, "moved": b.moved, "frequent": often} for b in these]
+                out.append(blocks)
             yield pd.DataFrame({"_id": pdf["_id"], "_th": pdf["_th"], "blocks": out})
 
-    return flat.mapInPandas(aligned, f"_id long, _th long, blocks {BLOCKS}")
+    return flat.mapInPandas(found, f"_id long, _th long, blocks {BLOCKS}")
 
 
 def without_blocks(text: str, blocks: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -166,13 +238,16 @@ def cut():
     return cut_blocks
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = RARE, crossed: bool = True) -> DataFrame:
     """_doc with docs' columns, the text cut and n_chars (if there is one) counted anew; _lines, _words: how many were deleted; _blocks (null: none).
 
+    crossed: whether blocks go that no alignment has in order, and frequent ones.
+
     A text that loses nothing is as it was, null included.
     """
     keyed = whole_rows(docs).withColumns({"_id": id_of("_doc.doc_id"), "_th": F.xxhash64(text_of("_doc.text"))})
-    found = shared_blocks(docs, min_words).select(F.col("_id").alias("_aid"), F.col("_th").alias("_ath"), F.col("blocks").alias("_blocks"))
+    going = F.col("blocks") if crossed else F.filter("blocks", lambda b: ~b["moved"])
+    found = shared_blocks(docs, min_words, rare).select(F.col("_id").alias("_aid"), F.col("_th").alias("_ath"), going.alias("_blocks")).where(F.size("_blocks") > 0)
     joined = keyed.join(found, (F.col("_id") == F.col("_aid")) & (F.col("_th") == F.col("_ath")), "left")
     after = cut()(text_of("_doc.text"), F.transform("_blocks", lambda b: b["start"]), F.transform("_blocks", lambda b: b["lines"]))
     done = joined.withColumn("_cut", F.when(F.col("_blocks").isNotNull(), after))

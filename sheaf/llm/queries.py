@@ -27,7 +27,11 @@ def op3(docs: DataFrame) -> DataFrame:
 def op7(docs: DataFrame) -> DataFrame:
     left = text_of("_doc.text")
     cut = linededup.dedup_lines(docs.select("doc_id", "text"))
-    return cut.select("_doc.doc_id", F.col("_lines").alias("lines_deleted"), F.col("_words").alias("words_deleted"), F.length(left).cast("long").alias("chars_left"), F.sha2(left.cast("binary"), 256).alias("text_sha256"))
+    how = lambda which: F.coalesce(F.size(F.filter("_blocks", which)), F.lit(0)).cast("long")
+    return cut.select(
+        "_doc.doc_id", F.col("_lines").alias("lines_deleted"), F.col("_words").alias("words_deleted"), F.length(left).cast("long").alias("chars_left"), F.sha2(left.cast("binary"), 256).alias("text_sha256"),
+        how(lambda b: ~b["moved"]).alias("blocks_aligned"), how(lambda b: b["moved"] & ~b["frequent"]).alias("blocks_crossed"), how(lambda b: b["frequent"]).alias("blocks_frequent"),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
