@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import terms
+from ..functions.text import let, terms
 from ..sources.scratch import written
 from .chunking import smart_chunks
 
@@ -24,13 +24,24 @@ def small(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
+def counted(content: Column) -> Column:
+    """array<struct<term, tf>> of a text, sorted by term: its tokens are sorted in the row, and runs of equal ones measured."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(s))), lambda x, y: F.struct(F.get(s, x).alias("term"), (y - x).cast("long").alias("tf"))))
+
+    counts = let(F.sort_array(terms(content)), lambda s: F.when(F.size(s) > 0, runs(s)))
+    return F.coalesce(F.filter(counts, lambda x: x["term"].isNotNull()), F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(terms(F.col("content"))).cast("long").alias("dl"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf."""
-    return chunks.select("chunk_id", F.explode(terms(F.col("content"))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """chunk_id, term, tf, counted in the chunk's row, so that nothing is shuffled."""
+    return chunks.select("chunk_id", F.inline(counted(F.col("content"))))
 
 
 def corpus_size(chunks: DataFrame) -> DataFrame:
@@ -72,14 +83,15 @@ def matches(chunks: DataFrame, queries: DataFrame, carried: tuple[str, ...] = ()
     """chunk_id, dl, the carried columns, term, tf: the questions' terms in each chunk, and a row with the term '' for each chunk.
 
     One scan serves all that search needs (which chunks there are, their lengths, df, tf), so it is written once and
-    read from there. Only terms of a question leave the scan; a frequent term is one row a chunk.
+    read from there. Terms are counted in the chunk's row; only those of a question leave the scan, a frequent one as a row a chunk.
     """
     wanted = query_terms(queries).select("term").distinct()
-    tokens = chunks.select("chunk_id", *carried, terms(F.col("content")).alias("_t"))
-    rows = tokens.select("chunk_id", *carried, F.size("_t").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
-    every = wanted.union(chunks.sparkSession.range(1).select(F.lit("").alias("term")))
-    hits = rows.join(small(every, wanted.count()), "term", "left_semi")
-    return written(hits.groupBy("chunk_id", "dl", *carried, "term").agg(F.count(F.lit(1)).alias("tf")), "matches")
+    counts = chunks.select("chunk_id", *carried, counted(F.col("content")).alias("_c"))
+    dl = F.aggregate("_c", F.lit(0).cast("long"), lambda s, x: s + x["tf"]).alias("dl")
+    every = F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf"))
+    rows = counts.select("chunk_id", dl, *carried, F.inline(F.concat(F.array(every), "_c")))
+    also = wanted.union(chunks.sparkSession.range(1).select(F.lit("").alias("term")))
+    return written(rows.join(small(also, wanted.count()), "term", "left_semi").select("chunk_id", "dl", *carried, "term", "tf"), "matches")
 
 
 def ranked(found: DataFrame, queries: DataFrame, k: int = 10, rows: int = 200_000) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..sources.scratch import written
-from . import bm25, vectors
+from . import bm25, index, vectors
 from .chunking import smart_chunks
 
 
@@ -96,21 +96,25 @@ def prompt(query: Column, context: Column) -> Column:
     return F.concat(F.lit("Answer from the context only.\n\nContext:\n"), context, F.lit("\n\nQuestion: "), query, F.lit("\nAnswer:"))
 
 
-def search(chunks: DataFrame, vecs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, method: str = "hybrid", cut: Callable[[DataFrame], DataFrame] = smart_chunks) -> DataFrame:
+def search(chunks: DataFrame | index.Index, vecs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, method: str = "hybrid", cut: Callable[[DataFrame], DataFrame] = smart_chunks) -> DataFrame:
     """query_id, rank, id, document_id, scores, label, content, file_name, agency: the search of all questions, by both sides or by one.
 
     A vector belongs to a document; it stands for the document's first chunk. best_vector and best_keyword are the
     question's best scores in a search by vectors alone (1 / (1 + distance)) and by keywords alone (BM25 / 10).
     The two sides' scans are written when this is called: one over the chunks, one over the vectors. `cut` made the chunks of
-    the corpus.
+    the corpus; instead of them it can be their stored index, with section_index and chunk_index carried, which is read only where it has the
+    questions' terms.
     """
-    held = bm25.matches(chunks, queries, ("document_id", "section_index", "chunk_index"))
     near = written(vectors.knn(vecs, queries, 2 * k), "neighbours")
-    ids = held.where("term = ''").select("chunk_id", "document_id", "section_index", "chunk_index")
+    if isinstance(chunks, index.Index):
+        ids, by_terms = index.chunk_rows(chunks, ("document_id", "section_index", "chunk_index")), index.search(chunks, queries, 2 * k)
+    else:
+        held = bm25.matches(chunks, queries, ("document_id", "section_index", "chunk_index"))
+        ids, by_terms = held.where("term = ''").select("chunk_id", "document_id", "section_index", "chunk_index"), bm25.ranked(held, queries, 2 * k)
     first = ids.where("section_index = 0 and chunk_index = 0").select(F.col("document_id").alias("vid"), "chunk_id")
     n = queries.count()
     v = first.join(bm25.small(near, 2 * k * n), F.col("id") == F.col("vid")).select("query_id", F.col("chunk_id").alias("id"), "distance", "rank")
-    w = bm25.ranked(held, queries, 2 * k).select("query_id", F.col("chunk_id").alias("id"), "bm25", "rank")
+    w = written(by_terms, "keywords").select("query_id", F.col("chunk_id").alias("id"), "bm25", "rank")
     _, score = vectors.score_of(F.col("distance"))
     best = near.where("rank = 1").select("query_id", score.alias("best_vector")).join(w.where("rank = 1").select("query_id", F.least(F.col("bm25") / 10, F.lit(1.0)).alias("best_keyword")), "query_id", "full")
     if method == "hybrid":
@@ -149,7 +153,7 @@ def answers(queries: DataFrame, results: DataFrame, method: str = "hybrid") -> D
     )
 
 
-def search_and_answer(chunks: DataFrame, vecs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
+def search_and_answer(chunks: DataFrame | index.Index, vecs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """The answers of all questions. With a column search_method each question is asked by its own (an unknown one or null: hybrid)."""
     def by(asked: DataFrame, method: str) -> DataFrame:
         found = written(search(chunks, vecs, asked, corpus, k, method), "results")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.scratch import written
+
 
 def distance(a: Column, b: Column, metric: str = "l2sq") -> Column:
     def total(pairs: Column) -> Column:
@@ -34,6 +38,10 @@ def check_dimension(vectors: DataFrame, dimension: int | None = None) -> int:
     return low
 
 
+#: Questions of a block, whose vectors travel as one row; blocks that one task meets at most; questions that are few enough to go with the tasks.
+BLOCK, BLOCKS_AT_ONCE, FEW = 4096, 16, 1024
+
+
 def dealt(vectors: DataFrame, queries: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with _part: vectors in parts of about so many rows, the questions in every part."""
     parts = max(1, -(-vectors.count() // rows))
@@ -41,20 +49,69 @@ def dealt(vectors: DataFrame, queries: DataFrame, rows: int) -> tuple[DataFrame,
     return vectors.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), every
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2sq", where: dict | None = None, rows: int = 20_000) -> DataFrame:
-    """query_id, id, distance, rank of the k nearest vectors, ties by id; `where` filters the vectors first.
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2sq", where: dict | None = None, rows: int = 20_000, few: int = FEW) -> DataFrame:
+    """query_id, id, distance, rank of the k nearest vectors, ties by id; `where` filters the vectors first: a column, or column.key of a map, and its value.
 
-    Vectors are dealt to parts of about `rows`; each meets all questions in a task of its own, as matrix products of a
-    block of questions, and keeps k for each. The final k are ranked per question. Nothing passes through the driver.
-    Questions without a vector find nothing.
+    Up to `few` questions, counted first, go with the tasks: the vectors are not shuffled, and each task keeps k for each question
+    while its vectors pass. More are dealt in blocks of BLOCK, each one row; the vectors are dealt to parts of about `rows`, and a part
+    meets BLOCKS_AT_ONCE blocks in a task. The best of the parts are cut in two levels. Questions without a vector find nothing.
     """
     for column, value in (where or {}).items():
-        vectors = vectors.where(F.col(column) == value)
+        name, _, key = column.partition(".")
+        vectors = vectors.where((F.col(name) if not key else F.try_element_at(F.col(name), F.lit(key))) == value)
     kind = queries.schema["query_id"].dataType.simpleString()
-    left, right = dealt(vectors.select("id", "embedding"), queries, rows)
-    found = left.groupBy("_part").cogroup(right.groupBy("_part")).applyInPandas(nearest(k, metric), f"query_id {kind}, id string, distance double")
+    asked = queries.where("qvec is not null").select("query_id", "qvec")
+    some = asked.limit(few + 1).toPandas()  # few + 1 rows at most
+    if len(some) <= few:
+        found = vectors.select("id", "embedding").mapInPandas(passing(some, k, metric), f"query_id {kind}, id string, distance double, _part int")
+    else:
+        blocks, parts = -(-asked.count() // BLOCK), max(1, -(-vectors.count() // rows))
+        groups = -(-blocks // BLOCKS_AT_ONCE)
+        block = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("_b").agg(F.collect_list(F.struct("query_id", "qvec")).alias("_block"))
+        right = block.select("_block", (F.col("_b") % groups).alias("_group"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+        left = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"))
+        found = left.groupBy("_part", "_group").cogroup(right.groupBy("_part", "_group")).applyInPandas(meeting(k, metric), f"query_id {kind}, id string, distance double, _part int")
+        if parts > 64:
+            level = W.partitionBy("query_id", F.floor(F.col("_part") / math.isqrt(parts))).orderBy("distance", "id")
+            found = found.withColumn("_rank", F.row_number().over(level)).where(F.col("_rank") <= k)
     order = W.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select("query_id", "id", "distance").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def best_of(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    both = pd.concat(found).sort_values(["query_id", "distance", "id"], kind="stable")
+    return both.groupby("query_id", sort=False).head(k)
+
+
+def passing(queries: pd.DataFrame, k: int, metric: str, at_once: int = 20_000) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Meets vectors as they pass with the same questions, and gives the k best of each of a task."""
+    near = nearest(k, metric)
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        waiting: list[pd.DataFrame] = []
+        for pdf in batches:
+            waiting.append(pdf)
+            if sum(map(len, waiting)) >= at_once:
+                held, waiting = [best_of([*held, near(pd.concat(waiting), queries)], k)], []
+        if waiting:
+            held = [best_of([*held, near(pd.concat(waiting), queries)], k)]
+        for out in held:
+            yield out.assign(_part=0)
+
+    return go
+
+
+def meeting(k: int, metric: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best of a part for each question of its blocks."""
+    near = nearest(k, metric)
+
+    def meet(vectors: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        out = [near(vectors, pd.DataFrame(list(block))) for block in blocks["_block"]]
+        out = pd.concat(out) if out else near(vectors.iloc[:0], vectors.iloc[:0])
+        return out.assign(_part=vectors["_part"].iloc[0] if len(vectors) else 0)
+
+    return meet
 
 
 def nearest(k: int, metric: str, block: int = 64) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -78,8 +135,11 @@ def nearest(k: int, metric: str, block: int = 64) -> Callable[[pd.DataFrame, pd.
                 for query_id, row in zip(ids, d, strict=True):
                     at = np.arange(len(row)) if len(row) <= k else np.nonzero(row <= np.partition(row, k - 1)[k - 1])[0]
                     at = at[np.argsort(row[at], kind="stable")[:k]]
-                    out.append(pd.DataFrame({"query_id": [query_id] * len(at), "id": names[at], "distance": row[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"id": str})
+                    out.append((query_id, names[at], row[at]))
+        if not out:
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"id": str})
+        counts = [len(x) for _, x, _ in out]
+        return pd.DataFrame({"query_id": [q for (q, _, _), n in zip(out, counts, strict=True) for _ in range(n)], "id": np.concatenate([x for _, x, _ in out]), "distance": np.concatenate([x for _, _, x in out])})
 
     return near
 
@@ -118,6 +178,143 @@ def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, width: float =
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
+def recall(vectors: DataFrame, queries: DataFrame, found: DataFrame, k: int = 10, metric: str = "l2sq") -> DataFrame:
+    """One row, n_questions and recall: how much of the k nearest `found` has (ties count), by an exact search."""
+    last = knn(vectors, queries, k, metric).groupBy("query_id").agg(F.max("distance").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    hits = found.join(last, "query_id").where("distance <= _last").groupBy("query_id").agg(F.least(F.count(F.lit(1)), F.max("_n")).alias("_hits"))
+    return last.join(hits, "query_id", "left").agg(F.count(F.lit(1)).alias("n_questions"), (F.sum(F.coalesce("_hits", F.lit(0))) / F.sum("_n")).alias("recall"))
+
+
+#: Vectors that the cells are fitted on, cells, and folders of near cells, at most.
+SAMPLE, CELLS, FOLDERS = 32_768, 1024, 64
+
+
+@dataclass
+class Cells:
+    """A coarse quantiser: the middles of cells, numbered along the direction in which they differ most, the stored vectors (folder, cell, id, embedding), and how many stand in each cell."""
+
+    middles: np.ndarray
+    stored: DataFrame
+    sizes: DataFrame
+
+
+def fit_middles(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """The middles of k-means cells, fitted on `sample` vectors at most, taken by a hash of their ids; an empty cell keeps its middle."""
+    rows = vectors.where("embedding is not null").select("id", "embedding").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).toPandas()
+    if not len(rows):
+        return np.zeros((0, 0))
+    v = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    middles = np.unique(v[: 4 * cells], axis=0)
+    middles = middles[np.random.default_rng(seed).permutation(len(middles))[:cells]]
+    for _ in range(rounds):
+        at = closest(v, middles, 1)[:, 0]
+        sums, n = np.zeros_like(middles), np.bincount(at, minlength=len(middles))
+        np.add.at(sums, at, v)
+        middles[n > 0] = sums[n > 0] / n[n > 0, None]
+    spread = middles - middles.mean(axis=0)
+    return middles[np.argsort(spread @ np.linalg.svd(spread, full_matrices=False)[2][0], kind="stable")]
+
+
+def closest(v: np.ndarray, middles: np.ndarray, n: int) -> np.ndarray:
+    """The numbers of the n nearest middles of each vector, nearest first."""
+    out = np.empty((len(v), min(n, len(middles))), np.int32)
+    for lo in range(0, len(v), 4096):
+        d = (middles**2).sum(axis=1) - 2 * v[lo : lo + 4096] @ middles.T
+        out[lo : lo + 4096] = np.argsort(d, axis=1, kind="stable")[:, :n]
+    return out
+
+
+def build_cells(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE) -> Cells:
+    """Every vector in the cell of its nearest middle, stored in folders of near cells and sorted by cell, so that a search reads only the folders of the cells it probes.
+
+    By default there are four times as many cells as the root of the number of vectors, CELLS at most.
+    """
+    held = vectors.where("embedding is not null").select("id", "embedding")
+    middles = fit_middles(held, min(CELLS, max(1, cells or 4 * math.isqrt(held.count()))), sample)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                cell = closest(np.stack(pdf["embedding"].to_numpy()).astype(np.float64), middles, 1)[:, 0]
+                yield pdf.assign(cell=cell, folder=folder_of(cell, len(middles)))
+
+    placed = held.mapInPandas(assign, f"id string, embedding {held.schema['embedding'].dataType.simpleString()}, cell int, folder int")
+    dealt_out = placed.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("folder", "cell")  # a cell of copies too is several tasks' work
+    stored = written(dealt_out, "cells", "folder")
+    return Cells(middles, stored, stored.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+
+
+def folder_of(cell: np.ndarray, cells: int) -> np.ndarray:
+    return (cell.astype(np.int64) * min(FOLDERS, cells) // cells).astype(np.int32)
+
+
+def knn_cells(index: Cells, queries: DataFrame, k: int = 10, probes: int = 8, metric: str = "l2sq", rows: int = 20_000, few: int = FEW) -> DataFrame:
+    """query_id, id, distance, rank: of the vectors in the `probes` cells nearest to each question the k nearest, by exact distances.
+
+    Few questions go with the tasks that read the cells' folders, and nothing is shuffled before the best are ranked. More meet the
+    cells in blocks, as in knn; a cell is then read in parts of about `rows`, so one that holds a third of all vectors is many tasks.
+    """
+    kind = queries.schema["query_id"].dataType.simpleString()
+    middles = index.middles
+    order = W.partitionBy("query_id").orderBy("distance", "id")
+    some = queries.where("qvec is not null").select("query_id", "qvec").limit(few + 1).toPandas()  # few + 1 rows at most
+    if len(some) <= few and len(middles):
+        near = closest(np.stack(some["qvec"].to_numpy()).astype(np.float64), middles, probes) if len(some) else np.zeros((0, 1), np.int32)
+        cells = np.unique(near)
+        read = index.stored.where(F.col("folder").isin(np.unique(folder_of(cells, len(middles))).tolist()) & F.col("cell").isin(cells.tolist()))
+        found = read.select("cell", "id", "embedding").mapInPandas(probing(some, near, k, metric), f"query_id {kind}, id string, distance double")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) and len(middles):
+                near = closest(np.stack(pdf["qvec"].to_numpy()).astype(np.float64), middles, probes)
+                yield pdf.assign(cell=list(near)).explode("cell").astype({"cell": "int32"})
+
+    asked = queries.where("qvec is not null").select("query_id", "qvec")
+    pairs = asked.mapInPandas(probed, f"query_id {kind}, qvec {asked.schema['qvec'].dataType.simpleString()}, cell int")
+    parts = F.broadcast(index.sizes.select("cell", F.ceil(F.col("n") / rows).cast("int").alias("_parts")))  # a row for each of CELLS cells at most
+    spread = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // BLOCK)))).cast("int")
+    block = pairs.join(parts, "cell").select("cell", spread.alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "query_id", "qvec")
+    right = block.groupBy("cell", "_part", "_b").agg(F.collect_list(F.struct("query_id", "qvec")).alias("_block"))
+    met = written(right, "probes")
+    wanted = met.select("cell", F.col("_b").alias("_wb")).distinct()  # cells and blocks, no rows
+    left = index.stored.join(F.broadcast(wanted), "cell").join(parts, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("_part"), F.col("_wb").alias("_b"), "id", "embedding")
+    key = ["cell", "_part", "_b"]
+    found = left.groupBy(key).cogroup(met.groupBy(key)).applyInPandas(meeting(k, metric), f"query_id {kind}, id string, distance double, _part int")
+    return found.select("query_id", "id", "distance").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def probing(queries: pd.DataFrame, cells: np.ndarray, k: int, metric: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Meets the vectors of each cell, as they pass, with the questions that probe it, and gives the k best of each of a task. cells: a row for each question."""
+    near = nearest(k, metric)
+    asks = {c: queries.iloc[(cells == c).any(axis=1)] for c in np.unique(cells).tolist()}
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            found = [near(mine, asks[c]) for c, mine in pdf.groupby("cell") if c in asks]
+            held = [best_of([*held, *found], k)] if found else held
+        yield from held
+
+    return go
+
+
+def probed_share(index: Cells, queries: DataFrame, probes: int) -> float:
+    """The share of all pairs of a question and a vector that knn_cells compares."""
+    middles = index.middles
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) and len(middles):
+                yield pd.DataFrame({"cell": closest(np.stack(pdf["qvec"].to_numpy()).astype(np.float64), middles, probes).ravel()})
+
+    asked = queries.where("qvec is not null").select("qvec")
+    met = asked.mapInPandas(cells, "cell int").groupBy("cell").agg(F.count(F.lit(1)).alias("q")).join(index.sizes, "cell").agg(F.sum(F.col("q") * F.col("n"))).first()[0]
+    total = index.stored.count() * asked.count()
+    return float(met or 0) / total if total else 0.0
+
+
 def embed(rows: DataFrame, text: str = "content", embedder: Callable | None = None, dimension: int = 256) -> DataFrame:
     """Adds embedding: hashed tf-idf of unit length, or what `embedder` (a Series of texts to a list of vectors) makes of each batch."""
     if embedder is not None:
@@ -137,6 +334,16 @@ def embed(rows: DataFrame, text: str = "content", embedder: Callable | None = No
     return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_terms", "_tf", "_idf", "_unit")
 
 
+def letter_profile(rows: DataFrame, text: str = "content", dimension: int = 64) -> DataFrame:
+    """Adds embedding: how often each character stands in the text, hashed, of unit length. Texts of one language and kind stand in groups."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    counted = HashingTF(inputCol="_letters", outputCol="_tf", numFeatures=dimension).transform(rows.withColumn("_letters", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "")))
+    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)
+    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_letters", "_tf", "_unit")
+
+
 def collection_stats(chunks: DataFrame, corpus: DataFrame) -> DataFrame:
     """Rows and distinct files of the vector table."""
     named = chunks.join(corpus.select("document_id", "file_name"), "document_id")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bm25, chunking, enhance, fusion, vectors
-from ..sources.scratch import written
+from ..operators import bm25, chunking, enhance, fusion, index, vectors
+from ..sources.scratch import kept, written
 from ..sources.tables import corpus, questions, table, turns
 from ..sources.tables import vectors as vector_table
 from .base import Query, quoted, search_again, sql
@@ -28,6 +28,15 @@ def chunks_of(spark, d):
     return chunking.smart_chunks(corpus(spark, d))
 
 
+#: What the index keeps of a chunk besides its terms.
+CARRIED = ("document_id", "section_index", "chunk_index")
+
+
+def index_of(spark, d):
+    """The stored index of the documents' chunks, built once for a session and a state of the table."""
+    return kept(spark, f"{d}/documents.parquet", "index", lambda: index.build(chunks_of(spark, d), CARRIED))
+
+
 # --- vectors
 
 
@@ -82,6 +91,35 @@ def e9(spark, d):
     return vectors.knn_lsh(vector_table(spark, d), questions(spark, d), 10)
 
 
+def profiles(spark, d):
+    """The documents' letter profiles (id, embedding), which stand in groups, and the questions' (query_id, qvec)."""
+    asked = vectors.letter_profile(questions(spark, d), "query").select("query_id", F.col("embedding").alias("qvec"))
+    docs = vectors.letter_profile(corpus(spark, d).select("document_id", "content"))
+    return written(docs.select(F.col("document_id").alias("id"), "embedding"), "vectors"), written(asked, "asked")
+
+
+#: Cells that a question looks into, of 100.
+PROBED = 12
+
+
+@query("e9_knn_cells")
+def e9_cells(spark, d):
+    docs, asked = profiles(spark, d)
+    cells = vectors.build_cells(docs)
+    return vectors.knn_cells(cells, asked, 10, -(-len(cells.middles) * PROBED // 100))
+
+
+@query("e9_cells_recall", "select count(*) n_questions, true recall_ok, true share_ok, (select count(*) from documents) n_indexed from benchmark")
+def e9_recall(spark, d):
+    docs, asked = profiles(spark, d)
+    cells = vectors.build_cells(docs)
+    probes = -(-len(cells.middles) * PROBED // 100)
+    measured = vectors.recall(docs, asked, vectors.knn_cells(cells, asked, 10, probes), 10)
+    indexed = cells.sizes.agg(F.sum("n").alias("n_indexed"))
+    share = vectors.probed_share(cells, asked, probes)
+    return measured.crossJoin(indexed).select("n_questions", (F.col("recall") >= 0.9).alias("recall_ok"), F.lit(share <= 0.25).alias("share_ok"), "n_indexed")  # one row each
+
+
 # --- keywords
 
 
@@ -102,12 +140,28 @@ def f3(spark, d):
 
 @query("f4_bm25", sql("select query_id, chunk_id, bm25, rank from kw where rank <= 10", "kw"))
 def f4(spark, d):
+    return index.search(index_of(spark, d), questions(spark, d), 10)
+
+
+@query("f4_bm25_scan", sql("select query_id, chunk_id, bm25, rank from kw where rank <= 10", "kw"))
+def f4_scan(spark, d):
     return bm25.search(chunks_of(spark, d), questions(spark, d), 10)
 
 
+#: Questions of one word, the last of each, which few chunks hold.
+_LAST = search_again("select query_id, regexp_extract(query, '(\\S+)\\s*$', 1) query, qvec from questions", "1")
+_PADDED = "select q.query_id, n.chunk_id, coalesce(s.bm25, 0.0) bm25 from questions1 q cross join named n left join scored1 s on s.query_id = q.query_id and s.chunk_id = n.chunk_id"
+
+
+@query("f4_zero_padded", sql("select query_id, chunk_id, bm25, rank from (select *, row_number() over (partition by query_id order by bm25 desc, chunk_id) rank from padded) where rank <= 20", "questions", "postings", "idf", "lens", "size", "named", **{k: _LAST[k] for k in ("questions1", "qterms1", "scored1")}, padded=_PADDED))
+def f4_padded(spark, d):
+    asked = questions(spark, d).withColumn("query", F.regexp_extract("query", r"(\S+)\s*$", 1))
+    return index.search(index_of(spark, d), asked, 20, pad_zero=True)
+
+
 @query("f5_keyword_search", sql("select query_id, rank, chunk_id id, document_id, bm25, round(least(bm25 / 10, 1.0), 6) keyword_score, md5(content) content_md5 from kw join named using (chunk_id) where rank <= 10", "kw", "named"))
 def f5(spark, d):
-    rows = bm25.keyword_search(chunks_of(spark, d), questions(spark, d), corpus(spark, d), 10)
+    rows = index.keyword_search(index_of(spark, d), questions(spark, d), corpus(spark, d), 10)
     return rows.withColumns({"content_md5": F.md5("content"), "keyword_score": F.round("keyword_score", 6)}).drop("content")
 
 
@@ -122,6 +176,26 @@ def f6(spark, d):
 
 @query("f7_refresh", sql("select term, df, round(idf, 6) idf, round(avgdl, 6) avgdl from idf, size", "idf", "size"))
 def f7(spark, d):
+    found = index_in_two_batches(spark, d)
+    return index.idf(found).crossJoin(F.broadcast(index.sizes(found).select("avgdl"))).select("term", "df", F.round("idf", 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"))  # one row
+
+
+def index_in_two_batches(spark, d):
+    """First the labelled documents; then all others, and chunks that come again."""
+    chunks = chunks_of(spark, d)
+    labelled = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("document_id")).distinct()
+    stored = chunks.join(labelled, "document_id", "left_semi")
+    later = chunks.join(labelled, "document_id", "left_anti").unionByName(stored.where("section_index = 0"))
+    return kept(spark, f"{d}/documents.parquet", "index in two batches", lambda: index.refreshed(index.build(stored, CARRIED), later, CARRIED))
+
+
+@query("f7_search_refreshed", sql("select query_id, chunk_id, bm25, rank from kw where rank <= 10", "kw"))
+def f7_search(spark, d):
+    return index.search(index_in_two_batches(spark, d), questions(spark, d), 10)
+
+
+@query("f7_refresh_by_postings", sql("select term, df, round(idf, 6) idf, round(avgdl, 6) avgdl from idf, size", "idf", "size"))
+def f7_postings(spark, d):
     chunks = chunks_of(spark, d)
     labelled = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("document_id")).distinct()
     stored = chunks.join(labelled, "document_id", "left_semi")
@@ -135,7 +209,7 @@ def f7(spark, d):
 
 
 def results_of(spark, d):
-    return fusion.search(chunks_of(spark, d), vector_table(spark, d), questions(spark, d), corpus(spark, d), 10)
+    return fusion.search(index_of(spark, d), vector_table(spark, d), questions(spark, d), corpus(spark, d), 10)
 
 
 def rounded(df, *columns):
@@ -155,7 +229,7 @@ _SIDE = "select query_id, id, round(({0} + 0.1 * greatest(0, (11 - rank) / 10.0)
 def g2(spark, d):
     _, score = vectors.score_of(F.col("distance"))
     v = vectors.knn(vector_table(spark, d), questions(spark, d), 10).select("query_id", "id", "rank", score.alias("score"))
-    w = bm25.search(chunks_of(spark, d), questions(spark, d), 10).select("query_id", F.col("chunk_id").alias("id"), "rank", F.least(F.col("bm25") / 15, F.lit(1.0)).alias("score"))
+    w = index.search(index_of(spark, d), questions(spark, d), 10).select("query_id", F.col("chunk_id").alias("id"), "rank", F.least(F.col("bm25") / 15, F.lit(1.0)).alias("score"))
     return fusion.union_fusion(v, w, 10)
 
 
@@ -187,7 +261,7 @@ def g7(spark, d):
 
 @query("g10_search_and_answer", sql("select query_id, query, answer, confidence, answer_confidence, search_method, sources, n_sources, total_results from answered", "answered"))
 def g10(spark, d):
-    return fusion.search_and_answer(chunks_of(spark, d), vector_table(spark, d), questions(spark, d), corpus(spark, d))
+    return fusion.search_and_answer(index_of(spark, d), vector_table(spark, d), questions(spark, d), corpus(spark, d))
 
 
 _METHODS = {
@@ -202,7 +276,7 @@ _METHODS = {
 def g10_by_method(spark, d):
     n = F.col("query_id") % 4
     asked = questions(spark, d).withColumn("search_method", F.when(n == 0, "vector").when(n == 1, "keyword").when(n == 2, "hybrid"))
-    rows = fusion.search_and_answer(chunks_of(spark, d), vector_table(spark, d), asked, corpus(spark, d))
+    rows = fusion.search_and_answer(index_of(spark, d), vector_table(spark, d), asked, corpus(spark, d))
     return rows.select("query_id", "search_method", "confidence", "total_results")
 
 
@@ -350,7 +424,7 @@ def enhanced_questions(spark, d):
 
 
 def answer_all(spark, d):
-    chunks, vecs, docs = chunks_of(spark, d), vector_table(spark, d), corpus(spark, d)
+    chunks, vecs, docs = index_of(spark, d), vector_table(spark, d), corpus(spark, d)
     return lambda queries: written(fusion.search_and_answer(chunks, vecs, queries, docs), "answers")
 
 
