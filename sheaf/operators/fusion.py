@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -174,6 +175,47 @@ def reuse(queries: DataFrame, stored: DataFrame, now: Column, ttl_seconds: int,
     return keyed.join(latest, "cache_key", "left").withColumn("from_cache", F.col("stored_answer").isNotNull())
 
 
+def cache_key(query: Column, method: Column, k: Column, filters: Column | None = None) -> Column:
+    """What two requests must share to share an answer: method, question, number of results and filters."""
+    return F.md5(F.concat_ws("_", method, query, k.cast("string"), F.coalesce(filters if filters is not None else F.lit(None).cast("string"), F.lit(""))))
+
+
+def reuse_log(requests: DataFrame, ttl_seconds: int) -> DataFrame:
+    """request_id, cache_key, ts, from_cache, stored_by: whether a request finds an answer that an earlier one of its key stored less
+    than ttl_seconds before, and which one; else it stores its own. requests: request_id, cache_key, ts (ties by request_id).
+
+    A key's requests pass through a task one by one, however many they are.
+    """
+    kind = requests.schema["request_id"].dataType.simpleString()
+
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, since, by = None, None, None
+        for pdf in batches:
+            hits, owners = [], []
+            for k, ts, rid in zip(pdf["cache_key"], pdf["ts"], pdf["request_id"], strict=True):
+                if k != key or (ts - since).total_seconds() >= ttl_seconds:
+                    key, since, by = k, ts, rid
+                    hits.append(False)
+                else:
+                    hits.append(True)
+                owners.append(by)
+            yield pdf.assign(from_cache=hits, stored_by=owners)
+
+    sorted_ = requests.select("request_id", "cache_key", F.col("ts").cast("timestamp_ntz").alias("ts")).repartition("cache_key").sortWithinPartitions("cache_key", "ts", "request_id")
+    return sorted_.mapInPandas(passed, f"request_id {kind}, cache_key string, ts timestamp_ntz, from_cache boolean, stored_by {kind}")
+
+
+def answer_requests(requests: DataFrame, ttl_seconds: int, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """reuse_log with the answers: misses are searched for, each once, and what a hit finds is its miss's answer.
+
+    requests: also query and what else `answer` takes (query_id is the request's); answer gives a row for each query_id.
+    """
+    log = written(reuse_log(requests, ttl_seconds), "requests")
+    missed = requests.join(log.where(~F.col("from_cache")).select("request_id"), "request_id", "left_semi")
+    found = answer(missed.withColumn("query_id", F.col("request_id")))
+    return log.join(found.withColumnRenamed("query_id", "stored_by"), "stored_by")
+
+
 def evaluation(answers: DataFrame, by: str = "answer_confidence") -> DataFrame:
     """Means per group and over all."""
     agg = answers.rollup(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.round(F.avg("n_sources"), 6).alias("mean_sources"))

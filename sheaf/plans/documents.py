@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import chunking, ingest, metadata
+from ..operators import chunking, ingest, metadata, tables
 from ..sources.scratch import scratch_path
 from ..sources.tables import corpus, elements, lines, search_log, table
 from ..streaming import jobs
@@ -58,6 +58,27 @@ def a8(spark, d):
     return ingest.upsert(corpus(spark, d).select("document_id", "agency", "source_type"), new, order="agency", defaults={"source_type": "unknown"})
 
 
+@query("a8_upsert_table", sql("select c.document_id, case when l.doc_id is null then agency else 'label ' || quality end agency, case when l.doc_id is null then source_type else 'unknown' end source_type from corpus c left join (select doc_id, max(quality) quality from labels group by all) l on c.document_id = cast(l.doc_id as varchar)", "corpus"))
+def a8_table(spark, d):
+    """The same by a stored table: the documents, then the labelled ones with their new values, then no rows."""
+    path = scratch_path(spark, "documents")
+    docs = corpus(spark, d).select("document_id", "agency", "source_type")
+    new = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("label "), "quality").alias("agency"), F.lit("unknown").alias("source_type"))
+    for rows in (docs, new.join(docs, "document_id", "left_semi"), new.limit(0)):
+        tables.upsert(rows, path, "document_id", order="agency")
+    return tables.rows(spark, path).drop("_bucket")
+
+
+@query("a9_upsert_chunks", sql("select chunk_id, document_id, section_index, chunk_index, md5(content) content_md5, substr(content, 1, 200) content_preview, length(content) chunk_size from named", "named"))
+def a9_table(spark, d):
+    """The chunk table of an ingest in two batches, of which the second brings half of the first again."""
+    path = scratch_path(spark, "chunks")
+    docs, n = corpus(spark, d), F.col("document_id").cast("long") % 4
+    for part in (docs.where(n < 2), docs.where(n > 0)):
+        tables.upsert(ingest.chunk_rows(chunking.smart_chunks(part)), path, "chunk_id")
+    return tables.rows(spark, path).withColumn("content_md5", F.md5("content")).drop("content", "_bucket")
+
+
 @query("a9_chunk_rows", sql("select chunk_id, document_id, section_index, chunk_index, md5(content) content_md5, substr(content, 1, 200) content_preview, length(content) chunk_size from named", "named"))
 def a9(spark, d):
     rows = ingest.chunk_rows(chunking.smart_chunks(corpus(spark, d)))

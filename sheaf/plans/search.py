@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bm25, chunking, enhance, fusion, index, vectors
-from ..sources.scratch import kept, written
-from ..sources.tables import corpus, questions, table, turns
+from ..operators import bm25, chunking, enhance, fusion, index, tables, vectors
+from ..sources.scratch import kept, scratch_path, written
+from ..sources.tables import corpus, questions, search_log, table, turns
 from ..sources.tables import vectors as vector_table
 from .base import Query, quoted, search_again, sql
 
@@ -47,6 +47,17 @@ def e2(spark, d):
     return vecs.agg(F.count(F.lit(1)).alias("n"), F.lit(n).alias("low"), F.max(F.size("embedding")).alias("high"))
 
 
+@query("e2_upsert_vectors", "select cast(vec_id as varchar) id, label + case when vec_id % 3 = 0 then 100 else 0 end label, round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 5) total from embeddings")
+def e2_upsert(spark, d):
+    """Two thirds of the vectors, then the third third again with the rest of it, with other labels; then none."""
+    vecs, path = vector_table(spark, d), scratch_path(spark, "vectors")
+    third = F.col("id").cast("long") % 3
+    tables.upsert(vecs.where((third != 0) | (F.col("id").cast("long") % 2 == 0)), path, "id", vector="embedding")
+    tables.upsert(vecs.where(third == 0).withColumn("label", F.col("label") + 100), path, "id", vector="embedding")
+    tables.upsert(vecs.limit(0), path, "id", vector="embedding")
+    return tables.rows(spark, path).select("id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+
+
 @query("e3_knn", sql("select query_id, id, distance, rank from nn where rank <= 10", "nn"))
 def e3(spark, d):
     return vectors.knn(vector_table(spark, d), questions(spark, d), 10)
@@ -295,6 +306,29 @@ def g11(spark, d):
     return found.select("query_id", "stored_answer", "from_cache")
 
 
+_REQUESTS = """requests as materialized (select event_id request_id, md5(concat_ws('_', event_type, 'q' || (user_id % 20), '10', '')) cache_key, ts from events),
+ numbered as materialized (select *, row_number() over (partition by cache_key order by ts, request_id) n from requests),
+ stores as (select cache_key, n, ts from numbered where n = 1 union all select x.cache_key, x.n, x.ts from (select s.cache_key, min(m.n) n from stores s join numbered m on m.cache_key = s.cache_key and m.n > s.n and m.ts >= s.ts + interval 43200 second group by s.cache_key) y join numbered x using (cache_key, n))"""
+
+
+@query("g11_reuse_log", f"with recursive {_REQUESTS} select q.request_id, q.cache_key, s.n <> q.n from_cache, o.request_id stored_by from numbered q asof join (select distinct * from stores) s on q.cache_key = s.cache_key and q.n >= s.n join numbered o on o.cache_key = s.cache_key and o.n = s.n")
+def g11_log(spark, d):
+    log = search_log(spark, d)
+    key = fusion.cache_key(F.col("query"), F.col("search_method"), F.lit(10))
+    return fusion.reuse_log(log.select(F.col("id").alias("request_id"), key.alias("cache_key"), "ts"), 43_200).select("request_id", "cache_key", "from_cache", "stored_by")
+
+
+@query("g11_answers", sql("select query_id || '-' || n request_id, n = 1 from_cache, md5(answer) answer_md5, confidence, n_sources from answered, (values (0), (1), (2)) t(n)", "answered"))
+def g11_answers(spark, d):
+    """Every question is asked three times, half an hour apart; an answer is good for 40 minutes."""
+    asks = questions(spark, d).select("query", "qvec", F.col("query_id").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_n"))
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("_q") * 60 + F.col("_n") * 1800)
+    asks = asks.select(F.concat_ws("-", "_q", "_n").alias("request_id"), "query", "qvec", fusion.cache_key(F.concat_ws(":", "_q", "query"), F.lit("hybrid"), F.lit(10)).alias("cache_key"), at.alias("ts"))
+    stored, vecs, docs = index_of(spark, d), vector_table(spark, d), corpus(spark, d)
+    found = fusion.answer_requests(asks, 2400, lambda q: fusion.search_and_answer(stored, vecs, q, docs))
+    return found.select("request_id", "from_cache", F.md5("answer").alias("answer_md5"), "confidence", "n_sources")
+
+
 # --- enhancement, with the Latin lexicon
 
 LEX = enhance.LATIN

@@ -29,3 +29,33 @@ def test_log_windows(spark, sf, tmp_path):
     last = log.selectExpr("max(ts) - interval 1 hour").first()[0]
     closed = batch.where(batch.window_start < last.replace(minute=0, second=0, microsecond=0))
     assert streamed.exceptAll(batch).count() == 0 and closed.exceptAll(streamed).count() == 0 and closed.count() > 0
+
+
+def test_batches_read_no_history(spark, tmp_path):
+    """Whether a document is there is known from state: chunks and folders of earlier batches may be gone."""
+    schema = "document_id string, content string"
+    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: jobs.ingest_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, str(tmp_path / "out"), str(tmp_path / "cp"), 1).awaitTermination()
+    put(("a", "zeta text"), ("a", "alpha text"), ("b", "beta text"))
+    run()
+    assert {r["content"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"alpha text", "beta text"}
+    (tmp_path / "out").rename(tmp_path / "elsewhere")
+    put(("b", "another"), ("c", "gamma"), (None, "no id"))
+    run()
+    assert {r["content"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"gamma", "no id"}
+
+
+def test_reuse_stream_expires_answers(spark, tmp_path):
+    """Over many batches and a restart, with answers that grow too old between them, as the plain rule says."""
+    from tests.test_tables import as_frame, plain_reuse, some_requests
+
+    requests = sorted(some_requests(240), key=lambda r: (r[2], r[0]))
+    cut = [requests[i : i + 40] for i in range(0, 240, 40)]
+    schema = as_frame(spark, requests[:1]).schema
+    run = lambda: jobs.reuse_stream(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp"), 600, "10 minutes", 1).awaitTermination()
+    for i, part in enumerate(cut):
+        as_frame(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if i in (2, 5):
+            run()
+    found = {r["request_id"]: (r["from_cache"], r["stored_by"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == plain_reuse(requests, 600)
