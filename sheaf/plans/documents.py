@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import html
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import chunking, ingest, metadata, tables
+from ..sources import extract
 from ..sources.scratch import scratch_path
 from ..sources.tables import corpus, elements, lines, search_log, table
 from ..streaming import jobs
@@ -215,6 +217,25 @@ def b2(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"), body.alias("t")).select("page_id", "title", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
 
 
+#: The tokeniser knows all named entities; these two the pages have besides ENTITIES.
+READ = strip(f"regexp_replace({_decoded(f'replace(replace({HTML}, {quoted(chr(38) + "copy;")}, {quoted(chr(169))}), {quoted(chr(38) + "middot;")}, {quoted(chr(183))})')}, '\\s+', ' ', 'g')")
+
+
+@query("b2_html_tokens", f"select page_id, md5({READ}) text_md5, length({READ}) n_chars from pages")
+def b2_tokens(spark, d):
+    rows = table(spark, d, "pages").select("page_id", html.html_text(F.col("html")).alias("t"))
+    return rows.select("page_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
+
+
+@query("a1_extracted", sql(f"select 'pages/' || page_id || '.html' path, '.html' file_ext, md5({READ}) text_md5, null error_message from pages union all select 'texts/' || file_name, case when source_type = 'de' then '.doc' else '.txt' end, case when source_type = 'de' then null else md5(content) end, case when source_type = 'de' then 'unsupported file type: .doc' end from (select *replace (case when source_type = 'de' then replace(file_name, '.txt', '.doc') else file_name end as file_name) from corpus)", "corpus"))
+def a1_extracted(spark, d):
+    """Pages and documents as files of three kinds, of which one has no extractor."""
+    pages = table(spark, d, "pages").select(F.concat(F.lit("pages/"), "page_id", F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    name = F.when(F.col("source_type") == "de", F.replace("file_name", F.lit(".txt"), F.lit(".doc"))).otherwise(F.col("file_name"))
+    texts = corpus(spark, d).select(F.concat(F.lit("texts/"), name).alias("path"), F.col("content").cast("binary").alias("content"))
+    return extract.extracted(pages.unionByName(texts)).select("path", "file_ext", F.md5("text").alias("text_md5"), "error_message")
+
+
 GATE = "(length(" + strip("{0}") + ") >= 100 and (length(regexp_replace({0}, '[^가-힣]', '', 'g')) > 20 or length(regexp_replace({0}, '[^A-Za-z]', '', 'g')) > 50))"
 
 
