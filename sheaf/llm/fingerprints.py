@@ -7,6 +7,7 @@ against; a bit is set where the votes for it weigh more than half. Everything he
 Nulls and empty texts count as the text without words, whose fingerprint is all zeros. Equal texts have
 equal fingerprints. Repeated rows and ids keep a row each. A very long text is a row for each of its terms, summed before
 anything is shuffled. A bit for which exactly half of the terms vote is clear.
+An empty table gives an empty report. Columns besides doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations

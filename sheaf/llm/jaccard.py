@@ -9,6 +9,7 @@ shingles, so many very long texts are many blocks. A similarity equal to the thr
 
 Texts without words (null, empty, white space) have the empty set: they are one class, linked to each other.
 Rows that repeat both id and text are one document for the search; each row gets its class.
+An empty table has no classes. Columns besides doc_id and text are not looked at by the search, and pass unchanged where rows are kept.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ one look at all detections of higher priority resolves the overlaps.
 Null and empty texts have no words and no detections. Repeated rows keep a row each. Two detections with one interval
 are a tie that the earlier rule wins; a rule has each interval once. A very long text is scanned whole, in its row; the
 detections that one is compared with start within the widest pattern's reach before it.
+An empty table gives an empty report. Columns besides doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations

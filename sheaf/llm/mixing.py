@@ -18,6 +18,7 @@ tables are broadcast up to `broadcast_rows` rows, which fewer sources never pass
 A document with no words (null, empty) has size 0 and is taken 0 times. A null source is a source of its
 own, the last. Repeated rows keep a row each; those of one id and text share a block, and in a block that is drawn in part
 they are told apart by a row number. A very long text is a document like others: it can make a block larger.
+An empty table gives an empty mix. Columns besides doc_id, text and source are not looked at, and pass unchanged where documents do.
 """
 
 from __future__ import annotations

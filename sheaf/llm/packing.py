@@ -10,6 +10,7 @@ doc_id (nulls first), then text hash.
 A null or empty text has no ids but the end id. Repeated rows are written as often as they stand there, one after
 another. An empty table writes no blocks. A very long text is encoded whole, in a block of its own; of a row's text a worker
 remembers no run over KEPT_RUN characters, so long runs without blanks (base64) do not fill it.
+Columns besides doc_id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ in arrays of its code points. Null and empty texts have no features. Repeated la
 Repeated rows keep a row each; of rows that repeat a labelled id the first text is learnt from. With no label, or labels
 of one class only, all scores are that class's share, 0 without any. A score equal to the threshold is toxic; features
 of equal gain are kept by their place.
+An empty table gives an empty report. Columns besides doc_id and text (doc_id and toxic of labels) are not looked at, and pass unchanged where rows are kept.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ distrust of at least `least` pages, is blocked; a tie allows.
 Null urls and urls without `://` have an empty host and path, no rule, and are allowed. Null html has no links.
 Repeated rows keep a row each. Seeds count each host once for each of its pages that a rule decides. A very long page is
 read whole, in its row, for its links. Among equally long rules the first in the list decides.
+An empty table gives an empty report. Columns besides page_id, url and html are not looked at.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ import collections
 
 import corpus_pipeline
 from sheaf.llm import bpe, mixing
-from tests.llm.test_operators import py_classes, shared_run_dedup
+from tests.llm.test_operators import SCHEMA, odd_rows, py_classes, shared_run_dedup
 
 
 def test_stages(spark, sf, tmp_path):
@@ -45,3 +45,31 @@ def test_stages(spark, sf, tmp_path):
 def test_run_is_repeatable(spark, sf):
     a, b = (sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) for _ in range(2))
     assert a == b and a
+
+
+def through_all_stages(spark, docs, sf, folder):
+    columns, n = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if stage is not corpus_pipeline.STAGES[-1][1]:
+            assert out.columns == columns, name
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        n.append(docs.count())
+    return n, docs
+
+
+def test_odd_rows_pass_all_stages(spark, sf, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, and columns named like the stages' own."""
+    rows = odd_rows()
+    n, out = through_all_stages(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), sf, tmp_path)
+    texts = {r[1] for r in rows}
+    assert n[0] == n[1] and n[1] >= 0.8 * len(rows) and n[2] <= len(texts) and n[3] == n[4] <= 3 * n[2]
+    assert {r["doc_id"] for r in out.collect()} <= {r[0] for r in rows}
+    kept = spark.read.parquet(str(tmp_path / "line dedup")).collect()
+    assert {r["_doc"] for r in kept} == {"clash", "x", None} and {r["class_id"] for r in kept} == {2, 0, None}
+
+
+def test_the_empty_table_passes_all_stages(spark, sf, tmp_path):
+    n, _ = through_all_stages(spark, spark.createDataFrame([], SCHEMA), sf, tmp_path)
+    assert n == [0] * 5
