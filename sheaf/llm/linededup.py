@@ -194,22 +194,31 @@ def shared_blocks(docs: DataFrame, min_words: int = 8, rare: int = RARE) -> Data
     again = lambda df: df.withColumn("_k", F.substring("key", 1, 4))  # noqa: E731  both sides are dealt again, so a frequent seed can be split
     pairs = again(seeds).join(again(firsts), ["key", "_k"]).where("_id <> i or _th <> t")
     held = pairs.groupBy("_id", "_th").agg(F.collect_list(F.struct("i", "t", "frequent", "lines", "at", "other_at")).alias("_s"))
-    parts = ("i", "t", "frequent", "lines", "at", "other_at")
-    flat = held.select("_id", "_th", *[F.col(f"_s.{name}").alias(name) for name in parts])
+    # flat arrays, not one for each seed: a task then holds numbers, and objects of a few documents only
+    sizes = lambda name: F.transform("_s", lambda x: F.size(x[name])).alias(f"{name}_n")
+    parts = [F.col(f"_s.{name}").alias(name) for name in ("i", "t", "frequent", "lines")]
+    flat = held.select("_id", "_th", *parts, *[c for name in ("at", "other_at") for c in (sizes(name), F.flatten(F.col(f"_s.{name}")).alias(name))])
+
+    def blocks_of(row: tuple) -> list[dict]:
+        def lists(sizes: np.ndarray, flat: np.ndarray) -> list[list[int]]:
+            ends = np.cumsum(sizes).tolist()
+            values = flat.tolist()
+            return [values[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+        by_pair: dict[tuple[bool, int, int], list[tuple[int, list[int], list[int]]]] = {}
+        for i, t, often, lines, at, other in zip(row.i.tolist(), row.t.tolist(), row.frequent.tolist(), row.lines.tolist(), lists(row.at_n, row.at), lists(row.other_at_n, row.other_at), strict=True):
+            by_pair.setdefault((often, i, t), []).append((lines, at, other))
+        out = []
+        for (often, i, t), mine in sorted(by_pair.items()):
+            these = [Block(*b, True) for b in joined([(a, n, o[0]) for n, s, o in mine for a in s])] if often else aligned_blocks(mine)
+            out += [{"start": b.start, "lines": b.lines, "other_id": i, "other_th": t, "other_start": b.other_start, "moved": b.moved, "frequent": often} for b in these]
+        return out
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf[[*parts]].itertuples(index=False):
-                by_pair: dict[tuple[bool, int, int], list[tuple[int, list[int], list[int]]]] = {}
-                for i, t, often, lines, at, other in zip(*row, strict=True):
-                    by_pair.setdefault((bool(often), int(i), int(t)), []).append((int(lines), at.tolist(), other.tolist()))
-                blocks = []
-                for (often, i, t), mine in sorted(by_pair.items()):
-                    these = [Block(*b, True) for b in joined([(a, n, o[0]) for n, s, o in mine for a in s])] if often else aligned_blocks(mine)
-                    blocks += [{"start": b.start, "lines": b.lines, "other_id": i, "other_th": t, "other_start": b.other_start, "moved": b.moved, "frequent": often} for b in these]
-                out.append(blocks)
-            yield pd.DataFrame({"_id": pdf["_id"], "_th": pdf["_th"], "blocks": out})
+            for lo in range(0, len(pdf), 500):
+                some = pdf.iloc[lo : lo + 500]
+                yield pd.DataFrame({"_id": some["_id"].array, "_th": some["_th"].array, "blocks": [blocks_of(row) for row in some.itertuples(index=False)]})
 
     return flat.mapInPandas(found, f"_id long, _th long, blocks {BLOCKS}")
 
