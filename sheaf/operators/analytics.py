@@ -112,3 +112,22 @@ def running_progress(batches: DataFrame) -> DataFrame:
     every = W.partitionBy("run")
     done = F.sum(F.col("ok") + F.col("failed")).over(run)
     return batches.select("run", "batch", "ok", "failed", done.alias("done"), F.round(done * 100.0 / F.sum(F.col("ok") + F.col("failed")).over(every), 6).alias("progress_pct"), F.round(F.sum("ok").over(run) * 100.0 / done, 6).alias("success_pct"))
+
+
+#: The sketches have two to so many places; their relative error is 1.04 over the root of that, about.
+SKETCH_BITS = 12
+
+
+def sketch_error(bits: int = SKETCH_BITS) -> float:
+    """The standard error of a distinct count by sketches, as a share of it."""
+    return 1.04 / 2 ** (bits / 2)
+
+
+def distinct_sketches(rows: DataFrame, column: str, by: list[str], bits: int = SKETCH_BITS) -> DataFrame:
+    """by, sketch: what a batch keeps of its distinct values: some kilobytes, however many there are. Nulls are no values."""
+    return rows.where(F.col(column).isNotNull()).groupBy(*by).agg(F.hll_sketch_agg(column, bits).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """by, distinct: the number of distinct values over all batches, from their sketches alone."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))

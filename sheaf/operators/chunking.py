@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -175,6 +177,12 @@ def emergency_split(text: Column, size: int = 1000) -> Column:
     return F.aggregate(F.split(text, r"(?<=[.!?])\s+"), start, step, end)
 
 
+def text_importance(text: Column, domain_words: list[str]) -> Column:
+    """The importance of a text of which nothing else is known: half, more if it is long and for each of the words in it, 1 at most."""
+    held = reduce(lambda x, y: x + y, [F.contains(text, F.lit(w)).cast("int") for w in domain_words], F.lit(0))
+    return F.least(F.lit(1.0), 0.5 + F.when(F.length(text) > 500, 0.1).otherwise(0.0) + held * 0.05)
+
+
 def enhanced_chunks(elements: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """Groups of elements up to the size are one chunk each, as they are; longer ones several."""
     groups = element_groups(elements).groupBy("document_id", "group_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("elem_idx", "text_content"))), lambda x: x["text_content"]), "\n").alias("content"))

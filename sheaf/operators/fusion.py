@@ -93,6 +93,11 @@ def extractive_answer(content: Column, confidence: Column, threshold: float = 0.
     return F.when((confidence < threshold) | content.isNull(), F.lit("No sufficiently relevant document was found.")).otherwise(F.concat(F.lit("From the documents: "), F.substring(content, 1, 500), F.lit("...")))
 
 
+def fallback_answer(context: Column, characters: int = 1000) -> Column:
+    """Where no model answers: the beginning of what was found, to be read directly."""
+    return F.concat(F.lit("From the documents found:\n\n"), F.substring(context, 1, characters), F.lit("...\n\nNo model was reached; please read the documents."))
+
+
 def prompt(query: Column, context: Column) -> Column:
     return F.concat(F.lit("Answer from the context only.\n\nContext:\n"), context, F.lit("\n\nQuestion: "), query, F.lit("\nAnswer:"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import strip
+
 PAGE = ["document_id", "page_number"]
 
 
@@ -21,11 +23,11 @@ def text_regions(regions: DataFrame, page_area: float, top: int = 15) -> DataFra
 
 
 def merge_tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Recognised tokens over an adaptive threshold, joined, with their mean confidence. tokens: keys, pos, token, conf."""
+    """Recognised tokens over an adaptive threshold, stripped and joined, with their mean confidence. tokens: keys, pos, token, conf."""
     mean = F.avg("conf").over(W.partitionBy(*keys))
     rows = tokens.withColumn("_mean", mean)
     rows = rows.withColumn("_high", F.col("conf") > F.greatest(F.lit(0.3), F.least(F.lit(0.7), 0.7 * F.col("_mean")))).withColumn("_low", F.col("conf") > F.greatest(F.lit(0.2), 0.5 * F.col("_mean")))
-    join = lambda flag: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(flag), F.struct("pos", "token")))), lambda x: x["token"]), " ")
+    join = lambda flag: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(flag), F.struct("pos", strip(F.col("token")).alias("token"))))), lambda x: x["token"]), " ")
     agg = rows.groupBy(*keys).agg(F.count_if("_high").alias("_n"), join("_high").alias("_a"), join("_low").alias("_b"), F.avg(F.when(F.col("_high"), F.col("conf"))).alias("_ca"), F.avg(F.when(F.col("_low"), F.col("conf"))).alias("_cb"))
     return agg.select(*keys, F.when(F.col("_n") > 0, F.col("_a")).otherwise(F.col("_b")).alias("text"), F.coalesce(F.when(F.col("_n") > 0, F.col("_ca")).otherwise(F.col("_cb")), F.lit(0.0)).alias("ocr_confidence"))
 

@@ -456,6 +456,14 @@ _PIECE = strip("substr(content, a.p + 1, x.p - a.p)")
 _PIECES = f"list_reduce(list_concat([{{'p': 0, 'o': cast([] as varchar[])}}], list_transform(list_append(cuts, cast(length(content) as integer)), lambda c: {{'p': c, 'o': cast([] as varchar[])}})), lambda a, x: case when length({_PIECE}) < 50 then {{'p': a.p, 'o': case when len(a.o) > 0 then list_append(a.o[1:len(a.o) - 1], a.o[len(a.o)] || chr(10) || {_PIECE}) else a.o end}} else {{'p': x.p, 'o': list_append(a.o, case when len(a.o) > 0 then substr(content, greatest(a.p - 200, 0) + 1, a.p - greatest(a.p - 200, 0)) else '' end || {_PIECE})}} end).o"
 
 
+_VITAL = ("the", "and", "system", "der", "que", "est")
+
+
+@query("d13_text_importance", sql("select chunk_id, round(least(1.0, 0.5 + case when length(content) > 500 then 0.1 else 0.0 end + 0.05 * (" + " + ".join(f"cast(contains(content, '{w}') as int)" for w in _VITAL) + ")), 6) importance from named", "named"))
+def d13_text(spark, d):
+    return chunking.smart_chunks(corpus(spark, d)).select("chunk_id", F.round(chunking.text_importance(F.col("content"), list(_VITAL)), 6).alias("importance"))
+
+
 @query("d9_d11_enhanced_chunks", sql(
     f"select document_id, cast(group_id as bigint) group_id, part - 1 part, md5(piece) content_md5, length(piece) chunk_size from (select document_id, group_id, unnest(pieces) piece, generate_subscripts(pieces, 1) part from (select document_id, group_id, case when length(content) <= 1000 then [content] else {_PIECES} end pieces from (select *, case when length(content) <= 1000 then [] when len(by_line) > 0 then by_line else {_FOLD.format(_SENTENCES)} end cuts from (select *, case when length(content) > 1000 then {_FOLD.format(_LINES)} end by_line from gc))))",
     "grouped", gc="select document_id, group_id, string_agg(text_content, chr(10) order by elem_idx) content from grouped group by 1, 2",

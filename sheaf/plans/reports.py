@@ -140,6 +140,18 @@ def j2(spark, d):
     return merged.select("document_id", "page_number", "elem_idx", F.md5("text").alias("text_md5"), F.round("ocr_confidence", 6).alias("ocr_confidence"))
 
 
+@query("j2_padded_tokens", sql(
+    "select document_id, page_number, md5(string_agg(case when n > 0 then a else b end, '|' order by elem_idx)) text_md5 from (select document_id, page_number, elem_idx, count(*) filter (high) n, coalesce(string_agg(regexp_replace(token, '^\\s+|\\s+$', '', 'g'), ' ' order by pos) filter (high), '') a, coalesce(string_agg(regexp_replace(token, '^\\s+|\\s+$', '', 'g'), ' ' order by pos) filter (low), '') b from (select *, conf > greatest(0.3, least(0.7, 0.7 * m)) high, conf > greatest(0.2, 0.5 * m) low from (select *, avg(conf) over (partition by document_id, page_number, elem_idx) m from tk)) group by 1, 2, 3) group by 1, 2",
+    "regions", tk="select document_id, page_number, elem_idx, pos - 1 pos, case when pos % 2 = 0 then '  ' || token || chr(9) else token || ' ' end token, length(token) % 10 / 10.0 conf from (select document_id, page_number, elem_idx, unnest(string_split(text_content, ' ')) token, generate_subscripts(string_split(text_content, ' '), 1) pos from regions)",
+))
+def j2_padded(spark, d):
+    rows = regions(corpus(spark, d)).select("document_id", "page_number", "elem_idx", F.posexplode(F.split("text_content", " ")).alias("pos", "token")).withColumn("conf", F.length("token") % 10 / 10.0)
+    rows = rows.withColumn("token", F.when(F.col("pos") % 2 == 1, F.concat(F.lit("  "), "token", F.lit("\t"))).otherwise(F.concat("token", F.lit(" "))))
+    merged = layout.merge_tokens(rows, ["document_id", "page_number", "elem_idx"])
+    pages = merged.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("elem_idx", "text"))).alias("t"))
+    return pages.select("document_id", "page_number", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "|")).alias("text_md5"))
+
+
 def labelled(spark, d):
     label, conf = layout.rule_label(*[F.col(c) for c in ("text_content", "density", "n_lines", "h_lines", "v_lines")])
     return regions(corpus(spark, d)).withColumns({"label": label, "label_conf": conf})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bm25, chunking, enhance, fusion, index, tables, vectors
+from ..operators import analytics, bm25, chunking, enhance, fusion, index, tables, vectors
 from ..sources.scratch import kept, scratch_path, written
 from ..sources.tables import corpus, questions, search_log, table, turns
 from ..sources.tables import vectors as vector_table
@@ -91,6 +91,18 @@ def e8(spark, d):
     return vectors.collection_stats(chunks_of(spark, d), corpus(spark, d))
 
 
+@query("e8_distinct_sketches", sql("select source_type, count(*) n_rows, true near_exact, true merged_is_direct from named join corpus using (document_id) group by 1", "named", "corpus"))
+def e8_sketches(spark, d):
+    """Distinct files of the chunk table by sketches: a row for each batch, merged, against the exact count and one sketch over all."""
+    rows = chunks_of(spark, d).select("document_id").join(corpus(spark, d).select("document_id", "file_name", "source_type", (F.col("document_id").cast("long") % 7).alias("batch")), "document_id")
+    rows = written(rows.select("source_type", "file_name", "batch"), "names")
+    merged = analytics.merged_distinct(analytics.distinct_sketches(rows, "file_name", ["source_type", "batch"]), ["source_type"])
+    direct = rows.groupBy("source_type").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("file_name").alias("exact"), F.hll_sketch_estimate(F.hll_sketch_agg("file_name", analytics.SKETCH_BITS)).alias("direct"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 3 * analytics.sketch_error())
+    same = F.abs(F.col("distinct") - F.col("direct")) <= F.greatest(F.lit(1.0), F.col("direct") * analytics.sketch_error())
+    return direct.join(merged, "source_type").select("source_type", "n_rows", near.alias("near_exact"), same.alias("merged_is_direct"))
+
+
 @query("e1_embed")
 def e1(spark, d):
     rows = vectors.embed(corpus(spark, d).select("document_id", "content"))
@@ -270,6 +282,12 @@ def g7(spark, d):
     return rows.select("query_id", "n_sources", F.md5("sources").alias("sources_md5"), F.md5(fusion.prompt(F.col("query"), F.col("context"))).alias("prompt_md5"))
 
 
+@query("g9_fallback", sql("select query_id, md5('From the documents found:' || chr(10) || chr(10) || substr(context, 1, 1000) || '...' || chr(10) || chr(10) || 'No model was reached; please read the documents.') answer_md5 from listed", "listed"))
+def g9_fallback(spark, d):
+    lists = fusion.source_lists(fusion.unique_sources(results_of(spark, d).withColumn("score", F.col("hybrid_score"))))
+    return lists.select("query_id", F.md5(fusion.fallback_answer(F.col("context"))).alias("answer_md5"))
+
+
 @query("g10_search_and_answer", sql("select query_id, query, answer, confidence, answer_confidence, search_method, sources, n_sources, total_results from answered", "answered"))
 def g10(spark, d):
     return fusion.search_and_answer(index_of(spark, d), vector_table(spark, d), questions(spark, d), corpus(spark, d))
