@@ -29,8 +29,8 @@ from .common import checkpoint, text_of, whole_rows
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
-#: Training documents, kept features, and tasks that count features, at most.
-MAX_TRAIN, MAX_FEATURES, TASKS = 12_000, 8_000, 12
+#: Training documents, kept features, and tasks that count features, at most; training documents that hold a kept feature, at least.
+MAX_TRAIN, MAX_FEATURES, TASKS, MIN_DOCS = 12_000, 8_000, 12, 4
 
 
 def ngram_places(codes: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ def training_set(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFram
     return checkpoint(one.select("text", F.col("label").cast("int").alias("label")).repartition(TASKS))
 
 
-def ratios(train: DataFrame, max_features: int, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def ratios(train: DataFrame, max_features: int, min_docs: int = MIN_DOCS, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """(places, r) of the features kept. A task sends a count for each place; the driver gets max_features rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +95,7 @@ def ratios(train: DataFrame, max_features: int, smooth: float = 1.0) -> tuple[np
         share = 0.0 if total is None or not total["toxic"] else 1.0
         return np.zeros(0, np.int32), np.array([share])
     r = F.log((F.col("toxic") + smooth) / (total["toxic"] + 2 * smooth)) - F.log((F.col("clean") + smooth) / (total["clean"] + 2 * smooth))
-    best = sums.where((F.col("place") >= 0) & (F.col("clean") + F.col("toxic") >= 4)).select("place", r.alias("r"), (F.abs(r) * F.sqrt(F.col("clean") + F.col("toxic"))).alias("gain"))
+    best = sums.where((F.col("place") >= 0) & (F.col("clean") + F.col("toxic") >= min_docs)).select("place", r.alias("r"), (F.abs(r) * F.sqrt(F.col("clean") + F.col("toxic"))).alias("gain"))
     rows = best.orderBy(F.desc(F.round("gain", 9)), "place").limit(max_features).collect()
     rows.sort(key=lambda x: x["place"])
     return np.array([x["place"] for x in rows], np.int32), np.array([x["r"] for x in rows])
@@ -122,10 +122,10 @@ def logistic(rows: list[np.ndarray], r: np.ndarray, y: np.ndarray, decay: float
     return w * r, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
     """(places, weights, intercept)."""
     train = training_set(docs, labels, max_train)
-    places, r = ratios(train, max_features)
+    places, r = ratios(train, max_features, min_docs)
     if not len(places):
         share = float(r[0]) if len(r) else 0.0
         return places, np.zeros(0), 30.0 if share else -30.0
