@@ -57,3 +57,7 @@ def test_data_source_over_a_folder(spark, tmp_path):
 def test_no_files(spark, tmp_path):
     spark.dataSource.register(extract.ExtractedFiles)
     assert spark.read.format("extracted").load(str(tmp_path)).count() == 0
+
+
+def test_an_entity_cut_short_stays():
+    assert html.text_of("<p>a&amp;&amp</p>b &am &#8217 &ampx; &lt;") == "a&&amp b &am &#8217 &ampx; <" and html.title_of("<title>x &amp</title>") == "x &amp"
