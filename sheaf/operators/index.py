@@ -1,28 +1,33 @@
 """A stored inverted index: postings by term in blocks of chunks, each with what its scores can reach at most, and additive statistics.
 
 Chunks are kept in blocks of about BLOCK_CHUNKS, in the order in which they were read, each block one row (`forward`). A term's postings in a
-block are one row: places in the block, frequencies, and the largest frequency and shortest chunk among them. From
-these a bound follows for any mean length, so that statistics may change without touching postings. The rows
-are stored in folders by a hash of the term, sorted by term: a search reads the folders of its terms only, and never the texts.
+block are its places there, frequencies, and the largest frequency and shortest chunk among them. From
+these a bound follows for any mean length, so that statistics may change without touching postings. A block's postings are made in the task that
+reads its chunks and stored in folders by a hash of the term, a row for each block and folder, so no texts, terms or postings are shuffled.
+A search reads the folders of its terms only, and never the texts.
 
 Statistics are rows that add up: a batch of chunks brings its numbers, and takes away those of the chunks it
-replaces, which are found in the forward rows of their documents' folders. Replaced chunks' postings stay where they are; a list of dead
-chunks keeps them out of answers.
+replaces, which are found in the forward rows of their documents' folders and in the postings of their blocks. Replaced chunks' postings stay where
+they are; a list of dead chunks keeps them out of answers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..sources.scratch import written
-from .bm25 import K1, B, contents, counted, query_terms, small
+from .bm25 import K1, B, contents, query_terms, small
 from .chunking import smart_chunks
 
 #: Chunks of a block, about; folders of terms and of documents.
@@ -35,55 +40,125 @@ PART_POSTINGS, QUESTIONS = 200_000, 256
 class Index:
     """The parts of an index, as tables. A refresh adds rows to each and rewrites none."""
 
-    forward: DataFrame  # bucket, batch, block, c (chunk_id, dl, the carried columns, counts), by documents' buckets
-    postings: DataFrame  # bucket, term, batch, block, n, max_tf, min_dl, pos, tf, by terms' buckets
+    forward: DataFrame  # bucket, batch, block, c (chunk_id, dl, the carried columns), by documents' buckets
+    lists: DataFrame  # bucket, batch, block, l (term, n, max_tf, min_dl, pos, tf), by terms' buckets
     df: DataFrame  # term, df: to be added up
     size: DataFrame  # n, total: to be added up
     dead: DataFrame  # batch, block, chunk_id
     batch: int = 0
 
+    @property
+    def postings(self) -> DataFrame:
+        """bucket, batch, block, term, n, max_tf, min_dl, pos, tf."""
+        return self.lists.select("bucket", "batch", "block", F.inline("l"))
+
 
 def bucket_of(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
 
 
+def term_bucket(column: str) -> Column:
+    return (F.crc32(F.col(column).cast("binary")) % BUCKETS).cast("int")
+
+
+#: What a block keeps of a term; where the rows of a block go: what it has of chunks, and its lists.
+LIST, SIDES = "struct<term:string,n:bigint,max_tf:int,min_dl:bigint,pos:array<int>,tf:array<int>>", ("chunks", "lists")
+
+
 def build(chunks: DataFrame, carried: tuple[str, ...] = (), batch: int = 0) -> Index:
     """The index of chunks (chunk_id, document_id, content and the carried columns), written to the scratch folder."""
     carried = tuple(dict.fromkeys(("document_id", *carried)))
-    near = F.floor(F.monotonically_increasing_id() / (BLOCK_CHUNKS * BUCKETS)) * BUCKETS  # chunks that are read one after another
-    rows = chunks.select("chunk_id", *carried, counted(F.col("content")).alias("counts"), bucket_of("document_id").alias("bucket"), near.alias("_near"))
-    dl = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x["tf"]).alias("dl")
-    blocks = rows.groupBy("bucket", (F.col("_near") + F.col("bucket")).alias("block")).agg(F.sort_array(F.collect_list(F.struct("chunk_id", dl, *carried, "counts"))).alias("c"))
-    forward = written(blocks.withColumn("batch", F.lit(batch)), "forward", "bucket")
-    each = forward.select("block", F.posexplode("c").alias("p", "x")).select("block", "p", F.col("x.dl").alias("dl"), F.explode("x.counts").alias("t"))
-    hit = F.struct("p", F.col("t.tf").cast("int").alias("tf"))
-    lists = each.groupBy(F.col("t.term").alias("term"), "block").agg(F.max("t.tf").cast("int").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(hit)).alias("_h"))
-    lists = lists.select(
-        bucket_of("term").alias("bucket"), "term", F.lit(batch).alias("batch"), "block", F.size("_h").cast("long").alias("n"), "max_tf", "min_dl",
-        F.transform("_h", lambda h: h["p"]).alias("pos"), F.transform("_h", lambda h: h["tf"]).alias("tf"),
-    )
-    postings = written(lists.repartition(F.col("bucket"), F.pmod("block", F.lit(4))).sortWithinPartitions("bucket", "term", "block"), "postings", "bucket")
-    df = written(postings.groupBy("term").agg(F.sum("n").alias("df")), "df")
+    rows = chunks.select(bucket_of("document_id").alias("bucket"), F.struct("chunk_id", F.lit(0).cast("long").alias("dl"), *carried).alias("c"), F.coalesce(F.lower("content"), F.lit("")).alias("text"))
+    schema = f"side string, bucket int, block bigint, c array<{rows.schema['c'].dataType.simpleString()}>, l array<{LIST}>"
+    both = written(rows.mapInArrow(inverted(BLOCK_CHUNKS), schema), "index", "side", "bucket").withColumn("batch", F.lit(batch))
+    chunk_side, list_side = (both.where(F.col("side") == side) for side in SIDES)
+    forward, lists = chunk_side.select("bucket", "batch", "block", "c"), list_side.select("bucket", "batch", "block", "l")
+    df = written(lists.select(F.inline("l")).groupBy("term").agg(F.sum("n").alias("df")), "df")
     size = written(forward.select(F.explode("c.dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0).cast("long")).alias("total")), "size")
     none = forward.select("batch", "block", F.lit("").alias("chunk_id")).limit(0)
-    return Index(forward, postings, df, size, none, batch)
+    return Index(forward, lists, df, size, none, batch)
+
+
+def inverted(block_chunks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks (bucket, c, text), as a task reads them, become blocks of one bucket: a row with the chunks, and one with the lists of each bucket of terms."""
+
+    def block(number: int, bucket: int, rows: pa.Table) -> Iterator[tuple[str, int, int, pa.Array | None, pa.Array | None]]:
+        tokens = pc.ascii_split_whitespace(rows["text"].combine_chunks())
+        place = np.repeat(np.arange(len(rows), dtype=np.int64), pc.list_value_length(tokens).to_numpy())
+        words = tokens.flatten()
+        said = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+        words, place = words.filter(pa.array(said)).dictionary_encode(), place[said]
+        dl = np.bincount(place, minlength=len(rows))
+        c = rows["c"].combine_chunks()
+        c = pa.StructArray.from_arrays([pa.array(dl, pa.int64()) if f.name == "dl" else c.field(f.name) for f in c.type], fields=list(c.type))
+        yield SIDES[0], bucket, number, c, None
+        if not len(place):
+            return
+        names = words.dictionary
+        of = np.fromiter((zlib.crc32(t.encode()) % BUCKETS for t in names.to_pylist()), np.int64, len(names))
+        rank = np.empty(len(names), np.int64)
+        order = np.argsort(of, kind="stable")
+        rank[order] = np.arange(len(names))  # terms of one bucket stand together
+        pairs, tf = np.unique(rank[words.indices.to_numpy()] * len(rows) + place, return_counts=True)
+        code, pos = np.divmod(pairs, len(rows))
+        starts = np.flatnonzero(np.r_[True, np.diff(code) > 0])
+        ends = np.r_[starts[1:], len(code)]
+        each = lambda x: pa.ListArray.from_arrays(pa.array(np.r_[starts, len(code)], pa.int32()), pa.array(x, pa.int32()))
+        lists = pa.StructArray.from_arrays(
+            [names.take(pa.array(order)), pa.array(ends - starts, pa.int64()), pa.array(np.maximum.reduceat(tf, starts), pa.int32()), pa.array(np.minimum.reduceat(dl[pos], starts), pa.int64()), each(pos), each(tf)],
+            ["term", "n", "max_tf", "min_dl", "pos", "tf"],
+        )
+        bounds = np.searchsorted(of[order], np.arange(BUCKETS + 1))
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            yield SIDES[1], b, number, None, lists.slice(bounds[b], bounds[b + 1] - bounds[b])
+
+    def row(side: str, bucket: int, number: int, c: pa.Array | None, lists: pa.Array | None, kind: pa.DataType, listed: pa.DataType) -> pa.RecordBatch:
+        one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) if x is not None else pa.nulls(1, pa.list_(t))
+        return pa.RecordBatch.from_arrays([pa.array([side]), pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), one(c, kind), one(lists, listed)], ["side", "bucket", "block", "c", "l"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[int, list[pa.Table]] = {}
+        listed = pa.struct([("term", pa.string()), ("n", pa.int64()), ("max_tf", pa.int32()), ("min_dl", pa.int64()), ("pos", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32()))])
+        first, made, kind = TaskContext.get().partitionId() << 33, 0, None
+        for batch in batches:
+            kind = batch.schema.field("c").type
+            bucket = batch.column("bucket").to_numpy()
+            for b in np.unique(bucket).tolist():
+                open_.setdefault(b, []).append(pa.Table.from_batches([batch]).filter(pa.array(bucket == b)))
+                if sum(map(len, open_[b])) >= block_chunks:
+                    rows = pa.concat_tables(open_.pop(b))
+                    full = len(rows) // block_chunks * block_chunks
+                    for lo in range(0, full, block_chunks):
+                        yield from (row(*x, kind, listed) for x in block(first + made, b, rows.slice(lo, block_chunks)))
+                        made += 1
+                    if full < len(rows):
+                        open_[b] = [rows.slice(full)]
+        for b, rest in open_.items():
+            yield from (row(*x, kind, listed) for x in block(first + made, b, pa.concat_tables(rest)))
+            made += 1
+
+    return go
 
 
 def refreshed(index: Index, new: DataFrame, carried: tuple[str, ...] = ()) -> Index:
     """The index after an ingest of chunks, which replace those with their ids.
 
-    Only the new texts are read, and of what is stored the forward rows of the new chunks' documents' folders. df, n and total get rows for
-    what comes and, below zero, for what goes; no postings are grouped again, and none are read.
+    Only the new texts are read, and of what is stored the forward rows of the new chunks' documents' folders, and the lists of the blocks that lose
+    chunks. df, n and total get rows for what comes and, below zero, for what goes; no postings are made again.
     """
     added = build(new, carried, index.batch + 1)
     again = written(chunk_rows(added, ("document_id",)).select("chunk_id", bucket_of("document_id").alias("bucket")), "again")
     touched = [r["bucket"] for r in again.select("bucket").distinct().collect()]  # BUCKETS numbers at most
-    gone = index.forward.where(F.col("bucket").isin(touched)).select("batch", "block", F.explode("c").alias("x")).select("batch", "block", F.col("x.chunk_id").alias("chunk_id"), "x.dl", "x.counts")
+    stored = index.forward.where(F.col("bucket").isin(touched)).select("batch", "block", F.posexplode(F.arrays_zip(F.col("c.chunk_id").alias("chunk_id"), F.col("c.dl").alias("dl"))).alias("p", "x"))
+    gone = stored.select("batch", "block", "p", F.col("x.chunk_id").alias("chunk_id"), F.col("x.dl").alias("dl"))
     gone = written(gone.join(again.select("chunk_id"), "chunk_id", "left_semi").join(index.dead, ["batch", "block", "chunk_id"], "left_anti"), "gone")
-    less = gone.select(F.explode("counts.term").alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+    places = gone.groupBy("batch", "block").agg(F.collect_list("p").alias("_p"))  # BLOCK_CHUNKS numbers at most
+    places = written(places.select("batch", "block", F.transform(F.sequence(F.lit(0), F.array_max("_p")), lambda i: F.array_contains("_p", i)).alias("_gone")), "places")
+    lost = index.lists.join(small(places, gone.count()), ["batch", "block"]).select("_gone", F.inline("l")).select("term", F.size(F.filter("pos", lambda p: F.coalesce(F.get("_gone", p), F.lit(False)))).cast("long").alias("n")).where("n > 0")
+    less = written(lost.groupBy("term").agg((-F.sum("n")).alias("df")), "less")
     fewer = gone.agg((-F.count(F.lit(1))).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0).cast("long"))).alias("total"))
     return replace(
-        added, forward=index.forward.unionByName(added.forward), postings=index.postings.unionByName(added.postings), df=index.df.unionByName(added.df).unionByName(less),
+        added, forward=index.forward.unionByName(added.forward), lists=index.lists.unionByName(added.lists), df=index.df.unionByName(added.df).unionByName(less),
         size=index.size.unionByName(added.size).unionByName(fewer), dead=index.dead.unionByName(gone.select("batch", "block", "chunk_id")),
     )
 
@@ -119,7 +194,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, pad_zero: bool = False
     known = idf(index, small(wanted, few))
     weighted = written(asked.join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "df"), "weights")
     held = weighted.groupBy("term").agg(F.max("df").alias("df"))
-    buckets = [r["bucket"] for r in held.select(bucket_of("term").alias("bucket")).distinct().collect()]  # BUCKETS numbers at most
+    buckets = [r["bucket"] for r in held.select(term_bucket("term").alias("bucket")).distinct().collect()]  # BUCKETS numbers at most
     parts = max(1, -(-(held.agg(F.sum("df")).first()[0] or 0) // part_postings))
     avgdl = sizes(index).first()["avgdl"] or 1.0
     part = F.pmod(F.xxhash64("batch", "block"), F.lit(parts)).cast("int").alias("_part")

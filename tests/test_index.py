@@ -102,6 +102,17 @@ def test_kept_is_made_anew_when_the_table_changes(spark, tmp_path):
     assert scratch.kept(spark, str(tmp_path / "t"), "x", make) == 2 and scratch.kept(spark, str(tmp_path / "t"), "y", make) == 3
 
 
+def test_building_shuffles_no_postings(spark, monkeypatch):
+    plans, write = [], index.written
+    monkeypatch.setattr(index, "written", lambda df, name, *by: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name, *by))
+    monkeypatch.setattr(index, "BLOCK_CHUNKS", 8)
+    stored = index.build(some_chunks(spark, 100, 1).repartition(2))
+    made = dict(plans)
+    assert set(made) == {"index", "df", "size"} and "Aggregate" not in made["index"] and made["index"].count("Repartition") == 1
+    sizes = [r["n"] for r in stored.forward.select(F.size("c").alias("n")).collect()]
+    assert sum(sizes) == 100 and max(sizes) <= 8 and stored.postings.agg(F.sum("n")).first()[0] == bm25.postings(some_chunks(spark, 100, 1)).count()
+
+
 # --- vectors
 
 
