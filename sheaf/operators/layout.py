@@ -23,13 +23,18 @@ def text_regions(regions: DataFrame, page_area: float, top: int = 15) -> DataFra
 
 
 def merge_tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Recognised tokens over an adaptive threshold, stripped and joined, with their mean confidence. tokens: keys, pos, token, conf."""
-    mean = F.avg("conf").over(W.partitionBy(*keys))
-    rows = tokens.withColumn("_mean", mean)
-    rows = rows.withColumn("_high", F.col("conf") > F.greatest(F.lit(0.3), F.least(F.lit(0.7), 0.7 * F.col("_mean")))).withColumn("_low", F.col("conf") > F.greatest(F.lit(0.2), 0.5 * F.col("_mean")))
-    join = lambda flag: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(flag), F.struct("pos", strip(F.col("token")).alias("token"))))), lambda x: x["token"]), " ")
-    agg = rows.groupBy(*keys).agg(F.count_if("_high").alias("_n"), join("_high").alias("_a"), join("_low").alias("_b"), F.avg(F.when(F.col("_high"), F.col("conf"))).alias("_ca"), F.avg(F.when(F.col("_low"), F.col("conf"))).alias("_cb"))
-    return agg.select(*keys, F.when(F.col("_n") > 0, F.col("_a")).otherwise(F.col("_b")).alias("text"), F.coalesce(F.when(F.col("_n") > 0, F.col("_ca")).otherwise(F.col("_cb")), F.lit(0.0)).alias("ocr_confidence"))
+    """Recognised tokens over an adaptive threshold, stripped and joined, with their mean confidence. tokens: keys, pos, token, conf.
+
+    Confidences are added up within the row in the order of pos, so that a mean on a threshold or between two last places does not
+    hang on the order in which tokens arrive.
+    """
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["conf"]) / F.nullif(F.size(xs), F.lit(0))
+    known = F.when(F.col("conf").isNotNull(), F.struct("pos", F.col("conf").cast("double").alias("conf"), strip(F.col("token")).alias("token")))
+    rows = tokens.groupBy(*keys).agg(F.sort_array(F.collect_list(known)).alias("_t")).withColumn("_mean", mean(F.col("_t")))
+    over = lambda least: F.filter("_t", lambda x: x["conf"] > least)
+    high, low = over(F.greatest(F.lit(0.3), F.least(F.lit(0.7), 0.7 * F.col("_mean")))), over(F.greatest(F.lit(0.2), 0.5 * F.col("_mean")))
+    rows = rows.withColumn("_high", high).select(*keys, F.when(F.size("_high") > 0, F.col("_high")).otherwise(low).alias("_t"))
+    return rows.select(*keys, F.array_join(F.transform("_t", lambda x: x["token"]), " ").alias("text"), F.coalesce(mean(F.col("_t")), F.lit(0.0)).alias("ocr_confidence"))
 
 
 #: How a title begins, and how an entry of a list does.
