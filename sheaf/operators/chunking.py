@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -100,11 +104,30 @@ def group_summary(elements: DataFrame, domain_words: list[str]) -> DataFrame:
 
 
 def keywords(rows: DataFrame, key: str = "document_id", text: str = "content", top: int = 10) -> DataFrame:
-    """The most frequent words (two Hangul syllables or three ASCII letters at least); the earlier word among equals, Hangul before Latin."""
-    found = F.concat(F.regexp_extract_all(text, F.lit("[가-힣]{2,}"), F.lit(0)), F.regexp_extract_all(text, F.lit("[A-Za-z]{3,}"), F.lit(0)))
-    counted = rows.select(key, F.posexplode(found).alias("pos", "word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "first"))).where(F.col("rank") <= top)
-    return ranked.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ",").alias("keywords"))
+    """The most frequent words (two Hangul syllables or three ASCII letters at least); the earlier word among equals, Hangul before Latin.
+
+    Words are counted in the row of a key's texts, so the texts are shuffled and their words are not.
+    """
+    @F.pandas_udf("string")
+    def most(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda texts: most_frequent(texts, top))
+
+    texts = rows.groupBy(key).agg(F.collect_list(text).alias("_t"))
+    return texts.select(key, most("_t").alias("keywords")).where("keywords <> ''")
+
+
+HANGUL, LATIN = re.compile("[가-힣]{2,}"), re.compile("[A-Za-z]{3,}")
+
+
+def most_frequent(texts: Iterable[str], top: int) -> str:
+    n: Counter[str] = Counter()
+    first: dict[str, int] = {}
+    for text in texts:
+        words = HANGUL.findall(text) + LATIN.findall(text)
+        n.update(words)
+        for pos in range(len(words) - 1, -1, -1):
+            first[words[pos]] = min(pos, first.get(words[pos], pos))
+    return ",".join(sorted(n, key=lambda w: (-n[w], first[w], w))[:top])
 
 
 def merge_short(chunks: DataFrame, key: str = "document_id", order: str = "seq", least: int = 50) -> DataFrame:

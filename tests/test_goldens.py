@@ -363,3 +363,24 @@ def test_rank_fusion_and_custom_embedder(spark):
     assert [r["id"] for r in fusion.hybrid(v, w, fusion="rrf").orderBy("rank").collect()] == ["b", "a"]
     rows = spark.createDataFrame([("x",), ("xyz",)], "content string")
     assert [list(r["embedding"]) for r in vectors.embed(rows, embedder=lambda b: [[float(len(t))] for t in b]).collect()] == [[1.0], [3.0]]
+
+
+def test_means_of_tokens_do_not_hang_on_their_order(spark):
+    """The mean is 4/7, of which seven tenths are a token's confidence; added up from the end it comes out a last place lower."""
+    from sheaf.operators import layout
+
+    conf = [0.7, 0.1, 0.3, 0.8, 0.6, 0.7, 0.9, 0.4, 0.8, 0.5, 0.4, 0.4, 0.8, 0.6]
+    rows = [("d", i, f"t{i}", c) for i, c in enumerate(conf)]
+    for some in (rows, rows[::-1]):
+        tokens = spark.createDataFrame([*some, ("e", 0, "x", None)], "document_id string, pos int, token string, conf double").coalesce(1)
+        found = {r["document_id"]: (r["text"], round(r["ocr_confidence"], 6)) for r in layout.merge_tokens(tokens, ["document_id"]).collect()}
+        assert found == {"d": ("t0 t3 t4 t5 t6 t8 t9 t12 t13", round(6.4 / 9, 6)), "e": ("", 0.0)}
+
+
+def test_keywords_shuffle_no_words(spark):
+    from sheaf.operators import chunking
+
+    df = spark.createDataFrame([("a", "one two two 가나 가나"), ("a", "two one one"), ("b", "12 x"), ("c", None)], "document_id string, content string")
+    found = chunking.keywords(df, top=2)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("a", "two,one")]
