@@ -228,46 +228,82 @@ def keyword_search(index: Index, queries: DataFrame, corpus: DataFrame, k: int =
     return rows.select("query_id", "rank", "id", "document_id", "bm25", F.least(F.col("bm25") / 10, F.lit(1.0)).alias("keyword_score"), "content")
 
 
+#: Lists of a block that meet the questions in one product.
+LISTS_AT_ONCE = 2048
+
+
 def best_of(k: int, avgdl: float, read: list | None = None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """For each question of the blocks of weights the k best chunks of a part. read: gets (question, block) of each block that is scored."""
+    """For each question of the blocks of weights the k best chunks of a part. read: gets (question, block) of each block that is scored.
+
+    A block of chunks meets, in one product, all questions whose k-th score so far it can reach.
+    """
     share = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+    flat = lambda arrays, kind: np.concatenate([np.zeros(0, kind), *arrays]).astype(kind)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names: list[tuple] = []
-        place: dict[tuple, int] = {}
-        for r in left[left["term"] == ""].itertuples(index=False):
-            place[r.batch, r.block] = len(names)
-            names.append((np.asarray(r.ids, object), np.asarray(r.dls, float), set(r.dead) if r.dead is not None else set()))
-        of_term: dict[str, list[tuple[int, float, np.ndarray, np.ndarray]]] = {}
-        for r in left[left["term"] != ""].itertuples(index=False):
-            b = place[r.batch, r.block]
-            pos = np.asarray(r.pos)
-            of_term.setdefault(r.term, []).append((b, share(r.max_tf, r.min_dl), pos, share(np.asarray(r.tf, float), names[b][1][pos])))
+        head, lists = left[left["term"] == ""], left[left["term"] != ""]
+        place = {x: i for i, x in enumerate(zip(head["batch"], head["block"], strict=True))}
+        names = [np.asarray(x, object) for x in head["ids"]]
+        alive = [np.array([i not in gone for i in ids], bool) if (gone := set(dead) if dead is not None else set()) else None for ids, dead in zip(names, head["dead"], strict=True)]
+        at = np.fromiter((place[x] for x in zip(lists["batch"], lists["block"], strict=True)), np.int64, len(lists))
+        lists, at = lists.iloc[np.argsort(at, kind="stable")], np.sort(at, kind="stable")
+        n = np.fromiter(map(len, lists["pos"]), np.int64, len(lists))
+        ends, bounds = np.r_[0, np.cumsum(n)], np.searchsorted(at, np.arange(len(names) + 1))
+        first = np.r_[0, np.cumsum([len(x) for x in names])].astype(np.int64)
+        pos, tf, dls = flat(lists["pos"], np.int64), flat(lists["tf"], float), flat(head["dls"], float)
+        shares = share(tf, dls[np.repeat(first[at], n) + pos])
+        most = share(lists["max_tf"].to_numpy(float), lists["min_dl"].to_numpy(float))
+        code, words = pd.factorize(lists["term"])
+
+        def sums_of(b: int, slot: np.ndarray, weights: np.ndarray) -> np.ndarray:
+            rows = bounds[b] + np.flatnonzero(slot[code[bounds[b] : bounds[b + 1]]] >= 0)
+            sums = np.zeros((len(names[b]), weights.shape[1]))
+            for lo in range(0, len(rows), LISTS_AT_ONCE):
+                some = rows[lo : lo + LISTS_AT_ONCE]
+                table = np.zeros((len(names[b]), len(some)))
+                at_ = np.repeat(ends[some] - np.r_[0, np.cumsum(n[some])[:-1]], n[some]) + np.arange(n[some].sum())
+                table[pos[at_], np.repeat(np.arange(len(some)), n[some])] = shares[at_]
+                sums += table @ weights[slot[code[some]]]
+            return sums
+
         out = []
         for block in right["_block"] if len(names) else ():
-            asked = pd.DataFrame(list(block))
-            for query, mine in asked.groupby("query_id", sort=False):
-                reach, lists = np.zeros(len(names)), {}
-                for term, w in zip(mine["term"], mine["w"], strict=True):
-                    for b, most, pos, shares in of_term.get(term, ()):
-                        reach[b] += w * most
-                        lists.setdefault(b, []).append((w, pos, shares))
-                best: list[tuple[float, str]] = []
-                for b in np.argsort(-reach, kind="stable"):
-                    if reach[b] <= 0 or (len(best) == k and reach[b] * (1 + 1e-9) + 1e-6 < -best[-1][0]):
-                        break
-                    if read is not None:
-                        read.append((query, b))
-                    ids, dls, dead = names[b]
-                    sums = np.zeros(len(dls))
-                    for w, pos, shares in lists[b]:
-                        sums[pos] += w * shares
-                    at = np.flatnonzero(sums > 0)
-                    rounded = np.round(sums[at], 6)
-                    if len(best) == k:
-                        at, rounded = at[rounded >= -best[-1][0]], rounded[rounded >= -best[-1][0]]
-                    best = sorted([*best, *((-s, i) for s, i in zip(rounded.tolist(), ids[at], strict=True) if i not in dead)])[:k]
-                out += [(query, i, -s) for s, i in best]
+            asked = pd.DataFrame(list(block), columns=["query_id", "term", "w"])
+            held = pd.Index(words).get_indexer(asked["term"])
+            asked, held = asked[held >= 0], held[held >= 0]
+            used, t = np.unique(held, return_inverse=True)
+            q, questions = pd.factorize(asked["query_id"])
+            weights = np.zeros((len(used), len(questions)))
+            weights[t, q] = asked["w"].to_numpy(float)
+            slot = np.full(len(words), -1)
+            slot[used] = np.arange(len(used))
+            mine = slot[code] >= 0
+            reaches = np.zeros((len(used), len(names)))
+            reaches[slot[code[mine]], at[mine]] = most[mine]
+            reach = weights.T @ reaches
+            best: list[list[tuple[float, str]]] = [[] for _ in questions]
+            kth = np.full(len(questions), -np.inf)
+            for b in np.argsort(-reach.max(axis=0, initial=0.0), kind="stable").tolist():
+                wanted = np.flatnonzero((reach[:, b] > 0) & (reach[:, b] * (1 + 1e-9) + 1e-6 >= kth))
+                if not len(wanted):
+                    continue
+                if read is not None:
+                    read.extend((questions[j], b) for j in wanted)
+                sums = sums_of(b, slot, weights[:, wanted])
+                rounded = np.round(sums, 6)
+                good = (sums > 0) & (rounded >= kth[wanted])
+                if alive[b] is not None:
+                    good &= alive[b][:, None]
+                for x in np.flatnonzero(good.any(axis=0)).tolist():
+                    j, rows = wanted[x], np.flatnonzero(good[:, x])
+                    scores = rounded[rows, x]
+                    if len(rows) > k:  # ties with the k-th stay
+                        keep = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
+                        rows, scores = rows[keep], scores[keep]
+                    best[j] = sorted([*best[j], *zip((-scores).tolist(), names[b][rows], strict=True)])[:k]
+                    if len(best[j]) == k:
+                        kth[j] = -best[j][-1][0]
+            out += [(query, i, -s) for query, found in zip(questions, best, strict=True) for s, i in found]
         return pd.DataFrame(out, columns=["query_id", "chunk_id", "bm25"])
 
     return score

@@ -77,6 +77,31 @@ def test_blocks_that_cannot_reach_the_best_are_left_out():
     assert read == [(1, 7)] and out["chunk_id"].tolist() == [f"7-{i}" for i in range(5)]
 
 
+def test_a_block_meets_its_questions_at_once():
+    """Each block is scored once for all questions of a row, with the sums that a plain loop gives; dead chunks are left out."""
+    rng = np.random.default_rng(3)
+    dl = rng.integers(5, 50, (6, 20))
+    held = {(b, t): np.flatnonzero(rng.random(20) < 0.5) for b in range(6) for t in "xyz"}
+    tf = {key: rng.integers(1, 5, len(pos)) for key, pos in held.items()}
+    names = [(0, b, "", None, None, None, None, [f"{b}-{i:02d}" for i in range(20)], dl[b].tolist(), ["1-03"] if b == 1 else None) for b in range(6)]
+    lists = [(0, b, t, int(tf[b, t].max(initial=1)), int(dl[b][pos].min(initial=50)), pos, tf[b, t], None, None, None) for (b, t), pos in held.items() if len(pos)]
+    left = pd.DataFrame(names + lists, columns=["batch", "block", "term", "max_tf", "min_dl", "pos", "tf", "ids", "dls", "dead"])
+    weights = [{"query_id": q, "term": t, "w": 0.5 + q + i} for q in range(3) for i, t in enumerate("xyz"[: q + 1])] + [{"query_id": 1, "term": "none", "w": 1.0}]
+    read = []
+    out = index.best_of(200, 20.0, read)(left, pd.DataFrame({"_block": [weights]}))
+    blocks = [b for _, b in read]
+    assert len(read) == 18 and sum(a != b for a, b in zip(blocks, blocks[1:], strict=False)) == 5
+    expected = {}
+    for q, t, w in (x.values() for x in weights):
+        for b in range(6):
+            for i, f in zip(held.get((b, t), ()), tf.get((b, t), ()), strict=True):
+                if (b, i) != (1, 3):
+                    key = q, f"{b}-{i:02d}"
+                    expected[key] = expected.get(key, 0.0) + w * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl[b][i] / 20.0))
+    got = {(q, c): s for q, c, s in out.itertuples(index=False)}
+    assert got.keys() == expected.keys() and all(abs(got[x] - expected[x]) < 1e-6 for x in got)
+
+
 def test_search_reads_its_terms_folders_and_no_texts(spark, sf):
     stored = search.index_of(spark, sf)
     one = spark.createDataFrame([(1, "the")], "query_id long, query string")
