@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import let, terms
+from ..functions.text import terms
 from ..sources.scratch import written
 from .chunking import smart_chunks
 
@@ -24,15 +26,29 @@ def small(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
-def counted(content: Column) -> Column:
-    """array<struct<term, tf>> of a text, sorted by term: its tokens are sorted in the row, and runs of equal ones measured."""
+def counted(chunks: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, the carried columns, dl, counts: array<struct<term, tf>> of each chunk, sorted by term; a batch's tokens are counted together in the task that reads it."""
+    rows = chunks.select("chunk_id", *carried, F.coalesce(F.lower("content"), F.lit("")).alias("_text"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(counting, f"{fields}, dl bigint, counts array<struct<term:string,tf:bigint>>")
 
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return let(starts, lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(s))), lambda x, y: F.struct(F.get(s, x).alias("term"), (y - x).cast("long").alias("tf"))))
 
-    counts = let(F.sort_array(terms(content)), lambda s: F.when(F.size(s) > 0, runs(s)))
-    return F.coalesce(F.filter(counts, lambda x: x["term"].isNotNull()), F.array().cast("array<struct<term:string,tf:bigint>>"))
+def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text in lower case, becomes its number of tokens and its counted terms."""
+    for batch in batches:
+        tokens = pc.list_flatten(split := pc.split_pattern_regex(batch.column(batch.num_columns - 1), r"[ \t\n\x0B\f\r]+"))
+        place = np.repeat(np.arange(len(batch), dtype=np.int64), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        said = pc.not_equal(tokens, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+        place, words = place[said], tokens.filter(pa.array(said)).dictionary_encode()
+        names = words.dictionary.take(order := pc.sort_indices(words.dictionary))
+        rank = np.empty(len(names), np.int64)
+        rank[order.to_numpy()] = np.arange(len(names))
+        pairs, tf = np.unique(place * max(1, len(names)) + rank[words.indices.to_numpy()], return_counts=True)
+        row, code = np.divmod(pairs, max(1, len(names)))
+        counts = pa.StructArray.from_arrays([names.take(pa.array(code)), pa.array(tf, pa.int64())], ["term", "tf"])
+        held = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32()), counts)
+        dl = pa.array(np.bincount(place, minlength=len(batch)), pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], dl, held], [*batch.schema.names[:-1], "dl", "counts"])
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
@@ -41,7 +57,7 @@ def lengths(chunks: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, tf, counted in the chunk's row, so that nothing is shuffled."""
-    return chunks.select("chunk_id", F.inline(counted(F.col("content"))))
+    return counted(chunks).select("chunk_id", F.inline("counts"))
 
 
 def corpus_size(chunks: DataFrame) -> DataFrame:
@@ -86,10 +102,8 @@ def matches(chunks: DataFrame, queries: DataFrame, carried: tuple[str, ...] = ()
     read from there. Terms are counted in the chunk's row; only those of a question leave the scan, a frequent one as a row a chunk.
     """
     wanted = query_terms(queries).select("term").distinct()
-    counts = chunks.select("chunk_id", *carried, counted(F.col("content")).alias("_c"))
-    dl = F.aggregate("_c", F.lit(0).cast("long"), lambda s, x: s + x["tf"]).alias("dl")
     every = F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf"))
-    rows = counts.select("chunk_id", dl, *carried, F.inline(F.concat(F.array(every), "_c")))
+    rows = counted(chunks, carried).select("chunk_id", "dl", *carried, F.inline(F.concat(F.array(every), "counts")))
     also = wanted.union(chunks.sparkSession.range(1).select(F.lit("").alias("term")))
     return written(rows.join(small(also, wanted.count()), "term", "left_semi").select("chunk_id", "dl", *carried, "term", "tf"), "matches")
 

@@ -35,6 +35,16 @@ def test_counts_in_a_row(spark):
     assert rows(bm25.postings(df)) == [("a", "a", 1), ("a", "b", 3), ("c", "x", 1)]
 
 
+def test_terms_are_counted_a_batch_at_a_time(spark):
+    """No sorting of a chunk's tokens by lambdas; white space as in Java's patterns, letters beyond ASCII, nulls, and what is carried."""
+    df = spark.createDataFrame([("a", 1, "É\u00a0x\x0bB b\r\nÉ\u00a0X"), ("b", None, ""), ("c", 3, " \t"), ("d", 4, None), ("e", 5, "\U0001f600 ~ \U0001f600 z")], "chunk_id string, n int, content string")
+    found = bm25.counted(df, ("n",))
+    assert rows(found) == [("a", 1, 4, [("b", 2), ("é\u00a0x", 2)]), ("b", None, 0, []), ("c", 3, 0, []), ("d", 4, 0, []), ("e", 5, 4, [("z", 1), ("~", 1), ("\U0001f600", 2)])]
+    assert "MapInArrow" in bm25.postings(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert bm25.postings(df.limit(0)).count() == 0
+    assert bm25.lengths(df).where("chunk_id = 'a'").first()["dl"] == 4
+
+
 @pytest.mark.parametrize("part_postings", [50, 200_000])
 def test_search_of_the_index_equals_the_scan(spark, monkeypatch, part_postings):
     monkeypatch.setattr(index, "BLOCK_CHUNKS", 4)
