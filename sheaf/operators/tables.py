@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..sources.scratch import written
-
 BUCKETS = 64
 
 
@@ -60,21 +58,23 @@ def upsert(new: DataFrame, path: str, key: str, order: str | None = None, vector
     """
     spark = new.sparkSession
     last = [F.desc(order)] if order else [F.desc(c) for c in new.columns if c != key]
-    one = new.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*last))).where("_n = 1").drop("_n")
     known = about(spark, path)
     if known is not None and known.key != key:
         raise ValueError(f"the table is kept by {known.key}, not by {key}")
     n = known.buckets if known else buckets
-    coming = written(one.withColumn("_bucket", bucket(key, n)), "coming")
+    coming = new.where(F.col(key).isNotNull()).withColumn("_bucket", bucket(key, n))
     touched = sorted(r["_bucket"] for r in coming.select("_bucket").distinct().collect())  # the table's number of buckets at most
     if not touched:
         return []
-    dimension = checked_dimension(coming, vector, known.dimension if known else None) if vector else None
+    # dealt once, by folder; in a task the new rows of a key come before the stored one
+    first = lambda df: df.withColumn("_n", F.row_number().over(W.partitionBy("_bucket", key).orderBy(F.desc("_new"), *last))).where("_n = 1").drop("_n", "_new")
+    both = coming.withColumn("_new", F.lit(True))
+    dimension = checked_dimension(first(both), vector, known.dimension if known else None) if vector else None
     if known is None:
         spark.createDataFrame([(key, n, dimension)], "key string, buckets int, dimension int").coalesce(1).write.parquet(f"{path.rstrip('/')}/_about")
-        result = coming
     else:
-        staying = rows(spark, path).where(F.col("_bucket").isin(touched)).join(coming.select(key), key, "left_anti")
-        result = written(staying.select(*coming.columns).unionByName(coming), "merged")  # a folder can't be read and rewritten at once
-    result.repartition("_bucket").sortWithinPartitions("_bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+        staying = rows(spark, path).where(F.col("_bucket").isin(touched))
+        both = staying.select(*coming.columns, F.lit(False).alias("_new")).unionByName(both)
+    # folders are replaced when the job commits, after all tasks have read them
+    first(both.repartition("_bucket")).sortWithinPartitions("_bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
     return touched

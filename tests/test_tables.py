@@ -96,3 +96,16 @@ def test_misses_are_answered_once(spark):
 def test_keys_tell_requests_apart(spark):
     rows = spark.createDataFrame([("q", "hybrid", 10, None), ("q", "vector", 10, None), ("q", "hybrid", 5, None), ("q", "hybrid", 10, "label=1"), ("q", "hybrid", 10, None)], "q string, m string, k int, f string")
     assert rows.select(fusion.cache_key(F.col("q"), F.col("m"), F.col("k"), F.col("f")).alias("key")).distinct().count() == 4
+
+
+def test_an_upsert_writes_its_folders_only_and_deals_rows_once(spark, tmp_path):
+    import os
+
+    from sheaf.sources.scratch import scratch_dir
+
+    held = lambda: set(os.listdir(scratch_dir(spark).removeprefix("file:")))
+    before, path = held(), str(tmp_path / "t")
+    tables.upsert(spark.createDataFrame([("a", 1), ("a", 3), ("b", 9), (None, 1)], "k string, v int"), path, "k")
+    tables.upsert(spark.createDataFrame([("b", 2), ("c", 1), ("c", 0)], "k string, v int"), path, "k")
+    assert sorted((r["k"], r["v"]) for r in tables.rows(spark, path).collect()) == [("a", 3), ("b", 2), ("c", 1)]
+    assert held() == before  # no copy of the rows beside the table
