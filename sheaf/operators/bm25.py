@@ -84,10 +84,17 @@ def idf_of(posted: DataFrame, chunks: DataFrame) -> DataFrame:
 def refresh(posted: DataFrame, dl: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings, lengths) after an ingest: what is stored of chunks that come again goes, and the new chunks' rows are added.
 
-    Only the new chunks' texts are read. df, idf, n and avgdl are aggregates of the two tables (idf_of, size_of).
+    Only the new chunks' texts are read, once: what is counted in them is written. df, idf, n and avgdl are aggregates of the two tables (idf_of, size_of).
     """
-    again = new.select("chunk_id").distinct()
-    return posted.join(again, "chunk_id", "left_anti").unionByName(postings(new)), dl.join(again, "chunk_id", "left_anti").unionByName(lengths(new))
+    more, more_dl = stored(new)
+    again = more_dl.select("chunk_id").distinct()
+    return posted.join(again, "chunk_id", "left_anti").unionByName(more), dl.join(again, "chunk_id", "left_anti").unionByName(more_dl)
+
+
+def stored(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of one reading of the chunks, written."""
+    held = written(counted(chunks), "counts")
+    return held.select("chunk_id", F.inline("counts")), held.select("chunk_id", "dl")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -222,7 +222,7 @@ def f7_postings(spark, d):
     chunks = chunks_of(spark, d)
     labelled = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("document_id")).distinct()
     stored = chunks.join(labelled, "document_id", "left_semi")
-    posted, dl = written(bm25.postings(stored), "postings"), written(bm25.lengths(stored), "lengths")
+    posted, dl = bm25.stored(stored)
     later = chunks.join(labelled, "document_id", "left_anti").unionByName(stored.where("section_index = 0"))  # new documents, and chunks that come again
     posted, dl = bm25.refresh(posted, dl, later)
     return bm25.idf_of(posted, dl).crossJoin(F.broadcast(bm25.size_of(dl).select("avgdl"))).select("term", "df", F.round("idf", 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"))  # one row

@@ -45,6 +45,21 @@ def test_terms_are_counted_a_batch_at_a_time(spark):
     assert bm25.lengths(df).where("chunk_id = 'a'").first()["dl"] == 4
 
 
+def test_refresh_by_postings_reads_texts_once(spark):
+    old, new = some_chunks(spark, 60, 2), some_chunks(spark, 40, 3, first=50)
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    posted, dl = bm25.refresh(*bm25.stored(old), new.mapInPandas(passed, new.schema))
+    now = old.where("chunk_id < 'c00050'").unionByName(new)
+    assert rows(posted) == rows(bm25.postings(now)) and rows(dl) == rows(bm25.lengths(now))
+    assert read.value == 40
+
+
 @pytest.mark.parametrize("part_postings", [50, 200_000])
 def test_search_of_the_index_equals_the_scan(spark, monkeypatch, part_postings):
     monkeypatch.setattr(index, "BLOCK_CHUNKS", 4)
