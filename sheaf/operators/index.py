@@ -32,8 +32,10 @@ from .chunking import smart_chunks
 
 #: Chunks of a block, about; folders of terms and of documents.
 BLOCK_CHUNKS, BUCKETS = 1024, 16
-#: Postings that a task of a search meets, about; questions whose terms travel as one row.
-PART_POSTINGS, QUESTIONS = 200_000, 256
+#: Postings that a task of a search meets at once, about; questions whose terms travel as one row; such rows that a task holds at most.
+PART_POSTINGS, QUESTIONS, ROWS_AT_ONCE = 200_000, 256, 64
+#: Tasks of a search at most, or twice the cores if there are more: each gets all questions and gives k for each, so their number must not grow with the index.
+STREAMS = 24
 
 
 @dataclass
@@ -185,8 +187,10 @@ def chunk_rows(index: Index, columns: tuple[str, ...] = ("document_id",)) -> Dat
 def search(index: Index, queries: DataFrame, k: int = 10, pad_zero: bool = False, part_postings: int = PART_POSTINGS) -> DataFrame:
     """query_id, chunk_id, bm25, rank: the k best chunks of each question, ties by id; of those only that share a term with it, or with pad_zero of all.
 
-    The blocks are dealt to parts; a part meets the questions' weights in a task of its own, takes the blocks by what they can reach for a
-    question, and leaves out those that cannot reach its k-th score so far. The final k are ranked per question.
+    The blocks are dealt to STREAMS tasks at most, each of which meets the questions' weights: it takes some blocks at a time, of about part_postings
+    postings, by what they can reach for a question, and leaves out those that cannot reach its k-th score so far. What is shuffled are the
+    terms' postings once, and the questions and their k best once for each task. More than QUESTIONS x ROWS_AT_ONCE questions
+    take turns, with the postings again for each. The final k are ranked per question.
     """
     asked = query_terms(queries)
     wanted = asked.select("term").distinct()
@@ -195,21 +199,23 @@ def search(index: Index, queries: DataFrame, k: int = 10, pad_zero: bool = False
     weighted = written(asked.join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "df"), "weights")
     held = weighted.groupBy("term").agg(F.max("df").alias("df"))
     buckets = [r["bucket"] for r in held.select(term_bucket("term").alias("bucket")).distinct().collect()]  # BUCKETS numbers at most
-    parts = max(1, -(-(held.agg(F.sum("df")).first()[0] or 0) // part_postings))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    streams = min(max(1, -(-(held.agg(F.sum("df")).first()[0] or 0) // part_postings)), max(STREAMS, 2 * cores))
     avgdl = sizes(index).first()["avgdl"] or 1.0
-    part = F.pmod(F.xxhash64("batch", "block"), F.lit(parts)).cast("int").alias("_part")
-    lists = index.postings.where(F.col("bucket").isin(buckets)).join(small(held.select("term"), few), "term", "left_semi")
-    empty = F.lit(None).cast("array<string>")
-    left = lists.select(part, "batch", "block", "term", "max_tf", "min_dl", "pos", "tf", empty.alias("ids"), F.lit(None).cast("array<bigint>").alias("dls"), empty.alias("dead"))
-    gone = index.dead.groupBy("batch", "block").agg(F.collect_list("chunk_id").alias("dead"))
-    names = index.forward.select("batch", "block", F.col("c.chunk_id").alias("ids"), F.col("c.dl").alias("dls")).join(gone, ["batch", "block"], "left")
-    nothing = F.lit(None).cast("int")
-    left = left.unionByName(names.select(part, "batch", "block", F.lit("").alias("term"), nothing.alias("max_tf"), F.lit(None).cast("long").alias("min_dl"), F.lit(None).cast("array<int>").alias("pos"), F.lit(None).cast("array<int>").alias("tf"), "ids", "dls", "dead"))
     groups = max(1, -(-queries.count() // QUESTIONS))
+    turns = -(-groups // ROWS_AT_ONCE)
     block = weighted.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("_g")).agg(F.collect_list(F.struct("query_id", "term", "w")).alias("_block"))
-    right = block.select("_block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    right = block.select(F.explode(F.sequence(F.lit(0), F.lit(streams - 1))).alias("_part"), "_g", "_block").withColumn("_part", (F.col("_part") + F.col("_g") % turns * streams).cast("int")).drop("_g")
+    part = F.pmod(F.xxhash64("batch", "block"), F.lit(streams)).cast("int").alias("_part")
+    lists = index.postings.where(F.col("bucket").isin(buckets)).join(small(held.select("term"), few), "term", "left_semi")
+    gone = index.dead.groupBy("batch", "block").agg(F.collect_list("chunk_id").alias("dead"))
+    names = index.forward.select("batch", "block", F.lit("").alias("term"), F.col("c.chunk_id").alias("ids"), F.col("c.dl").alias("dls")).join(gone, ["batch", "block"], "left")
+    left = lists.select(part, "batch", "block", "term", "max_tf", "min_dl", "pos", "tf").unionByName(names.select(part, *names.columns), allowMissingColumns=True)
+    if turns > 1:
+        left = left.withColumn("_part", F.explode(F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda i: (F.col("_part") + i * streams).cast("int"))))
+    both = left.unionByName(right, allowMissingColumns=True).repartitionById(streams * turns, F.col("_part")).sortWithinPartitions("batch", "block", "term")  # questions, of no block, come first; a block's names before its lists
     kind = queries.schema["query_id"].dataType.simpleString()
-    best = left.groupBy("_part").cogroup(right.groupBy("_part")).applyInPandas(best_of(k, float(avgdl)), f"query_id {kind}, chunk_id string, bm25 double")
+    best = both.mapInArrow(passing(k, float(avgdl), part_postings), f"query_id {kind}, chunk_id string, bm25 double")
     if pad_zero:  # the first 2 k ids hold k at least that are not among a question's k best
         first = chunk_rows(index, ()).orderBy("chunk_id").limit(2 * k).agg(F.sort_array(F.collect_list("chunk_id")).alias("_first"))
         best = written(best, "best")
@@ -232,78 +238,144 @@ def keyword_search(index: Index, queries: DataFrame, corpus: DataFrame, k: int =
 LISTS_AT_ONCE = 2048
 
 
-def best_of(k: int, avgdl: float, read: list | None = None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """For each question of the blocks of weights the k best chunks of a part. read: gets (question, block) of each block that is scored.
+class Asked:
+    """A row of questions: their weights (query_id, term, w), and the k best chunks of each so far."""
+
+    def __init__(self, weights: pa.StructArray) -> None:
+        queries, terms, w = weights.flatten()
+        queries, terms = queries.dictionary_encode(), terms.dictionary_encode()
+        self.questions, self.q, self.terms, self.t, self.w = queries.dictionary, queries.indices.to_numpy(), terms.dictionary, terms.indices.to_numpy(), w.to_numpy()
+        self.best: list[list[tuple[float, str]]] = [[] for _ in self.questions]
+        self.kth = np.full(len(self.questions), -np.inf)
+
+    def found(self) -> pa.RecordBatch:
+        """query_id, chunk_id, bm25."""
+        of, held = np.repeat(np.arange(len(self.best)), [len(x) for x in self.best]), [x for best in self.best for x in best]
+        return pa.RecordBatch.from_arrays([self.questions.take(pa.array(of)), pa.array([i for _, i in held], pa.string()), pa.array([-s for s, _ in held], pa.float64())], ["query_id", "chunk_id", "bm25"])
 
-    A block of chunks meets, in one product, all questions whose k-th score so far it can reach.
+
+def meeting(k: int, avgdl: float, read: list | None = None) -> Callable[[pa.Table, list[Asked]], None]:
+    """Meets some blocks (batch, block, term, max_tf, min_dl, pos, tf; with the term '' ids, dls, dead) with the questions, whose k best change. read: gets (question, block) of each block that is scored.
+
+    A block of chunks meets, in one product, all questions of a row whose k-th score so far it can reach.
     """
     share = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-    flat = lambda arrays, kind: np.concatenate([np.zeros(0, kind), *arrays]).astype(kind)
+    flat = lambda lists: pc.list_flatten(lists).to_numpy(zero_copy_only=False)
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        head, lists = left[left["term"] == ""], left[left["term"] != ""]
-        place = {x: i for i, x in enumerate(zip(head["batch"], head["block"], strict=True))}
-        names = [np.asarray(x, object) for x in head["ids"]]
-        alive = [np.array([i not in gone for i in ids], bool) if (gone := set(dead) if dead is not None else set()) else None for ids, dead in zip(names, head["dead"], strict=True)]
-        at = np.fromiter((place[x] for x in zip(lists["batch"], lists["block"], strict=True)), np.int64, len(lists))
-        lists, at = lists.iloc[np.argsort(at, kind="stable")], np.sort(at, kind="stable")
-        n = np.fromiter(map(len, lists["pos"]), np.int64, len(lists))
-        ends, bounds = np.r_[0, np.cumsum(n)], np.searchsorted(at, np.arange(len(names) + 1))
-        first = np.r_[0, np.cumsum([len(x) for x in names])].astype(np.int64)
-        pos, tf, dls = flat(lists["pos"], np.int64), flat(lists["tf"], float), flat(head["dls"], float)
-        shares = share(tf, dls[np.repeat(first[at], n) + pos])
-        most = share(lists["max_tf"].to_numpy(float), lists["min_dl"].to_numpy(float))
-        code, words = pd.factorize(lists["term"])
+    def meet(rows: pa.Table, questions: list[Asked]) -> None:
+        rows = rows.combine_chunks()
+        heads = pc.equal(rows["term"], "")
+        head, lists = rows.filter(heads), rows.filter(pc.invert(heads))
+        if not len(lists):
+            return
+        place = {x: i for i, x in enumerate(zip(head["batch"].to_pylist(), head["block"].to_pylist(), strict=True))}
+        keys = np.stack([lists["batch"].to_numpy(), lists["block"].to_numpy()])
+        runs = np.flatnonzero(np.r_[True, (np.diff(keys) != 0).any(axis=0)])
+        at = np.repeat([place[x] for x in zip(*keys[:, runs].tolist(), strict=True)], np.diff(np.r_[runs, len(lists)]))
+        if (np.diff(at) < 0).any():
+            order = np.argsort(at, kind="stable")
+            lists, at = lists.take(pa.array(order)), at[order]
+        of_block = lambda name: head[name].combine_chunks()
+        of_list = lambda name: lists[name].combine_chunks()
+        names, sizes_ = pc.list_flatten(of_block("ids")), pc.list_value_length(of_block("ids")).to_numpy()
+        n, first = pc.list_value_length(of_list("pos")).to_numpy(), np.r_[0, np.cumsum(sizes_)].astype(np.int64)
+        ends, bounds = np.r_[0, np.cumsum(n)], np.searchsorted(at, np.arange(len(head) + 1))
+        alive = {}
+        for b, dead in enumerate(head["dead"].to_pylist()):
+            if dead:
+                alive[b] = ~np.isin(names.slice(first[b], sizes_[b]).to_numpy(zero_copy_only=False).astype(str), dead)
+        pos = flat(of_list("pos"))
+        shares = share(flat(of_list("tf")).astype(float), flat(of_block("dls")).astype(float)[np.repeat(first[at], n) + pos])
+        most = share(lists["max_tf"].to_numpy().astype(float), lists["min_dl"].to_numpy().astype(float))
+        words = of_list("term").dictionary_encode()
+        code, words = words.indices.to_numpy(), words.dictionary
 
         def sums_of(b: int, slot: np.ndarray, weights: np.ndarray) -> np.ndarray:
-            rows = bounds[b] + np.flatnonzero(slot[code[bounds[b] : bounds[b + 1]]] >= 0)
-            sums = np.zeros((len(names[b]), weights.shape[1]))
-            for lo in range(0, len(rows), LISTS_AT_ONCE):
-                some = rows[lo : lo + LISTS_AT_ONCE]
-                table = np.zeros((len(names[b]), len(some)))
+            some_lists = bounds[b] + np.flatnonzero(slot[code[bounds[b] : bounds[b + 1]]] >= 0)
+            sums = np.zeros((sizes_[b], weights.shape[1]))
+            for lo in range(0, len(some_lists), LISTS_AT_ONCE):
+                some = some_lists[lo : lo + LISTS_AT_ONCE]
+                table = np.zeros((sizes_[b], len(some)))
                 at_ = np.repeat(ends[some] - np.r_[0, np.cumsum(n[some])[:-1]], n[some]) + np.arange(n[some].sum())
                 table[pos[at_], np.repeat(np.arange(len(some)), n[some])] = shares[at_]
                 sums += table @ weights[slot[code[some]]]
             return sums
 
-        out = []
-        for block in right["_block"] if len(names) else ():
-            asked = pd.DataFrame(list(block), columns=["query_id", "term", "w"])
-            held = pd.Index(words).get_indexer(asked["term"])
-            asked, held = asked[held >= 0], held[held >= 0]
-            used, t = np.unique(held, return_inverse=True)
-            q, questions = pd.factorize(asked["query_id"])
-            weights = np.zeros((len(used), len(questions)))
-            weights[t, q] = asked["w"].to_numpy(float)
+        for asked in questions:
+            held = pc.index_in(asked.terms, value_set=words).fill_null(-1).to_numpy()[asked.t]
+            mine = held >= 0
+            used, t = np.unique(held[mine], return_inverse=True)
+            weights = np.zeros((len(used), len(asked.questions)))
+            weights[t, asked.q[mine]] = asked.w[mine]
             slot = np.full(len(words), -1)
             slot[used] = np.arange(len(used))
             mine = slot[code] >= 0
-            reaches = np.zeros((len(used), len(names)))
+            reaches = np.zeros((len(used), len(head)))
             reaches[slot[code[mine]], at[mine]] = most[mine]
             reach = weights.T @ reaches
-            best: list[list[tuple[float, str]]] = [[] for _ in questions]
-            kth = np.full(len(questions), -np.inf)
+            best, kth = asked.best, asked.kth
             for b in np.argsort(-reach.max(axis=0, initial=0.0), kind="stable").tolist():
                 wanted = np.flatnonzero((reach[:, b] > 0) & (reach[:, b] * (1 + 1e-9) + 1e-6 >= kth))
                 if not len(wanted):
                     continue
                 if read is not None:
-                    read.extend((questions[j], b) for j in wanted)
+                    read.extend((asked.questions[j].as_py(), b) for j in wanted.tolist())
                 sums = sums_of(b, slot, weights[:, wanted])
                 rounded = np.round(sums, 6)
                 good = (sums > 0) & (rounded >= kth[wanted])
-                if alive[b] is not None:
+                if b in alive:
                     good &= alive[b][:, None]
                 for x in np.flatnonzero(good.any(axis=0)).tolist():
-                    j, rows = wanted[x], np.flatnonzero(good[:, x])
-                    scores = rounded[rows, x]
-                    if len(rows) > k:  # ties with the k-th stay
-                        keep = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
-                        rows, scores = rows[keep], scores[keep]
-                    best[j] = sorted([*best[j], *zip((-scores).tolist(), names[b][rows], strict=True)])[:k]
+                    j, rows_ = wanted[x], np.flatnonzero(good[:, x])
+                    scores = rounded[rows_, x]
+                    if len(rows_) > k:  # ties with the k-th stay
+                        keep = scores >= np.partition(scores, len(rows_) - k)[len(rows_) - k]
+                        rows_, scores = rows_[keep], scores[keep]
+                    best[j] = sorted([*best[j], *zip((-scores).tolist(), names.take(pa.array(first[b] + rows_)).to_pylist(), strict=True)])[:k]
                     if len(best[j]) == k:
                         kth[j] = -best[j][-1][0]
-            out += [(query, i, -s) for query, found in zip(questions, best, strict=True) for s, i in found]
-        return pd.DataFrame(out, columns=["query_id", "chunk_id", "bm25"])
+
+    return meet
+
+
+def passing(k: int, avgdl: float, part_postings: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows of a task of a search, questions first, then blocks one after the other: whole blocks of about part_postings postings meet the questions at a time."""
+    meet = meeting(k, avgdl)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions: list[Asked] = []
+        waiting: list[pa.RecordBatch] = []
+        held = 0
+        for batch in batches:
+            asked = batch.column("_block").is_valid()
+            questions += [Asked(weights.values) for weights in batch.column("_block").filter(asked)]
+            batch = batch.filter(pc.invert(asked)).drop_columns(["_block", "_part"])
+            waiting.append(batch)
+            held += pc.sum(pc.list_value_length(batch.column("pos"))).as_py() or 0
+            last = np.flatnonzero(pc.equal(batch.column("term"), "").to_numpy(zero_copy_only=False))
+            if held >= part_postings and len(last):  # all before the last names are whole blocks
+                waiting[-1] = batch.slice(0, last[-1])
+                meet(pa.Table.from_batches(waiting), questions)
+                waiting = [batch.slice(last[-1])]
+                held = pc.sum(pc.list_value_length(waiting[0].column("pos"))).as_py() or 0
+        if waiting:
+            meet(pa.Table.from_batches(waiting), questions)
+        yield from (asked.found() for asked in questions)
+
+    return go
+
+
+#: The columns of blocks that meet questions.
+ROWS = pa.schema([("batch", pa.int64()), ("block", pa.int64()), ("term", pa.string()), ("max_tf", pa.int32()), ("min_dl", pa.int64()), ("pos", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32())), ("ids", pa.list_(pa.string())), ("dls", pa.list_(pa.int64())), ("dead", pa.list_(pa.string()))])
+
+
+def best_of(k: int, avgdl: float, read: list | None = None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The same for blocks in one frame, and rows of weights (_block) in another."""
+    meet = meeting(k, avgdl, read)
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        questions = [Asked(pa.array([dict(x) for x in block])) for block in right["_block"]]
+        meet(pa.Table.from_pandas(left, ROWS, preserve_index=False), questions)
+        return pd.concat([asked.found().to_pandas() for asked in questions])
 
     return score

@@ -92,6 +92,34 @@ def test_empty_index_and_empty_refresh(spark):
     assert rows(index.search(index.refreshed(stored, none), asked(spark), 5)) == rows(index.search(stored, asked(spark), 5))
 
 
+def test_copies_of_questions_do_not_grow_with_the_index(spark, monkeypatch):
+    """Each task gets the questions once and meets its blocks some at a time; more tasks than STREAMS there are not, nor more questions than may take a turn."""
+    monkeypatch.setattr(index, "BLOCK_CHUNKS", 4)
+    monkeypatch.setattr(index, "QUESTIONS", 10)
+    monkeypatch.setattr(index, "STREAMS", 3)
+    copies, passing = spark.sparkContext.accumulator(0), index.passing
+
+    def counted(*args):
+        go = passing(*args)
+
+        def seen(batches):
+            for batch in batches:
+                copies.add(len(batch) - batch.column("_block").null_count)
+                yield batch
+
+        return lambda batches: go(seen(batches))
+
+    monkeypatch.setattr(index, "passing", counted)
+    chunks, queries = some_chunks(spark, 400, 1).repartition(3), asked(spark)
+    stored, expected = index.build(chunks), rows(bm25.search(chunks, queries, 7))
+    most = max(3, 2 * spark.sparkContext.defaultParallelism) * 3  # 28 questions are three rows
+    for at_once in (64, 2, 1):  # questions in one, two and three turns
+        monkeypatch.setattr(index, "ROWS_AT_ONCE", at_once)
+        copies.value = 0
+        assert rows(index.search(stored, queries, 7, part_postings=20)) == expected
+        assert 0 < copies.value <= most
+
+
 def test_blocks_that_cannot_reach_the_best_are_left_out():
     """One block has all good chunks; the others' bounds stay below the k-th score."""
     names = [(0, b, "", None, None, None, None, [f"{b}-{i}" for i in range(10)], [10] * 10, None) for b in range(50)]
