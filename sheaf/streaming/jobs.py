@@ -21,20 +21,28 @@ from ..operators.analytics import log_windows
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Groups of documents whose state a task asks in one call; each document has an entry of its own there.
+GROUPS = 4096
+
+
 class NewDocuments(StatefulProcessor):
-    """Lets a document through when it comes first; of rows of a batch that repeat it the first by content."""
+    """Of a group of documents lets through those that come first; of rows of a batch that repeat a document the first by content."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.there = handle.getValueState("there", "there boolean")
+        self.there = handle.getMapState("there", "document_id string", "there boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = None
+        first: dict[str | None, str | None] = {}
         for pdf in rows:
-            least = min(pdf["content"], key=lambda t: (t is None, t))
-            first = least if first is None or least is not None and least < first else first
-        if not self.there.exists():
-            self.there.update((True,))
-            yield pd.DataFrame({"document_id": [key[0]], "content": [first]})
+            for document, content in zip(pdf["document_id"], pdf["content"], strict=True):
+                held = first.get(document)
+                if document not in first or content is not None and (held is None or content < held):
+                    first[document] = content
+        new = [x for x in first if not self.there.containsKey((x,))]
+        for x in new:
+            self.there.updateValue((x,), (True,))
+        if new:
+            yield pd.DataFrame({"document_id": new, "content": [first[x] for x in new]}, dtype=object)
 
     def close(self) -> None:
         pass
@@ -87,7 +95,8 @@ def ingest_stream(spark: SparkSession, source: str, schema: StructType, target:
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     docs = (rows if select is None else select(rows)).select("document_id", "content")
-    new = docs.groupBy("document_id").transformWithStateInPandas(NewDocuments(), "document_id string, content string", "Append", "None")
+    grouped = docs.withColumn("_group", F.pmod(F.xxhash64("document_id"), F.lit(GROUPS)).cast("int")).groupBy("_group")
+    new = grouped.transformWithStateInPandas(NewDocuments(), "document_id string, content string", "Append", "None")
     return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -1,5 +1,7 @@
 """Streams give what batches give, also after a restart."""
 
+import pandas as pd
+
 from sheaf.operators import chunking
 from sheaf.operators.analytics import log_windows
 from sheaf.sources.tables import corpus, search_log
@@ -59,3 +61,32 @@ def test_reuse_stream_expires_answers(spark, tmp_path):
             run()
     found = {r["request_id"]: (r["from_cache"], r["stored_by"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert found == plain_reuse(requests, 600)
+
+
+def test_a_call_lets_many_documents_through(spark, tmp_path):
+    """One call of the processor takes a group of documents; ids and contents that are null are kept as ids and contents."""
+    there = {}
+
+    class State:
+        containsKey = staticmethod(there.__contains__)  # noqa: N815
+        updateValue = staticmethod(there.__setitem__)  # noqa: N815
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802
+            return State()
+
+    new = jobs.NewDocuments()
+    new.init(Handle())
+    call = lambda *rows: [x for out in new.handleInputRows((1,), iter([pd.DataFrame(list(rows[i : i + 2]), columns=["document_id", "content"], dtype=object) for i in range(0, len(rows), 2)]), None) for x in out.itertuples(index=False, name=None)]
+    assert call(("a", "z"), ("b", None), ("a", "y"), (None, "q"), ("c", "x"), ("b", "w")) == [("a", "y"), ("b", "w"), (None, "q"), ("c", "x")]
+    assert call(("a", "b"), ("d", None), (None, None)) == [("d", None)] and call(("a", "a")) == []
+
+    schema = "document_id string, content string"
+    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: jobs.ingest_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, str(tmp_path / "out"), str(tmp_path / "cp"), 1).awaitTermination()
+    put((None, "no id, later text"), (None, "no id, first text"), ("c", None))
+    run()
+    put((None, "no id, again"), ("e", "e text"))
+    run()
+    found = {(r["document_id"], r["content"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert (None, "no id, first text") in found and ("e", "e text") in found and "no id, again" not in {c for _, c in found}
